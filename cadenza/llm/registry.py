@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, piece_codec
+from . import exact_dedup, near_dedup, piece_codec
 
 
 def queries():
     return {
         "op1_exact_dedup": exact_dedup.query,
         "op9_sentencepiece": piece_codec.query,
+        "op10_circulant_minhash": near_dedup.query,
     }
 
 
