@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup, piece_codec
+from . import exact_dedup, mixing, near_dedup, piece_codec
 
 
 def queries():
     return {
         "op1_exact_dedup": exact_dedup.query,
+        "op6_splitting_tree_mix": mixing.query,
         "op9_sentencepiece": piece_codec.query,
         "op10_circulant_minhash": near_dedup.query,
     }
 
 
 def oracle_sql():
-    return {"op1_exact_dedup": exact_dedup.ORACLE}
+    return {
+        "op1_exact_dedup": exact_dedup.ORACLE,
+        "op6_splitting_tree_mix": mixing.ORACLE,
+    }
