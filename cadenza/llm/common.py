@@ -55,3 +55,17 @@ def sliced(batch, column: str, budget: int = 8 << 20):
         end = max(start + 1, int(np.searchsorted(total, before + budget, side="right")))
         yield batch.slice(start, end - start)
         start = end
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: str, size: str, total: int) -> DataFrame:
+    """Inner join of rows with their group (one row per ``on``), safe for groups of any size.
+
+    Groups of more than ``max(100, total / 10000)`` rows are at most 10,000 by
+    counting, whatever the data, so they are broadcast and their rows are not
+    shuffled; the others are small and joined by a shuffle.
+    """
+    hot = F.col(size) > max(100, total // 10_000)
+    large = groups.filter(hot).withColumnRenamed(on, "_hot")
+    met = rows.join(F.broadcast(large), F.col(on) == F.col("_hot"), "left")
+    added = [c for c in groups.columns if c != on]
+    return met.filter(F.col("_hot").isNotNull()).drop("_hot").unionByName(met.filter(F.col("_hot").isNull()).drop("_hot", *added).join(groups.filter(~hot), on))

@@ -6,14 +6,14 @@ rows to (normalised length, prefix hash) with a count, and only lengths and then
 prefixes that occur more than once survive. The second scan takes the full
 SHA-256 of the rows of surviving prefixes alone; all others are known to be
 unique without it. Groups are only ever counted and minimised, with map-side
-partial aggregation, so a group that holds a third of all rows is no hot task.
+partial aggregation, and the rows of the largest ones meet their group by a
+broadcast of bounded size, so a group that holds a third of all rows is no hot task.
 
 Defined results: null and empty texts are equal to each other; of equal texts
-the row with the most code points in the original text, then the smallest id,
-stays; rows that repeat an id are separate rows of a group, and the copies of
-the very row that stays are all marked as kept when they agree in id and size,
-save that only one of them can be told apart, so all carry the same flag; other
-columns pass through under any name; an empty table gives an empty table.
+the row with the most code points in the original text, then the smallest id (a
+null id before all), stays; rows that repeat the id and size of the row that
+stays cannot be told from it and are marked as kept with it; other columns are
+ignored whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,11 +21,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut
+from .common import SPACE, cut, join_groups
 
 #: Surviving (length, prefix) pairs up to which they are broadcast: 16 bytes each.
 BROADCAST_PREFIXES = 500_000
-_OWN = ["_n", "_len", "_pre", "_sha", "_many"]
 
 
 def exact_dedup(
@@ -64,7 +63,8 @@ def exact_dedup(
     groups = many.groupBy("_sha").agg(
         F.count(F.lit(1)).alias("group_size"), F.min(F.struct((-F.col("_n")).alias("n"), F.col("doc_id").alias("id"))).alias("_best")
     )
-    shared = many.select("doc_id", "_n", "_sha").join(groups, "_sha").select(
+    groups = cut(groups)
+    shared = join_groups(many.select("doc_id", "_n", "_sha"), groups, "_sha", "group_size", hashed.count()).select(
         "doc_id", F.col("_best.id").alias("keep_id"), "group_size",
         (F.col("doc_id").eqNullSafe(F.col("_best.id")) & (-F.col("_n") == F.col("_best.n"))).alias("kept"), F.col("_sha").alias("text_sha256"),
     )
