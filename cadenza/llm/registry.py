@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dedup, piece_codec
+from . import exact_dedup, media, mixing, near_dedup, piece_codec
 
 
 def queries():
     return {
         "op1_exact_dedup": exact_dedup.query,
+        "op5_flac_media": media.query,
         "op6_splitting_tree_mix": mixing.query,
         "op9_sentencepiece": piece_codec.query,
         "op10_circulant_minhash": near_dedup.query,
@@ -17,5 +18,6 @@ def queries():
 def oracle_sql():
     return {
         "op1_exact_dedup": exact_dedup.ORACLE,
+        "op5_flac_media": media.query,
         "op6_splitting_tree_mix": mixing.ORACLE,
     }
