@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, media, mixing, near_dedup, piece_codec
+from . import exact_dedup, language_id, media, mixing, near_dedup, piece_codec
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_exact_dedup": exact_dedup.query,
         "op5_flac_media": media.query,
         "op6_splitting_tree_mix": mixing.query,
+        "op8_bigru_language_id": language_id.query,
         "op9_sentencepiece": piece_codec.query,
         "op10_circulant_minhash": near_dedup.query,
     }
