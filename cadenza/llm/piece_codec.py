@@ -7,11 +7,13 @@ what is left unknown becomes byte pieces. No piece of such a vocabulary has the
 mark after another character, so no merge crosses into a mark from the left:
 the text falls into segments that start at a run of marks, each of which is
 encoded once and remembered. ``PieceModel`` checks that property of the file and
-otherwise takes the text as one segment.
+otherwise takes the text as one segment. The new segments of a batch slice are
+merged together: one numpy step takes the best agenda entry of every segment
+that still has one. Long segments have a heap as their agenda.
 
-Rows stream through Arrow batches; the memory of a task is a batch slice plus a
+Rows stream through Arrow batches; the memory of a worker is a batch slice plus a
 bounded table of remembered segments. With ``check=True`` the segments that are
-new to a task are encoded by the sentencepiece library as well, batch by batch,
+new to a worker are encoded by the sentencepiece library as well, batch by batch,
 and a difference is an error.
 
 Defined results: null counts as empty and gives no ids; repeated rows give equal
@@ -25,15 +27,20 @@ import hashlib
 import heapq
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import sliced
 
 MARK = "▁"
-#: Remembered segments of a task, and the longest that is remembered.
-CACHE = 400_000
-CACHE_CHARS = 64
+#: Remembered segments of a worker, and the longest that is remembered.
+CACHE = 500_000
+CACHE_CHARS = 48
+#: Longest segment that is merged in step with others.
+STEP_CHARS = 24
+_NONE = np.int64(2**62)
+_MODELS: dict[str, "PieceModel"] = {}
 
 
 class PieceModel:
@@ -59,6 +66,88 @@ class PieceModel:
         self.split = all(MARK not in p.lstrip(MARK) for p in self.rank)
         self.segments = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$").findall
         self.seen: dict[str, tuple[str, int, bytes]] = {}
+        self.piece_bytes = [b"" if i in self.hidden else bytes((self.value[i],)) if i in self.value else p.encode() for i, p in enumerate(self.pieces)]
+        self._pairs()
+
+    def _pairs(self) -> None:
+        """Sorted codes of all symbol pairs that form a piece, with the piece and its place in score order."""
+        number = {p: i for p, (_, i) in self.rank.items()}
+        for p in list(number):
+            for c in p:
+                number.setdefault(c, len(self.pieces) + len(number))
+        self.base = 1 + max(number.values())
+        place = {s: i for i, s in enumerate(sorted({s for s, _ in self.rank.values()}))}
+        rows = [
+            (number[p[:k]] * self.base + number[p[k:]], place[score], i)
+            for p, (score, i) in self.rank.items() for k in range(1, len(p)) if p[:k] in number and p[k:] in number
+        ]
+        self.code, self.place, self.made = (np.array(c, np.int64) for c in zip(*sorted(rows), strict=True))
+        self.of_char = -2 - np.arange(0x110000, dtype=np.int64)  # below zero: in no piece
+        for p, i in number.items():
+            if len(p) == 1:
+                self.of_char[ord(p)] = i
+        self.char_of = {i: p for p, i in number.items() if len(p) == 1}
+
+    def _look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        code = left * self.base + right
+        at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+        found = (self.code[at] == code) & (left >= 0) & (right >= 0)
+        return np.where(found, self.place[at], _NONE), self.made[at]
+
+    def merge_many(self, segments: list[str]) -> list[list[int]]:
+        """Ids of many segments, merged in step: every round takes the best agenda entry of each segment."""
+        out: list[list[int]] = [[]] * len(segments)
+        order = sorted(range(len(segments)), key=lambda i: len(segments[i]))
+        short = [i for i in order if len(segments[i]) <= STEP_CHARS]
+        for i in order[len(short) :]:
+            out[i] = self.merge(segments[i])
+        for k in range(0, len(short), 4096):
+            rows = short[k : k + 4096]
+            size = np.array([len(segments[i]) for i in rows])
+            width = int(size.max()) + 2
+            s = np.full((len(rows), width), -1, np.int64)
+            inside = np.arange(width) < size[:, None]
+            s[inside] = self.of_char[np.frombuffer("".join([segments[i] for i in rows]).encode("utf-32-le"), np.uint32)]
+            place, made = self._look(s[:, :-1], s[:, 1:])
+            live = np.arange(len(rows))
+            final = s
+            while len(live):
+                best = place.argmin(axis=1)
+                line = np.arange(len(live))
+                going = place[line, best] < _NONE
+                if not going.all():
+                    final[live[~going]] = s[~going]
+                    live, s, place, made, best = live[going], s[going], place[going], made[going], best[going]
+                    if not len(live):
+                        break
+                    line = np.arange(len(live))
+                new = made[line, best]
+                at = np.arange(width)
+                shift = np.minimum(at + (at > best[:, None]), width - 1)
+                s = np.take_along_axis(s, shift, axis=1)
+                s[:, -1] = -1
+                s[line, best] = new
+                place, made = np.take_along_axis(place, shift[:, :-1].clip(max=width - 2), axis=1), np.take_along_axis(made, shift[:, :-1].clip(max=width - 2), axis=1)
+                place[:, -1] = _NONE
+                place[line, best], made[line, best] = self._look(new, s[line, best + 1])
+                has = best > 0
+                place[line[has], best[has] - 1], made[line[has], best[has] - 1] = self._look(s[line[has], best[has] - 1], new[has])
+            n = len(self.pieces)
+            for i, symbols in zip(rows, final.tolist(), strict=True):
+                ids = []
+                for x in symbols:
+                    if 0 <= x < n:
+                        ids.append(x)
+                    elif x == -1:
+                        break
+                    else:
+                        c = self.char_of[x] if x >= 0 else chr(-2 - x)
+                        if self.bytes:
+                            ids.extend(self.bytes[b] for b in c.encode())
+                        elif not ids or ids[-1] != self.unk:
+                            ids.append(self.unk)
+                out[i] = ids
+        return out
 
     def merge(self, segment: str) -> list[int]:
         """Ids of a segment by the agenda of adjacent pairs."""
@@ -107,31 +196,37 @@ class PieceModel:
 
     def raw(self, ids: list[int]) -> bytes:
         """The pieces' bytes, marks not yet turned into spaces."""
-        return b"".join(bytes((self.value[i],)) if i in self.value else b"" if i in self.hidden else self.pieces[i].encode() for i in ids)
+        return b"".join([self.piece_bytes[i] for i in ids])
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: byte pieces are joined as UTF-8, marks become spaces, the leading one goes."""
         return finish(self.raw(ids))
 
-    def known(self, segment: str) -> tuple[str, int, bytes]:
-        """(ids joined by commas, number of ids, bytes) of a segment, remembered if short."""
-        if (got := self.seen.get(segment)) is None:
-            ids = self.merge(segment)
-            got = (",".join(map(str, ids)), len(ids), self.raw(ids))
-            if len(segment) <= CACHE_CHARS:
-                if len(self.seen) >= CACHE:
-                    self.seen.clear()
-                self.seen[segment] = got
-        return got
-
-    def check(self, segments: list[str]) -> None:
+    def learn(self, segments: list[str], check: bool) -> dict[str, tuple[str, int, bytes]]:
+        """(ids joined by commas, number of ids, bytes) of segments; short ones are remembered."""
+        found = self.merge_many(segments)
+        if check:
+            self.check(segments, found)
+        own = {s: (",".join(map(str, ids)), len(ids), self.raw(ids)) for s, ids in zip(segments, found, strict=True)}
+        self.seen.update((s, v) for s, v in own.items() if len(s) <= CACHE_CHARS)
+        return own
+
+    def check(self, segments: list[str], found: list[list[int]]) -> None:
         """Hold segments against the library; a segment's own leading mark stands for the text's."""
-        plain = [s[1:].replace(MARK, " ") for s in segments if s[:1] == MARK and len(s) > 1]
-        for text, ids in zip(plain, self.library.encode(plain, num_threads=1), strict=True):
-            if self.encode(text) != ids:
+        rows = [i for i, s in enumerate(segments) if s[:1] == MARK and len(s) > 1]
+        plain = [segments[i][1:].replace(MARK, " ") for i in rows]
+        for i, text, ids in zip(rows, plain, self.library.encode(plain, num_threads=1), strict=True):
+            if found[i] != ids:
                 raise ValueError(f"the agenda and the library differ on {text!r}")
 
 
+def loaded(path: str) -> PieceModel:
+    """The model of a file, once per worker."""
+    if path not in _MODELS:
+        _MODELS[path] = PieceModel(path)
+    return _MODELS[path]
+
+
 def finish(raw: bytes) -> str:
     text = raw.decode("utf-8", errors="replace").replace(MARK, " ")
     return text[1:] if text[:1] == " " else text
@@ -152,16 +247,19 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def run(batches):
         import pyarrow as pa
 
-        model = PieceModel(model_path)
-        known, seen = model.known, model.seen
+        model = loaded(model_path)
         for whole in batches:
-            for batch in sliced(whole, "text"):
+            for batch in sliced(whole, "text", 4 << 20):
                 rows = []
-                for text in batch.column("text").to_pylist():
-                    parts = model.cut(text or "")
-                    if check and (new := list({p for p in parts if p not in seen})):
-                        model.check(new)
-                    got = [seen.get(p) or known(p) for p in parts]
+                cut = [model.cut(text or "") for text in batch.column("text").to_pylist()]
+                seen = model.seen
+                new = {p for parts in cut for p in parts if p not in seen}
+                if len(seen) + len(new) > CACHE:
+                    seen.clear()
+                    new = {p for parts in cut for p in parts}
+                long = {p: v for p, v in model.learn(list(new), check).items() if len(p) > CACHE_CHARS}
+                for parts in cut:
+                    got = [seen.get(p) or long[p] for p in parts] if long else [seen[p] for p in parts]
                     joined = ",".join([g[0] for g in got])
                     back = finish(b"".join([g[2] for g in got]))
                     row = [sum([g[1] for g in got]), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()]
