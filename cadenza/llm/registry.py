@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, media, mixing, near_dedup, piece_codec
+from . import exact_dedup, html_wrapper, language_id, media, mixing, near_dedup, piece_codec
 
 
 def queries():
     return {
         "op1_exact_dedup": exact_dedup.query,
+        "op4_html_wrapper": html_wrapper.query,
         "op5_flac_media": media.query,
         "op6_splitting_tree_mix": mixing.query,
         "op8_bigru_language_id": language_id.query,
@@ -19,6 +20,7 @@ def queries():
 def oracle_sql():
     return {
         "op1_exact_dedup": exact_dedup.ORACLE,
+        "op4_html_wrapper": html_wrapper.query,
         "op5_flac_media": media.query,
         "op6_splitting_tree_mix": mixing.ORACLE,
     }
