@@ -158,12 +158,14 @@ def _links(docs, id_col, text_col, classes, live, width, percent) -> DataFrame:
     # of a class with n shingles, v shared with any other: similarity to one with m is at most v / (n + m - v)
     reach = nodes.join(own, "key", "left").withColumn("v", F.col("n") - F.coalesce("own", F.lit(0))).withColumn("most", F.expr(f"((100 + {percent}) * v - {percent} * n) div {percent}"))
     reach = cut(reach.filter(F.col("most") * 100 >= F.col("n") * percent).select("key", "most"))
-    side = placed.join(reach, "key")
-    left, right = (side.select(F.col("bucket"), *(F.col(c).alias(c + x) for c in ("key", "n", "comp", "most"))) for x in "ab")
+    met = placed.groupBy("key").agg(F.collect_list("bucket").alias("met"))  # at most one bucket a band
+    side = placed.join(reach, "key").join(met, "key")
+    left, right = (side.select(F.col("bucket"), *(F.col(c).alias(c + x) for c in ("key", "n", "comp", "most", "met"))) for x in "ab")
     rest = left.join(right, "bucket").filter(
         (F.col("keya") < F.col("keyb")) & (F.col("compa") != F.col("compb")) & near(F.col("na"), F.col("nb")) & (F.col("nb") <= F.col("mosta")) & (F.col("na") <= F.col("mostb"))
+        & (F.array_min(F.array_intersect("meta", "metb")) == F.col("bucket"))  # a pair is made in the first bucket that it shares
     )
-    rest = rest.select(F.col("keya").alias("a"), F.col("keyb").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    rest = rest.select(F.col("keya").alias("a"), F.col("keyb").alias("b")).join(star, ["a", "b"], "left_anti")
     return cut(links.unionByName(_verified(rest, sets, percent)))
 
 
