@@ -76,63 +76,89 @@ def _windows(word: str) -> list[bytes]:
     return [raw[i : i + WINDOW] for i in range(0, len(raw), WINDOW)]
 
 
+def _batch_predictor(model: BiGru | None):
+    """A function from texts to (languages, scores) that remembers words within its worker."""
+    labels = model.labels if model else []
+    index, sums = _SUMS.setdefault(model.name() if model else "", ({}, [np.zeros((0, len(labels) + 1))]))
+    none = np.zeros(len(labels) + 1)
+
+    def forget() -> None:
+        index.clear()
+        sums[0] = np.zeros((0, len(labels) + 1))
+
+    def learn(words: list[str]) -> np.ndarray:
+        """Row per word: sums of label probabilities, in 1/65536, and the number of positions."""
+        lettered = [w for w in words if any(map(str.isalpha, w))]
+        parts = {w: _windows(w) for w in lettered}
+        flat = np.rint(model.word_sums([p for ps in parts.values() for p in ps]) * 65536) if lettered else None
+        out, at = {}, 0
+        for w, ps in parts.items():
+            out[w] = np.append(flat[at : at + len(ps)].sum(axis=0), sum(map(len, ps)))
+            at += len(ps)
+        return np.array([out.get(w, none) for w in words])
+
+    def run(texts: list[str | None]) -> tuple[list[str], list[float]]:
+        if model is None:
+            return ["und"] * len(texts), [0.0] * len(texts)
+        split = [(t or "").lower().split() for t in texts]
+        new = {w for ws in split for w in ws if w not in index}
+        if len(index) + len(new) > CACHE:
+            forget()
+            new = {w for ws in split for w in ws}
+        if new:
+            words = sorted(new)
+            sums[0] = np.concatenate([sums[0], learn(words)])
+            for w in words:
+                index[w] = len(index)
+        langs, scores = [], []
+        for ws in split:
+            pooled = sums[0][[index[w] for w in ws]].sum(axis=0) if ws else none
+            if pooled[-1]:
+                best = int(pooled[:-1].argmax())
+                langs.append(labels[best])
+                scores.append(round(min(1.0, float(pooled[best] / 65536 / pooled[-1])), 4))
+            else:
+                langs.append("und")
+                scores.append(0.0)
+        if any(len(w) > CACHE_CHARS for w in new):  # long words are not kept
+            forget()
+        return langs, scores
+
+    return run
+
+
 def predict(docs: DataFrame, model: BiGru | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row."""
 
     def run(batches):
         import pyarrow as pa
 
-        labels = model.labels if model else []
-        index, sums = _SUMS.setdefault(model.name() if model else "", ({}, [np.zeros((0, len(labels) + 1))]))
-
-        def learn(words: list[str]) -> dict[str, np.ndarray]:
-            """Sums of words that aren't remembered: probabilities in 1/65536 and positions."""
-            lettered = [w for w in words if any(map(str.isalpha, w))]
-            parts = [_windows(w) for w in lettered]
-            flat = np.rint(model.word_sums([p for ps in parts for p in ps]) * 65536) if lettered else np.zeros((0, len(labels)))
-            out, at = dict.fromkeys(words), 0
-            none = np.zeros(len(labels) + 1)
-            for w, ps in zip(lettered, parts, strict=True):
-                out[w] = np.append(flat[at : at + len(ps)].sum(axis=0), sum(map(len, ps)))
-                at += len(ps)
-            return {w: none if v is None else v for w, v in out.items()}
-
+        ask = _batch_predictor(model)
         for whole in batches:
             for batch in sliced(whole, "text", 4 << 20):
-                split = [(t or "").lower().split() for t in batch.column("text").to_pylist()]
-                if model is None:
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(["und"] * len(split)), pa.array([0.0] * len(split))], names=["doc_id", "held_out", "lang_pred", "score"])
-                    continue
-                new = {w for ws in split for w in ws if w not in index}
-                if len(index) + len(new) > CACHE:
-                    index.clear()
-                    sums[0] = np.zeros((0, len(labels) + 1))
-                    new = {w for ws in split for w in ws}
-                if new:
-                    got = learn(sorted(new))
-                    for w in got:
-                        index[w] = len(index)
-                    sums[0] = np.concatenate([sums[0], np.array(list(got.values()))])
-                table, langs, scores = sums[0], [], []
-                for ws in split:
-                    pooled = table[[index[w] for w in ws]].sum(axis=0) if ws else np.zeros(len(labels) + 1)
-                    if pooled[-1]:
-                        best = int(pooled[:-1].argmax())
-                        langs.append(labels[best])
-                        scores.append(round(min(1.0, float(pooled[best] / 65536 / pooled[-1])), 4))
-                    else:
-                        langs.append("und")
-                        scores.append(0.0)
-                long = [w for w in new if len(w) > CACHE_CHARS]
-                if long:  # long words are not remembered
-                    index.clear()
-                    sums[0] = np.zeros((0, len(labels) + 1))
+                langs, scores = ask(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.select(docs[id_col].alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", held_out("doc_id")).mapInArrow(run, out)
 
 
+def keep_known(docs: DataFrame, model: BiGru | None, text_col: str = "text", min_score: float = 0.3) -> DataFrame:
+    """The rows, with all columns, whose language is recognised with at least ``min_score``."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        ask = _batch_predictor(model)
+        for whole in batches:
+            for batch in sliced(whole, whole.schema.names[at], 4 << 20):
+                langs, scores = ask(batch.column(at).to_pylist())
+                yield batch.filter(pa.array([x != "und" and s >= min_score for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """Train on the labelled rows of ``docs`` and predict all its rows."""
     return predict(docs, fit(docs, id_col, text_col, lang_col, **options), id_col, text_col)
