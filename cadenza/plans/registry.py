@@ -31,3 +31,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
+
+
+from . import note_queries  # noqa: E402,F401
