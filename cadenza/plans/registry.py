@@ -34,3 +34,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 from . import note_queries  # noqa: E402,F401
+from . import mix_queries, scalar_queries, text_queries  # noqa: E402,F401
