@@ -133,7 +133,7 @@ def _message(r) -> bytes:
     if kind == "PitchWhl":
         values = [int(r["p1"]) & 127, int(r["p1"]) >> 7]
     else:
-        values = [int(r["p1"])] + [int(r["p2"])] * (n == 2)
+        values = [int(r["p1"]), int(r["p2"])] if n == 2 else [int(r["p1"])]
     return bytes([status | int(r["channel"]) - 1, *values])
 
 

@@ -15,7 +15,7 @@ DEPTH = 8
 
 def file_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, linenum, line) of the text files below a folder; the file is its name."""
-    whole = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
+    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
     return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("linenum", "line")).withColumn("linenum", F.col("linenum") + 1)
 
 

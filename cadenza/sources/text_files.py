@@ -19,7 +19,7 @@ def read_multi_table_tsv(spark: SparkSession, path: str, marker: str = r"^TABLE
 
 def read_relaxed_json(spark: SparkSession, path: str) -> DataFrame:
     """(file, value): JSON with unquoted keys, ``--`` comments and optional outer braces, as VARIANT; a broken file is an empty object."""
-    whole = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
+    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
     quiet = F.regexp_replace("value", r'(?m)("(?:[^"\\]|\\.)*")|--.*$', "$1")
     named = F.regexp_replace(quiet, r'("(?:[^"\\]|\\.)*")|([A-Za-z_]\w*)(?=\s*:)', '$1<q>$2<q>')
     named = F.regexp_replace(F.regexp_replace(named, r"<q><q>", ""), r"<q>", '"')
