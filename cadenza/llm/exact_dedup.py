@@ -74,7 +74,7 @@ def exact_dedup(
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Keep the columns and rows of ``docs`` whose row stays."""
     marks = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(marks, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
+    return docs.join(marks, docs[id_col].eqNullSafe(marks["_keep"]), "left_semi")
 
 
 def query(spark, sf_dir):

@@ -188,10 +188,11 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mixed corpus: every column of ``docs``, a row per copy, plus shard, epoch and position."""
+    """The mixed corpus: every column of ``docs``, a row per copy, plus mix_shard, mix_epoch and mix_position (replacing such columns)."""
+    docs = docs.drop("mix_shard", "mix_epoch", "mix_position")
     drawn = plan(docs, id_col, **options).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.explode("draws").alias("_d"))
     drawn = drawn.select("_id", F.col("_d.shard").alias("mix_shard"), F.col("_d.epoch").alias("mix_epoch"), F.col("_d.position").alias("mix_position"))
-    return docs.join(drawn, docs[id_col].eqNullSafe(F.col("_id"))).drop("_id")
+    return docs.join(drawn, docs[id_col].eqNullSafe(drawn["_id"])).drop(drawn["_id"])
 
 
 def query(spark, sf_dir):

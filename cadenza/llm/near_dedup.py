@@ -172,7 +172,7 @@ def _links(docs, id_col, text_col, classes, live, width, percent) -> DataFrame:
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Keep one document of each group, with all columns."""
     marks = near_duplicates(docs, id_col, text_col, percent=percent).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(marks, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
+    return docs.join(marks, docs[id_col].eqNullSafe(marks["_keep"]), "left_semi")
 
 
 def query(spark, sf_dir):

@@ -238,7 +238,8 @@ def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[
 
 
 def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", back: bool = False, spans_col: str = "pii") -> DataFrame:
-    """``docs`` with the text replaced, and an array of (kind, start, end, value) of what was."""
+    """``docs`` with the text replaced, and an array of (kind, start, end, value) of what was; it replaces a column of its name."""
+    docs = docs.drop(spans_col)
     at = docs.columns.index(text_col)
     entry = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("value", T.StringType())])
 

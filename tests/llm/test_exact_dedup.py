@@ -17,7 +17,7 @@ def brute(rows):
 
 
 def test_both_join_paths(spark):
-    df = spark.createDataFrame(ROWS, "doc_id long, text string, _len string")
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, _len string").selectExpr("*", "1 as _keep", "2 as _sha")
     want = brute(ROWS)
     for limit in (0, 1000):
         got = exact_dedup(df, digest_all=True, broadcast_limit=limit, prefix_chars=3).collect()

@@ -25,7 +25,7 @@ def brute_targets(sizes, weights=(5, 2, 1)):
 def docs(spark):
     rows = [(i, "w " * (i % 9) + "é x", "s%d" % (i % 7 % 4 if i % 3 else 0)) for i in range(900)]
     rows += [(2000, None, "s1"), (2001, "", "empty"), (2002, "a b c", None), (2003, "a " * 3000, "s2"), (2004, "x", "z"), (5, rows[5][1], rows[5][2]), (None, "p q", "s3")]
-    return spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as size", "2 as no", "3 as block"), rows
+    return spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as size", "2 as no", "3 as block", "4 as _id", "5 as mix_shard"), rows
 
 
 def test_plan(spark):
@@ -47,7 +47,7 @@ def test_plan(spark):
     assert all(again[r.doc_id, r.size] == r for r in got)
     assert plan(df.limit(0)).count() == 0
     mixed = mix(df.filter("doc_id != 5"))
-    assert mixed.columns[: len(df.columns)] == df.columns and "mix_shard" in mixed.columns
+    assert mixed.columns == [*df.columns[:-1], "mix_shard", "mix_epoch", "mix_position"]
 
 
 def test_hypergeometric_law(spark):

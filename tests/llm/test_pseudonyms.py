@@ -31,7 +31,7 @@ def test_formats_and_inverse():
 
 def test_rows(spark):
     rows = [(1, TEXT, "a"), (2, None, "b"), (3, "", "c"), (4, "clean text of 12 words", "d"), (5, "x " * 50000 + "4111111111111111", "e"), (1, TEXT, "a")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, kind string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, kind string").selectExpr("*", "1 as pii")
     got = pseudonymize(df, KEY).collect()
     assert len(got) == 6 and got[0].kind == "a"
     by = {r.doc_id: r for r in got}
