@@ -135,8 +135,23 @@ def delta_time(events: DataFrame) -> DataFrame:
     return out.withColumn("bad", F.col("delta") < 0)
 
 
+def style_in_force(points: DataFrame, changes: DataFrame, default: str = "default") -> DataFrame:
+    """Add ``style`` to (song, measure) from (song, from_measure, style).
+
+    Entries from measure 1 on are carried to later measures; measures up to 1 have a style only by an
+    entry of their own.
+    """
+    own = changes.filter("from_measure <= 1").select("song", F.col("from_measure").cast(points.schema["measure"].dataType).alias("measure"), F.col("style").alias("_own"))
+    got = fill_forward(points.join(own, ["song", "measure"], "left"), changes.filter("from_measure >= 1"), ["song"], "measure", "from_measure", "style", default)
+    return got.withColumn("style", F.when(F.col("measure") <= 1, F.coalesce("_own", F.lit(default))).otherwise(F.col("style"))).drop("_own")
+
+
 def measure_durations(measures: DataFrame, tempos: DataFrame, count_in: int = 0, quarters: float = 4.0) -> DataFrame:
-    """Add ``seconds`` to (song, measure) from the tempo in force; measure 1 also lasts for the count-in."""
+    """Add ``seconds`` to (song, measure) from the tempo in force; measure 1 also lasts for the count-in.
+
+    Tempo entries at a fraction of a measure never match.
+    """
+    tempos = tempos.filter(F.col("from_measure") == F.floor("from_measure"))
     on = fill_forward(measures, tempos, ["song"], "measure", "from_measure", "tempo", 120.0)
     sec = L.measure_seconds(F.col("tempo"), F.lit(quarters))
     return on.withColumn("seconds", F.when(F.col("measure") == 1, sec * (1 + count_in)).otherwise(sec))

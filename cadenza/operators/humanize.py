@@ -59,7 +59,7 @@ def humanize(
     if style_map is None:
         got = got.withColumn("style", F.lit("default"))
     else:
-        got = G.fill_forward(got, style_map, ["song"], "measure", "from_measure", "style", "default")
+        got = G.style_in_force(got, style_map)
     canonical = L.canonical_track(F.col("track"))
     got = got.withColumn("_name", canonical)
     peaks = N.peak_velocity(got)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cadenza.operators import cues as Q
 from cadenza.operators import grid as G
 from cadenza.operators import humanize as H
 from cadenza.operators import notes as N
+from cadenza.operators.mix import shift_cues
 
 from .bindings import TPQ, bound, duck
 from .registry import query
@@ -321,3 +323,35 @@ def _timeline(spark, sf):
 select song, page, (t - coalesce(lag(t) over (partition by song order by page), 0))::bigint as frames from q""")
 def _quantize(spark, sf):
     return G.quantize(G.page_durations(pages(spark, sf), durations(spark, sf)), 24.0).select("song", "page", "frames")
+
+
+@query("style_in_force", duck("notes") + """, p as (select distinct song, midi_time // 384 - 1 as measure from notes), s as (select o_custkey % 10 as song, o_orderkey % 40 - 2 as from_measure, max('style' || o_orderkey % 9) as style from orders where o_orderkey % 13 = 0 group by 1, 2)
+select p.song, p.measure, case when p.measure <= 1 then coalesce(o.style, 'default') else coalesce(c.style, 'default') end as style from p asof left join (select * from s where from_measure >= 1) c on p.song = c.song and p.measure >= c.from_measure left join s o on p.song = o.song and p.measure = o.from_measure""")
+def _styles(spark, sf):
+    points = bound(spark, sf, "notes").select("song", (F.floor(F.col("midi_time") / 384) - 1).alias("measure")).distinct()
+    o = bound(spark, sf, "orders").filter("o_orderkey % 13 = 0")
+    s = o.groupBy((F.col("o_custkey") % 10).alias("song"), (F.col("o_orderkey") % 40 - 2).alias("from_measure")).agg(F.max(F.concat(F.lit("style"), (F.col("o_orderkey") % 9).cast("string"))).alias("style"))
+    return G.style_in_force(points, s).select("song", "measure", "style")
+
+
+_CUES = """, line as (select song, measure, coalesce(sum(seconds) over w, 0) as s, coalesce(sum(seconds) over w, 0) + 0.95 * seconds as e from durations where measure >= 1 window w as (partition by song order by measure rows between unbounded preceding and 1 preceding)),
+cues as (select song, measure::int as n, floor(round(s * 1000, 6))::bigint as start_ms, floor(round(e * 1000, 6))::bigint as end_ms, measure::varchar as text from line)
+"""
+
+
+@query("cues", _DURATIONS + _CUES + "select * from cues")
+def _cues(spark, sf):
+    return Q.cues(durations(spark, sf))
+
+
+@query("shift_cues", _DURATIONS + _CUES + "select song, n, start_ms + 2800 as start_ms, end_ms + 2800 as end_ms, text from cues")
+def _shift_cues(spark, sf):
+    return shift_cues(Q.cues(durations(spark, sf)), 2.8)
+
+
+@query("timeline", _DURATIONS + _PAGES + _CUES + """, q as (select song, page, floor(round(sum(seconds) over (partition by song order by page) * 25, 6)) as t from pd)
+select song, page as no, (t - coalesce(lag(t) over (partition by song order by page), 0))::bigint as length, 'page' as kind from q union all select song, n, end_ms - start_ms, 'cue' from cues""")
+def _timeline_all(spark, sf):
+    points = bound(spark, sf, "notes").select("song", (F.floor(F.col("midi_time") / 384) - 1).alias("measure")).distinct()
+    cues, frames = Q.timeline(points, bound(spark, sf, "changes"), pages(spark, sf), 2, 25.0)
+    return frames.select("song", F.col("page").alias("no"), F.col("frames").alias("length"), F.lit("page").alias("kind")).unionByName(cues.select("song", F.col("n").cast("long").alias("no"), (F.col("end_ms") - F.col("start_ms")).alias("length"), F.lit("cue").alias("kind")))

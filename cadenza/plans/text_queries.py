@@ -30,12 +30,21 @@ def _section(spark, sf):
     return X.section_fill(bound(spark, sf, "lines"), r"(?s)^.{0,39}$").select("doc_id", "linenum", "section", "is_heading")
 
 
+CLEAN = r"""regexp_replace(f[%d], '^ *"(.*)" *$', '\1', 's')"""
 _TSV_SPARK = "case when linenum % 9 = 1 then concat('TABLE t', linenum) when linenum % 9 = 2 then 'a\tb\tc' when linenum % 9 = 5 then concat('x\ty\t\"', substr(replace(line, '\"', ''), 1, 20)) when linenum % 9 = 6 then 'rest\"' when linenum % 9 = 7 then '# no' when linenum % 9 = 8 then 'only\ttwo' else concat(substr(replace(replace(line, '\"', ''), '#', ''), 1, 30), '\tq\tr') end"
 
 
-@query("multi_tables")
-def _tables(spark, sf):
-    """Oracle-free here; tests/test_text.py holds it against a line-by-line reader."""
+@query("multi_tables", duck("lines") + r""", t as (select doc_id, linenum, case when linenum % 9 = 1 then 'TABLE t' || linenum when linenum % 9 = 2 then 'a' || tab || 'b' || tab || 'c' when linenum % 9 = 5 then 'x' || tab || 'y' || tab || '"' || substr(replace(line, '"', ''), 1, 20)
+  when linenum % 9 = 6 then 'rest"' when linenum % 9 = 7 then '# no' when linenum % 9 = 8 then 'only' || tab || 'two' else substr(replace(replace(line, '"', ''), '#', ''), 1, 30) || tab || 'q' || tab || 'r' end as line from lines, (select chr(9) as tab)),
+k as (select *, case when regexp_matches(line, '\t" *[^\t "][^\t"]*$') then true when regexp_matches(line, '[\t"]') then false end as st from t where not regexp_matches(line, '^\s*#') and trim(line, ' ') <> ''),
+o as (select *, coalesce(last_value(st ignore nulls) over (partition by doc_id order by linenum rows between unbounded preceding and current row), false) as op from k),
+g as (select *, sum(case when coalesce(po, false) then 0 else 1 end) over (partition by doc_id order by linenum) as g from (select *, lag(op) over (partition by doc_id order by linenum) as po from o)),
+w as (select doc_id, min(linenum) as linenum, string_agg(line, chr(10) order by linenum) as line from g group by doc_id, g),
+n as (select *, case when line like 'TABLE %' then regexp_extract(line, '^TABLE (\w+)', 1) end as nm from w),
+h as (select *, last_value(nm ignore nulls) over (partition by doc_id order by linenum rows between unbounded preceding and current row) as tb, lag(nm) over (partition by doc_id order by linenum) is not null and nm is null as head from n),
+v as (select *, string_split(line, chr(9)) as f from h where nm is null and not head and tb is not null)
+select doc_id, tb as "table", linenum, c1 as a, coalesce(c2, '') as b, coalesce(c3, '') as c, len(f) <> 3 as bad from (select *, clean(f[1]) as c1, clean(f[2]) as c2, clean(f[3]) as c3 from v)""".replace("clean(f[1])", CLEAN % 1).replace("clean(f[2])", CLEAN % 2).replace("clean(f[3])", CLEAN % 3))
+    """Tables spelled from the lines; tests/test_forms.py holds the form against a line-by-line reader."""
     t = bound(spark, sf, "lines").select("doc_id", "linenum", F.expr(_TSV_SPARK).alias("line"))
     f = F.col("fields")
     return X.multi_tables(t).select("doc_id", "table", "linenum", *(F.coalesce(F.try_element_at(f, F.lit(k)), F.lit("")).alias(k) for k in "abc"), "bad")
@@ -227,11 +236,16 @@ def _log(spark, sf):
     return P.span_log(bound(spark, sf, "conversations").withColumn("line", line)).select("conv_id", "turn", "mark", "func", "ms", "thread", "depth_delta")
 
 
-@query("pair_spans")
+@query("pair_spans", """with c as (select conv_id as thread, turn as seq, role <> 'assistant' as b, sum(length(text)) over (partition by conv_id order by turn)::bigint as ts from conversations),
+r as (select *, sum(case when b then 1 else -1 end) over (partition by thread order by seq) as s from c), l as (select *, least(min(s) over (partition by thread order by seq rows between unbounded preceding and current row), 0) as low from r),
+k as (select *, not b and low < coalesce(lag(low) over (partition by thread order by seq), 0) as lost from l), d as (select *, s - low + case when b then 0 else 1 end as depth from k where not lost),
+p as (select *, lead(seq) over w as end_seq, lead(ts) over w as end_, coalesce(lead(b) over (partition by thread order by seq), false) as has_children, max(ts) over (partition by thread) as last_ from d window w as (partition by thread, depth order by seq))
+select thread, seq, coalesce(end_seq, -1) as end_seq, depth::int as depth, coalesce(end_, last_) - ts as elapsed, has_children from p where b""")
 def _spans(spark, sf):
-    """Held against a stack in tests/test_text.py; turns of a conversation begin and end spans."""
+    """Turns of a conversation begin and end spans; tests/test_forms.py holds the form against a stack."""
     from pyspark.sql import Window as W
 
     c = bound(spark, sf, "conversations")
     ts = F.sum(F.length("text")).over(W.partitionBy("conv_id").orderBy("turn"))
-    return P.pair_spans(c.select(F.col("conv_id").alias("thread"), F.col("turn").alias("seq"), ts.alias("ts"), (F.col("role") != "assistant").alias("begin")))
+    got = P.pair_spans(c.select(F.col("conv_id").alias("thread"), F.col("turn").alias("seq"), ts.alias("ts"), (F.col("role") != "assistant").alias("begin")))
+    return got.withColumn("end_seq", F.coalesce("end_seq", F.lit(-1)))
