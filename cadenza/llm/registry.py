@@ -23,10 +23,6 @@ def queries():
 def oracle_sql():
     return {
         "op1_exact_dedup": exact_dedup.ORACLE,
-        "op2_merkle_fixity": fixity.query,
-        "op3_preference_format": preference.query,
-        "op4_html_wrapper": html_wrapper.query,
-        "op5_flac_media": media.query,
         "op2_merkle_fixity": fixity.ORACLE,
         "op3_preference_format": preference.ORACLE,
         "op6_splitting_tree_mix": mixing.ORACLE,
