@@ -67,7 +67,12 @@ def resolve_style(voices: DataFrame, effects: DataFrame) -> DataFrame:
 
 
 def overlay_defaults(settings: DataFrame, defaults: DataFrame) -> DataFrame:
-    """Add the default rows (key, value_text) of keys that a song lacks."""
+    """Add the default rows (key, value_text) of keys that a song lacks.
+
+    The defaults are a configuration; more than 100,000 of them are refused, so their broadcast is bounded.
+    """
+    if defaults.limit(100_001).count() > 100_000:
+        raise ValueError("too many defaults")
     songs = settings.select("song").distinct()
     wanted = songs.withColumn("_d", F.lit(1)).join(F.broadcast(defaults.withColumn("_d", F.lit(1))), "_d").drop("_d")
     missing = wanted.join(settings, ["song", "key"], "left_anti")
