@@ -7,8 +7,9 @@ coordinates of a shingle are therefore one contiguous run of a table.
 
 Classes. Documents with equal shingle sets form a class before any comparison,
 so exact copies never meet each other. Classes share a bucket if a band of
-their signatures agrees; with 32 bands of 6 rows a pair at similarity 0.85 is
-missed with probability below 3e-7.
+their signatures agrees; there are as many bands of 6 rows as it takes for a
+pair at the threshold to be missed with probability below 3e-7 (32 bands at
+0.85, 50 at 0.8).
 
 Links. In every bucket each class is first compared with one hub, the class with
 the most bucket neighbours; that is linear in the bucket. Buckets that are then
@@ -27,6 +28,8 @@ each get a row; other columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,12 +40,17 @@ from .components import components
 from .shingles import mix, shingle_sets, text_bytes
 
 WIDTH, PERCENT = 5, 80
-BANDS, ROWS = 32, 6
+ROWS, MISS = 6, 3e-7
 UNIVERSE = 1 << 20
 #: Ids of candidate classes up to which they are broadcast to the text scan.
 BROADCAST_IDS = 500_000
 
 
+def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
+    """Bands after which a pair at the threshold is missed with probability below ``miss``."""
+    return math.ceil(math.log(miss) / math.log1p(-((percent / 100) ** rows))) if percent < 100 else 1
+
+
 def _tables(length: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(977)
     first = rng.permutation(UNIVERSE).astype(np.int32)
@@ -113,8 +121,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb") - both).alias("u")).filter(f"100 * i >= {percent} * u").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, bands: int | None = None, rows: int = ROWS) -> DataFrame:
     """Return a row per document: doc_id, n_shingles, component_id, kept."""
+    bands = bands or bands_for(percent, rows)
     signed = cut(signatures(docs, id_col, text_col, width, bands, rows))
     classes = cut(signed.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     member = classes.select("key", "n", F.explode("bands").alias("bucket"))

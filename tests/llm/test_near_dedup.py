@@ -2,7 +2,7 @@ import random
 import re
 
 from cadenza.llm.components import components
-from cadenza.llm.near_dedup import drop_near, near_duplicates
+from cadenza.llm.near_dedup import bands_for, drop_near, near_duplicates
 
 
 def shingles(text):
@@ -54,6 +54,7 @@ def test_against_brute_force(spark):
 
 
 def test_small(spark):
+    assert (bands_for(85), bands_for(80), bands_for(100)) == (32, 50, 1)
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string").withColumn("_keep", __import__("pyspark").sql.functions.lit(1))
     assert sorted(map(tuple, near_duplicates(df).collect())) == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False)]
     assert drop_near(df).columns == ["doc_id", "text", "_keep"]
