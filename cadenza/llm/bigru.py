@@ -10,10 +10,6 @@ import numpy as np
 WINDOW = 32
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
-
-
 def pad(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, lengths) of words, filled up with zeros to the longest."""
     length = np.array([len(w) for w in words])
@@ -32,7 +28,7 @@ def _turned(x: np.ndarray, length: np.ndarray) -> np.ndarray:
 class BiGru:
     """Labels every byte of a word with probabilities of the ``labels``."""
 
-    def __init__(self, labels: list[str], hidden: int = 16, seed: int = 7):
+    def __init__(self, labels: list[str], hidden: int = 12, seed: int = 7):
         self.labels, self.hidden = list(labels), hidden
         rng = np.random.default_rng(seed)
         draw = lambda *s, scale: rng.normal(0, scale, s).astype(np.float32)
@@ -50,12 +46,20 @@ class BiGru:
         trace = []
         for t in range(x.shape[1]):
             g, hu = e[x[:, t]], state @ u
-            zr = _sigmoid(g[:, : 2 * h] + hu[:, : 2 * h])
-            z, r, m = zr[:, :h], zr[:, h:], hu[:, 2 * h :]
-            n = np.tanh(g[:, 2 * h :] + r * m)
+            zr = g[:, : 2 * h]
+            zr += hu[:, : 2 * h]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            z, r, m, n = zr[:, :h], zr[:, h:], hu[:, 2 * h :], g[:, 2 * h :]
+            n += r * m
+            np.tanh(n, out=n)
             if keep:
                 trace.append((state, z, r, m, n))
-            state = n + z * (state - n)
+            state = state - n
+            state *= z
+            state += n
             out[:, t] = state
         return out, trace
 

@@ -7,9 +7,9 @@ the ``sample_words`` most frequent are kept; these two bounds are the only ones,
 and they bound what reaches the driver (words, not texts). The network is
 trained in numpy on words drawn by the root of their count.
 
-Prediction. Every word of the whole text, lower-cased, is read byte by byte in
-both directions; every position gets probabilities, and the mean over all
-positions of words with a letter is the document's. A word's sum is computed
+Prediction. Every word of the whole text, lower-cased and without punctuation at
+its ends, is read byte by byte in both directions; every position gets
+probabilities, and the mean over all positions of words with a letter is the document's. A word's sum is computed
 once per worker and remembered in a bounded table.
 
 Defined results: a null text, or one without a letter, gives ``und`` with score
@@ -32,6 +32,8 @@ from .common import WORD, sliced
 SAMPLE_DOCS, SAMPLE_WORDS = 250, 5000
 #: Words that a worker remembers, and the longest (in characters) that is.
 CACHE, CACHE_CHARS = 400_000, 48
+#: Characters that are taken off both ends of a word.
+_ENDS = ".,;:!?()[]{}|\"'"
 _SUMS: dict[str, tuple[dict, list]] = {}
 
 
@@ -63,7 +65,7 @@ def training_words(docs: DataFrame, id_col: str, text_col: str, lang_col: str, s
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS, steps: int = 500) -> BiGru | None:
     """The trained network, or None if no row can be learned from."""
     rows = sorted(tuple(r) for r in training_words(docs, id_col, text_col, lang_col, sample_docs, sample_words))
-    rows = [(lang, w.encode()[:WINDOW], n) for lang, w, n in rows if any(map(str.isalpha, w))]
+    rows = [(lang, w.strip(_ENDS).encode()[:WINDOW], n) for lang, w, n in rows if any(map(str.isalpha, w))]
     if not rows:
         return None
     labels = sorted({r[0] for r in rows})
@@ -71,11 +73,6 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return BiGru(labels).train([r[1] for r in rows], np.array([place[r[0]] for r in rows]), np.sqrt([r[2] for r in rows]), steps)
 
 
-def _windows(word: str) -> list[bytes]:
-    raw = word.encode()
-    return [raw[i : i + WINDOW] for i in range(0, len(raw), WINDOW)]
-
-
 def _batch_predictor(model: BiGru | None):
     """A function from texts to (languages, scores) that remembers words within its worker."""
     labels = model.labels if model else []
@@ -86,16 +83,22 @@ def _batch_predictor(model: BiGru | None):
         index.clear()
         sums[0] = np.zeros((0, len(labels) + 1))
 
-    def learn(words: list[str]) -> np.ndarray:
-        """Row per word: sums of label probabilities, in 1/65536, and the number of positions."""
-        lettered = [w for w in words if any(map(str.isalpha, w))]
-        parts = {w: _windows(w) for w in lettered}
-        flat = np.rint(model.word_sums([p for ps in parts.values() for p in ps]) * 65536) if lettered else None
-        out, at = {}, 0
-        for w, ps in parts.items():
-            out[w] = np.append(flat[at : at + len(ps)].sum(axis=0), sum(map(len, ps)))
-            at += len(ps)
-        return np.array([out.get(w, none) for w in words])
+    def learn(words: list[str]) -> None:
+        """Remember rows of sums: label probabilities in 1/65536 and the number of positions."""
+        core = {w: w.strip(_ENDS) for w in words}
+        new = sorted({c for c in core.values() if c not in index})
+        rows = np.zeros((len(new), len(labels) + 1))
+        lettered = [i for i, c in enumerate(new) if c.isalpha() or any(map(str.isalpha, c))]
+        if lettered:
+            raw = [new[i].encode() for i in lettered]
+            cuts = [[r] if len(r) <= WINDOW else [r[k : k + WINDOW] for k in range(0, len(r), WINDOW)] for r in raw]
+            first = np.cumsum([0, *map(len, cuts)])[:-1]
+            rows[lettered, :-1] = np.add.reduceat(np.rint(model.word_sums([x for c in cuts for x in c]) * 65536), first, axis=0)
+            rows[lettered, -1] = [len(r) for r in raw]
+        at = len(sums[0])
+        sums[0] = np.concatenate([sums[0], rows])
+        index.update((c, at + i) for i, c in enumerate(new))
+        index.update((w, index[c]) for w, c in core.items() if w != c)
 
     def run(texts: list[str | None]) -> tuple[list[str], list[float]]:
         if model is None:
@@ -106,10 +109,7 @@ def _batch_predictor(model: BiGru | None):
             forget()
             new = {w for ws in split for w in ws}
         if new:
-            words = sorted(new)
-            sums[0] = np.concatenate([sums[0], learn(words)])
-            for w in words:
-                index[w] = len(index)
+            learn(list(new))
         langs, scores = [], []
         for ws in split:
             pooled = sums[0][[index[w] for w in ws]].sum(axis=0) if ws else none
