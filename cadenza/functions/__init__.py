@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Scalar functions as columns."""

@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Operators: DataFrames in, DataFrames out."""

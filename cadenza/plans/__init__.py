@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Queries with their bindings and oracles."""

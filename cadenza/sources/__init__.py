@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Readers and writers of files."""

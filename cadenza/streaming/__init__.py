@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Empty on purpose: the inputs are whole files, and the window forms are batch forms."""
