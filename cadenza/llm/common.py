@@ -40,6 +40,17 @@ def words(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+_CLAIM: dict = {"name": None, "forget": None}
+
+
+def claim_worker(name: str, forget) -> None:
+    """Let one operator at a time remember things in a Python worker: who comes next makes the last one forget."""
+    if _CLAIM["name"] != name:
+        if _CLAIM["forget"]:
+            _CLAIM["forget"]()
+        _CLAIM.update(name=name, forget=forget)
+
+
 def sliced(batch, column: str, budget: int = 8 << 20):
     """Cut an Arrow record batch into row slices whose ``column`` holds about ``budget`` bytes.
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bigru import WINDOW, BiGru
-from .common import WORD, sliced
+from .common import WORD, claim_worker, sliced
 
 SAMPLE_DOCS, SAMPLE_WORDS = 250, 5000
 #: Words that a worker remembers, and the longest (in characters) that is.
@@ -76,6 +76,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def _batch_predictor(model: BiGru | None):
     """A function from texts to (languages, scores) that remembers words within its worker."""
     labels = model.labels if model else []
+    claim_worker("language", _SUMS.clear)
     index, sums = _SUMS.setdefault(model.name() if model else "", ({}, [np.zeros((0, len(labels) + 1))]))
     none = np.zeros(len(labels) + 1)
 

@@ -42,6 +42,8 @@ from .shingles import mix, shingle_sets, text_bytes
 WIDTH, PERCENT = 5, 80
 ROWS, MISS = 6, 3e-7
 UNIVERSE = 1 << 20
+#: Bytes of text that a task works on at a time; it takes some 40 times that in memory.
+SLICE = 3 << 20
 #: Ids of candidate classes up to which they are broadcast to the text scan.
 BROADCAST_IDS = 500_000
 
@@ -76,7 +78,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
         factor = np.random.default_rng(31).integers(1, 2**63, rows, dtype=np.uint64) | np.uint64(1)
         band_no = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
         for whole in batches:
-            for batch in sliced(whole, "text"):
+            for batch in sliced(whole, "text", SLICE):
                 sets = shingle_sets(*text_bytes(batch.column("text")), width)
                 sig = np.zeros((len(sets), bands * rows), np.uint32)
                 for i, s in enumerate(sets):
@@ -104,7 +106,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
         import pyarrow as pa
 
         for whole in batches:
-            for batch in sliced(whole, "text"):
+            for batch in sliced(whole, "text", SLICE):
                 sets = shingle_sets(*text_bytes(batch.column("text")), width)
                 ends = np.cumsum([0, *map(len, sets)])
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)

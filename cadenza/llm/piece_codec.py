@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import sliced
+from .common import claim_worker, sliced
 
 MARK = "▁"
 #: Remembered segments of a worker, and the longest that is remembered.
@@ -222,6 +222,7 @@ class PieceModel:
 
 def loaded(path: str) -> PieceModel:
     """The model of a file, once per worker."""
+    claim_worker("pieces", _MODELS.clear)
     if path not in _MODELS:
         _MODELS[path] = PieceModel(path)
     return _MODELS[path]
