@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,20 +46,15 @@ def training_words(docs: DataFrame, id_col: str, text_col: str, lang_col: str, s
     """(lang, word, count) rows of the bounded sample."""
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = known.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
-    langs = sorted(r.lang for r in known.select("lang").distinct().collect())
-    if not langs:
-        return []
-    ids = None
-    for lang in langs:
-        own = known.filter(F.col("lang") == lang).select("id", F.xxhash64("id").alias("_o")).orderBy("_o", "id").limit(sample_docs).select("id")
-        ids = own if ids is None else ids.unionByName(own)
-    picked = known.join(F.broadcast(ids.distinct()), "id", "left_semi")
+    # the first of each language by id hash: in 64 parts of it, then among what these keep
+    order = [F.col("_o"), F.col("id")]
+    ids = known.select("id", "lang", F.xxhash64("id").alias("_o")).withColumn("_n", F.row_number().over(W.partitionBy("lang", F.pmod("_o", F.lit(64))).orderBy(*order)))
+    ids = ids.filter(F.col("_n") <= sample_docs).withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy(*order))).filter(F.col("_n") <= sample_docs)
+    # a language has at most sample_docs of them
+    picked = known.join(F.broadcast(ids.select("id").distinct()), "id", "left_semi")
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
     counted = picked.select("lang", word.alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    top = None
-    for lang in langs:
-        own = counted.filter(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(sample_words)
-        top = own if top is None else top.unionByName(own)
+    top = counted.withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("_n") <= sample_words).drop("_n")
     return top.collect()
 
 

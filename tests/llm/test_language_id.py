@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 
 from cadenza.llm.bigru import BiGru
-from cadenza.llm.language_id import fit, identify, predict
+from cadenza.llm.language_id import fit, identify, predict, training_words
 
 
 def test_gradient_by_differences():
@@ -38,3 +38,11 @@ def test_odd_rows(spark):
     assert len(got) == len(rows) and {r.doc_id for r in got if r.lang_pred == "und"} == {4, 5, 6}
     assert {r.lang_pred for r in predict(df, None).collect()} == {"und"}
     assert identify(df.limit(0)).count() == 0
+
+
+def test_learns_only_from_training_rows(spark):
+    rows = [(i, f"wort{i % 5} das", "zz" if zlib.crc32(str(i).encode()) % 4 == 2 else "de") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert any(r[2] == "zz" for r in rows) and fit(df, steps=2).labels == ["de"]
+    words = training_words(df, "doc_id", "text", "lang", 7, 3)
+    assert len(words) == 3 and sum(r.n for r in words) <= 14
