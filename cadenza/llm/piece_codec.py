@@ -40,6 +40,7 @@ CACHE_CHARS = 48
 #: Longest segment that is merged in step with others.
 STEP_CHARS = 24
 _NONE = np.int64(2**62)
+_MARK = MARK.encode()
 _MODELS: dict[str, "PieceModel"] = {}
 
 
@@ -65,7 +66,8 @@ class PieceModel:
         self.value = {i: b for b, i in self.bytes.items()}
         self.split = all(MARK not in p.lstrip(MARK) for p in self.rank)
         self.segments = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$").findall
-        self.seen: dict[str, tuple[str, int, bytes]] = {}
+        self.seen: dict[str, tuple[str, bytes]] = {}
+        self.names = [str(i) for i in range(n)]
         self.piece_bytes = [b"" if i in self.hidden else bytes((self.value[i],)) if i in self.value else p.encode() for i, p in enumerate(self.pieces)]
         self._pairs()
 
@@ -133,13 +135,17 @@ class PieceModel:
                 has = best > 0
                 place[line[has], best[has] - 1], made[line[has], best[has] - 1] = self._look(s[line[has], best[has] - 1], new[has])
             n = len(self.pieces)
-            for i, symbols in zip(rows, final.tolist(), strict=True):
+            used = final != -1
+            plain = (~used | ((final >= 0) & (final < n))).all(axis=1)
+            flat, ends = final[used].tolist(), np.cumsum(used.sum(axis=1)).tolist()
+            for i, simple, a, b in zip(rows, plain.tolist(), [0, *ends], ends, strict=False):
+                if simple:
+                    out[i] = flat[a:b]
+                    continue
                 ids = []
-                for x in symbols:
+                for x in flat[a:b]:
                     if 0 <= x < n:
                         ids.append(x)
-                    elif x == -1:
-                        break
                     else:
                         c = self.char_of[x] if x >= 0 else chr(-2 - x)
                         if self.bytes:
@@ -202,12 +208,13 @@ class PieceModel:
         """Text of ids: byte pieces are joined as UTF-8, marks become spaces, the leading one goes."""
         return finish(self.raw(ids))
 
-    def learn(self, segments: list[str], check: bool) -> dict[str, tuple[str, int, bytes]]:
-        """(ids joined by commas, number of ids, bytes) of segments; short ones are remembered."""
+    def learn(self, segments: list[str], check: bool) -> dict[str, tuple[str, bytes]]:
+        """(ids joined by commas, decoded bytes) of segments; short ones are remembered."""
         found = self.merge_many(segments)
         if check:
             self.check(segments, found)
-        own = {s: (",".join(map(str, ids)), len(ids), self.raw(ids)) for s, ids in zip(segments, found, strict=True)}
+        name, raw = self.names, self.piece_bytes
+        own = {s: (",".join([name[i] for i in ids]), b"".join([raw[i] for i in ids]).replace(_MARK, b" ")) for s, ids in zip(segments, found, strict=True)}
         self.seen.update((s, v) for s, v in own.items() if len(s) <= CACHE_CHARS)
         return own
 
@@ -262,12 +269,13 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 for parts in cut:
                     got = [seen.get(p) or long[p] for p in parts] if long else [seen[p] for p in parts]
                     joined = ",".join([g[0] for g in got])
-                    back = finish(b"".join([g[2] for g in got]))
-                    row = [sum([g[1] for g in got]), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()]
+                    # text that was UTF-8 gives bytes that are UTF-8; the leading mark is the model's own
+                    back = b"".join([g[1] for g in got]).removeprefix(b" ")
+                    row = [joined.count(",") + 1 if got else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back).hexdigest()]
                     if ids:
                         row.append([int(i) for i in joined.split(",")] if joined else [])
                     if decoded:
-                        row.append(back)
+                        row.append(back.decode())
                     rows.append(row)
                 kinds = [pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32())] * ids + [pa.string()] * decoded
                 yield pa.RecordBatch.from_arrays(
