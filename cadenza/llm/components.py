@@ -21,23 +21,24 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.filter(F.col("a") != F.col("b")).distinct()
+    out = out.filter(F.col("a") != F.col("b"))
+    return out if large else out.distinct()
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every child (a) has one parent (b) that is no child itself."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+    return ends.groupBy("x").agg(F.sum("child").alias("c"), F.max("parent").alias("p")).filter("c > 1 or (c = 1 and p = 1)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); the component is its least node.
 
     Neighbours are only minimised and joined, never collected, so a node with a
-    third of all edges is no hot group. The loop looks at two numbers of the
-    edge table, its size and a hash sum, and ends when a round leaves both.
+    third of all edges is no hot group. The loop ends when the edges are stars
+    around least nodes; that is one aggregate, of which only a flag reaches the driver.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(F.col("a") != F.col("b")).distinct())
-    before = None
-    while True:
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-                now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-            )
-        before = state
+    while not _stars(now):
         now = cut(_star(_star(now, True), False))
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
