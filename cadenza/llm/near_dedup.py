@@ -16,9 +16,9 @@ the most bucket neighbours; that is linear in the bucket. Buckets that are then
 one component are done. In the others, classes that cannot reach the threshold
 are taken out by an exact bound (shingles that no other open class has cannot be
 shared), and the remaining pairs between different components that satisfy the
-bound and the length condition are verified too. There is no cap on buckets and
-no candidate is dropped without proof; pairs inside a component are not needed
-for the result and never made.
+bound and the length condition are compared inside the join, which gives out
+links alone. There is no cap on buckets and no candidate is dropped without
+proof; pairs inside a component are not needed for the result and never looked at.
 
 Defined results: null, empty and blank texts have no shingles and are their own
 component; a text with fewer words than the width has one shingle; the component
@@ -170,14 +170,15 @@ def _links(docs, id_col, text_col, classes, live, width, percent) -> DataFrame:
     reach = nodes.join(own, "key", "left").withColumn("v", F.col("n") - F.coalesce("own", F.lit(0))).withColumn("most", F.expr(f"((100 + {percent}) * v - {percent} * n) div {percent}"))
     reach = cut(reach.filter(F.col("most") * 100 >= F.col("n") * percent).select("key", "most"))
     met = placed.groupBy("key").agg(F.collect_list("bucket").alias("met"))  # at most one bucket a band
-    side = placed.join(reach, "key").join(met, "key")
-    left, right = (side.select(F.col("bucket"), *(F.col(c).alias(c + x) for c in ("key", "n", "comp", "most", "met"))) for x in "ab")
+    side = placed.join(reach, "key").join(met, "key").join(sets, "key")
+    left, right = (side.select(F.col("bucket"), *(F.col(c).alias(c + x) for c in ("key", "n", "comp", "most", "met", "shingles"))) for x in "ab")
+    both = F.size(F.array_intersect("shinglesa", "shinglesb")).cast("long")
     rest = left.join(right, "bucket").filter(
         (F.col("keya") < F.col("keyb")) & (F.col("compa") != F.col("compb")) & near(F.col("na"), F.col("nb")) & (F.col("nb") <= F.col("mosta")) & (F.col("na") <= F.col("mostb"))
-        & (F.array_min(F.array_intersect("meta", "metb")) == F.col("bucket"))  # a pair is made in the first bucket that it shares
+        & (F.array_min(F.array_intersect("meta", "metb")) == F.col("bucket"))  # a pair is looked at in the first bucket that it shares
+        & (100 * both >= percent * (F.col("na") + F.col("nb") - both))  # only links leave the join
     )
-    rest = rest.select(F.col("keya").alias("a"), F.col("keyb").alias("b")).join(star, ["a", "b"], "left_anti")
-    return cut(links.unionByName(_verified(rest, sets, percent)))
+    return cut(links.unionByName(rest.select(F.col("keya").alias("a"), F.col("keyb").alias("b"))))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
