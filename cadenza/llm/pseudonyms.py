@@ -13,8 +13,13 @@ Rows are independent: no shuffle, and the memory of a task is a batch slice.
 
 Defined results: null text stays null with no values; text without such values is
 unchanged to the byte; touching candidates are taken from left to right, the
-longest kind first; repeated rows give equal rows; other columns are kept by
-``pseudonymize`` under their names; an empty table gives an empty table.
+longest kind first; a candidate that fails is tried at its shorter ends, then as
+the other kinds, and the search goes on behind its first character; a card in
+usual groups goes before any other card that it meets; digits after a value that
+validate together with it belong to it; repeated rows give equal rows; other
+columns are kept by ``pseudonymize`` under their names; an empty table gives an
+empty table. The inverse is exact by the recorded spans; without them it
+searches, and may read digits beside a value as part of it.
 """
 
 from __future__ import annotations
@@ -133,6 +138,10 @@ def _ssn(s, key, back):
     return f"{area + (area >= 666):03d}-{b + 1:02d}-{c + 1:04d}"
 
 
+#: Most digits of a national number by country code; 12 for others.
+_NATIONAL = {c: n for n, codes in {8: "45 53 65", 9: "27 32 33 34 36 40 48 51 56 61 66 94", 10: "20 30 44 57 58 63 81 90 91 98", 11: "49 54 55 86"}.items() for c in codes.split()}
+
+
 def _phone(s, key, back):
     d = re.sub(r"\D", "", s)
     nanp = s[0] != "+" or s.startswith("+1")
@@ -146,7 +155,8 @@ def _phone(s, key, back):
         n, line = divmod(n, 10000)
         new = f"{n // 800 + 200:03d}{n % 800 + 200:03d}{line:04d}"
     else:
-        if not 6 <= len(own) <= 12:
+        # a trunk zero in front is no digit of the national number
+        if not 6 <= len(own) <= _NATIONAL.get(d[:2], 12) + (own[0] == "0"):
             return None
         new = str(permute(int(own), 10 ** len(own), key, b"phone+%s%d" % (d[:2].encode(), len(own)), back)).zfill(len(own))
     return _fill(s, d[:lead] + new)
@@ -222,26 +232,86 @@ _KINDS = {
     "phone": (r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\) ?\d{3}[-.]\d{4}|\d{3}[-.]\d{3}[-.]\d{4}|\+[2-9]\d(?:[ .-]?\(?\d{1,4}\)?){2,5}", _phone),
     "card": (r"\d(?:[ -]?\d){12,18}", _card),
 }
-_ANY = re.compile("|".join(f"(?P<{k}>(?<![A-Za-z0-9_]){p}(?![A-Za-z0-9_]))" for k, (p, _) in _KINDS.items()))
-
-
-def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[str, int, int, str]]]:
-    """(new text, [(kind, start, end, pseudonym)]) of a text; ``back`` inverts."""
+_ONE = {k: re.compile(f"(?<![A-Za-z0-9_])(?:{p})(?![A-Za-z0-9_])") for k, (p, _) in _KINDS.items()}
+_ANY = re.compile("|".join(f"(?P<{k}>(?<![A-Za-z0-9_])(?:{p})(?![A-Za-z0-9_]))" for k, (p, _) in _KINDS.items()))
+_ORDER = list(_KINDS)
+_USUAL = re.compile(r"\d+|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{4,5}")
+
+
+def _ends(text: str, kind: str, start: int, end: int):
+    """Ends of a kind's candidates at ``start``, the longest first: those before a character that is no part of a word."""
+    yield end
+    for e in range(end - 1, start, -1):
+        if not (text[e].isascii() and (text[e].isalnum() or text[e] == "_")) and _ONE[kind].fullmatch(text, start, e):
+            yield e
+
+
+def _cards(text: str, start: int, end: int, key: bytes, back: bool) -> list[tuple[int, str]]:
+    """(end, pseudonym) of the valid cards at ``start``, those in usual groups first."""
+    found = [(e, new) for e in _ends(text, "card", start, end) if (new := _card(text[start:e], key, back)) is not None]
+    return sorted(found, key=lambda f: _USUAL.fullmatch(text, start, f[0]) is None)
+
+
+def _valid(text: str, kind: str, start: int, end: int, key: bytes, back: bool) -> tuple[int, str] | None:
+    """(end, pseudonym) of the value of a kind at ``start`` whose longest candidate ends at ``end``."""
+    if kind != "card":
+        return next(((e, new) for e in _ends(text, kind, start, end) if (new := _KINDS[kind][1](text[start:e], key, back)) is not None), None)
+    best = next(iter(_cards(text, start, end, key, back)), None)
+    if best and not _USUAL.fullmatch(text, start, best[0]):
+        # numbers in front of a card in usual groups are not its digits
+        for at in range(start + 1, best[0]):
+            if m := _ONE["card"].match(text, at):
+                other = next(iter(_cards(text, at, m.end(), key, back)), None)
+                if other and _USUAL.fullmatch(text, at, other[0]):
+                    return None
+    return best
+
+
+def _find(text: str, key: bytes, back: bool):
+    """(kind, start, end, pseudonym) of the values of a text, from left to right."""
+    at = 0
+    while m := _ANY.search(text, at):
+        start = m.start()
+        at = start + 1
+        for kind in _ORDER[_ORDER.index(m.lastgroup) :]:
+            one = m if kind == m.lastgroup else _ONE[kind].match(text, start)
+            if one and (got := _valid(text, kind, start, one.end(), key, back)):
+                at = got[0]
+                yield kind, start, *got
+                break
+
+
+def _recorded(text: str, key: bytes, spans):
+    """(kind, start, end, value) in a text with pseudonyms, of the spans (kind, start, end, pseudonym) of the original."""
+    shift = 0
+    for kind, start, end, new in spans:
+        at = start + shift
+        shift += len(new) - (end - start)
+        old = _KINDS[kind][1](new, key, True)
+        if text[at : at + len(new)] != new or old is None:
+            raise ValueError(f"the text does not hold the recorded {kind} at {at}")
+        yield kind, at, at + len(new), old
+
+
+def replace(text: str, key: bytes, back: bool = False, recorded=None) -> tuple[str, list[tuple[str, int, int, str]]]:
+    """(new text, [(kind, start, end, pseudonym)]) of a text; ``back`` inverts, at the spans of ``recorded`` if given."""
     out, spans, at = [], [], 0
-    for m in _ANY.finditer(text):
-        new = _KINDS[m.lastgroup][1](m[0], key, back)
-        if new is not None:
-            out += [text[at : m.start()], new]
-            spans.append((m.lastgroup, m.start(), m.end(), new))
-            at = m.end()
+    for kind, start, end, new in _find(text, key, back) if recorded is None else _recorded(text, key, recorded):
+        out += [text[at:start], new]
+        spans.append((kind, start, end, new))
+        at = end
     return ("".join(out) + text[at:] if out else text), spans
 
 
 def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", back: bool = False, spans_col: str = "pii") -> DataFrame:
-    """``docs`` with the text replaced, and an array of (kind, start, end, value) of what was; it replaces a column of its name."""
-    docs = docs.drop(spans_col)
-    at = docs.columns.index(text_col)
+    """``docs`` with the text replaced, and an array of (kind, start, end, value) of what was; it replaces a column of its name.
+
+    ``back`` inverts exactly if ``docs`` still has that array, else by a search.
+    """
     entry = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("value", T.StringType())])
+    known = back and spans_col in docs.columns and docs.schema[spans_col].dataType == T.ArrayType(entry)
+    docs = docs.select(*(c for c in docs.columns if c != spans_col), *([spans_col] if known else []))
+    at = docs.columns.index(text_col)
 
     def run(batches):
         import pyarrow as pa
@@ -250,15 +320,16 @@ def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", back: bool
         for whole in batches:
             for batch in sliced(whole, whole.schema.names[at]):
                 text, spans = [], []
-                for t in batch.column(at).to_pylist():
-                    new, found = (None, []) if t is None else replace(t, key, back)
+                recorded = [r and [tuple(x.values()) for x in r] for r in batch.column(spans_col).to_pylist()] if known else [None] * batch.num_rows
+                for t, r in zip(batch.column(at).to_pylist(), recorded, strict=True):
+                    new, found = (None, []) if t is None else replace(t, key, back, r)
                     text.append(new)
                     spans.append([dict(zip(("kind", "start", "end", "value"), f, strict=True)) for f in found])
-                columns = list(batch.columns)
+                columns = list(batch.columns)[: -1 if known else None]
                 columns[at] = pa.array(text, pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, kind)], names=[f.name for f in schema])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(spans_col, T.ArrayType(entry))])
+    schema = T.StructType([*docs.drop(spans_col).schema.fields, T.StructField(spans_col, T.ArrayType(entry))])
     return docs.mapInArrow(run, schema)
 
 
