@@ -41,9 +41,9 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     return pages.select(F.col(id_col).alias("page_id"), volume.alias("volume"), F.concat(head, body, F.lit("\r\n\r\n")).alias("record"))
 
 
-def manifest(recs: DataFrame) -> DataFrame:
-    """(page_id, volume, ordinal, offset, length, digest): the leaves, in offset order."""
-    leaf = recs.select("page_id", "volume", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
+def manifest(recs: DataFrame, *others: str) -> DataFrame:
+    """(page_id, volume, ordinal, offset, length, digest[, others]): the leaves, in offset order; ``others`` are columns of ``recs`` to carry."""
+    leaf = recs.select("page_id", "volume", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"), *others)
     order = W.partitionBy("volume").orderBy("page_id", "length", "digest")
     return leaf.withColumn("ordinal", F.row_number().over(order).cast("long") - 1).withColumn(
         "offset", F.coalesce(F.sum("length").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
@@ -86,9 +86,14 @@ def audit(left: DataFrame, right: DataFrame, fanout: int = FANOUT) -> DataFrame:
 
 
 def replica(leaves: DataFrame, stored: DataFrame) -> DataFrame:
-    """Leaves of a replica: what it holds (page_id, volume, record) at the places of the manifest."""
-    held = stored.select("page_id", "volume", F.sha2("record", 256).alias("digest"))
-    return leaves.drop("digest").join(held, ["volume", "page_id"])
+    """Leaves of a replica: what it holds at the places of the manifest.
+
+    ``stored`` has (volume, ordinal, digest), an ordinal being a place of the
+    manifest: ids may be null or repeated, so they are no places. Records without
+    an ordinal are a whole volume set, whose own manifest gives the places.
+    """
+    held = stored if "ordinal" in stored.columns else manifest(stored)
+    return leaves.drop("digest").join(held.select("volume", "ordinal", "digest"), ["volume", "ordinal"])
 
 
 def write_volumes(recs: DataFrame, path: str) -> None:
@@ -135,11 +140,12 @@ def query(spark, sf_dir):
     recs = records(table(spark, sf_dir, "pages"))
     fate = F.conv(F.substring(F.md5(F.col("page_id").cast("string")), 1, 6), 16, 10).cast("long") % 64
     half = F.expr("char_length(record) div 2")
-    worn = recs.filter(F.coalesce(fate != 7, F.lit(True))).withColumn(
-        "record", F.when(fate == 5, F.overlay("record", F.lit("#"), half)).when(fate == 6, F.left("record", half)).otherwise(F.col("record"))
-    )
-    leaves = cut(manifest(recs))
-    other = cut(replica(leaves, worn))
+    worn = F.when(fate == 5, F.overlay("record", F.lit("#"), half)).when(fate == 6, F.left("record", half)).otherwise(F.col("record"))
+    # the replica decays record by record, so its digests are taken before the places are known, and keep them
+    held = F.when(F.coalesce(fate != 7, F.lit(True)), F.sha2(worn, 256))
+    placed = cut(manifest(recs.withColumn("held", held), "held"))
+    leaves = placed.drop("held")
+    other = replica(leaves, placed.filter("held is not null").select("volume", "ordinal", F.col("held").alias("digest")))
     found = audit(leaves, other)
     out = leaves.join(found, ["volume", "ordinal"], "left")
     return out.select("page_id", "volume", "ordinal", "offset", "length", "digest", F.coalesce("status", F.lit("intact")).alias("status"))

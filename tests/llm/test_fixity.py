@@ -36,3 +36,24 @@ def test_audit_finds_all_and_only_damage(spark, tmp_path):
     want = {(r.offset, r.length, r.digest) for r in leaves.collect()}
     assert {(r.offset, r.length, r.digest) for r in back} == want and all(r.uri is not None for r in back)
     assert audit(manifest(records(df.limit(0))), manifest(records(df.limit(0)))).count() == 0
+
+
+def test_replica_of_null_and_repeated_ids(spark, tmp_path):
+    from cadenza.llm.fixity import query
+
+    lost = next(i for i in range(1000, 9000) if int(hashlib.md5(str(i).encode()).hexdigest()[:6], 16) % 64 == 7)
+    safe = {3, 14, None}
+    data = [*rows(), (None, "u", "y"), (14, "dup", "other"), (3, "u", "z"), (lost, "u", "a"), (lost, "u", "b")]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    recs = records(df, volume_ids=200).cache()
+    leaves = manifest(recs).cache()
+    same = replica(leaves, recs)
+    assert same.count() == len(data) and audit(leaves, same).count() == 0
+    # one of several records without an id, and one of a repeated id, are broken
+    stored = leaves.withColumn("digest", __import__("pyspark").sql.functions.expr("case when (page_id is null or page_id = 14) and ordinal = 1 then 'x' else digest end")).select("volume", "ordinal", "digest")
+    want = {(r.volume, r.ordinal, "corrupt") for r in leaves.collect() if r.page_id in (None, 14) and r.ordinal == 1}
+    assert want and {tuple(r) for r in audit(leaves, replica(leaves, stored)).collect()} == want
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    got = query(spark, str(tmp_path)).collect()
+    assert len(got) == len(data) and all(r.status == "intact" for r in got if r.page_id in safe)
+    assert [r.status for r in got if r.page_id == lost] == ["missing", "missing"]
