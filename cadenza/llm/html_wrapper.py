@@ -27,6 +27,7 @@ from __future__ import annotations
 import html as _html
 import json
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 from pyspark.sql import DataFrame
@@ -38,7 +39,8 @@ from .common import cut, join_groups, sliced
 SALTS = 16
 #: Hosts up to which all wrappers are broadcast (about 1 kB each).
 BROADCAST_HOSTS = 20_000
-#: A wrapper that has grown beyond this has no template to find; text sizes are still summed over all pages.
+#: A wrapper that has grown beyond this has no template to find: its expression is then any sequence of the
+#: host's items. Text sizes and signatures are those of all pages all the same.
 WRAPPER_ITEMS = 400
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|svg|math|iframe|textarea|select|head|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -179,11 +181,27 @@ def expression(wrapper: list) -> str:
     return " ".join(f"( {show(x)} )?" if optional else show(x) for x, optional in wrapper)
 
 
-def container(wrapper: list, mass: dict[str, int]) -> str:
-    """Signature of the main container of a wrapper, "" for the whole page."""
-    present = set()
-    for x, _ in wrapper:
-        present.update(x[1] if isinstance(x, tuple) else (x,))
+def anything(items) -> str:
+    """Any sequence of the items, as such an expression."""
+    return "( " + " ".join(f"( {x if x == '#' else f'<{x}>'} )?" for x in sorted(items)) + " )+"
+
+
+def signatures(items) -> set:
+    """The items of a skeleton, and those of its repeated groups."""
+    return {s for x in items for s in (x[1] if isinstance(x, tuple) else (x,))}
+
+
+def _flat(items):
+    for x in items:
+        if isinstance(x, tuple):
+            yield from _flat(x[1])
+        else:
+            yield x
+
+
+def container(wrapper: list, mass: dict[str, int], present: set | None = None) -> str:
+    """Signature of the main container, "" for the whole page; it is in ``present`` (if given, the wrapper is not read)."""
+    present = signatures(x for x, _ in wrapper) if present is None else present
     clean, named = {}, {}
     for path, n in mass.items():
         steps = path.split("/") if path else []
@@ -256,47 +274,57 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
 
         for whole in batches:
             for batch in sliced(whole, "html"):
-                rows = []
+                rows = Counter()
                 for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                     items, mass = skeleton(page or "")
-                    rows.append((h, json.dumps(items), list(mass), [float(v) for v in mass.values()]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.float64())), strict=True)], names=["host", "items", "paths", "chars"]
-                )
-
-    schema = "host string, items string, paths array<string>, chars array<double>"
-    # paths follow from the skeleton's tags, so rows that agree in both differ in sizes only
-    seen = (
-        pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(skeletons, schema)
-        .groupBy("host", "items", "paths").agg(F.count(F.lit(1)).alias("pages"), F.max("chars").alias("chars"))
+                    rows[h, "items", json.dumps(items)] += 1
+                    for path, n in mass.items():
+                        rows[h, "path", path] += n
+                h, kind, value = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.string()), pa.array(kind, pa.string()), pa.array(value, pa.string()), pa.array(rows.values(), pa.int64())], names=["host", "kind", "value", "n"])
+
+    # of a host, pages by skeleton and characters by path, each summed over all pages
+    seen = cut(
+        pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(skeletons, "host string, kind string, value string, n long")
+        .groupBy("host", "kind", "value").agg(F.sum("n").alias("n"))
     )
 
     def folded(key, frame):
         import pandas as pd
 
-        wrapper, mass = [], {}
-        for items, paths, chars in zip(frame["items"], frame["paths"], frame["chars"], strict=True):
+        wrapper, signs, alphabet = [], set(), set()
+        for items in frame["value"]:
             items = _thaw(json.loads(items))
+            signs |= signatures(items)
+            alphabet.update(_flat(items))
             if len(wrapper) <= WRAPPER_ITEMS:
                 wrapper = align(wrapper, items)
-            for p, c in zip(paths, chars, strict=True):
-                mass[p] = mass.get(p, 0.0) + c
-        return pd.DataFrame([(key[0], json.dumps(wrapper), list(mass), list(mass.values()), int(frame["pages"].sum()))], columns=["host", "items", "paths", "chars", "pages"])
+        plain = sorted(x for x in signs if isinstance(x, str))
+        return pd.DataFrame([(key[0], json.dumps(wrapper), plain, sorted(alphabet), int(frame["n"].sum()), [], [])], columns=columns)
 
     def merged(key, frame):
         import pandas as pd
 
-        wrapper, mass = [], {}
-        for items, paths, chars in sorted(zip(frame["items"], map(list, frame["paths"]), map(list, frame["chars"]), strict=True)):
+        wrapper, signs, alphabet, mass, most = [], set(), set(), {}, 0
+        for items, plain, every, paths, chars in sorted(zip(frame["items"], map(list, frame["signs"]), map(list, frame["alphabet"]), map(list, frame["paths"]), map(list, frame["chars"]), strict=True)):
+            signs.update(plain)
+            alphabet.update(every)
+            mass.update(zip(paths, map(int, chars), strict=True))
             other = [(_thaw(x), o) for x, o in json.loads(items)]
-            rare = {x for x, o in other if o} | {x for x, o in wrapper if o}
-            wrapper = [(x, o or x in rare) for x, o in align(wrapper, tuple(x for x, _ in other))]
-            for p, c in zip(paths, chars, strict=True):
-                mass[p] = mass.get(p, 0.0) + c
-        return pd.DataFrame([(key[0], int(frame["pages"].sum()), expression(wrapper), container(wrapper, mass))], columns=["host", "pages", "expression", "main"])
-
-    part = seen.withColumn("salt", F.pmod(F.xxhash64("items"), F.lit(SALTS))).groupBy("host", "salt").applyInPandas(lambda key, f: folded(key, f.sort_values("items")), schema + ", pages long")
-    return part.groupBy("host").applyInPandas(merged, "host string, pages long, expression string, main string")
+            most = max(most, len(other))
+            if most <= WRAPPER_ITEMS:
+                rare = {x for x, o in other if o} | {x for x, o in wrapper if o}
+                wrapper = [(x, o or x in rare) for x, o in align(wrapper, tuple(x for x, _ in other))] if other else wrapper
+        shown = expression(wrapper) if most <= WRAPPER_ITEMS else anything(alphabet)
+        return pd.DataFrame([(key[0], int(frame["pages"].sum()), shown, container([], mass, signs))], columns=["host", "pages", "expression", "main"])
+
+    schema = "host string, items string, signs array<string>, alphabet array<string>, pages long, paths array<string>, chars array<long>"
+    columns = [c.split()[0] for c in schema.split(", ")]
+    part = seen.filter("kind = 'items'").withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(SALTS))).groupBy("host", "salt").applyInPandas(lambda key, f: folded(key, f.sort_values("value")), schema)
+    none = F.array().cast("array<string>")
+    sizes = seen.filter("kind = 'path'").groupBy("host").agg(F.collect_list(F.struct("value", "n")).alias("s"))
+    sizes = sizes.select("host", F.lit("[]").alias("items"), none.alias("signs"), none.alias("alphabet"), F.lit(0).cast("long").alias("pages"), F.col("s.value").alias("paths"), F.col("s.n").alias("chars"))
+    return part.unionByName(sizes).groupBy("host").applyInPandas(merged, "host string, pages long, expression string, main string")
 
 
 def extract_main(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -42,3 +42,18 @@ def test_long_page():
     assert extract(f"<article><p>{text}</p></article><p>no</p>", "article") == text.strip()
     items, mass = skeleton("<div>" * 3000 + "x")
     assert container(align([], items), mass)[:3] == "div"
+
+
+def test_every_page_counts(spark):
+    # one page with a long menu does not decide for the others
+    body = "<body><div id=top>{}</div><div class=content><p>{}</p></div></body>"
+    rows = [(i, f"http://d.example/{i}", body.format("menu", "main text " * 20)) for i in range(30)] + [(99, "http://d.example/z", body.format("zzz " * 250, "main text " * 20))]
+    # a host with more items than a wrapper holds: the signatures of all skeletons count
+    many = lambda i: "".join(f"<table class=k{chr(97 + i)}{chr(97 + k % 26)}{chr(97 + k // 26)}>x</table>" for k in range(120))
+    rows += [(200 + i, f"http://m.example/{i}", f"<body>{many(i)}</body>") for i in range(24)]
+    rows += [(300 + i, f"http://m.example/t{i}", f"<body><section id=q{chr(97 + i)}>top</section><main><p>{'text ' * 400}</p></main></body>") for i in range(24)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    by = {r.host: r for r in wrappers(df).collect()}
+    assert by["d.example"].main == "div.content" and by["m.example"].main == "main" and by["m.example"].pages == 48
+    assert all(f"<section.q{chr(97 + i)}>" in by["m.example"].expression for i in range(24))
+    assert {r.text for r in extract_main(df).filter("page_id < 100").collect()} == {("main text " * 20).strip()}
