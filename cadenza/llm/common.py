@@ -86,3 +86,22 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: str, size: str, total: i
     met = rows.join(F.broadcast(large), F.col(on) == F.col("_hot"), "left")
     added = [c for c in groups.columns if c != on]
     return met.filter(F.col("_hot").isNotNull()).drop("_hot").unionByName(met.filter(F.col("_hot").isNull()).drop("_hot", *added).join(groups.filter(~hot), on))
+
+
+def row_digest(text: Column) -> Column:
+    """What tells rows of one id apart: the digest of the text, "" for null."""
+    return F.coalesce(F.sha2(text, 256), F.lit(""))
+
+
+def keep_rows(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``marks`` (doc_id, row_digest, single) names; of rows equal in both, one if ``single``."""
+    marks = marks.select(F.col("doc_id").alias("_id"), F.col("row_digest").alias("_digest"), "single")
+    names = docs.columns
+    rows = docs.select(F.struct(*(docs[c] for c in names)).alias("_row"), docs[id_col].alias("_own"), row_digest(docs[text_col]).alias("_text"))
+    met = lambda m: rows.join(m, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_digest")), "left_semi")
+    marks = cut(marks)
+    out = met(marks.filter("not single")).select("_row.*")
+    if marks.filter("single").limit(1).count():
+        one = met(marks.filter("single")).groupBy("_own", "_text").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+        out = out.unionByName(one.select("_row.*"))
+    return out

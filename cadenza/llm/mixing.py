@@ -37,6 +37,8 @@ from .common import cut, words
 
 WEIGHTS = (5, 2, 1)
 SHARDS = 16
+#: Sources, blocks and rows at the edge of a target up to which each is broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def _unit(*parts: Column | str) -> Column:
@@ -138,11 +140,13 @@ def split_tree(quotas: DataFrame, shards: int, seed: str) -> DataFrame:
     return node.select(F.col("first").alias("shard"), F.explode("q").alias("x")).select("x.no", "shard", "x.quota")
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_epochs: int = 3, shards: int = SHARDS, seed: str = "mix") -> DataFrame:
-    """A row per document: doc_id, source, size, source_size, target, copies, draws.
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_epochs: int = 3, shards: int = SHARDS, seed: str = "mix", carry: bool = False) -> DataFrame:
+    """A row per document: doc_id, source, size, source_size, target, copies, draws[, row].
 
     ``draws`` is an array of (shard, epoch, position), one per copy that the mix
     takes; ordering a shard by position gives its local shuffle.
+    ``carry`` adds the row of ``docs`` as a struct; it is not shuffled unless sources or
+    blocks are too many to broadcast, and ids need not tell rows apart.
     """
     from pyspark.sql import Window as W
 
@@ -155,8 +159,10 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     aim = cut(aim)
 
     here = aim.select(F.col("source").alias("_source"), "no", "blocks", "source_size", "target", "epochs")
-    rows = rows.join(here, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rows = rows.withColumn("block", F.pmod(_number(F.lit(seed), F.lit("block"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.col("blocks")))
+    sourced = lambda rows, here: rows.join(here, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn(
+        "block", F.pmod(_number(F.lit(seed), F.lit("block"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.col("blocks"))
+    )
+    rows = sourced(rows, here)
     block = rows.groupBy("no", "block").agg(F.sum("size").alias("block_size"))
     order = W.partitionBy("no").orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.col("no").cast("string"), F.col("block").cast("string"))), "block")
     block = block.withColumn("turn", F.row_number().over(order).cast("long") - 1).withColumn("before", F.sum("block_size").over(order.rowsBetween(W.unboundedPreceding, -1)))
@@ -178,21 +184,36 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     split = rows.filter("state = 1").withColumn("upto", F.sum("size").over(edge.rowsBetween(W.unboundedPreceding, 0)))
     split = split.withColumn("more", F.when((F.col("size") > 0) & (F.col("before") + F.col("upto") - F.col("size") / 2.0 <= F.col("rest")), 1).otherwise(0)).drop("upto")
     whole = rows.filter("state != 1").withColumn("more", F.when((F.col("size") > 0) & (F.col("state") == 2), 1).otherwise(0))
-    rows = whole.unionByName(split).withColumn("copies", F.when(F.col("size") > 0, F.col("epochs") + F.col("more")).otherwise(0).cast("long"))
+    if carry:
+        # the edge decides by (id, size); of rows that agree in both, the first ``_some`` by their hash
+        some = cut(split.groupBy("no", "block", "doc_id", "size").agg(F.sum("more").alias("_some"), F.count(F.lit(1)).alias("_all")))
+        some = some.select(F.col("no").alias("_no"), F.col("block").alias("_block"), F.col("doc_id").alias("_doc"), F.col("size").alias("_size"), "_some", "_all")
+        block = cut(block)
+        small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+        rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"))
+        rows = sourced(rows, small(here)).join(small(block), ["no", "block"])
+        same = (F.col("no") == F.col("_no")) & (F.col("block") == F.col("_block")) & F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("size") == F.col("_size"))
+        rows = rows.join(small(some), same, "left").drop("_no", "_block", "_doc", "_size")
+        clear = F.col("_some").isNull() | F.col("_some").isin(0) | (F.col("_some") == F.col("_all"))
+        taken = F.when(F.col("state") == 1, (F.col("_some") > 0).cast("int")).otherwise(F.when((F.col("size") > 0) & (F.col("state") == 2), 1).otherwise(0))
+        whole, split = rows.filter(clear).withColumn("more", taken).drop("_some", "_all"), None
+        if some.filter("_some > 0 and _some < _all").limit(1).count():
+            turn = W.partitionBy("no", "block", "doc_id", "size").orderBy(F.xxhash64("row"))
+            split = rows.filter(~clear).withColumn("more", (F.row_number().over(turn) <= F.col("_some")).cast("int")).drop("_some", "_all")
+    rows = (whole if split is None else whole.unionByName(split)).withColumn("copies", F.when(F.col("size") > 0, F.col("epochs") + F.col("more")).otherwise(0).cast("long"))
     draw = lambda e: F.struct(
         F.size(F.filter("ends", lambda x: x <= e * F.col("used") + F.col("turn"))).alias("shard"), e.alias("epoch"),
         _number(F.lit(seed), F.lit("place"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), e.cast("string")).alias("position"),
     )
     epochs = F.when(F.col("copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).otherwise(F.array().cast("array<bigint>"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", F.transform(epochs, draw).alias("draws"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", F.transform(epochs, draw).alias("draws"), *(["row"] if carry else []))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mixed corpus: every column of ``docs``, a row per copy, plus mix_shard, mix_epoch and mix_position (replacing such columns)."""
     docs = docs.drop("mix_shard", "mix_epoch", "mix_position")
-    drawn = plan(docs, id_col, **options).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.explode("draws").alias("_d"))
-    drawn = drawn.select("_id", F.col("_d.shard").alias("mix_shard"), F.col("_d.epoch").alias("mix_epoch"), F.col("_d.position").alias("mix_position"))
-    return docs.join(drawn, docs[id_col].eqNullSafe(drawn["_id"])).drop(drawn["_id"])
+    drawn = plan(docs, id_col, carry=True, **options).filter("copies > 0").select("row", F.explode("draws").alias("_d"))
+    return drawn.select("row.*", F.col("_d.shard").alias("mix_shard"), F.col("_d.epoch").alias("mix_epoch"), F.col("_d.position").alias("mix_position"))
 
 
 def query(spark, sf_dir):

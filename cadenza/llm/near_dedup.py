@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, sliced
+from .common import cut, keep_rows, row_digest, sliced
 from .components import components
 from .shingles import mix, shingle_sets, text_bytes
 
@@ -67,9 +67,11 @@ def _digest(s: np.ndarray) -> bytes:
     return m.sum(dtype=np.uint64).tobytes() + np.bitwise_xor.reduce(mix(m)).tobytes()
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n, key, bands): set size, class key (null if empty) and one 64-bit key per band."""
+def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int, row_digests: bool = False) -> DataFrame:
+    """(doc_id, n, key, bands[, row_digest]): set size, class key (null if empty) and one 64-bit key per band."""
     out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    if row_digests:
+        out = out.add("row_digest", T.StringType())
 
     def run(batches):
         import pyarrow as pa
@@ -92,11 +94,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
                     [
                         batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, banded.size + 1, bands), pa.int32()), pa.array(banded.view(np.int64).ravel())),
+                        *([batch.column("row_digest")] if row_digests else []),
                     ],
-                    names=["doc_id", "n", "key", "bands"],
+                    names=["doc_id", "n", "key", "bands", "row_digest"][: 5 if row_digests else 4],
                 )
 
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, out)
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *([row_digest(docs[text_col]).alias("row_digest")] if row_digests else [])).mapInArrow(run, out)
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -123,10 +126,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb") - both).alias("u")).filter(f"100 * i >= {percent} * u").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, bands: int | None = None, rows: int = ROWS) -> DataFrame:
-    """Return a row per document: doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, bands: int | None = None, rows: int = ROWS, row_digests: bool = False) -> DataFrame:
+    """Return a row per document: doc_id, n_shingles, component_id, kept; ``row_digests`` adds row_digest and the component's class key."""
     bands = bands or bands_for(percent, rows)
-    signed = cut(signatures(docs, id_col, text_col, width, bands, rows))
+    signed = cut(signatures(docs, id_col, text_col, width, bands, rows, row_digests))
     classes = cut(signed.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     member = classes.select("key", "n", F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
@@ -135,10 +138,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = components(links)
     named = classes.select("key", "rep").join(comp, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
     least = named.join(comp.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("rep").alias("least"))
-    final = named.join(least, "component", "left").select("key", F.coalesce("least", "rep").alias("component_id"))
+    final = named.join(least, "component", "left").select("key", "component", F.coalesce("least", "rep").alias("component_id"))
     out = signed.join(final, "key", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), *(["row_digest", "component"] if row_digests else []))
 
 
 def _links(docs, id_col, text_col, classes, live, width, percent) -> DataFrame:
@@ -182,9 +185,12 @@ def _links(docs, id_col, text_col, classes, live, width, percent) -> DataFrame:
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """Keep one document of each group, with all columns."""
-    marks = near_duplicates(docs, id_col, text_col, percent=percent).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(marks, docs[id_col].eqNullSafe(marks["_keep"]), "left_semi")
+    """Keep one document of each group, with all columns, also where ids are null or repeated."""
+    kept = near_duplicates(docs, id_col, text_col, percent=percent, row_digests=True).filter("kept")
+    blank = kept.filter("n_shingles = 0").select("doc_id", "row_digest").distinct().withColumn("single", F.lit(False))
+    best = kept.filter("n_shingles > 0").groupBy("component", "doc_id", "row_digest").agg(F.count(F.lit(1)).alias("c"))
+    best = best.groupBy("component").agg(F.min(F.struct("row_digest", "doc_id", "c")).alias("b"))
+    return keep_rows(docs, blank.unionByName(best.select("b.doc_id", "b.row_digest", (F.col("b.c") > 1).alias("single"))), id_col, text_col)
 
 
 def query(spark, sf_dir):

@@ -29,3 +29,17 @@ def test_both_join_paths(spark):
     assert lazy[7] is None and lazy[1] is not None
     assert drop_exact(df).columns == df.columns and drop_exact(df).count() == 6
     assert exact_dedup(df.limit(0)).count() == 0
+
+
+def test_one_of_repeated_rows_stays(spark):
+    from cadenza.llm.near_dedup import drop_near
+
+    words = [f"word{k}" for k in range(60)]
+    long = " ".join(words)
+    rows = [(None, long), (None, long), (None, "lone text of a null id"), (5, "twice"), (5, "twice"), (5, "other"), (6, "o ther"), (6, "ot her"), (6, "oth er")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = drop_exact(df).collect()
+    assert sorted((r.text.replace(" ", ""), str(r.doc_id)) for r in got) == sorted([(long.replace(" ", ""), "None"), ("lonetextofanullid", "None"), ("twice", "5"), ("other", "6")])
+    rows = [(None, long), (None, long + " more"), (None, "lone text of a null id"), (5, " ".join(words[::-1])), (5, " ".join(words[::-1]) + " end"), (5, "other")]
+    got = drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 4 and {r.text[:5] for r in got} == {"word0", "lone ", "word5", "other"}

@@ -1,3 +1,4 @@
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -80,3 +81,16 @@ def test_native(spark):
     df, _ = docs(spark)
     plan_ = plan(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan_ and "Cartesian" not in plan_ and "NestedLoop" not in plan_
+
+
+def test_mix_of_null_and_repeated_ids(spark):
+    _, rows = docs(spark)
+    rows = rows + [(None, "n " * k, "s%d" % (k % 3)) for k in range(1, 40)] + [(7, "r " * 5, "s1")] * 30 + [(None, "t t", "s2")] * 25
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, got = Counter(), Counter()
+    for r in plan(df, shards=5).collect():
+        want[r.doc_id, r.source, r.size] += r.copies
+    for r in mix(df, shards=5).collect():
+        got[r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text))] += 1
+    assert got == +want and got[7, "s1", 5] <= 90
+    assert mix(df.limit(0)).count() == 0
