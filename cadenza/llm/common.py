@@ -43,12 +43,28 @@ def words(text: Column | str) -> Column:
 _CLAIM: dict = {"name": None, "forget": None}
 
 
-def claim_worker(name: str, forget) -> None:
+def claim_worker(name: str, forget=None) -> None:
     """Let one operator at a time remember things in a Python worker: who comes next makes the last one forget."""
     if _CLAIM["name"] != name:
         if _CLAIM["forget"]:
             _CLAIM["forget"]()
         _CLAIM.update(name=name, forget=forget)
+        give_back()
+
+
+def give_back() -> None:
+    """Return the freed memory of a Python worker, which Spark keeps for later stages, to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
 
 
 def sliced(batch, column: str, budget: int = 8 << 20):

@@ -1,22 +1,22 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
 Training. The model learns from rows whose language is known and whose
-``crc32(doc_id as text) mod 4`` is not 2. Per language the ``sample_docs``
-training rows of least id hash give their distinct words with counts, of which
-the ``sample_words`` most frequent are kept; these two bounds are the only ones,
-and they bound what reaches the driver (words, not texts). The network is
-trained in numpy on words drawn by the root of their count.
+``crc32(doc_id as text) mod 4`` is not 2. Of each language at most ``sample_docs``
+rows, those of least row hash, form the sample; training draws its windows
+of ``WINDOW_CHARS`` characters at hashed places of their whole texts, ``draws`` of a row,
+and only these windows reach the driver. The network is trained in numpy by
+backpropagation through time.
 
-Prediction. Every word of the whole text, lower-cased and without punctuation at
-its ends, is read byte by byte in both directions; every position gets
-probabilities, and the mean over all positions of words with a letter is the document's. A word's sum is computed
-once per worker and remembered in a bounded table.
+Prediction. The lower-cased whole text is read in both directions in windows (``bigru.py``)
+whose state is carried in from the bytes around them; every byte position of the text
+gets label probabilities, and their mean over all positions is the document's.
 
 Defined results: a null text, or one without a letter, gives ``und`` with score
 0; ties go to the first label in code-point order; without any training row all
-is ``und``; repeated rows give equal rows; a null id counts as the text "" for
+is ``und``; repeated rows give equal rows and count once in the sample; a null id counts as the text "" for
 the split; columns other than id, text and language are ignored, and language
-and source never enter a prediction; an empty table gives an empty table.
+and source never enter a prediction; an empty table gives an empty table; more
+than ``MAX_LABELS`` different languages are an error, not a sample of them.
 """
 
 from __future__ import annotations
@@ -27,101 +27,62 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bigru import WINDOW, BiGru
-from .common import WORD, claim_worker, sliced
+from .bigru import BiGru
+from .common import claim_worker, give_back, sliced
 
-SAMPLE_DOCS, SAMPLE_WORDS = 250, 5000
-#: Words that a worker remembers, and the longest (in characters) that is.
-CACHE, CACHE_CHARS = 400_000, 48
-#: Characters that are taken off both ends of a word.
-_ENDS = ".,;:!?()[]{}|\"'"
-_SUMS: dict[str, tuple[dict, list]] = {}
+#: Rows of a language in the sample, and windows that training may draw from each.
+SAMPLE_DOCS, DRAWS, WINDOW_CHARS = 250, 16, 48
+MAX_LABELS = 200
+#: Bytes of text that a task works on at a time; it takes some 12 times that in memory.
+SLICE = 2 << 20
 
 
 def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def training_words(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int, sample_words: int) -> list:
-    """(lang, word, count) rows of the bounded sample."""
+def training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int = SAMPLE_DOCS, draws: int = DRAWS) -> list:
+    """(lang, window) rows of the bounded sample, in a fixed order."""
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = known.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
-    # the first of each language by id hash: in 64 parts of it, then among what these keep
-    order = [F.col("_o"), F.col("id")]
-    ids = known.select("id", "lang", F.xxhash64("id").alias("_o")).withColumn("_n", F.row_number().over(W.partitionBy("lang", F.pmod("_o", F.lit(64))).orderBy(*order)))
-    ids = ids.filter(F.col("_n") <= sample_docs).withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy(*order))).filter(F.col("_n") <= sample_docs)
-    # a language has at most sample_docs of them
-    picked = known.join(F.broadcast(ids.select("id").distinct()), "id", "left_semi")
-    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-    counted = picked.select("lang", word.alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    top = counted.withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("_n") <= sample_words).drop("_n")
-    return top.collect()
-
-
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS, steps: int = 500) -> BiGru | None:
+    counts = known.groupBy("lang").count().limit(MAX_LABELS + 1).collect()
+    if len(counts) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} languages in {lang_col}")
+    if not counts:
+        return []
+    # of n rows some four times the sample pass by their hash; the least hashes of these are the sample
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, 4 * sample_docs / r["count"]))))
+    h = F.xxhash64("id", "text")
+    some = known.filter(F.col("text").rlike(r"\p{L}")).withColumn("h", h).filter(F.pmod("h", F.lit(1 << 40)) < F.element_at(share, F.col("lang")) * (1 << 40))
+    at = lambda k: F.pmod(F.xxhash64("h", k), F.greatest(F.lit(1), F.char_length("text") - WINDOW_CHARS + 1)).cast("int") + 1
+    cut = F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda k: F.lower(F.substring(F.col("text"), at(k), F.lit(WINDOW_CHARS))))
+    some = some.select("lang", "h", cut.alias("windows")).groupBy("lang", "h").agg(F.first("windows").alias("windows"))
+    order = W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "h")
+    picked = some.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= sample_docs)
+    return sorted((r["lang"], w) for r in picked.collect() for w in r["windows"] if any(map(str.isalpha, w)))
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, draws: int = DRAWS, steps: int = 300) -> BiGru | None:
     """The trained network, or None if no row can be learned from."""
-    rows = sorted(tuple(r) for r in training_words(docs, id_col, text_col, lang_col, sample_docs, sample_words))
-    rows = [(lang, w.strip(_ENDS).encode()[:WINDOW], n) for lang, w, n in rows if any(map(str.isalpha, w))]
+    rows = training_windows(docs, id_col, text_col, lang_col, sample_docs, draws)
     if not rows:
         return None
-    labels = sorted({r[0] for r in rows})
+    labels = sorted({lang for lang, _ in rows})
     place = {x: i for i, x in enumerate(labels)}
-    return BiGru(labels).train([r[1] for r in rows], np.array([place[r[0]] for r in rows]), np.sqrt([r[2] for r in rows]), steps)
-
-
-def _batch_predictor(model: BiGru | None):
-    """A function from texts to (languages, scores) that remembers words within its worker."""
-    labels = model.labels if model else []
-    claim_worker("language", _SUMS.clear)
-    index, sums = _SUMS.setdefault(model.name() if model else "", ({}, [np.zeros((0, len(labels) + 1))]))
-    none = np.zeros(len(labels) + 1)
-
-    def forget() -> None:
-        index.clear()
-        sums[0] = np.zeros((0, len(labels) + 1))
-
-    def learn(words: list[str]) -> None:
-        """Remember rows of sums: label probabilities in 1/65536 and the number of positions."""
-        core = {w: w.strip(_ENDS) for w in words}
-        new = sorted({c for c in core.values() if c not in index})
-        rows = np.zeros((len(new), len(labels) + 1))
-        lettered = [i for i, c in enumerate(new) if c.isalpha() or any(map(str.isalpha, c))]
-        if lettered:
-            raw = [new[i].encode() for i in lettered]
-            cuts = [[r] if len(r) <= WINDOW else [r[k : k + WINDOW] for k in range(0, len(r), WINDOW)] for r in raw]
-            first = np.cumsum([0, *map(len, cuts)])[:-1]
-            rows[lettered, :-1] = np.add.reduceat(np.rint(model.word_sums([x for c in cuts for x in c]) * 65536), first, axis=0)
-            rows[lettered, -1] = [len(r) for r in raw]
-        at = len(sums[0])
-        sums[0] = np.concatenate([sums[0], rows])
-        index.update((c, at + i) for i, c in enumerate(new))
-        index.update((w, index[c]) for w, c in core.items() if w != c)
-
-    def run(texts: list[str | None]) -> tuple[list[str], list[float]]:
-        if model is None:
-            return ["und"] * len(texts), [0.0] * len(texts)
-        split = [(t or "").lower().split() for t in texts]
-        new = {w for ws in split for w in ws if w not in index}
-        if len(index) + len(new) > CACHE:
-            forget()
-            new = {w for ws in split for w in ws}
-        if new:
-            learn(list(new))
-        langs, scores = [], []
-        for ws in split:
-            pooled = sums[0][[index[w] for w in ws]].sum(axis=0) if ws else none
-            if pooled[-1]:
-                best = int(pooled[:-1].argmax())
-                langs.append(labels[best])
-                scores.append(round(min(1.0, float(pooled[best] / 65536 / pooled[-1])), 4))
-            else:
-                langs.append("und")
-                scores.append(0.0)
-        if any(len(w) > CACHE_CHARS for w in new):  # long words are not kept
-            forget()
-        return langs, scores
-
-    return run
+    return BiGru(labels).train([w.encode() for _, w in rows], np.array([place[lang] for lang, _ in rows]), steps)
+
+
+def _asked(model: BiGru | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """(languages, scores) of texts."""
+    langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+    lettered = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
+    if model is not None and lettered:
+        raw = [texts[i].lower().encode() for i in lettered]
+        # in 1/65536, so that sums do not depend on the order in which windows were read
+        share = np.rint(model.sums(raw) / np.array([[len(r)] for r in raw]) * 65536) / 65536
+        for i, best, score in zip(lettered, share.argmax(axis=1).tolist(), share.max(axis=1).tolist(), strict=True):
+            langs[i], scores[i] = model.labels[best], min(1.0, round(score, 4))
+    return langs, scores
 
 
 def predict(docs: DataFrame, model: BiGru | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,11 +91,12 @@ def predict(docs: DataFrame, model: BiGru | None, id_col: str = "doc_id", text_c
     def run(batches):
         import pyarrow as pa
 
-        ask = _batch_predictor(model)
+        claim_worker("language")
         for whole in batches:
-            for batch in sliced(whole, "text", 4 << 20):
-                langs, scores = ask(batch.column("text").to_pylist())
+            for batch in sliced(whole, "text", SLICE):
+                langs, scores = _asked(model, batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+        give_back()
 
     out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.select(docs[id_col].alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", held_out("doc_id")).mapInArrow(run, out)
@@ -147,11 +109,12 @@ def keep_known(docs: DataFrame, model: BiGru | None, text_col: str = "text", min
     def run(batches):
         import pyarrow as pa
 
-        ask = _batch_predictor(model)
+        claim_worker("language")
         for whole in batches:
-            for batch in sliced(whole, whole.schema.names[at], 4 << 20):
-                langs, scores = ask(batch.column(at).to_pylist())
+            for batch in sliced(whole, whole.schema.names[at], SLICE):
+                langs, scores = _asked(model, batch.column(at).to_pylist())
                 yield batch.filter(pa.array([x != "und" and s >= min_score for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
