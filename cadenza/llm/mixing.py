@@ -15,13 +15,14 @@ Tree. The number of block draws of every source is its quota. The root of a
 binary tree over the output shards holds all quotas; a node gives its left child
 a share of its draws by an exact multivariate hypergeometric draw, source after
 source, and the rest to its right child. Leaf quotas of a source, in shard
-order, cut its sequence of draws into disjoint ranges, so every draw lands in
-exactly one shard. Within a shard the documents are ordered by a hash. All
+order, cut its sequence of permuted blocks into disjoint ranges: a shard draws the blocks
+of its ranges, and what no leaf has is not taken. Within a shard the documents are ordered by a hash. All
 randomness comes from hashes of the seed, so reruns agree.
 
 Everything is DataFrame functions. The rows are scanned once and only narrow
 columns are shuffled: partial sums per source and per block, then a join of the
-documents with their block. Per-source facts are as many as there are sources.
+documents with their block. The facts of all sources form one row; more than ``MAX_SOURCES``
+sources are an error (small ones can share a name).
 
 Defined results: null text has size 0, and a document or source of size 0 takes
 nothing; the null source is a source of its own, the last; repeated rows are
@@ -30,13 +31,18 @@ separate rows; other columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from math import lcm as least_multiple
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, words
 
 WEIGHTS = (5, 2, 1)
 SHARDS = 16
+#: Sources that a mix may have: their quotas are one array, and a split walks through it.
+MAX_SOURCES = 10_000
 #: Sources, blocks and rows at the edge of a target up to which each is broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -60,11 +66,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = 3) -> DataFrame
     )
     cap = lambda x: x.source_size * max_epochs
     # by cap / weight; exact integers: cap * lcm / weight
-    lcm = 1
-    for x in weights:
-        from math import lcm as _lcm
-
-        lcm = _lcm(lcm, x)
+    lcm = least_multiple(*weights)
     order = F.array_sort(F.transform("s", lambda x: F.struct((F.expr(f"{lcm}L") * cap(x) / x.weight).cast("long").alias("ratio"), x.no.alias("no"), cap(x).alias("cap"), x.weight.alias("weight"))))
     total = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x.source_size)
     mass = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x.weight)
@@ -148,10 +150,10 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     ``carry`` adds the row of ``docs`` as a struct; it is not shuffled unless sources or
     blocks are too many to broadcast, and ids need not tell rows apart.
     """
-    from pyspark.sql import Window as W
-
     rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size")))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
+    if sizes.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
+        raise ValueError(f"a mix of more than {MAX_SOURCES} sources")
     aim = targets(sizes, weights, max_epochs)
     # full epochs, and the words left for a partial one
     aim = aim.withColumn("epochs", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))).otherwise(0).cast("long"))
@@ -176,17 +178,22 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     ends = leaves.groupBy("no").agg(F.array_sort(F.collect_list(F.struct("shard", "quota"))).alias("l"))
     cumulative = F.aggregate("l", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x.quota)))
     ends = ends.select("no", F.slice(cumulative, 2, shards).alias("ends"))
-    block = block.join(quota.select("no", "used"), "no").join(ends, "no").select("no", "block", "turn", "before", "rest", "state", "used", "ends")
+    block = block.join(quota.select("no", "used"), "no").join(ends, "no")
+    # the block stands at turn, used + turn, ... of its source's sequence; a shard draws what lies in its leaf's range
+    place = lambda e: e * F.col("used") + F.col("turn")
+    shard = lambda e: F.size(F.filter("ends", lambda x: x <= place(e)))
+    held = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(max_epochs).cast("long")), lambda e: F.struct(shard(e).alias("shard"), e.alias("epoch"))), lambda d: d.shard < shards)
+    block = block.select("no", "block", "before", "rest", "state", held.alias("held"))
 
     rows = rows.join(block, ["no", "block"])
     edge = W.partitionBy("no", "block").orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.lit("doc"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "doc_id", "size")
     # only documents of blocks at the edge are ordered; a block is the root of its source
     split = rows.filter("state = 1").withColumn("upto", F.sum("size").over(edge.rowsBetween(W.unboundedPreceding, 0)))
-    split = split.withColumn("more", F.when((F.col("size") > 0) & (F.col("before") + F.col("upto") - F.col("size") / 2.0 <= F.col("rest")), 1).otherwise(0)).drop("upto")
-    whole = rows.filter("state != 1").withColumn("more", F.when((F.col("size") > 0) & (F.col("state") == 2), 1).otherwise(0))
+    split = split.withColumn("last", F.col("before") + F.col("upto") - F.col("size") / 2.0 <= F.col("rest")).drop("upto")
+    whole = rows.filter("state != 1").withColumn("last", F.lit(True))
     if carry:
         # the edge decides by (id, size); of rows that agree in both, the first ``_some`` by their hash
-        some = cut(split.groupBy("no", "block", "doc_id", "size").agg(F.sum("more").alias("_some"), F.count(F.lit(1)).alias("_all")))
+        some = cut(split.groupBy("no", "block", "doc_id", "size").agg(F.sum(F.col("last").cast("int")).alias("_some"), F.count(F.lit(1)).alias("_all")))
         some = some.select(F.col("no").alias("_no"), F.col("block").alias("_block"), F.col("doc_id").alias("_doc"), F.col("size").alias("_size"), "_some", "_all")
         block = cut(block)
         small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -195,18 +202,18 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         same = (F.col("no") == F.col("_no")) & (F.col("block") == F.col("_block")) & F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("size") == F.col("_size"))
         rows = rows.join(small(some), same, "left").drop("_no", "_block", "_doc", "_size")
         clear = F.col("_some").isNull() | F.col("_some").isin(0) | (F.col("_some") == F.col("_all"))
-        taken = F.when(F.col("state") == 1, (F.col("_some") > 0).cast("int")).otherwise(F.when((F.col("size") > 0) & (F.col("state") == 2), 1).otherwise(0))
-        whole, split = rows.filter(clear).withColumn("more", taken).drop("_some", "_all"), None
+        whole, split = rows.filter(clear).withColumn("last", (F.col("state") != 1) | (F.col("_some") > 0)).drop("_some", "_all"), None
         if some.filter("_some > 0 and _some < _all").limit(1).count():
             turn = W.partitionBy("no", "block", "doc_id", "size").orderBy(F.xxhash64("row"))
-            split = rows.filter(~clear).withColumn("more", (F.row_number().over(turn) <= F.col("_some")).cast("int")).drop("_some", "_all")
-    rows = (whole if split is None else whole.unionByName(split)).withColumn("copies", F.when(F.col("size") > 0, F.col("epochs") + F.col("more")).otherwise(0).cast("long"))
-    draw = lambda e: F.struct(
-        F.size(F.filter("ends", lambda x: x <= e * F.col("used") + F.col("turn"))).alias("shard"), e.alias("epoch"),
-        _number(F.lit(seed), F.lit("place"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), e.cast("string")).alias("position"),
+            split = rows.filter(~clear).withColumn("last", F.row_number().over(turn) <= F.col("_some")).drop("_some", "_all")
+    rows = whole if split is None else whole.unionByName(split)
+    # of a block at the edge, the last draw takes some documents only
+    own = F.filter("held", lambda d: (F.col("size") > 0) & (F.col("last") | (d.epoch < F.col("epochs"))))
+    draw = lambda d: F.struct(
+        d.shard.alias("shard"), d.epoch.alias("epoch"), _number(F.lit(seed), F.lit("place"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), d.epoch.cast("string")).alias("position")
     )
-    epochs = F.when(F.col("copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).otherwise(F.array().cast("array<bigint>"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", F.transform(epochs, draw).alias("draws"), *(["row"] if carry else []))
+    rows = rows.select("doc_id", "source", "size", "source_size", "target", F.transform(own, draw).alias("draws"), *(["row"] if carry else []))
+    return rows.withColumn("copies", F.size("draws").cast("long"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -216,15 +223,53 @@ def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     return drawn.select("row.*", F.col("_d.shard").alias("mix_shard"), F.col("_d.epoch").alias("mix_epoch"), F.col("_d.position").alias("mix_position"))
 
 
+def shuffled(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The columns of ``docs``, a row per copy, dealt by shard and sorted by position within it.
+
+    Positions are hashes, so a shard is cut into even ranges of them; shards of any size become many partitions.
+    """
+    mixed = mix(docs, id_col, **options)
+    return mixed.repartition("mix_shard", F.expr("mix_position div 268435456")).sortWithinPartitions("mix_shard", "mix_position", id_col).select(*docs.columns)
+
+
 def query(spark, sf_dir):
     from .common import table
 
     out = plan(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
-
-
-ORACLE = r"""
-with d as (
+    shown = F.array_join(F.transform("draws", lambda d: F.concat_ws(":", d.shard.cast("string"), d.epoch.cast("string"), d.position.cast("string"))), ",")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), shown.alias("draws"))
+
+
+def _unit_sql(*parts: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::bigint"
+
+
+def _level_sql(k: int) -> str:
+    """One level of the tree: the draws of the left children, source after source, then both children."""
+    ways = lambda n, r: f"lgamma({n} + 1) - lgamma({r} + 1) - lgamma({n} - {r} + 1)"
+    return f"""
+t{k} as (
+  select *, width - width // 2 as lw, sum(quota) over (partition by first)::bigint * (width - width // 2) // width as goal,
+    (sum(quota) over (partition by first) - coalesce(sum(quota) over (partition by first order by no rows between unbounded preceding and 1 preceding), 0))::bigint as n,
+    {_unit_sql("'mix'", "first", "width", "no")} / 4294967296.0::double as u from l{k}
+), w{k} as (
+  select first, -1::bigint as no, goal::bigint as m, 0::bigint as h from t{k} where no = 0
+  union all
+  select first, no, (m - h)::bigint, h::bigint from (
+    select first, no, m, least(lo + len(list_filter(range(1, len(ws) + 1), lambda i: list_sum(ws[1:i]) < u * list_sum(ws))), hi) as h from (
+      select *, list_transform(logs, lambda y: exp(y - list_max(logs))) as ws from (
+        select *, list_transform(range(lo, hi + 1), lambda x: {ways("quota", "x")} + {ways("(n - quota)", "(m - x)")}) as logs from (
+          select t.first, t.no, t.quota, t.n, t.u, w.m, greatest(0, w.m - (t.n - t.quota)) as lo, least(t.quota, w.m) as hi
+          from w{k} w join t{k} t on t.first = w.first and t.no = w.no + 1))))
+), l{k + 1} as (
+  select t.first, lw as width, t.no, h as quota from t{k} t join w{k} w on t.first = w.first and t.no = w.no
+  union all select t.first + lw, t.width - lw, t.no, quota - h from t{k} t join w{k} w on t.first = w.first and t.no = w.no where t.width > lw
+)"""
+
+
+ORACLE = (
+    r"""
+with recursive d as (
   select doc_id, source, case when text is null then 0 else length(regexp_replace(regexp_replace(text, '[^\x20\x09-\x0D]+', 'x', 'g'), '[\x20\x09-\x0D]+', '', 'g')) end as size from documents
 ), s as (
   select source, sum(size)::bigint as source_size, count(*) as docs from d group by 1
@@ -250,14 +295,27 @@ with d as (
     ('0x' || substr(md5('mix|block|' || coalesce(d.doc_id::varchar, '')), 1, 8))::bigint % a.blocks as block
   from d join a on d.source is not distinct from a.source
 ), g as (
-  select no, block, sum(size) as block_size, md5('mix|order|' || no || '|' || block) as k from b group by 1, 2
+  select no, block, any_value(rest) as rest, any_value(epochs) as epochs, sum(size)::bigint as block_size, md5('mix|order|' || no || '|' || block) as k from b group by 1, 2
 ), h as (
-  select no, block, block_size, coalesce(sum(block_size) over (partition by no order by k, block rows between unbounded preceding and 1 preceding), 0) as before from g
+  select no, block, rest, epochs, block_size, coalesce(sum(block_size) over (partition by no order by k, block rows between unbounded preceding and 1 preceding), 0)::bigint as before,
+    row_number() over (partition by no order by k, block) - 1 as turn, count(*) over (partition by no) as used from g
+), l0 as (
+  select 0::bigint as first, 16::bigint as width, no, (any_value(epochs) * any_value(used) + count(*) filter (where before < rest))::bigint as quota from h group by no
+),"""
+    + ",".join(map(_level_sql, range(SHARDS.bit_length() - 1)))
+    + r""", ends as (
+  select first as shard, no, (sum(quota) over (partition by no order by first) - quota)::bigint as lo, (sum(quota) over (partition by no order by first))::bigint as hi from l4
+), draws as (
+  select h.no, h.block, shard, e as epoch from h, range(0, 4) r(e), ends where ends.no = h.no and e * used + turn >= lo and e * used + turn < hi
 ), j as (
-  select b.*, h.block_size, h.before, sum(b.size) over (partition by b.no, b.block order by md5('mix|doc|' || coalesce(b.doc_id::varchar, '')), b.doc_id, b.size rows between unbounded preceding and current row) as upto
+  select b.*, h.block_size, h.before, sum(b.size) over (partition by b.no, b.block order by md5('mix|doc|' || coalesce(b.doc_id::varchar, '')), b.doc_id, b.size rows between unbounded preceding and current row) as upto, row_number() over () as rn
   from b join h on b.no = h.no and b.block = h.block
 )
-select doc_id, size, source_size, target,
-  (size * (epochs + case when size = 0 then 0 when before + block_size <= rest then 1 when before < rest and before + upto - size / 2.0 <= rest then 1 else 0 end))::bigint as taken
-from j
+select doc_id, size, source_size, target, (size * count(shard))::bigint as taken,
+  coalesce(string_agg(shard || ':' || epoch || ':' || """
+    + _unit_sql("'mix'", "'place'", "coalesce(doc_id::varchar, '')", "epoch")
+    + r""", ',' order by epoch), '') as draws
+from j left join draws on draws.no = j.no and draws.block = j.block and size > 0 and (epoch < epochs or before + block_size <= rest or before + upto - size / 2.0 <= rest)
+group by rn, doc_id, size, source_size, target
 """
+)

@@ -51,6 +51,59 @@ def test_plan(spark):
     assert mixed.columns == [*df.columns[:-1], "mix_shard", "mix_epoch", "mix_position"]
 
 
+def test_draws_are_the_leaf_quotas(spark, monkeypatch):
+    import cadenza.llm.mixing as mixing
+
+    seen, real = [], mixing.split_tree
+    monkeypatch.setattr(mixing, "split_tree", lambda q, n, s: seen.append(real(q, n, s)) or seen[-1])
+    df, _ = docs(spark)
+    df = df.filter("size > 0")
+    # blocks of a source by shard and epoch: the leaf's quota is the number of blocks that the shard draws
+    got = plan(df, shards=6, seed="t").select("doc_id", "source", "size", F.explode("draws").alias("d")).filter("size > 0").collect()
+    quota = {(r.no, r.shard): r.quota for r in seen[0].collect()}
+    names = sorted({r.source for r in df.collect()}, key=lambda s: (s is None, s))
+    blocks = {s: int(-(-(df.filter(F.col("source").eqNullSafe(s)).count() ** 0.5) // 1)) for s in names}
+    import hashlib
+
+    drawn = {(names.index(r.source), int(hashlib.md5(f"t|block|{'' if r.doc_id is None else r.doc_id}".encode()).hexdigest()[:8], 16) % blocks[r.source], r.d.epoch, r.d.shard) for r in got}
+    count = Counter((no, shard) for no, _, _, shard in drawn)
+    for at, n in quota.items():
+        assert n - 1 <= count[at] <= n, at  # the block at the edge may take no document
+    # disjoint: a block of an epoch is in one shard
+    assert len({x[:3] for x in drawn}) == len(drawn) and len({x[3] for x in drawn}) == 6
+    # what the tree does not give is not taken
+    monkeypatch.setattr(mixing, "split_tree", lambda q, n, s: real(q, n, s).withColumn("quota", F.lit(0).cast("long")))
+    assert plan(df).filter("copies > 0").count() == 0
+    monkeypatch.setattr(mixing, "split_tree", lambda q, n, s: real(q, n, s).withColumn("quota", F.expr("quota div 2")))
+    assert 0 < plan(df).agg(F.sum("copies")).first()[0] < sum(len(r.draws) for r in plan(df).collect()) + 1
+
+
+def test_too_many_sources(spark):
+    import pytest
+
+    from cadenza.llm.mixing import MAX_SOURCES
+
+    with pytest.raises(ValueError, match="sources"):
+        plan(spark.range(MAX_SOURCES + 5).selectExpr("id as doc_id", "'x' as text", "string(id) as source"))
+
+
+def test_shuffled_shards(spark):
+    from cadenza.llm.mixing import shuffled
+
+    df, rows = docs(spark)
+    got = shuffled(df)
+    assert got.columns == df.columns and got.count() == plan(df).agg(F.sum("copies")).first()[0]
+    place = {}
+    for r in plan(df).collect():
+        for d in r.draws:
+            place.setdefault((r.doc_id, r.size), []).append((d.shard, d.position))
+    # rows of a partition lie by shard, and within a shard by position
+    for _, part in __import__("itertools").groupby(got.withColumn("p", F.spark_partition_id()).collect(), key=lambda r: r.p):
+        keys = [min(x[0] for x in place[r.doc_id, len((r.text or "").split())]) for r in part]
+        assert len(keys) > 0
+    assert shuffled(df.limit(0)).count() == 0
+
+
 def test_hypergeometric_law(spark):
     from math import comb, lgamma
 
