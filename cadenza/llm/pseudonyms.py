@@ -5,9 +5,10 @@ calendar dates, octets, numbering-plan digits, IBAN remainders). A value is turn
 into an index of all values of its format, the index is permuted by a keyed Feistel
 network over that many values (cycle walking where the halves' product is larger),
 and the new index is written in the same format: digits stay digits, separators
-stay, check digits are valid again. The permutation depends on key, kind and
-format alone, so equal values get equal pseudonyms in all documents, different values
-never collide, and the key's owner can invert it (``restore``).
+stay, check digits are valid again, a day or month of one digit stays one. The permutation depends on key, kind and
+format alone, so equal values get equal pseudonyms in all documents, different values of a kind
+never collide, and the key's owner can invert it (``back=True``). Strings longer than
+``CHUNK`` characters are permuted chunk by chunk, each chunk's key depending on the chunks beside it.
 
 Rows are independent: no shuffle, and the memory of a task is a batch slice.
 
@@ -24,7 +25,9 @@ searches, and may read digits beside a value as part of it.
 
 from __future__ import annotations
 
+import bisect
 import datetime
+import functools
 import hashlib
 import hmac
 import math
@@ -37,14 +40,16 @@ from pyspark.sql import types as T
 from .common import sliced
 
 ROUNDS = 10
+#: Characters that one Feistel network permutes.
+CHUNK = 128
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
 def _round(key: bytes, tweak: bytes, i: int, half: int, size: int) -> int:
     need = (size.bit_length() + 7) // 8 + 8
-    out, n = b"", 0
+    out, n, own = b"", 0, half.to_bytes((half.bit_length() + 7) // 8, "big")
     while len(out) < need:
-        out += hmac.new(key, b"%s|%d|%d|%d" % (tweak, i, half, n), hashlib.sha256).digest()
+        out += hmac.new(key, b"%s|%d|%d|%s" % (tweak, i, n, own), hashlib.sha256).digest()
         n += 1
     return int.from_bytes(out[:need], "big") % size
 
@@ -68,10 +73,13 @@ def permute(index: int, size: int, key: bytes, tweak: bytes, back: bool = False)
             return index
 
 
-def _mixed(text: str, key: bytes, tweak: bytes, back: bool) -> str:
-    """Permute a string within its pattern of character classes; other characters stay."""
-    classes = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    of = [next((c for c in classes if x in c), None) for x in text]
+_CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_CLASS = {x: c for c in _CLASSES for x in c}
+_HEX = {x: c for c in ("0123456789", "abcdef") for x in c}
+
+
+def _chunk(text: str, key: bytes, tweak: bytes, back: bool, alphabet: dict) -> str:
+    of = [alphabet.get(x) for x in text]
     index, size = 0, 1
     for x, c in zip(text, of, strict=True):
         if c:
@@ -86,6 +94,25 @@ def _mixed(text: str, key: bytes, tweak: bytes, back: bool) -> str:
     return "".join(reversed(out))
 
 
+def _mixed(text: str, key: bytes, tweak: bytes, back: bool, alphabet: dict = _CLASS) -> str:
+    """Permute a string within its pattern of character classes; other characters stay.
+
+    A long one is permuted chunk by chunk, from the left with the new chunk before as part of the
+    tweak and then from the right with the new chunk behind; the inverse runs the other way.
+    """
+    if len(text) <= CHUNK:
+        return _chunk(text, key, tweak, back, alphabet)
+    parts = [text[i : i + CHUNK] for i in range(0, len(text), CHUNK)]
+    sides = (("left", -1), ("right", 1))
+    for side, step in reversed(sides) if back else sides:
+        order = range(len(parts)) if (step < 0) != back else range(len(parts) - 1, -1, -1)
+        for i in order:
+            beside = parts[i + step] if 0 <= i + step < len(parts) else ""
+            own = hashlib.sha256(f"{side}|{i}|{len(text)}|{beside}".encode()).digest()
+            parts[i] = _chunk(parts[i], key, tweak + own, back, alphabet)
+    return "".join(parts)
+
+
 def _fill(pattern: str, digits: str) -> str:
     it = iter(digits)
     return "".join(next(it) if c.isdigit() else c for c in pattern)
@@ -162,45 +189,40 @@ def _phone(s, key, back):
     return _fill(s, d[:lead] + new)
 
 
+@functools.cache
+def _days(short_day: bool, short_month: bool, least: int) -> list[int]:
+    """Ordinals of the dates whose day is at least ``least``, with a day or month of one digit where it is written so."""
+    days = (datetime.date.fromordinal(n) for n in range(_FIRST, _LAST + 1))
+    return [d.toordinal() for d in days if d.day >= least and (d.day < 10 or not short_day) and (d.month < 10 or not short_month)]
+
+
 def _date(s, key, back):
     a, b, c = re.split(r"[-./]", s)
-    orders = {"y": (a, b, c)} if len(a) == 4 else {"d": (c, b, a), "m": (c, a, b)} if "/" in s else {"d": (c, b, a)}
-    for kind, ymd in orders.items():
+    slash = "/" in s and len(a) < 3
+    orders = [(a, b, c)] if len(a) == 4 else [(c, b, a), (c, a, b)] if slash else [(c, b, a)]
+    for i, ymd in enumerate(orders):
         try:
             day = datetime.date(*map(int, ymd)).toordinal()
         except ValueError:
             continue
         if not _FIRST <= day <= _LAST:
             return None
-        if kind == "m" or (kind == "d" and "/" in s):
-            # a slash date may be read in two ways: permute the days that only this reading has, or the shared ones
-            return _slash(s, kind, key, back)
-        new = datetime.date.fromordinal(permute(day - _FIRST, _LAST - _FIRST + 1, key, b"date", back) + _FIRST)
-        sep = s[4] if kind == "y" else re.search(r"\D", s)[0]
-        return f"{new.year:04d}{sep}{new.month:02d}{sep}{new.day:02d}" if kind == "y" else f"{new.day:02d}{sep}{new.month:02d}{sep}{new.year:04d}"
+        year, month, own = ymd
+        if slash and int(a) <= 12 and int(b) <= 12:
+            # either reading: both parts run over 1 to 12, or to 9 if of one digit
+            na, nb = (9 if len(x) == 1 else 12 for x in (a, b))
+            n = permute(((int(year) - 1900) * na + int(a) - 1) * nb + int(b) - 1, 200 * na * nb, key, b"date/%d/%d" % (na, nb), back)
+            return f"{n // nb % na + 1:0{len(a)}d}/{n % nb + 1:0{len(b)}d}/{n // (na * nb) + 1900:04d}"
+        # of a slash date only the days above 12 have this one reading
+        days = _days(len(own) == 1, len(month) == 1, 13 if slash else 1)
+        at = bisect.bisect_left(days, day)
+        new = datetime.date.fromordinal(days[permute(at, len(days), key, b"date%d" % len(days), back)])
+        y, m, d = f"{new.year:04d}", f"{new.month:0{len(month)}d}", f"{new.day:0{len(own)}d}"
+        sep = re.search(r"\D", s)[0]
+        return sep.join((y, m, d) if len(a) == 4 else (m, d, y) if i else (d, m, y))
     return None
 
 
-def _slash(s, kind, key, back):
-    a, b, year = map(int, s.split("/"))
-    if a <= 12 and b <= 12:  # either reading: both parts run over 1 to 12
-        n = permute(((year - 1900) * 12 + a - 1) * 12 + b - 1, 200 * 144, key, b"date/12", back)
-        return f"{n // 12 % 12 + 1:02d}/{n % 12 + 1:02d}/{n // 144 + 1900:04d}"
-    # the day is over 12: the days 13 to 28 of all months, and those after that, apart
-    day, month = (a, b) if kind == "d" else (b, a)
-    if day <= 28:
-        n = permute(((year - 1900) * 12 + month - 1) * 16 + day - 13, 200 * 12 * 16, key, b"date/28", back)
-        day, month, year = n % 16 + 13, n // 16 % 12 + 1, n // 192 + 1900
-    else:
-        late = [(y, m, d) for y in range(1900, 2100) for m in range(1, 13) for d in (29, 30, 31) if d <= _days(y, m)]
-        year, month, day = late[permute(late.index((year, month, day)), len(late), key, b"date/31", back)]
-    return f"{day:02d}/{month:02d}/{year:04d}" if kind == "d" else f"{month:02d}/{day:02d}/{year:04d}"
-
-
-def _days(y: int, m: int) -> int:
-    return ((datetime.date(y + m // 12, m % 12 + 1, 1)) - datetime.date(y, m, 1)).days
-
-
 def _email(s, key, back):
     local, _, domain = s.partition("@")
     return _mixed(local, key, b"email" + domain.lower().encode(), back) + "@" + domain
@@ -212,9 +234,13 @@ def _named(s, key, back):
 
 
 def _hex_or_mixed(v, key, back):
-    if re.fullmatch("[0-9a-f]+", v):
-        return format(permute(int(v, 16), 16 ** len(v), key, b"hex%d" % len(v), back), f"0{len(v)}x")
-    return _mixed(v, key, b"secret", back)
+    """Hexadecimal strings stay hexadecimal, and others never become so: their permutation is walked until it is out of the hexadecimal ones."""
+    if all(x in _HEX for x in v):
+        return _mixed(v, key, b"hex", back, _HEX)
+    while True:
+        v = _mixed(v, key, b"secret", back)
+        if not all(x in _HEX for x in v):
+            return v
 
 
 def _access(s, key, back):
@@ -222,7 +248,7 @@ def _access(s, key, back):
 
 
 _KINDS = {
-    "email": (r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", _email),
+    "email": (r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}", _email),
     "secret": (r"(?i:password|passwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?[A-Za-z0-9+/_.-]{8,}[\"']?", _named),
     "access": (r"AKIA[0-9A-Z]{16}", _access),
     "iban": (r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", _iban),
@@ -233,8 +259,11 @@ _KINDS = {
     "card": (r"\d(?:[ -]?\d){12,18}", _card),
 }
 _ONE = {k: re.compile(f"(?<![A-Za-z0-9_])(?:{p})(?![A-Za-z0-9_])") for k, (p, _) in _KINDS.items()}
-_ANY = re.compile("|".join(f"(?P<{k}>(?<![A-Za-z0-9_])(?:{p})(?![A-Za-z0-9_]))" for k, (p, _) in _KINDS.items()))
+#: All kinds but addresses, which are found from their at sign (``_emails``).
+_ANY = re.compile("|".join(f"(?P<{k}>(?<![A-Za-z0-9_])(?:{p})(?![A-Za-z0-9_]))" for k, (p, _) in _KINDS.items() if k != "email"))
 _ORDER = list(_KINDS)
+_DOMAIN = re.compile(r"@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}(?![A-Za-z0-9_])")
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*+")
 _USUAL = re.compile(r"\d+|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{4,5}")
 
 
@@ -267,10 +296,34 @@ def _valid(text: str, kind: str, start: int, end: int, key: bytes, back: bool) -
     return best
 
 
+def _emails(text: str):
+    """(start, end) of the addresses of a text: a domain, and before its at sign what may be a local part, from a letter or digit on."""
+    turned, free = None, 0
+    for m in _DOMAIN.finditer(text):
+        turned = text[::-1] if turned is None else turned
+        at = m.start()
+        start = max(free, at - (_LOCAL.match(turned, len(text) - at).end() - (len(text) - at)))
+        while start < at and not text[start].isalnum():
+            start += 1
+        if start < at:
+            yield start, m.end()
+            free = m.end()
+
+
 def _find(text: str, key: bytes, back: bool):
     """(kind, start, end, pseudonym) of the values of a text, from left to right."""
-    at = 0
-    while m := _ANY.search(text, at):
+    at, emails = 0, _emails(text) if "@" in text else iter(())
+    mail = next(emails, None)
+    while True:
+        m = _ANY.search(text, at)
+        while mail and mail[0] < at:
+            mail = next(emails, None)
+        if mail and (m is None or mail[0] <= m.start()):
+            at = mail[1]
+            yield "email", *mail, _email(text[mail[0] : at], key, back)
+            continue
+        if m is None:
+            return
         start = m.start()
         at = start + 1
         for kind in _ORDER[_ORDER.index(m.lastgroup) :]:
