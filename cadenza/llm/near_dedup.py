@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, keep_rows, row_digest, sliced
+from .common import claim_worker, cut, give_back, keep_rows, row_digest, sliced
 from .components import components
 from .shingles import mix, shingle_sets, text_bytes
 
@@ -43,7 +43,7 @@ WIDTH, PERCENT = 5, 80
 ROWS, MISS = 6, 3e-7
 UNIVERSE = 1 << 20
 #: Bytes of text that a task works on at a time; it takes some 40 times that in memory.
-SLICE = 3 << 20
+SLICE = 1 << 20
 #: Ids of candidate classes up to which they are broadcast to the text scan.
 BROADCAST_IDS = 500_000
 
@@ -76,6 +76,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
     def run(batches):
         import pyarrow as pa
 
+        claim_worker("minhash")
         first, windows = _tables(bands * rows)
         factor = np.random.default_rng(31).integers(1, 2**63, rows, dtype=np.uint64) | np.uint64(1)
         band_no = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
@@ -98,6 +99,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
                     ],
                     names=["doc_id", "n", "key", "bands", "row_digest"][: 5 if row_digests else 4],
                 )
+        del first, windows
+        give_back()
 
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *([row_digest(docs[text_col]).alias("row_digest")] if row_digests else [])).mapInArrow(run, out)
 
@@ -108,12 +111,14 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        claim_worker("minhash")
         for whole in batches:
             for batch in sliced(whole, "text", SLICE):
                 sets = shingle_sets(*text_bytes(batch.column("text")), width)
                 ends = np.cumsum([0, *map(len, sets)])
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))], names=["key", "shingles"])
+        give_back()
 
     return docs.select("text").mapInArrow(run, "key binary, shingles array<long>")
 

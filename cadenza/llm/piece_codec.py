@@ -31,12 +31,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import claim_worker, sliced
+from .common import claim_worker, give_back, sliced
 
 MARK = "▁"
-#: Remembered segments of a worker, and the longest that is remembered.
-CACHE = 500_000
+#: Bytes (estimated) of the two tables of remembered segments of a worker, and the longest segment that is remembered.
+CACHE = 40 << 20
 CACHE_CHARS = 48
+#: Bytes of text that a task works on at a time.
+SLICE = 1 << 20
 #: Longest segment that is merged in step with others.
 STEP_CHARS = 24
 _NONE = np.int64(2**62)
@@ -66,7 +68,8 @@ class PieceModel:
         self.value = {i: b for b, i in self.bytes.items()}
         self.split = all(MARK not in p.lstrip(MARK) for p in self.rank)
         self.segments = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$").findall
-        self.seen: dict[str, tuple[str, bytes]] = {}
+        self.seen, self.older = {}, {}  # segment: (ids joined by commas, decoded bytes)
+        self.room = CACHE // 2
         self.names = [str(i) for i in range(n)]
         self.piece_bytes = [b"" if i in self.hidden else bytes((self.value[i],)) if i in self.value else p.encode() for i, p in enumerate(self.pieces)]
         self._pairs()
@@ -208,15 +211,31 @@ class PieceModel:
         """Text of ids: byte pieces are joined as UTF-8, marks become spaces, the leading one goes."""
         return finish(self.raw(ids))
 
-    def learn(self, segments: list[str], check: bool) -> dict[str, tuple[str, bytes]]:
-        """(ids joined by commas, decoded bytes) of segments; short ones are remembered."""
-        found = self.merge_many(segments)
+    def learn(self, segments: set[str], check: bool) -> dict[str, tuple[str, bytes]]:
+        """(ids joined by commas, decoded bytes) of the segments that are too long to be remembered; the others are in ``seen`` then.
+
+        There are two tables: when one is full it becomes the older one, from which
+        segments in use come back, so frequent segments stay and the sum is bounded.
+        """
+        if self.room < 0:
+            self.older, self.seen, self.room = self.seen, {}, CACHE // 2
+        seen, older, long = self.seen, self.older, {}
+        new = [s for s in segments if s not in seen]
+        self._remember({s: older[s] for s in new if s in older})
+        new = [s for s in new if s not in older]
+        found = self.merge_many(new)
         if check:
-            self.check(segments, found)
+            self.check(new, found)
         name, raw = self.names, self.piece_bytes
-        own = {s: (",".join([name[i] for i in ids]), b"".join([raw[i] for i in ids]).replace(_MARK, b" ")) for s, ids in zip(segments, found, strict=True)}
-        self.seen.update((s, v) for s, v in own.items() if len(s) <= CACHE_CHARS)
-        return own
+        own = {}
+        for s, ids in zip(new, found, strict=True):
+            (own if len(s) <= CACHE_CHARS else long)[s] = (",".join([name[i] for i in ids]), b"".join([raw[i] for i in ids]).replace(_MARK, b" "))
+        self._remember(own)
+        return long
+
+    def _remember(self, own: dict) -> None:
+        self.seen.update(own)
+        self.room -= sum(320 + 4 * len(s) for s in own)
 
     def check(self, segments: list[str], found: list[list[int]]) -> None:
         """Hold segments against the library; a segment's own leading mark stands for the text's."""
@@ -257,17 +276,13 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
         model = loaded(model_path)
         for whole in batches:
-            for batch in sliced(whole, "text", 4 << 20):
+            for batch in sliced(whole, "text", SLICE):
                 rows = []
                 cut = [model.cut(text or "") for text in batch.column("text").to_pylist()]
+                long = model.learn({p for parts in cut for p in parts}, check)
                 seen = model.seen
-                new = {p for parts in cut for p in parts if p not in seen}
-                if len(seen) + len(new) > CACHE:
-                    seen.clear()
-                    new = {p for parts in cut for p in parts}
-                long = {p: v for p, v in model.learn(list(new), check).items() if len(p) > CACHE_CHARS}
                 for parts in cut:
-                    got = [seen.get(p) or long[p] for p in parts] if long else [seen[p] for p in parts]
+                    got = [long.get(p) or seen[p] for p in parts] if long else [seen[p] for p in parts]
                     joined = ",".join([g[0] for g in got])
                     # text that was UTF-8 gives bytes that are UTF-8; the leading mark is the model's own
                     back = b"".join([g[1] for g in got]).removeprefix(b" ")
@@ -281,6 +296,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[f.name for f in out]
                 )
+        give_back()
 
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, out)
 
