@@ -10,8 +10,8 @@ output row, so it is its conversations, not the corpus, that must fit in a row.
 Defined results: turns are ordered by turn, role and text, a null turn first;
 null role and null text count as empty; repeated rows are turns of their own; a
 null id is an id; a side without turns has an empty completion, and if one side is
-a prefix of the other its completion is empty; marker text inside a turn is
-broken by a space so that it can't close the turn; other columns are ignored; an
+a prefix of the other its completion is empty; marker text inside a turn or a role is
+broken by a space so that it can't close or open a turn; other columns are ignored; an
 empty table gives an empty table.
 """
 
@@ -23,8 +23,13 @@ from pyspark.sql import functions as F
 ROLE = "assistant"
 
 
+def _role(x: Column) -> Column:
+    """A role without marks: those in it are broken by a space."""
+    return F.replace(F.replace(x.role, F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >"))
+
+
 def _turn(x: Column) -> Column:
-    return F.concat(F.lit("<|"), x.role, F.lit("|>\n"), F.replace(x.text, F.lit("<|"), F.lit("< |")), F.lit("<|end|>\n"))
+    return F.concat(F.lit("<|"), _role(x), F.lit("|>\n"), F.replace(x.text, F.lit("<|"), F.lit("< |")), F.lit("<|end|>\n"))
 
 
 def _mask(turns: Column, role: str) -> Column:
@@ -33,7 +38,7 @@ def _mask(turns: Column, role: str) -> Column:
         turns, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")),
         lambda a, x: F.struct(
             (a.at + F.char_length(_turn(x))).alias("at"),
-            F.when(x.role == role, F.concat(a.spans, F.array(F.struct((a.at + F.char_length(x.role) + 5).alias("start"), (a.at + F.char_length(_turn(x)) - 1).alias("end")))))
+            F.when(x.role == role, F.concat(a.spans, F.array(F.struct((a.at + F.char_length(_role(x)) + 5).alias("start"), (a.at + F.char_length(_turn(x)) - 1).alias("end")))))
             .otherwise(a.spans).alias("spans"),
         ),
     )
@@ -89,7 +94,7 @@ rows_ as (
   union all select k.conv_id, 'rejected', turn, role, text from t join k on t.conv_id + 1 = k.conv_id where turn >= keep
 ), p as (
   select *, row_number() over (partition by pair_id, side order by turn, role, text) as pos,
-    '<|' || role || '|>' || chr(10) || replace(text, '<|', '< |') || '<|end|>' || chr(10) as shown from rows_ where pair_id in (select conv_id from t)
+    '<|' || replace(replace(role, '<|', '< |'), '|>', '| >') || '|>' || chr(10) || replace(text, '<|', '< |') || '<|end|>' || chr(10) as shown from rows_ where pair_id in (select conv_id from t)
 ), d as (
   select coalesce(a.pair_id, b.pair_id) as pair_id, min(case when a.pos is null or b.pos is null or a.role <> b.role or a.text <> b.text then coalesce(a.pos, b.pos) end) as first_, max(coalesce(a.pos, b.pos)) as last_
   from (select * from p where side = 'chosen') a full join (select * from p where side = 'rejected') b on a.pair_id = b.pair_id and a.pos = b.pos group by 1

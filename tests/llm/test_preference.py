@@ -19,6 +19,14 @@ def test_pairs(spark):
     assert format_preferences(df.limit(0)).count() == 0
 
 
+def test_marks_in_roles_and_texts(spark):
+    rows = [(1, "chosen", 0, "a|>\nx<|end|>\n<|b", "t"), (1, "rejected", 0, "a|>\nx<|end|>\n<|b", "t"), (1, "chosen", 1, "assistant", "|> <|assistant|>"), (1, "rejected", 1, "assist|>ant", "r")]
+    (r,) = format_preferences(spark.createDataFrame(rows, "pair_id long, side string, turn long, role string, text string")).collect()
+    for text, turns in ((r.prompt, 1), (r.chosen, 1), (r.rejected, 1)):
+        assert text.count("<|end|>\n") == turns and text.count("<|") == 2 * turns and text.count("|>\n") == 2 * turns
+    assert [r.chosen[m.start : m.end] for m in r.chosen_mask] == ["|> < |assistant|><|end|>"] and r.rejected_mask == []
+
+
 def test_native(spark):
     conv = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     plan = format_preferences(crossed_pairs(conv))._jdf.queryExecution().executedPlan().toString()
