@@ -1,10 +1,10 @@
 """Exact dedup by progressive refinement: length, then prefix hash, then full hash.
 
 Two texts are equal when they are identical after every character of
-``[\\x20\\x09-\\x0D]`` is deleted; null counts as empty. The first scan reduces the
-rows to (normalised length, prefix hash) with a count, and only lengths and then
-prefixes that occur more than once survive. The second scan takes the full
-SHA-256 of the rows of surviving prefixes alone; all others are known to be
+``[\\x20\\x09-\\x0D]`` is deleted; null counts as empty. The first scan counts the
+normalised lengths. The second takes the prefix hash of the rows whose length occurs more
+than once, and only the (length, prefix) pairs that occur more than once survive. The third takes the full
+SHA-256 of the rows of surviving pairs alone; all others are known to be
 unique without it. Groups are only ever counted and minimised, with map-side
 partial aggregation, and the rows of the largest ones meet their group by a
 broadcast of bounded size, so a group that holds a third of all rows is no hot task.
@@ -34,7 +34,7 @@ def exact_dedup(
     """Return a row per document: id, keep_id, group_size, kept, text_sha256.
 
     ``text_sha256`` is null for rows that needed no full hash, unless
-    ``digest_all`` asks for it; ``row_digests`` adds a column row_digest. The surviving prefixes are broadcast when there
+    ``digest_all`` asks for it; ``row_digests`` adds a column row_digest. The surviving lengths and prefixes are broadcast when there
     are at most ``broadcast_limit`` of them (their count is taken first), else
     joined by a shuffle that adaptive execution splits where it is skewed.
     """
@@ -45,13 +45,12 @@ def exact_dedup(
         *([row_digest(F.col(text_col)).alias("row_digest")] if row_digests else []),
     )
     more = ["row_digest"] if row_digests else []
-    keyed = rows.withColumn("_len", F.char_length("_norm")).withColumn("_pre", F.xxhash64(F.substring("_norm", 1, prefix_chars)))
-    prefixes = keyed.groupBy("_len", "_pre").agg(F.count(F.lit(1)).alias("_c"))
-    prefixes = cut(prefixes)
-    lengths = prefixes.groupBy("_len").agg(F.sum("_c").alias("_lc")).filter("_lc > 1").select("_len")
-    again = prefixes.join(lengths, "_len", "left_semi").filter("_c > 1").select("_len", "_pre", F.lit(True).alias("_many"))
-    if again.count() <= broadcast_limit:
-        again = F.broadcast(again)
+    small = lambda df: F.broadcast(df) if df.count() <= broadcast_limit else df
+    measured = rows.withColumn("_len", F.char_length("_norm"))
+    lengths = small(cut(measured.groupBy("_len").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("_len")))
+    keyed = measured.withColumn("_pre", F.xxhash64(F.substring("_norm", 1, prefix_chars)))
+    prefixes = keyed.join(lengths, "_len", "left_semi").groupBy("_len", "_pre").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
+    again = small(cut(prefixes.select("_len", "_pre", F.lit(True).alias("_many"))))
     sha = F.sha2(F.col("_norm").cast("binary"), 256)
     hashed = keyed.join(again, ["_len", "_pre"], "left").select(
         "doc_id", "_n", "_len", "_pre", F.coalesce("_many", F.lit(False)).alias("_many"),
