@@ -31,8 +31,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per copy that the mix takes."""
-    return mixing.mix(docs).select(*docs.columns)
+    """A row per copy that the mix takes, dealt by shard and shuffled within it."""
+    return mixing.shuffled(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
