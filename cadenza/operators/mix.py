@@ -2,8 +2,8 @@
 
 A signal is a table (song, voice, chunk, frame0, n_channels, samples): arrays of
 interleaved 16-bit samples. All arithmetic is array functions within a chunk;
-only the sum over voices shuffles, keyed by (song, chunk), and the peak is a
-partial aggregate of one number per song.
+only the sum over voices shuffles, whole arrays keyed by (song, chunk), and the peak is a
+partial aggregate of one number per song. No sample becomes a row.
 """
 
 from __future__ import annotations
@@ -18,14 +18,19 @@ TOP = 32767
 
 
 def to_chunks(frames: DataFrame, n_channels: int = 1, size: int = CHUNK) -> DataFrame:
-    """Chunks of rows (song, voice, frame, channel, sample); places without a row are 0."""
+    """Chunks of rows (song, voice, frame, channel, sample); places without a row are 0.
+
+    One shuffle by chunk brings the rows together; the gaps between them are filled within the array.
+    """
     at = (F.col("frame") % size * n_channels + F.col("channel")).cast("int")
-    own = frames.select("song", "voice", F.floor(F.col("frame") / size).alias("chunk"), at.alias("k"), F.col("sample").cast("long").alias("s"))
-    top = own.groupBy("song", "voice", "chunk").agg((F.ceil((F.max("k") + 1) / n_channels) * n_channels).cast("int").alias("n"))
-    rest = top.select("song", "voice", "chunk", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"), F.lit(0).cast("long").alias("s"))
-    full = own.unionByName(rest).groupBy("song", "voice", "chunk", "k").agg(F.sum("s").alias("s"))
-    got = full.groupBy("song", "voice", "chunk").agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("a"))
-    return got.select("song", "voice", "chunk", (F.col("chunk") * size).alias("frame0"), F.lit(n_channels).alias("n_channels"), F.transform("a", lambda x: x.s).alias("samples"))
+    own = frames.select("song", "voice", F.floor(F.col("frame") / size).alias("chunk"), at.alias("k"), F.col("sample").cast("long").alias("s")).repartition("song", "voice", "chunk")
+    summed = own.groupBy("song", "voice", "chunk", "k").agg(F.sum("s").alias("s"))
+    got = summed.groupBy("song", "voice", "chunk").agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("a"))
+    zeros = lambda n: F.array_repeat(F.lit(0).cast("long"), n.cast("int"))
+    filled = F.flatten(F.transform("a", lambda x, i: F.concat(zeros(x.k - F.coalesce(F.get("a", i - 1).k, F.lit(-1)) - 1), F.array(x.s))))
+    tail = zeros(F.pmod(-F.size("filled"), F.lit(n_channels)))
+    got = got.withColumn("filled", filled).withColumn("samples", F.concat("filled", tail))
+    return got.select("song", "voice", "chunk", (F.col("chunk") * size).alias("frame0"), F.lit(n_channels).alias("n_channels"), "samples")
 
 
 def peak(pcm: DataFrame) -> DataFrame:
@@ -44,35 +49,40 @@ def _scaled(samples: Column, gain: Column) -> Column:
 
 
 def _sum_chunks(chunks: DataFrame) -> DataFrame:
-    """Sum of ``samples`` over the rows of (song, chunk): places are exploded, partially summed and gathered again."""
-    place = chunks.select("song", "chunk", "frame0", "n_channels", F.posexplode("samples").alias("i", "s"))
-    total = place.groupBy("song", "chunk", "frame0", "n_channels", "i").agg(F.sum("s").alias("s"))
-    got = total.groupBy("song", "chunk", "frame0", "n_channels").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("a"))
-    return got.withColumn("samples", F.transform("a", lambda x: x.s)).drop("a")
+    """Sum of ``samples`` over the rows of (song, chunk): the arrays of its voices are added place by place, shorter ones as if zeros followed."""
+    plus = lambda a, b: F.zip_with(a, b, lambda p, q: F.coalesce(p, F.lit(0).cast("long")) + F.coalesce(q, F.lit(0).cast("long")))
+    got = chunks.groupBy("song", "chunk", "frame0", "n_channels").agg(F.collect_list("samples").alias("a"))
+    return got.withColumn("samples", F.aggregate(F.slice("a", F.lit(2), F.size("a")), F.get("a", F.lit(0)), plus)).drop("a")
 
 
-def mix(pcm: DataFrame, settings: DataFrame, amplification: float = 0.0, low_peak: int = 3276) -> DataFrame:
+def mix(pcm: DataFrame, settings: DataFrame, amplification: float = 0.0, low_peak: int = 3276, levels: DataFrame | None = None) -> DataFrame:
     """(song, chunk, frame0, n_channels, samples): voices with their gain (song, voice, volume in dB), summed, scaled and clipped.
 
     Gains are fixed point over 1024. A sum that reaches ``low_peak`` is scaled so that its
     peak becomes full scale times the amplification; a lower one is left alone.
+    ``levels`` (song, amplification) has amplifications of single songs.
     """
-    gain = L.fixed_point(L.db_to_gain(F.coalesce("volume", F.lit(0.0))))
-    got = pcm.join(settings.select("song", "voice", "volume"), ["song", "voice"], "left").withColumn("samples", _scaled(F.col("samples"), gain))
-    summed = _sum_chunks(got)
-    top = summed.join(peak(summed), "song")
-    factor = F.when(F.col("peak") >= low_peak, F.lit(TOP * 2.0 ** (amplification / 6.0206)) / F.col("peak")).otherwise(1.0)
-    return top.withColumn("samples", F.transform("samples", lambda s: L.clip(F.bround(s * factor).cast("long"), -TOP, TOP))).drop("peak")
+    # factors are columns of the small side of a join, so that they are computed once and not for every sample
+    gain = L.fixed_point(L.db_to_gain(F.coalesce("volume", F.lit(0.0)))).cast("long")
+    got = pcm.join(settings.select("song", "voice", gain.alias("_gain")), ["song", "voice"], "left").withColumn("_gain", F.coalesce("_gain", F.lit(1024).cast("long")))
+    summed = _sum_chunks(got.withColumn("samples", _scaled(F.col("samples"), F.col("_gain"))))
+    tops = peak(summed) if levels is None else peak(summed).join(levels, "song", "left")
+    level = F.lit(float(amplification)) if levels is None else F.coalesce("amplification", F.lit(float(amplification)))
+    factor = F.when(F.col("peak") >= low_peak, F.lit(float(TOP)) * F.pow(F.lit(2.0), level / 6.0206) / F.col("peak")).otherwise(1.0)
+    top = summed.join(tops.select("song", factor.alias("_factor")), "song")
+    return top.withColumn("samples", F.transform("samples", lambda s: L.clip(F.bround(s * F.col("_factor")).cast("long"), -TOP, TOP))).drop("_factor")
 
 
 def pan_stereo(pcm: DataFrame, pans: DataFrame) -> DataFrame:
     """Stereo chunks with the left and right factors of (song, voice, pan); mono is doubled."""
-    got = pcm.join(pans.select("song", "voice", "pan"), ["song", "voice"], "left").withColumn("_b", L.balance(F.coalesce("pan", F.lit(0.0))))
-    ll, rr = L.fixed_point(F.col("_b.ll")), L.fixed_point(F.col("_b.rr"))
+    b = L.balance(F.coalesce("pan", F.lit(0.0)))
+    own = pans.select("song", "voice", L.fixed_point(b.ll).cast("long").alias("_l"), L.fixed_point(b.rr).cast("long").alias("_r"))
+    got = pcm.join(own, ["song", "voice"], "left")
+    ll, rr = (F.coalesce(c, F.lit(1024).cast("long")) for c in ("_l", "_r"))
     side = lambda s, g: F.shiftright(s.cast("long") * g, 10)
     mono = F.flatten(F.transform("samples", lambda s: F.array(side(s, ll), side(s, rr))))
     stereo = F.transform("samples", lambda s, i: F.when(i % 2 == 0, side(s, ll)).otherwise(side(s, rr)))
-    return got.withColumn("samples", F.when(F.col("n_channels") == 1, mono).otherwise(stereo)).withColumn("n_channels", F.lit(2)).drop("_b", "pan")
+    return got.withColumn("samples", F.when(F.col("n_channels") == 1, mono).otherwise(stereo)).withColumn("n_channels", F.lit(2)).drop("_l", "_r", "pan")
 
 
 def mix_variants(groups: DataFrame) -> DataFrame:
@@ -95,18 +105,35 @@ def shift_cues(cues: DataFrame, seconds: float) -> DataFrame:
 
 
 def rechunk(pcm: DataFrame, size: int = CHUNK) -> DataFrame:
-    """Chunks on the grid of ``size`` frames again, after frame offsets have moved."""
-    place = pcm.select("song", "voice", "n_channels", "frame0", F.posexplode("samples").alias("i", "s"))
-    frame = F.col("frame0") + F.floor(F.col("i") / F.col("n_channels"))
-    place = place.select("song", "voice", "n_channels", frame.alias("frame"), (F.col("i") % F.col("n_channels")).alias("channel"), "s")
-    got = place.groupBy("song", "voice", "n_channels", F.floor(F.col("frame") / size).alias("chunk")).agg(F.min("frame").alias("frame0"), F.array_sort(F.collect_list(F.struct("frame", "channel", "s"))).alias("a"))
-    return got.withColumn("samples", F.transform("a", lambda x: x.s)).drop("a")
+    """Chunks on the grid of ``size`` frames again, after frame offsets have moved: slices of the old chunks, joined in order, with zeros where no chunk is."""
+    end = F.col("frame0") + F.floor(F.size("samples") / F.col("n_channels")) - 1
+    part = pcm.filter(F.size("samples") > 0).withColumn("chunk", F.explode(F.sequence(F.floor(F.col("frame0") / size), F.floor(end / size))))
+    first = F.greatest(F.col("frame0"), F.col("chunk") * size)
+    start, stop = (first - F.col("frame0")) * F.col("n_channels"), ((F.col("chunk") + 1) * size - F.col("frame0")) * F.col("n_channels")
+    cut = F.slice("samples", (start + 1).cast("int"), (F.least(stop, F.size("samples")) - start).cast("int"))
+    part = part.select("song", "voice", "n_channels", "chunk", F.struct(first.alias("frame"), cut.alias("samples")).alias("x"))
+    got = part.groupBy("song", "voice", "n_channels", "chunk").agg(F.array_sort(F.collect_list("x")).alias("a"))
+    got = got.withColumn("frame0", F.get("a", F.lit(0)).frame)
+    # a chunk may end before the next one begins: zeros lie between
+    zeros = lambda have, x: F.array_repeat(F.lit(0).cast("long"), ((x.frame - F.col("frame0")) * F.col("n_channels") - F.size(have)).cast("int"))
+    joined = F.aggregate("a", F.array().cast("array<bigint>"), lambda have, x: F.concat(have, zeros(have, x), x.samples.cast("array<bigint>")))
+    return got.select("song", "voice", "n_channels", "chunk", "frame0", joined.alias("samples"))
+
+
+def intersect_voices(a: DataFrame, b: DataFrame, keys: tuple = ("song", "voice")) -> DataFrame:
+    """The voices, once each, that both have."""
+    return a.select(*keys).distinct().join(b.select(*keys).distinct(), list(keys), "left_semi")
+
+
+def subtract_voices(a: DataFrame, b: DataFrame, keys: tuple = ("song", "voice")) -> DataFrame:
+    """The voices, once each, of the first that the second lacks."""
+    return a.select(*keys).distinct().join(b.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def expand_groups(audio_tracks: DataFrame, groups: DataFrame, voices: DataFrame) -> DataFrame:
-    """(track, voice): an audio track's groups to their voices, once each, of those the song has; unknown groups vanish."""
-    got = audio_tracks.select("track", F.explode("groups").alias("group")).join(groups, "group")
-    return got.join(voices, "voice", "left_semi").select("track", "voice").distinct()
+    """(song, track, voice): an audio track's groups to their voices, once each, of those that a song (song, voice) has; unknown groups vanish."""
+    got = audio_tracks.select("track", F.explode("groups").alias("group")).join(groups.select("group", "voice").distinct(), "group").select("track", "voice").distinct()
+    return voices.select("song", "voice").distinct().join(got, "voice").select("song", "track", "voice")
 
 
 def fill_template(template: Column, value: Column) -> Column:
@@ -124,12 +151,23 @@ def add_parallel_track(mix: DataFrame, extra: DataFrame) -> DataFrame:
     return mix.unionByName(extra.withColumn("pan", F.lit(0.0)))
 
 
-def mixdown(pcm: DataFrame, audio_tracks: DataFrame, groups: DataFrame, voices: DataFrame, amplification: float = 0.0) -> DataFrame:
-    """Mixes of all audio tracks: groups expanded, pans filled and applied, voices summed.
+def mixdown(pcm: DataFrame, audio_tracks: DataFrame, groups: DataFrame, voices: DataFrame, settings: DataFrame | None = None) -> DataFrame:
+    """Mixes of all audio tracks: groups expanded, settings and pans filled and applied, voices summed.
 
-    Voices: (voice, volume, pan); the result has a song per (song, track).
+    Audio tracks: (track, groups[, amplification]); voices: (song, voice, pan); ``settings``: (track, voice, volume,
+    pan), where a missing row is 0 dB and a missing pan is the voice's. The result has a song per (song, track).
     """
-    chosen = fill_pan(expand_groups(audio_tracks, groups, voices).join(voices.select("voice", "volume"), "voice").withColumn("pan", F.lit(None).cast("double")), voices)
-    got = pcm.join(chosen, "voice").withColumn("song", F.concat_ws("/", F.col("song").cast("string"), "track"))
-    settings = got.select("song", "voice", "volume", "pan").distinct()
-    return mix(pan_stereo(got.drop("volume", "pan", "track"), settings), settings, amplification)
+    chosen = expand_groups(audio_tracks, groups, voices)
+    if settings is None:
+        chosen = chosen.withColumns({"volume": F.lit(0.0), "pan": F.lit(None).cast("double")})
+    else:
+        chosen = chosen.join(settings.select("track", "voice", "volume", "pan"), ["track", "voice"], "left")
+    own = voices.select("song", "voice", F.col("pan").alias("_pan"))
+    chosen = chosen.join(own, ["song", "voice"]).withColumn("pan", F.coalesce("pan", "_pan", F.lit(0.0))).drop("_pan")
+    name = F.concat_ws("/", F.col("song").cast("string"), "track")
+    got = pcm.join(chosen, ["song", "voice"]).withColumn("song", name)
+    chosen = chosen.select(name.alias("song"), "track", "voice", "volume", "pan")
+    levels = None
+    if "amplification" in audio_tracks.columns:
+        levels = chosen.select("song", "track").distinct().join(audio_tracks.select("track", "amplification"), "track").select("song", "amplification")
+    return mix(pan_stereo(got.drop("volume", "pan", "track"), chosen), chosen, levels=levels)

@@ -6,23 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Ticks per quarter of the bound songs.
 TPQ = 96
+# Songs are ranges of keys, so their number grows with the tables and their size does not.
 
 _SPARK = {
     "notes": """
-        select user_id % 10 as song, event_type as track, event_id as seq, timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) div 60000000 as midi_time,
+        select cast(user_id div 10 as bigint) as song, event_type as track, event_id as seq, timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) div 60000000 as midi_time,
           case when event_id % 2 = 0 then 'On' else 'Off' end as kind, 36 + (event_id div 2) % 4 as pitch, 1 + cast(floor(value) as bigint) % 127 as velocity
         from {events}""",
     "samples": """
-        select l_orderkey % 10 as song, concat(l_returnflag, l_linestatus) as voice, cast(l_linenumber % 2 as int) as channel, l_orderkey div 10 as frame,
+        select cast(l_orderkey div 6000 as bigint) as song, concat(l_returnflag, l_linestatus) as voice, cast(l_linenumber % 2 as int) as channel, cast(l_orderkey % 6000 as bigint) as frame,
           sum(cast(l_extendedprice as bigint) % 20001 - 10000) as sample
         from {lineitem} group by 1, 2, 3, 4""",
     "lines": r"select doc_id, p + 1 as linenum, line from {documents} lateral view posexplode(split(text, '\n')) x as p, line",
     "changes": """
-        select o_custkey % 10 as song, 1 + o_orderkey % 100 as from_measure, cast(max(60 + floor(o_totalprice) % 120) as double) as tempo
-        from {orders} where o_orderkey % 7 = 0 group by 1, 2""",
+        select cast(o_custkey div 100 as bigint) as song, 1 + o_orderkey % 100 as from_measure, cast(max(60 + floor(o_totalprice) % 120) as double) as tempo
+        from {orders} group by 1, 2""",
     # events of a song with the columns of the event table
     "midi": """
-        select user_id % 10 as song, cast(user_id % 5 as int) as track_no,
+        select cast(user_id div 10 as bigint) as song, cast(user_id % 5 as int) as track_no,
           concat(case user_id % 5 when 0 then 'control' when 1 then 'vocalsTop' when 2 then 'drums' when 3 then 'guitarA' else 'new:1' end) as track, event_id as seq,
           timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) div 60000000 as midi_time,
           case event_type when 'click' then 'Par' when 'view' then 'On' when 'purchase' then 'Off' when 'signup' then 'PrCh' else 'Meta' end as kind,
@@ -35,19 +36,19 @@ _SPARK = {
 }
 _DUCK = {
     "notes": """
-        select user_id % 10 as song, event_type as track, event_id as seq, cast(floor((epoch_us(ts) - 1704067200000000) / 60000000.0) as bigint) as midi_time,
+        select cast(user_id // 10 as bigint) as song, event_type as track, event_id as seq, cast(floor((epoch_us(ts) - 1704067200000000) / 60000000.0) as bigint) as midi_time,
           case when event_id % 2 = 0 then 'On' else 'Off' end as kind, 36 + (event_id // 2) % 4 as pitch, 1 + cast(floor(value) as bigint) % 127 as velocity
         from events""",
     "samples": """
-        select l_orderkey % 10 as song, concat(l_returnflag, l_linestatus) as voice, cast(l_linenumber % 2 as int) as channel, l_orderkey // 10 as frame,
+        select cast(l_orderkey // 6000 as bigint) as song, concat(l_returnflag, l_linestatus) as voice, cast(l_linenumber % 2 as int) as channel, cast(l_orderkey % 6000 as bigint) as frame,
           cast(sum(cast(trunc(l_extendedprice) as bigint) % 20001 - 10000) as bigint) as sample
         from lineitem group by 1, 2, 3, 4""",
     "lines": "select doc_id, cast(linenum as int) as linenum, s[linenum] as line from (select doc_id, string_split(text, chr(10)) as s, unnest(range(1, len(string_split(text, chr(10))) + 1)) as linenum from documents)",
     "changes": """
-        select o_custkey % 10 as song, 1 + o_orderkey % 100 as from_measure, cast(max(60 + floor(o_totalprice)::bigint % 120) as double) as tempo
-        from orders where o_orderkey % 7 = 0 group by 1, 2""",
+        select cast(o_custkey // 100 as bigint) as song, 1 + o_orderkey % 100 as from_measure, cast(max(60 + floor(o_totalprice)::bigint % 120) as double) as tempo
+        from orders group by 1, 2""",
     "midi": """
-        select user_id % 10 as song, cast(user_id % 5 as int) as track_no,
+        select cast(user_id // 10 as bigint) as song, cast(user_id % 5 as int) as track_no,
           case user_id % 5 when 0 then 'control' when 1 then 'vocalsTop' when 2 then 'drums' when 3 then 'guitarA' else 'new:1' end as track, event_id as seq,
           cast(floor((epoch_us(ts) - 1704067200000000) / 60000000.0) as bigint) as midi_time,
           case event_type when 'click' then 'Par' when 'view' then 'On' when 'purchase' then 'Off' when 'signup' then 'PrCh' else 'Meta' end as kind,

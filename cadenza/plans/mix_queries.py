@@ -66,24 +66,24 @@ def _shift(spark, sf):
 
 
 _TRACKS = """, tracks as (select distinct o_orderpriority as track, o_orderstatus as "group" from orders),
-groups as (select distinct o_orderstatus as "group", l_returnflag || l_linestatus as voice from lineitem join orders on l_orderkey = o_orderkey where l_quantity > 49),
-chosen as (select distinct track, voice from tracks join groups using ("group") where voice in (select voice from samples where song < 3))
+groups as (select distinct o_orderstatus as "group", l_returnflag || l_linestatus as voice from lineitem join orders on l_orderkey = o_orderkey),
+chosen as (select distinct s.song, track, voice from tracks join groups using ("group") join (select distinct song, voice from samples) s using (voice))
 """
 
 
 def tracks(spark, sf):
-    return bound(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("track")).agg(F.collect_set("o_orderstatus").alias("groups"))
+    t = bound(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("track")).agg(F.collect_set("o_orderstatus").alias("groups"))
+    return t.withColumn("amplification", (F.length("track") % 3).cast("double") - 1)
 
 
 def groups(spark, sf):
-    li = bound(spark, sf, "lineitem").filter("l_quantity > 49")
+    li = bound(spark, sf, "lineitem")
     return li.join(bound(spark, sf, "orders"), li.l_orderkey == F.col("o_orderkey")).select(F.col("o_orderstatus").alias("group"), F.concat("l_returnflag", "l_linestatus").alias("voice")).distinct()
 
 
-@query("expand_groups", duck("samples") + _TRACKS + "select track, voice, replace('mix-$.wav', '$', track) as file from chosen")
+@query("expand_groups", duck("samples") + _TRACKS + "select song, track, voice, replace('mix-$.wav', '$', track) as file from chosen")
 def _expand(spark, sf):
-    voices = bound(spark, sf, "samples").filter("song < 3").select("voice").distinct()
-    return M.expand_groups(tracks(spark, sf), groups(spark, sf), voices).select("track", "voice", M.fill_template(F.lit("mix-$.wav"), F.col("track")).alias("file"))
+    return M.expand_groups(tracks(spark, sf), groups(spark, sf), bound(spark, sf, "samples")).select("song", "track", "voice", M.fill_template(F.lit("mix-$.wav"), F.col("track")).alias("file"))
 
 
 @query("fill_pan", duck("samples") + ", v as (select distinct song, voice from samples) select song, voice, coalesce(case when song % 2 = 0 then 0.125::double end, case voice when 'AF' then -0.25::double when 'RF' then 0.5::double end, 0.0) as pan from v")
@@ -98,22 +98,26 @@ def _parallel(spark, sf):
     return M.add_parallel_track(v, v.select("song").distinct().select("song", F.lit("parallel").alias("voice"), F.lit(1.5).alias("volume")))
 
 
-@query("voice_sets", duck("samples") + ", a as (select distinct voice from samples where song = 1 and frame % 3 = 0), b as (select distinct voice from samples where song = 2 and frame % 7 = 0) select voice, 'both' as kind from (select * from a intersect select * from b) union all select voice, 'left' from (select * from a except select * from b)")
+_TWO = "with a as (select distinct o_custkey // 100 as song, o_orderpriority || o_orderkey % 40 as voice from orders where o_orderstatus = 'F'), b as (select distinct o_custkey // 100 as song, o_orderpriority || o_orderkey % 40 as voice from orders where o_orderstatus <> 'F') "
+
+
+@query("voice_sets", _TWO + "select song, voice, 'both' as kind from (select * from a intersect select * from b) union all select song, voice, 'left' from (select * from a except select * from b)")
 def _sets(spark, sf):
-    s = bound(spark, sf, "samples")
-    a, b = s.filter("song = 1 and frame % 3 = 0").select("voice").distinct(), s.filter("song = 2 and frame % 7 = 0").select("voice").distinct()
-    return a.intersect(b).withColumn("kind", F.lit("both")).unionByName(a.exceptAll(b).withColumn("kind", F.lit("left")))
+    o = bound(spark, sf, "orders").selectExpr("o_custkey div 100 as song", "concat(o_orderpriority, o_orderkey % 40) as voice", "o_orderstatus")
+    a, b = o.filter("o_orderstatus = 'F'"), o.filter("o_orderstatus <> 'F'")
+    return M.intersect_voices(a, b).withColumn("kind", F.lit("both")).unionByName(M.subtract_voices(a, b).withColumn("kind", F.lit("left")))
 
 
-_PANS = "case voice when 'AF' then -0.25::double when 'RF' then 0.5::double else 0.0::double end"
+_PANS = "case voice when 'AF' then -0.25::double when 'RF' then 0.5::double end"
 
 
-@query("mixdown", _DENSE + _TRACKS.replace("where song < 3", "") + f""", part as (select d.song || '/' || track as song, d.chunk, d.frame, d.channel, ((d.sample * round_even(case when d.channel = 0 then case when p < 0 then 1.0::double else 1 - p end else case when p > 0 then 1.0::double else 1 + p end end * 1024, 0)::bigint) >> 10) * g >> 10 as s
-  from (select *, {_PANS} as p, round_even(pow(10.0, {_VOLUME} / 20) * 1024, 0)::bigint as g from dense) d join chosen using (voice)),
-summed as (select song, chunk, frame, channel, sum(s)::bigint as s from part group by 1, 2, 3, 4),
+@query("mixdown", _DENSE + _TRACKS + f""", part as (select d.song || '/' || track as song, length(track) % 3 - 1 as amp, d.chunk, d.frame, d.channel, ((d.sample * round_even(case when d.channel = 0 then case when p < 0 then 1.0::double else 1 - p end else case when p > 0 then 1.0::double else 1 + p end end * 1024, 0)::bigint) >> 10) * g >> 10 as s
+  from (select d.*, track, coalesce(case when voice <> 'NO' and length(track || voice) % 2 = 0 then 0.25::double end, {_PANS}, 0.0::double) as p, round_even(pow(10.0, case when voice = 'NO' then 0.0::double else (length(track) % 5)::double - 2 end / 20) * 1024, 0)::bigint as g from dense d join chosen using (song, voice)) d),
+summed as (select song, chunk, frame, channel, any_value(amp) as amp, sum(s)::bigint as s from part group by 1, 2, 3, 4),
 tops as (select song, max(abs(s)) as peak from summed group by 1),
-mixed as (select song, chunk, frame, channel, greatest(least(round_even(s * case when peak >= 3276 then 32767.0::double / peak else 1.0::double end, 0)::bigint, 32767), -32767) as s from summed join tops using (song))
+mixed as (select song, chunk, frame, channel, greatest(least(round_even(s * case when peak >= 3276 then 32767.0::double * pow(2.0, amp::double / 6.0206) / peak else 1.0::double end, 0)::bigint, 32767), -32767) as s from summed join tops using (song))
 """ + _DIGEST)
 def _mixdown(spark, sf):
-    voices = volumes(spark, sf).select("voice", "volume", "pan").distinct()
-    return _digest(M.mixdown(chunks(spark, sf), tracks(spark, sf), groups(spark, sf), voices))
+    pairs = tracks(spark, sf).select("track", F.explode("groups").alias("group")).join(groups(spark, sf), "group").select("track", "voice").distinct().filter("voice != 'NO'")
+    settings = pairs.select("track", "voice", ((F.length("track") % 5).cast("double") - 2).alias("volume"), F.when((F.length("track") + F.length("voice")) % 2 == 0, 0.25).alias("pan"))
+    return _digest(M.mixdown(chunks(spark, sf), tracks(spark, sf), groups(spark, sf), volumes(spark, sf), settings))

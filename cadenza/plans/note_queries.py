@@ -13,8 +13,8 @@ from cadenza.operators.mix import shift_cues
 from .bindings import TPQ, bound, duck
 from .registry import query
 
-_SIG_SPARK = "select o_custkey % 10 as song, o_orderkey % 60 * 192 as time, max(2 + o_orderkey % 5) as num, max(case when o_orderkey % 3 = 0 then 8 else 4 end) as den from {orders} where o_orderkey % 11 = 0 group by 1, 2"
-_SIG = "select o_custkey % 10 as song, o_orderkey % 60 * 192 as time, max(2 + o_orderkey % 5)::bigint as num, max(case when o_orderkey % 3 = 0 then 8 else 4 end)::bigint as den from orders where o_orderkey % 11 = 0 group by 1, 2"
+_SIG_SPARK = "select cast(o_custkey div 100 as bigint) as song, o_orderkey % 60 * 192 as time, max(2 + o_orderkey % 5) as num, max(case when o_orderkey % 3 = 0 then 8 else 4 end) as den from {orders} group by 1, 2"
+_SIG = "select cast(o_custkey // 100 as bigint) as song, o_orderkey % 60 * 192 as time, max(2 + o_orderkey % 5)::bigint as num, max(case when o_orderkey % 3 = 0 then 8 else 4 end)::bigint as den from orders group by 1, 2"
 
 
 def signatures(spark, sf):
@@ -182,14 +182,14 @@ def _voice(spark, sf):
 
 
 def track_settings(spark, sf):
-    """Settings of the voices, from the suppliers of a nation."""
-    s = bound(spark, sf, "supplier").filter("s_nationkey < 3").withColumn("track", F.element_at(F.array(F.lit("vocals"), F.lit("drums"), F.lit("guitar")), F.col("s_nationkey") + 1))
+    """Settings of the voices, from all suppliers by their nations."""
+    s = bound(spark, sf, "supplier").withColumn("track", F.element_at(F.array(F.lit("vocals"), F.lit("drums"), F.lit("guitar")), F.least(F.col("s_nationkey"), F.lit(2)).cast("int") + 1))
     top = s.groupBy("track").agg(F.max("s_suppkey").alias("k"))
     value = lambda m: (F.col("k") * m % 200 - 20).cast("int")
     return N.clamp_track_settings(top.select("track", value(3).alias("channel"), (F.col("k") * 97).cast("int").alias("bank"), value(7).alias("program"), value(11).alias("volume"), value(13).alias("pan"), value(17).alias("reverb")))
 
 
-_SETTINGS = """, raw as (select case s_nationkey when 0 then 'vocals' when 1 then 'drums' else 'guitar' end as track, max(s_suppkey) as k from supplier where s_nationkey < 3 group by 1),
+_SETTINGS = """, raw as (select case s_nationkey when 0 then 'vocals' when 1 then 'drums' else 'guitar' end as track, max(s_suppkey) as k from supplier group by 1),
 settings as (select track, greatest(least(k * 3 % 200 - 20, 15), 0)::int as channel, greatest(least(k * 97, 16383), 0)::int as bank, greatest(least(k * 7 % 200 - 20, 127), 0)::int as program,
   greatest(least(k * 11 % 200 - 20, 127), 0)::int as volume, greatest(least(k * 13 % 200 - 20, 127), 0)::int as pan, greatest(least(k * 17 % 200 - 20, 127), 0)::int as reverb from raw)
 """
@@ -298,14 +298,14 @@ def _durations(spark, sf):
     return durations(spark, sf).select("song", "measure", "tempo", F.round("seconds", 9).alias("seconds"))
 
 
-_PAGES = """, pages as (select o_custkey % 10 as song, o_orderkey % 30 as page, min(o_orderkey % 30 * 4 + 1) as first_measure from orders group by 1, 2),
+_PAGES = """, pages as (select cast(o_custkey // 100 as bigint) as song, o_orderkey % 30 as page, min(o_orderkey % 30 * 4 + 1) as first_measure from orders group by 1, 2),
 pr as (select *, row_number() over (partition by song order by page) as r, lead(page) over (partition by song order by page) as nxt from pages),
 pd as (select d.song, p.page, sum(seconds) as seconds from durations d asof join (select song, page, nxt, case when r = 1 then -1000000 else first_measure end as fm from pr) p on d.song = p.song and d.measure >= p.fm where p.nxt is not null group by 1, 2)
 """
 
 
 def pages(spark, sf):
-    return bound(spark, sf, "orders").groupBy((F.col("o_custkey") % 10).alias("song"), (F.col("o_orderkey") % 30).alias("page")).agg(F.min(F.col("o_orderkey") % 30 * 4 + 1).alias("first_measure"))
+    return bound(spark, sf, "orders").groupBy(F.expr("cast(o_custkey div 100 as bigint)").alias("song"), (F.col("o_orderkey") % 30).alias("page")).agg(F.min(F.col("o_orderkey") % 30 * 4 + 1).alias("first_measure"))
 
 
 @query("page_durations", _DURATIONS + _PAGES + "select song, page, round(seconds, 6) as seconds from pd")
@@ -325,12 +325,12 @@ def _quantize(spark, sf):
     return G.quantize(G.page_durations(pages(spark, sf), durations(spark, sf)), 24.0).select("song", "page", "frames")
 
 
-@query("style_in_force", duck("notes") + """, p as (select distinct song, midi_time // 384 - 1 as measure from notes), s as (select o_custkey % 10 as song, o_orderkey % 40 - 2 as from_measure, max('style' || o_orderkey % 9) as style from orders where o_orderkey % 13 = 0 group by 1, 2)
+@query("style_in_force", duck("notes") + """, p as (select distinct song, midi_time // 384 - 1 as measure from notes), s as (select cast(o_custkey // 100 as bigint) as song, o_orderkey % 40 - 2 as from_measure, max('style' || o_orderkey % 9) as style from orders group by 1, 2)
 select p.song, p.measure, case when p.measure <= 1 then coalesce(o.style, 'default') else coalesce(c.style, 'default') end as style from p asof left join (select * from s where from_measure >= 1) c on p.song = c.song and p.measure >= c.from_measure left join s o on p.song = o.song and p.measure = o.from_measure""")
 def _styles(spark, sf):
     points = bound(spark, sf, "notes").select("song", (F.floor(F.col("midi_time") / 384) - 1).alias("measure")).distinct()
-    o = bound(spark, sf, "orders").filter("o_orderkey % 13 = 0")
-    s = o.groupBy((F.col("o_custkey") % 10).alias("song"), (F.col("o_orderkey") % 40 - 2).alias("from_measure")).agg(F.max(F.concat(F.lit("style"), (F.col("o_orderkey") % 9).cast("string"))).alias("style"))
+    o = bound(spark, sf, "orders")
+    s = o.groupBy(F.expr("cast(o_custkey div 100 as bigint)").alias("song"), (F.col("o_orderkey") % 40 - 2).alias("from_measure")).agg(F.max(F.concat(F.lit("style"), (F.col("o_orderkey") % 9).cast("string"))).alias("style"))
     return G.style_in_force(points, s).select("song", "measure", "style")
 
 

@@ -32,13 +32,13 @@ def _names(spark, sf):
 @query("text_functions", r"""with x as (select p_partkey, p_name || ' = ' || p_brand || chr(10) || ' = x' as t, '''"' || p_name || '"''' as q from part)
 select p_partkey, array_to_string(list_transform(string_split(t, '='), lambda s: trim(s, ' ')), '|') as parts, split_part(t, '=', 1) as head, substr(t, instr(t, '=') + 1) as tail,
   regexp_replace(regexp_replace(q, '^''(.*)''$', '\1', 's'), '^"(.*)"$', '\1', 's') as bare, case when length(t) > 12 then substr(t, 1, 11) || '…' else t end as short, replace(t, chr(10), '#') as line,
-  array_to_string(list_transform(regexp_extract_all(substr(p_name, 1, 4), '.'), lambda s: printf('%02X', unicode(s))), '') as codes from x join part using (p_partkey)""")
+  array_to_string(list_transform(regexp_extract_all(p_name, '.'), lambda s: printf('%02X', unicode(s))), '') as codes from x join part using (p_partkey)""")
 def _text(spark, sf):
     t = F.concat("p_name", F.lit(" = "), "p_brand", F.lit("\n = x"))
     once = L.split_once(t, "=")
     return bound(spark, sf, "part").select(
         "p_partkey", F.array_join(L.split_trim(t, "="), "|").alias("parts"), once.head.alias("head"), once.tail.alias("tail"), L.strip_quotes(F.concat(F.lit("'\""), "p_name", F.lit("\"'"))).alias("bare"),
-        L.shorten(t, 12).alias("short"), L.one_line(t).alias("line"), L.to_hex(F.substring("p_name", 1, 4)).alias("codes"),
+        L.shorten(t, 12).alias("short"), L.one_line(t).alias("line"), L.to_hex(F.col("p_name")).alias("codes"),
     )
 
 
@@ -55,10 +55,10 @@ def _infer(spark, sf):
     return got.select("song", "line", "value_type", F.coalesce("value_long", F.lit(-1)).alias("value_long"), F.coalesce("value_double", F.lit(-1.0)).alias("value_double"), "value_bool")
 
 
-@query("tokenize", duck("lines") + r""", q as (select doc_id, linenum, substr(line, 1, 60) || ' "a b" c''d e''f' as t from lines)
+@query("tokenize", duck("lines") + r""", q as (select doc_id, linenum, line || ' "a b" c''d e''f' as t from lines)
 select doc_id, linenum, array_to_string(regexp_extract_all(t, '(?:[^ ''"]|''[^'']*''|"[^"]*")+'), '|') as tokens from q""")
 def _tokens(spark, sf):
-    t = F.concat(F.substring("line", 1, 60), F.lit(" \"a b\" c'd e'f"))
+    t = F.concat(F.col("line"), F.lit(" \"a b\" c'd e'f"))
     return bound(spark, sf, "lines").select("doc_id", "linenum", F.array_join(L.tokenize(t), "|").alias("tokens"))
 
 

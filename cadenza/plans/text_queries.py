@@ -31,11 +31,11 @@ def _section(spark, sf):
 
 
 CLEAN = r"""regexp_replace(f[%d], '^ *"(.*)" *$', '\1', 's')"""
-_TSV_SPARK = "case when linenum % 9 = 1 then concat('TABLE t', linenum) when linenum % 9 = 2 then 'a\tb\tc' when linenum % 9 = 5 then concat('x\ty\t\"', substr(replace(line, '\"', ''), 1, 20)) when linenum % 9 = 6 then 'rest\"' when linenum % 9 = 7 then '# no' when linenum % 9 = 8 then 'only\ttwo' else concat(substr(replace(replace(line, '\"', ''), '#', ''), 1, 30), '\tq\tr') end"
+_TSV_SPARK = "case when linenum % 9 = 1 then concat('TABLE t', linenum) when linenum % 9 = 2 then 'a\tb\tc' when linenum % 9 = 5 then concat('x\ty\t\"', replace(line, '\"', '')) when linenum % 9 = 6 then 'rest\"' when linenum % 9 = 7 then '# no' when linenum % 9 = 8 then 'only\ttwo' else concat(replace(replace(line, '\"', ''), '#', ''), '\tq\tr') end"
 
 
-@query("multi_tables", duck("lines") + r""", t as (select doc_id, linenum, case when linenum % 9 = 1 then 'TABLE t' || linenum when linenum % 9 = 2 then 'a' || tab || 'b' || tab || 'c' when linenum % 9 = 5 then 'x' || tab || 'y' || tab || '"' || substr(replace(line, '"', ''), 1, 20)
-  when linenum % 9 = 6 then 'rest"' when linenum % 9 = 7 then '# no' when linenum % 9 = 8 then 'only' || tab || 'two' else substr(replace(replace(line, '"', ''), '#', ''), 1, 30) || tab || 'q' || tab || 'r' end as line from lines, (select chr(9) as tab)),
+@query("multi_tables", duck("lines") + r""", t as (select doc_id, linenum, case when linenum % 9 = 1 then 'TABLE t' || linenum when linenum % 9 = 2 then 'a' || tab || 'b' || tab || 'c' when linenum % 9 = 5 then 'x' || tab || 'y' || tab || '"' || replace(line, '"', '')
+  when linenum % 9 = 6 then 'rest"' when linenum % 9 = 7 then '# no' when linenum % 9 = 8 then 'only' || tab || 'two' else replace(replace(line, '"', ''), '#', '') || tab || 'q' || tab || 'r' end as line from lines, (select chr(9) as tab)),
 k as (select *, case when regexp_matches(line, '\t" *[^\t "][^\t"]*$') then true when regexp_matches(line, '[\t"]') then false end as st from t where not regexp_matches(line, '^\s*#') and trim(line, ' ') <> ''),
 o as (select *, coalesce(last_value(st ignore nulls) over (partition by doc_id order by linenum rows between unbounded preceding and current row), false) as op from k),
 g as (select *, sum(case when coalesce(po, false) then 0 else 1 end) over (partition by doc_id order by linenum) as g from (select *, lag(op) over (partition by doc_id order by linenum) as po from o)),
@@ -99,12 +99,12 @@ def _lookup2(spark, sf):
     return S.lookup2(bound(spark, sf, "customer"), t, ["c_nationkey", "c_mktsegment"], "name", "none").select("c_custkey", "c_mktsegment", "name")
 
 
-@query("first_available", """with e as (select p_partkey as key, unnest([p_type || p_size, p_brand, p_name]) as name, unnest([0, 1, 2]) as rank from part), a as (select p_brand as name from part where p_size > 45 and p_partkey < 400 union select p_name from part where p_size < 4),
+@query("first_available", """with e as (select p_partkey as key, unnest([p_type || p_size, p_brand, p_name]) as name, unnest([0, 1, 2]) as rank from part), a as (select p_brand as name from part where p_size > 49 union select p_name from part where p_size < 4),
 b as (select key, arg_min(name, rank) as name from e where name in (select name from a) group by 1) select p.p_partkey as key, b.name from part p left join b on p.p_partkey = b.key""")
 def _first(spark, sf):
     p = bound(spark, sf, "part")
     w = p.select(F.col("p_partkey").alias("key"), F.array(F.concat("p_type", F.col("p_size").cast("string")), "p_brand", "p_name").alias("alternatives"))
-    a = p.filter("p_size > 45 and p_partkey < 400").select(F.col("p_brand").alias("name")).union(p.filter("p_size < 4").select("p_name"))
+    a = p.filter("p_size > 49").select(F.col("p_brand").alias("name")).union(p.filter("p_size < 4").select("p_name"))
     return S.first_available(w, a)
 
 
