@@ -155,3 +155,8 @@ def measure_durations(measures: DataFrame, tempos: DataFrame, count_in: int = 0,
     on = fill_forward(measures, tempos, ["song"], "measure", "from_measure", "tempo", 120.0)
     sec = L.measure_seconds(F.col("tempo"), F.lit(quarters))
     return on.withColumn("seconds", F.when(F.col("measure") == 1, sec * (1 + count_in)).otherwise(sec))
+
+
+def in_order(df: DataFrame, keys: list, order: list) -> DataFrame:
+    """Rows in ascending order of keys and order, for output: ranges of keys become partitions, each sorted within."""
+    return df.repartitionByRange(*keys).sortWithinPartitions(*keys, *order)

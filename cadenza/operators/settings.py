@@ -57,7 +57,7 @@ def resolve_style(voices: DataFrame, effects: DataFrame) -> DataFrame:
     The variant ``copy`` has none, an unknown style none and a flag; a reverb level
     in percent, clipped, is appended.
     """
-    cap = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 200)))
+    cap = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, F.lit(2), F.length(x))))
     copy = F.lower("variant") == "copy"
     style = F.when(copy, "COPY").otherwise(F.concat(F.lit("soundStyle"), cap(L.voice_label(F.col("voice"))), cap(F.col("variant"))))
     got = voices.withColumn("style", style).join(effects.select("style", F.col("effects").alias("_e")), "style", "left")

@@ -249,12 +249,54 @@ def _annotate(spark, sf):
     return N.annotate_tracks(e, ["vocalsTop", "drums"], ["vocals"], "T").select("song", "track_no", "seq", "meta", "text", "part")
 
 
-@query("standardize")
+_STANDARD = f""", u as (select song, track_no, 'bass' || case when row_number() over w = 1 then '' else substr('ABCDEF', (row_number() over w - 1)::int, 1) end as name from (select distinct song, track_no from midi where track_no % 2 = 1) window w as (partition by song order by track_no)),
+named as (select m.* exclude (track), coalesce(u.name, split_part(m.track, ':', 1)) as track, count(*) over (partition by m.song, m.track_no) + 1 < 5 as bad from midi m left join u on m.song = u.song and m.track_no = u.track_no),
+rewritten as (select song, track_no, track, seq, midi_time, kind, meta, channel, p1, p2 from named where not bad union all select distinct {_EMPTY} from named where bad),
+o as (select *, p1 as pitch, p2::bigint as velocity, midi_time // 384 + 1 as measure, kind = 'On' and p2 > 0 as is_on from rewritten where kind in ('On', 'Off')),
+pairs as (select *, case when is_on then case when not lead(is_on) over w then lead(seq) over w end else case when lag(is_on) over w then lag(seq) over w end end as partner_seq from o window w as (partition by song, track, pitch order by seq)),
+peaks as (select song, track, midi_time, max(velocity) as peak from o where kind = 'On' group by 1, 2, 3),
+steps as (select *, midi_time // 384 + 1 as measure, peak - lag(peak) over (partition by song, track, midi_time // 384 order by midi_time) as d from peaks),
+varying as (select song, track, measure, coalesce(max((sign(d) * sign(e) < 0)::int), 0) = 1 as varying from (select *, lag(d) over (partition by song, track, measure order by midi_time) as e from steps) group by 1, 2, 3),
+h as (
+  select p.*, midi_time % 384 as d, coalesce(v.varying, false) as varying, is_on and p.track in ('drums', 'bass') as hit,
+    2 * (('0x' || substr(md5('0|velocity|' || p.song || '|' || p.track || '|' || p.seq), 1, 8))::bigint / 4294967296.0::double) - 1 as xv,
+    2 * (('0x' || substr(md5('0|timing|' || p.song || '|' || p.track || '|' || p.midi_time), 1, 8))::bigint / 4294967296.0::double) - 1 as xt
+  from pairs p left join varying v on p.song = v.song and p.track = v.track and v.measure = p.measure
+), t as (
+  select *, case when varying then 1.0::double when place = 0 then 1.15::double when place in (1, 3) then 1.0::double when place = 2 then 1.1::double else 0.85::double end as f,
+    case when place is null then abs(sign(xt) * xt * xt) else sign(xt) * xt * xt end as rt,
+    case when place is null then round_even(12 * 0.25::double, 0) when place = 0 then 0.0::double else round_even(12 * 0.2::double, 0) end as unit
+  from (select *, case when abs(d) <= 6 or abs(d - 384) <= 6 then 0 when abs(d - 96) <= 6 then 1 when abs(d - 192) <= 6 then 2 when abs(d - 288) <= 6 then 3 end as place from h)
+), n as (
+  select *, case when hit then midi_time + round_even(unit * rt, 0)::bigint else midi_time end as time_,
+    case when hit then greatest(least(trunc(velocity * (f + sign(xv) * xv * xv * 0.1::double))::bigint, 127), 0) else velocity end as v_ from t
+), varied as (
+  select song, track_no, track, seq, kind, meta, channel, p1, v_::int as p2,
+    case when not is_on and partner_seq is not null and lag(hit) over w and lead(is_on) over w and lead(time_) over w <= midi_time then lead(time_) over w - 1 else time_ end as midi_time
+  from n window w as (partition by song, track, pitch order by seq)
+), every as (
+  select song, track_no, track, seq, midi_time, kind, meta, channel, p1, p2 from rewritten where kind not in ('On', 'Off', 'Par') union all select song, track_no, track, seq, midi_time, kind, meta, channel, p1, p2 from varied
+), j as (
+  select e.* exclude (channel), coalesce(s.channel, e.channel) as channel, s.bank, s.program, s.volume, s.pan, s.reverb, s.track is not null as has, row_number() over (partition by e.song, e.track_no, e.kind = 'PrCh' order by e.seq) as n
+  from (select *, {_BASE} as base from every) e left join settings s on e.base = s.track
+), x as (
+  select song, track_no, track, seq, midi_time, kind, meta, channel, p1, p2, 0 as part from j where not (kind = 'PrCh' and has)
+  union all select song, track_no, track, seq, midi_time, (['Par', 'Par', 'PrCh', 'Par', 'Par', 'Par'])[i + 1], meta, channel, ([0, 32, program, 7, 10, 91])[i + 1], ([bank // 128, bank % 128, null, volume, pan, reverb])[i + 1], i
+  from j, (select unnest(range(0, 6)) as i) where kind = 'PrCh' and has and n = 1
+)
+select song, track_no, track, midi_time, kind, coalesce(meta, '') as meta, coalesce(channel, -1)::int as channel, coalesce(p1, -1)::int as p1, coalesce(p2, -1)::int as p2,
+  row_number() over (partition by song, track_no order by midi_time, {_RANK}, seq * 100 + part * 10) as seq from x
+"""
+
+
+@query("standardize", duck("midi") + _SETTINGS + _STANDARD)
 def _standardize(spark, sf):
-    """The whole rewrite of a corpus; its parts have oracles of their own."""
+    """The whole rewrite of a corpus."""
     e = bound(spark, sf, "midi").withColumns({"text": F.lit(None).cast("string")})
     instruments = e.select("song", "track_no", F.when(F.col("track_no") % 2 == 0, F.col("track")).otherwise("").alias("track"), F.lit("reed organ").alias("instrument")).distinct()
-    return H.standardize(e, instruments, plain_grid(spark, sf), track_settings(spark, sf), "T", humanized=("drums", "bass"))
+    got = H.standardize(e, instruments, plain_grid(spark, sf), track_settings(spark, sf), "T", humanized=("drums", "bass"))
+    none = {c: F.coalesce(c, F.lit(-1)) for c in ("channel", "p1", "p2")}
+    return got.withColumns({"meta": F.coalesce("meta", F.lit(""))} | none).select("song", "track_no", "track", "midi_time", "kind", "meta", "channel", "p1", "p2", "seq")
 
 
 @query("assign_channels", """with v as (select n_regionkey as song, n_nationkey as pos, case when n_nationkey % 6 = 0 then 'drums' else n_name end as voice from nation union all select 10 + c_nationkey, c_custkey, case when c_custkey % 9 = 0 then 'percussion' else c_name end from customer),

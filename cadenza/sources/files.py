@@ -1,27 +1,36 @@
-"""Writing binary values as files through the file system that Spark itself uses."""
+"""Names of files below a folder, and writing binary values as files."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def relative(file_path: Column, root: str) -> Column:
+    """A file's path below ``root``, whatever scheme either is written with; the whole path if it is not below it."""
+    plain = F.regexp_replace(F.try_url_decode(F.replace(file_path, F.lit("+"), F.lit("%2B"))), "^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/")
+    top = "/" + re.sub("^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/", root).strip("/") + "/"
+    return F.when(plain.startswith(top), F.substring(plain, F.lit(len(top) + 1), F.length(plain))).otherwise(plain)
 
 
 def write_files(df: DataFrame, path: str, suffix: str) -> None:
-    """Write rows (song, content) as ``<last part of song><suffix>`` below ``path``, from the executors.
+    """Write rows (song, content) as ``<song without its suffix><suffix>`` below ``path``, folders in a song's name included, from the executors.
 
     Plain paths and ``file://`` go through Python; that folder must be one that
-    all executors share.
+    all executors share. The table (song, content) itself can be written by any of Spark's sinks.
     """
-    import os
-
     folder = path.removeprefix("file://")
-    os.makedirs(folder, exist_ok=True)
 
     def put(rows):
         import os
         import uuid
 
         for r in rows:
-            name = os.path.join(folder, os.path.splitext(os.path.basename(str(r.song)))[0] + suffix)
+            parts = [p for p in os.path.splitext(str(r.song))[0].split("/") if p not in ("", ".", "..")]
+            name = os.path.join(folder, *parts) + suffix
+            os.makedirs(os.path.dirname(name), exist_ok=True)
             part = f"{name}.{uuid.uuid4().hex}"  # a task that runs twice replaces the file as a whole
             with open(part, "wb") as f:
                 f.write(bytes(r.content))

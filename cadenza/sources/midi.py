@@ -7,6 +7,7 @@ events of a song, which is one file by nature.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza.schemas import EVENTS
@@ -157,14 +158,22 @@ def encode(rows: list[dict]) -> bytes:
 
 
 def read_midi(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(events, rejects) of the files below a folder; a broken file is a row (song, reason) of the rejects."""
+    """(events, rejects) of the files below a folder; a song is its file's path below it."""
+    from .files import relative
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return decode_midi(files.select(relative(F.col("path"), path).alias("song"), "content"))
+
+
+def decode_midi(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, rejects) of files (song, content); a broken file is a row (song, reason) of the rejects."""
 
     def run(frames):
         import pandas as pd
 
         for frame in frames:
             out = []
-            for name, data in zip(frame["path"], frame["content"], strict=True):
+            for name, data in zip(frame["song"], frame["content"], strict=True):
                 try:
                     out += [r | {"reason": None} for r in decode(bytes(data), name)]
                 except (ValueError, IndexError) as e:
@@ -172,8 +181,7 @@ def read_midi(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
             got = pd.DataFrame(out, columns=[*FIELDS, "reason"], dtype=object)
             yield got.where(got.notna(), None)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    rows = files.mapInPandas(run, T.StructType([*EVENTS.fields, T.StructField("reason", T.StringType())]))
+    rows = files.select("song", "content").mapInPandas(run, T.StructType([*EVENTS.fields, T.StructField("reason", T.StringType())]))
     return rows.filter("reason is null").select(*FIELDS), rows.filter("reason is not null").select("song", "reason")
 
 

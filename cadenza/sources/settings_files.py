@@ -2,39 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.operators.settings import typed
 
+from .files import relative
+
 INCLUDE = r'^\s*INCLUDE\s+"([^"]+)"'
-#: Levels of includes that are followed.
-DEPTH = 8
+#: Levels of includes beyond which a root is taken for broken.
+DEPTH = 64
+
+
+def whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value) of the text files below a folder; the file is its path below it."""
+    return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(relative(F.col("_metadata.file_path"), path).alias("file"), "value")
+
+
+def lines_of(files: DataFrame) -> DataFrame:
+    """(file, linenum, line) of files (file, value)."""
+    return files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("linenum", "line")).withColumn("linenum", F.col("linenum") + 1)
 
 
 def file_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, linenum, line) of the text files below a folder; the file is its name."""
-    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("linenum", "line")).withColumn("linenum", F.col("linenum") + 1)
+    """(file, linenum, line) of the text files below a folder."""
+    return lines_of(whole_files(spark, path))
+
+
+def _resolved(folder: Column, include: Column) -> Column:
+    """A path relative to a folder, without ``.`` and ``..`` parts."""
+    step = lambda a, x: F.when(x.isin("", "."), a).when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x)))
+    return F.array_join(F.aggregate(F.split(F.concat_ws("/", folder, include), "/"), F.array().cast("array<string>"), step), "/")
 
 
 def inline_includes(lines: DataFrame, roots: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(song, order, line): the lines of each root file with its includes in their places.
 
-    ``order`` is the path of line numbers that leads to a line. A file is read once per
-    root; the include line itself is a comment. Each level is one join.
+    ``order`` is the path of line numbers that leads to a line. An include is looked up beside
+    the file that has it, then from the top. A file is read once per
+    root; the include line itself is a comment. Each level is one join; a chain of more than
+    ``depth`` levels is an error.
     """
-    found = F.regexp_extract("line", INCLUDE, 1)
-    own = lines.withColumn("include", F.element_at(F.split(found, "/"), -1))
-    now = roots.join(own, "file").select(F.col("file").alias("song"), "file", F.array(F.col("linenum")).alias("order"), F.array("file").alias("seen"), "include", "line")
-    done, level = None, now
-    for _ in range(depth):
+    named = lines.withColumn("_i", F.regexp_extract("line", INCLUDE, 1))
+    beside = F.when(F.col("_i") != "", _resolved(F.regexp_extract("file", "^(.*)/[^/]*$", 1), F.col("_i")))
+    files = lines.select(F.col("file").alias("_f")).distinct()
+    own = named.withColumn("_beside", beside).join(files, F.col("_beside") == F.col("_f"), "left")
+    own = own.withColumn("include", F.when(F.col("_i") == "", "").otherwise(F.coalesce("_f", _resolved(F.lit(""), F.col("_i"))))).select("file", "linenum", "line", "include")
+    level = roots.join(own, "file").select(F.col("file").alias("song"), "file", F.array(F.col("linenum")).alias("order"), F.array("file").alias("seen"), "include", "line")
+    done, levels = None, 0
+    inner = own.select(F.col("file").alias("include"), F.col("linenum").alias("_n"), F.col("line").alias("_l"), F.col("include").alias("_i"))
+    while done is None or not level.isEmpty():
+        if levels > depth:
+            raise ValueError(f"includes of more than {depth} levels")
         plain = level.select("song", "order", F.when(F.col("include") != "", F.concat(F.lit("-- "), "line")).otherwise(F.col("line")).alias("line"), "include", "seen")
         done = plain if done is None else done.unionByName(plain)
-        inner = own.select(F.col("file").alias("include"), F.col("linenum").alias("_n"), F.col("line").alias("_l"), F.col("include").alias("_i"))
         wanted = level.filter("include != ''").select("song", "include", "order", "seen").filter(~F.array_contains("seen", F.col("include")))
         level = wanted.join(inner, "include").select("song", F.concat("order", F.array("_n")).alias("order"), F.concat("seen", F.array("include")).alias("seen"), F.col("_i").alias("include"), F.col("_l").alias("line"))
+        levels += 1
     # of several includes of a file in one root the first counts
     first = done.withColumn("_in", F.element_at("seen", -1)).withColumn("_at", F.slice("order", F.lit(1), F.size("order") - 1))
     least = first.groupBy("song", "_in").agg(F.min("_at").alias("_first"))
@@ -85,9 +110,13 @@ def read_settings(spark: SparkSession, path: str, roots: DataFrame | None = None
     Only the expansion of a root's lines in order is Python, one root (a set of settings
     files) at a time.
     """
-    lines = file_lines(spark, path)
+    return settings_of(file_lines(spark, path), roots)
+
+
+def settings_of(lines: DataFrame, roots: DataFrame | None = None, depth: int = DEPTH) -> DataFrame:
+    """The settings of lines (file, linenum, line) that have been read already."""
     roots = lines.select("file").distinct() if roots is None else roots
-    flat = inline_includes(lines, roots)
+    flat = inline_includes(lines, roots, depth)
     ordered = flat.withColumn("_n", F.row_number().over(W.partitionBy("song").orderBy("order"))).select("song", "_n", "line")
     got = ordered.groupBy("song").applyInPandas(lambda f: assignments(f.sort_values("_n")), "song string, key string, line bigint, value_text string")
     return typed(got)

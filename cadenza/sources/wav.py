@@ -5,52 +5,108 @@ from __future__ import annotations
 import struct
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .files import relative
 
 SCHEMA = "song string, voice string, chunk bigint, frame0 bigint, n_channels int, rate int, samples array<smallint>"
 
 
-def read_wav(spark: SparkSession, path: str, frames_per_chunk: int = 4096) -> DataFrame:
-    """Chunks of the 16-bit files ``<song>-<voice>.wav`` below a folder; other widths and broken files give no rows."""
+def read_wav(spark: SparkSession, path: str, frames_per_chunk: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(chunks, rejects) of the files ``<song>-<voice>.wav`` below a folder; a song's name includes the folders below it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(path)
+    return decode_wav(files.select(relative(F.col("path"), path).alias("file"), "content"), frames_per_chunk)
+
+
+def _parsed(data: bytes):
+    """(channels, rate, samples as 16 bits) of a file; raises ValueError if it is broken."""
+    import numpy as np
+
+    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+        raise ValueError("no WAVE header")
+    form = body = None
+    at = 12
+    while at + 8 <= len(data) and body is None:
+        tag, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
+        if tag == b"fmt ":
+            if size < 16 or at + 24 > len(data):
+                raise ValueError("broken format chunk")
+            form = struct.unpack("<HHIIHH", data[at + 8 : at + 24])
+        elif tag == b"data":
+            body = data[at + 8 : at + 8 + size]
+            if len(body) < size:
+                raise ValueError("truncated samples")
+        at += 8 + size + size % 2
+    if form is None or body is None:
+        raise ValueError("no format or no samples")
+    n, rate, bits = form[1], form[2], form[5]
+    if form[0] not in (1, 0xFFFE) or not n:
+        raise ValueError("no PCM")
+    width = bits // 8
+    body = body[: len(body) // (width * n or 1) * width * n]
+    if bits == 8:  # unsigned
+        x = (np.frombuffer(body, np.uint8).astype(np.int16) - 128) << 8
+    elif bits == 16:
+        x = np.frombuffer(body, "<i2")
+    elif bits in (24, 32):  # the upper two bytes
+        x = np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(-1, width)[:, width - 2 :]).view("<i2").ravel()
+    else:
+        raise ValueError(f"{bits} bits a sample")
+    return n, rate, x
+
+
+def decode_wav(files: DataFrame, frames_per_chunk: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(chunks, rejects) of files (file, content): samples of 8, 16, 24 or 32 bits, as 16 bits; a broken file is a row (file, reason)."""
 
     def run(batches):
         import os
 
-        import numpy as np
         import pyarrow as pa
 
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int16()))
-        names = ["song", "voice", "chunk", "frame0", "n_channels", "rate", "samples"]
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int16()), pa.string(), pa.string())
+        names = ["song", "voice", "chunk", "frame0", "n_channels", "rate", "samples", "file", "reason"]
         for batch in batches:
-            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                song, _, voice = os.path.splitext(os.path.basename(name))[0].rpartition("-")
-                form = body = None
-                at = 12
-                while data[:4] == b"RIFF" and at + 8 <= len(data):
-                    tag, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
-                    if tag == b"fmt ":
-                        form = struct.unpack("<HHIIHH", data[at + 8 : at + 24])
-                    elif tag == b"data":
-                        body = data[at + 8 : at + 8 + size]
-                    at += 8 + size + size % 2
-                if form is None or body is None or form[0] not in (1, 0xFFFE) or form[5] != 16:
-                    continue
-                n, rate = form[1], form[2]
-                x = np.frombuffer(body[: len(body) // (2 * n) * 2 * n], "<i2")
-                step = frames_per_chunk * n
-                rows = [(song, voice, i // step, i // n, n, rate, x[i : i + step]) for i in range(0, len(x), step)]
+            for name, data in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                song, _, voice = os.path.splitext(name)[0].rpartition("-")
+                try:
+                    n, rate, x = _parsed(data)
+                    step = frames_per_chunk * n
+                    rows = [(song, voice, i // step, i // n, n, rate, x[i : i + step], name, None) for i in range(0, len(x), step)]
+                except (ValueError, struct.error) as e:
+                    rows = [(None, None, None, None, None, None, None, name, str(e))]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(path)
-    return files.select("path", "content").mapInArrow(run, SCHEMA)
+    rows = files.select("file", "content").mapInArrow(run, SCHEMA + ", file string, reason string")
+    return rows.filter("reason is null").drop("file", "reason"), rows.filter("reason is not null").select("file", "reason")
+
+
+def wav_files(pcm: DataFrame, rate: int = 44100) -> DataFrame:
+    """(file, content): the 16-bit file of every (song, voice), which is one value by nature."""
+
+    def run(key, frame):
+        import numpy as np
+        import pandas as pd
+
+        frame = frame.sort_values("frame0")
+        n, parts, size = int(frame["n_channels"].iloc[0]), [], 0
+        for at, samples in zip(frame["frame0"], frame["samples"], strict=True):
+            parts.append(b"\0" * (int(at) * n * 2 - size))  # silence before the chunk
+            parts.append(np.clip(np.asarray(samples, np.int64), -32767, 32767).astype("<i2").tobytes())
+            size += len(parts[-2]) + len(parts[-1])
+        return pd.DataFrame([(f"{key[0]}-{key[1]}.wav", _head(n, rate, size) + b"".join(parts))], columns=["file", "content"])
+
+    rows = pcm.select(F.col("song").cast("string").alias("song"), "voice", "frame0", "n_channels", "samples")
+    return rows.groupBy("song", "voice").applyInPandas(run, "file string, content binary")
+
+
+def _head(n: int, rate: int, size: int) -> bytes:
+    return b"RIFF" + (36 + size).to_bytes(4, "little") + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, n, rate, rate * n * 2, n * 2, 16) + b"data" + size.to_bytes(4, "little")
 
 
 def write_wav(pcm: DataFrame, path: str, rate: int = 44100) -> None:
     """One file per (song, voice), chunks in order, samples clamped; memory is one chunk."""
-    import os
-
     folder = path.removeprefix("file://")
-    os.makedirs(folder, exist_ok=True)
 
     def put(rows):
         import os
@@ -60,7 +116,8 @@ def write_wav(pcm: DataFrame, path: str, rate: int = 44100) -> None:
         import numpy as np
 
         for (song, voice), own in groupby(rows, key=lambda r: (r.song, r.voice)):
-            name = os.path.join(folder, f"{song}-{voice}.wav")
+            name = os.path.join(folder, *(p for p in f"{song}-{voice}.wav".split("/") if p not in ("", ".", "..")))
+            os.makedirs(os.path.dirname(name), exist_ok=True)
             part = f"{name}.{uuid.uuid4().hex}"
             with open(part, "wb") as f:
                 f.write(b"\0" * 44)
@@ -73,7 +130,7 @@ def write_wav(pcm: DataFrame, path: str, rate: int = 44100) -> None:
                     f.write(body)
                     size += gap + len(body)
                 f.seek(0)
-                f.write(b"RIFF" + (36 + size).to_bytes(4, "little") + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, n, rate, rate * n * 2, n * 2, 16) + b"data" + size.to_bytes(4, "little"))
+                f.write(_head(n, rate, size))
             os.replace(part, name)
 
     pcm.repartition("song", "voice").sortWithinPartitions("song", "voice", "frame0").select("song", "voice", "frame0", "n_channels", "samples").foreachPartition(put)

@@ -7,9 +7,9 @@ import pytest
 from cadenza.operators.notes import check_order
 from cadenza.sources import midi
 from cadenza.sources.midi import read_midi, write_midi
-from cadenza.sources.settings_files import read_settings
+from cadenza.sources.settings_files import file_lines, read_settings, settings_of
 from cadenza.sources.text_files import read_multi_table_tsv, read_relaxed_json, read_srt, write_srt
-from cadenza.sources.wav import read_wav, write_wav
+from cadenza.sources.wav import _head, read_wav, write_wav
 
 
 def song():
@@ -52,7 +52,13 @@ def test_wav_round_trip(spark, tmp_path):
     pcm = spark.createDataFrame(rows, "song string, voice string, chunk bigint, frame0 bigint, n_channels int, rate int, samples array<bigint>")
     write_wav(pcm, str(tmp_path / "w"), 8000)
     (tmp_path / "w/bad-x.wav").write_bytes(b"RIFFxxxx")
-    got = sorted(read_wav(spark, str(tmp_path / "w"), 1500).collect(), key=lambda r: r.chunk)
+    (tmp_path / "w/sub").mkdir()
+    for bits, raw in ((8, bytes([0, 128, 255])), (24, b"\x00\x34\x12" * 2), (32, b"\x00\x00\xff\x7f")):
+        (tmp_path / f"w/sub/b{bits}-x.wav").write_bytes(_head(1, 8000, len(raw)).replace(struct.pack("<HH", 2, 16), struct.pack("<HH", bits // 8, bits)) + raw)
+    pcm, rejects = read_wav(spark, str(tmp_path / "w"), 1500)
+    assert [tuple(r) for r in rejects.collect()] == [("bad-x.wav", "no WAVE header")]
+    assert {r.song: list(r.samples) for r in pcm.filter("song != 's'").collect()} == {"sub/b8": [-32768, 0, 32512], "sub/b24": [0x1234, 0x1234], "sub/b32": [32767]}
+    got = sorted(pcm.filter("song = 's'").collect(), key=lambda r: r.chunk)
     assert [r.frame0 for r in got] == [0, 1500, 3000, 4500] and {(r.song, r.voice, r.n_channels, r.rate) for r in got} == {("s", "v", 2, 8000)}
     assert [s for r in got for s in r.samples] == np.clip(x, -32767, 32767).tolist()
 
@@ -70,6 +76,19 @@ def test_settings(spark, tmp_path):
     }
     assert last["hex"].value_long == 31 and last["flag"].value_bool is True and last["real"].value_double == -2.5 and last["year"].value_type == "long"
     assert len(got) == 11
+    # files of one name in two folders, includes beside the including file, and a long chain of them
+    for d in "ab":
+        (tmp_path / f"deep/{d}").mkdir(parents=True)
+        (tmp_path / f"deep/{d}/x.txt").write_text(f'k = "{d}"\nINCLUDE "more.txt"\nINCLUDE "../top.txt"\n')
+        (tmp_path / f"deep/{d}/more.txt").write_text(f'm = "more {d}"\n')
+    (tmp_path / "deep/top.txt").write_text('t = "top"\nINCLUDE "c0.txt"\n')
+    for i in range(12):
+        (tmp_path / f"deep/c{i}.txt").write_text(f'c{i} = "{i}"\n' + (f'INCLUDE "c{i + 1}.txt"\n' if i < 11 else ""))
+    roots = spark.createDataFrame([("a/x.txt",), ("b/x.txt",)], "file string")
+    got = {(r.song, r.key): r.value_text for r in read_settings(spark, str(tmp_path / "deep"), roots).collect()}
+    assert got == {(f"{d}/x.txt", k): v for d in "ab" for k, v in {"k": d, "m": f"more {d}", "t": "top", **{f"c{i}": str(i) for i in range(12)}}.items()}
+    with pytest.raises(ValueError, match="levels"):
+        settings_of(file_lines(spark, str(tmp_path / "deep")), roots, depth=5)
 
 
 def test_tables_json_srt(spark, tmp_path):
@@ -80,8 +99,10 @@ def test_tables_json_srt(spark, tmp_path):
     (tmp_path / "j").mkdir()
     (tmp_path / "j/a.json").write_text('-- head\nkey: "v -- no: x", other : [1, 2], -- tail\n"q": {in: null}\n')
     (tmp_path / "j/b.json").write_text("{ broken: ")
-    got = {r.file: json.loads(r.v) for r in read_relaxed_json(spark, str(tmp_path / "j")).selectExpr("file", "to_json(value) v").collect()}
-    assert got == {"a.json": {"key": "v -- no: x", "other": [1, 2], "q": {"in": None}}, "b.json": {}}
+    (tmp_path / "j/c.json").write_text('#define N 7\n#define S "two words"\na: "x<q>y<q><q>z N", n: N, s : [S, true, 1e5], N: 1\n')
+    rows = read_relaxed_json(spark, str(tmp_path / "j")).selectExpr("file", "to_json(value) v", "bad").collect()
+    assert {r.file: json.loads(r.v) for r in rows} == {"a.json": {"key": "v -- no: x", "other": [1, 2], "q": {"in": None}}, "b.json": {}, "c.json": {"a": "x<q>y<q><q>z N", "n": 7, "s": ["two words", True, 1e5], "N": 1}}
+    assert [r.file for r in rows if r.bad] == ["b.json"]
     cues = spark.createDataFrame([("s", 2, 8000, 9533, "two\nlines"), ("s", 1, 0, 7600, "one")], "song string, n int, start_ms bigint, end_ms bigint, text string")
     write_srt(cues, str(tmp_path / "c"))
     (tmp_path / "d").mkdir()
@@ -90,3 +111,5 @@ def test_tables_json_srt(spark, tmp_path):
     assert text.startswith("1\n00:00:00,000 --> 00:00:07,600\none\n\n2\n")
     (tmp_path / "d/s.srt").write_text(text)
     assert sorted(map(tuple, read_srt(spark, str(tmp_path / "d")).collect())) == sorted(map(tuple, cues.collect()))
+    (tmp_path / "d/long.srt").write_text("1\n00:00:00,000 --> 00:00:01,000\n" + "\n".join(f"l{i}" for i in range(1500)) + "\n")
+    assert len(read_srt(spark, str(tmp_path / "d")).filter("song = 'long'").first().text.split("\n")) == 1500
