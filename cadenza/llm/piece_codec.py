@@ -35,10 +35,10 @@ from .common import claim_worker, give_back, sliced
 
 MARK = "▁"
 #: Bytes (estimated) of the two tables of remembered segments of a worker, and the longest segment that is remembered.
-CACHE = 40 << 20
+CACHE = 96 << 20
 CACHE_CHARS = 48
 #: Bytes of text that a task works on at a time.
-SLICE = 1 << 20
+SLICE = 2 << 20
 #: Longest segment that is merged in step with others.
 STEP_CHARS = 24
 _NONE = np.int64(2**62)
@@ -72,6 +72,8 @@ class PieceModel:
         self.room = CACHE // 2
         self.names = [str(i) for i in range(n)]
         self.piece_bytes = [b"" if i in self.hidden else bytes((self.value[i],)) if i in self.value else p.encode() for i, p in enumerate(self.pieces)]
+        # a mark is a piece, so it never comes out of byte pieces
+        self.shown_bytes = [b.replace(_MARK, b" ") for b in self.piece_bytes]
         self._pairs()
 
     def _pairs(self) -> None:
@@ -226,24 +228,28 @@ class PieceModel:
         found = self.merge_many(new)
         if check:
             self.check(new, found)
-        name, raw = self.names, self.piece_bytes
-        own = {}
+        flat = [i for ids in found for i in ids]
+        names, raws = list(map(self.names.__getitem__, flat)), list(map(self.shown_bytes.__getitem__, flat))
+        own, at = {}, 0
         for s, ids in zip(new, found, strict=True):
-            (own if len(s) <= CACHE_CHARS else long)[s] = (",".join([name[i] for i in ids]), b"".join([raw[i] for i in ids]).replace(_MARK, b" "))
+            end = at + len(ids)
+            (own if len(s) <= CACHE_CHARS else long)[s] = ",".join(names[at:end]), b"".join(raws[at:end])
+            at = end
         self._remember(own)
         return long
 
     def _remember(self, own: dict) -> None:
         self.seen.update(own)
-        self.room -= sum(320 + 4 * len(s) for s in own)
+        self.room -= 320 * len(own) + 4 * sum(map(len, own))
 
     def check(self, segments: list[str], found: list[list[int]]) -> None:
         """Hold segments against the library; a segment's own leading mark stands for the text's."""
-        rows = [i for i, s in enumerate(segments) if s[:1] == MARK and len(s) > 1]
+        rows = [i for i, s in enumerate(segments) if s[0] == MARK and len(s) > 1]
         plain = [segments[i][1:].replace(MARK, " ") for i in rows]
-        for i, text, ids in zip(rows, plain, self.library.encode(plain, num_threads=1), strict=True):
-            if found[i] != ids:
-                raise ValueError(f"the agenda and the library differ on {text!r}")
+        want = self.library.encode(plain, num_threads=1)
+        if [found[i] for i in rows] != want:
+            text = next(t for t, i, ids in zip(plain, rows, want, strict=True) if found[i] != ids)
+            raise ValueError(f"the agenda and the library differ on {text!r}")
 
 
 def loaded(path: str) -> PieceModel:
