@@ -6,7 +6,7 @@ over the samples of one frame. Frames hold 576 samples.
 
 Encoding: constant, verbatim, fixed (orders 0 to 2) or linear-predictor
 (order 4) subframes, whichever takes the fewest bits, with Rice-coded residuals;
-a seek point per frame; the MD5 of the samples in STREAMINFO.
+a seek point per frame (of more than ``SEEK_POINTS`` frames, of every k-th); the MD5 of the samples in STREAMINFO.
 
 Decoding: constant, verbatim, fixed (0 to 4) and linear-predictor (1 to 32)
 subframes, both Rice parameter widths, partitions and escape codes; CRC-8 of
@@ -25,6 +25,8 @@ import numpy as np
 
 BLOCK = 576
 RATE = 8000
+#: Seek points of a stream; a longer one has a point every second, third, ... frame.
+SEEK_POINTS = 900_000
 _FIXED = {0: (), 1: (1,), 2: (2, -1), 3: (3, -3, 1), 4: (4, -6, 4, -1)}
 _LPC, _PRECISION = 4, 12
 
@@ -209,6 +211,7 @@ def encode(payloads: list[bytes], partition_order: int = 0) -> list[bytes]:
         info += (RATE << 44 | 0 << 41 | 7 << 36 | len(p)).to_bytes(8, "big") + hashlib.md5((np.frombuffer(p, np.uint8) ^ 128).tobytes()).digest()
         seek = np.zeros(f, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("size", ">u2")]))
         seek["sample"], seek["offset"], seek["size"] = np.arange(f) * BLOCK, offset, BLOCK
+        seek = seek[:: -(-f // SEEK_POINTS)]  # the table's length has three bytes
         begin = ends[a] - sizes[a]
         out.append(b"fLaC" + _block(0, False, info) + _block(3, True, seek.tobytes()) + data[begin : begin + int(own.sum())].tobytes())
     return out

@@ -3,7 +3,7 @@
 A text's UTF-8 bytes, filled up with bytes 255 to a positive multiple of 576, are
 the samples of an 8-bit mono FLAC stream (``flac.py``). ``store`` gives the
 streams, ``blocks`` decodes them into PCM blocks with seekable sample offsets,
-and ``described`` stores, reads back and digests in one pass, so that no stream
+and ``described`` stores, reads back, cuts into the same blocks and digests in one pass, so that no stream
 leaves its task. Rows are independent: there is no shuffle, a lost executor
 only repeats its own rows, and the memory of a task is a batch slice of about
 2 MB of text (or one longer text).
@@ -26,6 +26,8 @@ from . import flac
 from .common import sliced
 
 SLICE = 2 << 20
+#: Samples of a PCM block.
+PCM = 16 * flac.BLOCK
 
 
 def payload(text: str | None) -> tuple[bytes, int]:
@@ -58,7 +60,12 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return _rows(docs, id_col, text_col).mapInArrow(run, out)
 
 
-def blocks(media: DataFrame, samples_per_block: int = 16 * flac.BLOCK) -> DataFrame:
+def cut_blocks(samples: bytes, size: int = PCM) -> list[tuple[int, bytes]]:
+    """(first sample, samples) of the blocks of a decoded stream."""
+    return [(at, samples[at : at + size]) for at in range(0, len(samples), size)]
+
+
+def blocks(media: DataFrame, samples_per_block: int = PCM) -> DataFrame:
     """(doc_id, first_sample, pcm) blocks of the streams in ``media`` (doc_id, flac)."""
 
     def run(batches):
@@ -68,7 +75,7 @@ def blocks(media: DataFrame, samples_per_block: int = 16 * flac.BLOCK) -> DataFr
             for batch in sliced(whole, "flac", SLICE):
                 rows = []
                 for i, raw in zip(batch.column("doc_id").to_pylist(), flac.decode(batch.column("flac").to_pylist()), strict=True):
-                    rows += [(i, at, raw[at : at + samples_per_block]) for at in range(0, len(raw), samples_per_block)]
+                    rows += [(i, *b) for b in cut_blocks(raw, samples_per_block)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (batch.column("doc_id").type, pa.int64(), pa.binary()), strict=True)], names=["doc_id", "first_sample", "pcm"])
 
     out = T.StructType([T.StructField("doc_id", media.schema["doc_id"].dataType), T.StructField("first_sample", T.LongType()), T.StructField("pcm", T.BinaryType())])
@@ -76,26 +83,26 @@ def blocks(media: DataFrame, samples_per_block: int = 16 * flac.BLOCK) -> DataFr
 
 
 def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every text, read the stored bytes back and digest both."""
+    """Store every text, read the stored bytes back and digest both; ``pcm_blocks`` has first sample and CRC-32 of every PCM block."""
 
     def run(batches):
         import pyarrow as pa
 
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_blocks"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
         for whole in batches:
             for batch in sliced(whole, "text", SLICE):
                 own = [payload(t) for t in batch.column("text").to_pylist()]
                 streams = flac.encode([p for p, _ in own])
                 rows = [
-                    (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(s), hashlib.sha256(s).hexdigest(), feature(back))
+                    (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(s), hashlib.sha256(s).hexdigest(), feature(back), ",".join(f"{at}:{zlib.crc32(b)}" for at, b in cut_blocks(back)))
                     for (_, n), s, back in zip(own, streams, flac.decode(streams), strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
 
     out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType)] + [T.StructField(n, t) for n, t in (
         ("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()),
-        ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()))])
+        ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()), ("pcm_blocks", T.StringType()))])
     return _rows(docs, id_col, text_col).mapInArrow(run, out)
 
 

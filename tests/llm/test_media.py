@@ -16,6 +16,12 @@ def test_round_trip(spark):
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]))
     assert got[1][3:] == got[2][3:]
+    for i, t in ROWS:
+        x = [b - 128 for b in (lambda raw: raw + b"\xff" * (-len(raw) % 576) if raw else b"\xff" * 576)((t or "").encode())]
+        sums = f"n={len(x)};sum={sum(x)};power={sum(v * v for v in x)};crossings={sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))};low={min(x)};high={max(x)}"
+        assert got[i].feature == sums
+        raw = bytes(v + 128 for v in x)
+        assert got[i].pcm_blocks == ",".join(f"{at}:{zlib.crc32(raw[at:at + 9216])}" for at in range(0, len(raw), 9216))
     media = store(df.filter("doc_id in (5, 6)"))
     assert {hashlib.sha256(r.flac).hexdigest() for r in media.collect()} == {got[5].media_sha256, got[6].media_sha256}
     pcm = sorted(blocks(media, 5000).filter("doc_id = 6").collect(), key=lambda r: r.first_sample)
