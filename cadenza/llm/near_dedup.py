@@ -17,7 +17,7 @@ one component are done. In the others, classes that cannot reach the threshold
 are taken out by an exact bound (shingles that no other open class has cannot be
 shared), and the remaining pairs between different components that satisfy the
 bound and the length condition are compared inside the join, which gives out
-links alone. There is no cap on buckets and no candidate is dropped without
+links alone. A large bucket is dealt over several tasks. There is no cap on buckets and no candidate is dropped without
 proof; pairs inside a component are not needed for the result and never looked at.
 
 Defined results: null, empty and blank texts have no shingles and are their own
@@ -44,6 +44,8 @@ ROWS, MISS = 6, 3e-7
 UNIVERSE = 1 << 20
 #: Bytes of text that a task works on at a time; it takes some 40 times that in memory.
 SLICE = 1 << 20
+#: Classes of one bucket that a task compares with the whole bucket.
+PART = 256
 #: Ids of candidate classes up to which they are broadcast to the text scan.
 BROADCAST_IDS = 500_000
 
@@ -178,10 +180,15 @@ def _links(docs, id_col, text_col, classes, live, width, percent) -> DataFrame:
     reach = nodes.join(own, "key", "left").withColumn("v", F.col("n") - F.coalesce("own", F.lit(0))).withColumn("most", F.expr(f"((100 + {percent}) * v - {percent} * n) div {percent}"))
     reach = cut(reach.filter(F.col("most") * 100 >= F.col("n") * percent).select("key", "most"))
     met = placed.groupBy("key").agg(F.collect_list("bucket").alias("met"))  # at most one bucket a band
-    side = placed.join(reach, "key").join(met, "key").join(sets, "key")
-    left, right = (side.select(F.col("bucket"), *(F.col(c).alias(c + x) for c in ("key", "n", "comp", "most", "met", "shingles"))) for x in "ab")
+    # a bucket of m classes is dealt over m / PART tasks: each has a part of one side and all of the other
+    held = placed.join(reach, "key")
+    parts = held.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    side = cut(held.join(parts, "bucket")).join(met, "key").join(sets, "key")
+    own = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left, right = (side.select(F.col("bucket"), p.alias("part"), *(F.col(c).alias(c + x) for c in ("key", "n", "comp", "most", "met", "shingles"))) for x, p in (("a", own), ("b", every)))
     both = F.size(F.array_intersect("shinglesa", "shinglesb")).cast("long")
-    rest = left.join(right, "bucket").filter(
+    rest = left.join(right, ["bucket", "part"]).filter(
         (F.col("keya") < F.col("keyb")) & (F.col("compa") != F.col("compb")) & near(F.col("na"), F.col("nb")) & (F.col("nb") <= F.col("mosta")) & (F.col("na") <= F.col("mostb"))
         & (F.array_min(F.array_intersect("meta", "metb")) == F.col("bucket"))  # a pair is looked at in the first bucket that it shares
         & (100 * both >= percent * (F.col("na") + F.col("nb") - both))  # only links leave the join

@@ -53,6 +53,27 @@ def test_against_brute_force(spark):
     assert all(x.kept == (x.doc_id == x.component_id) for x in got)
 
 
+def test_recall_on_the_given_documents(spark):
+    """All links of the given table are found: the components are those of brute force, at both thresholds."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for percent in (80, 85):
+        want = brute(rows, percent)
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs, percent=percent).collect()) == want
+        assert sum(d != c for d, _, c in want) > 5
+
+
+def test_large_buckets_are_dealt_out(spark, monkeypatch):
+    import cadenza.llm.near_dedup as nd
+
+    monkeypatch.setattr(nd, "PART", 4)
+    r = random.Random(8)
+    hot = [r.choice("abcdefghij") + str(r.randrange(40)) for _ in range(120)]
+    rows = [(i, edited(r, hot, r.randint(2, 9))) for i in range(90)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == brute(rows, 85)
+
+
 def test_small(spark):
     assert (bands_for(85), bands_for(80), bands_for(100)) == (32, 50, 1)
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string").withColumn("_keep", __import__("pyspark").sql.functions.lit(1))
