@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, shared_folder
+from .common import cut, remove, shared_folder
 
 FANOUT, VOLUME_IDS = 16, 1000
 #: Pages carry no capture date, and a record must have one.
@@ -191,6 +191,7 @@ def query(spark, sf_dir):
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_volumes(decayed(recs), folder)
     leaves, other = cut(manifest(recs)), cut(stored(read_volumes(spark, folder, payloads=False)))
+    remove(spark, folder)
     found = cut(audit(leaves, other))
     side = lambda s: found.filter(F.col("side") == s).drop("side")
     own = leaves.join(side("left"), ["volume", "ordinal"], "left")
