@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.llm import exact_dedup, language_id, mixing, near_dedup, piece_codec
-from cadenza.llm.common import shared_folder, table
+from cadenza.llm.common import remove, shared_folder, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,4 +55,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{i}")
             docs = spark.read.parquet(f"{folder}/{i}")
+            if i:
+                remove(spark, f"{folder}/{i - 1}")
     return docs
