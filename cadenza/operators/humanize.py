@@ -62,10 +62,7 @@ def humanize(
         got = G.style_in_force(got, style_map)
     canonical = L.canonical_track(F.col("track"))
     got = got.withColumn("_name", canonical)
-    peaks = N.peak_velocity(got)
-    at = got.filter("kind = 'On'").select("song", "track", "midi_time", "measure").distinct()
-    varying = N.varying_measures(peaks.join(at, ["song", "track", "midi_time"]))
-    got = got.join(varying, ["song", "track", "measure"], "left")
+    got = N.mark_varying(got)
 
     note = (F.col("kind") == "On") & (F.col("velocity") > 0) & (F.col("measure") >= 1)
     if humanized is not None:

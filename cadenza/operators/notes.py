@@ -50,6 +50,21 @@ def varying_measures(peaks: DataFrame) -> DataFrame:
     return step.groupBy("song", "track", "measure").agg(F.coalesce(F.max(F.signum("_d") * F.signum("_e") < 0), F.lit(False)).alias("varying"))
 
 
+def mark_varying(notes: DataFrame) -> DataFrame:
+    """Add ``varying`` of a row's measure to rows (song, track, measure, midi_time, kind, velocity): as ``varying_measures``, without a join.
+
+    One row of each time stands for its peak; windows over (song, track, measure) need no other layout than (song).
+    """
+    measure = W.partitionBy("song", "track", "measure")
+    time = W.partitionBy("song", "track", "measure", "midi_time")
+    on = F.col("kind") == "On"
+    out = notes.withColumn("_p", F.max(F.when(on, F.col("velocity"))).over(time)).withColumn("_r", F.row_number().over(time.orderBy(F.coalesce(on, F.lit(False)).desc())))
+    out = out.withColumn("_p", F.when((F.col("_r") == 1) & on, F.col("_p")))
+    before = lambda c: F.last(c, ignorenulls=True).over(measure.orderBy("midi_time", F.desc("_r")).rowsBetween(W.unboundedPreceding, -1))
+    out = out.withColumn("_d", F.when(F.col("_p").isNotNull(), F.col("_p") - before("_p"))).withColumn("_e", before("_d"))
+    return out.withColumn("varying", F.coalesce(F.max(F.signum("_d") * F.signum("_e") < 0).over(measure), F.lit(False))).drop("_p", "_r", "_d", "_e")
+
+
 def order_events(events: DataFrame) -> DataFrame:
     """Renumber ``seq`` per track by time and rank of the kind; the track's end is last, ties keep their order."""
     rank = F.lit(3)
