@@ -81,23 +81,24 @@ def tokenize(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(r"""((?:[^ '"]|'[^']*'|"[^"]*")+)"""), F.lit(1))
 
 
+#: Suffixes of the staves of a split voice, innermost last, and of a variant of a voice.
+STAVES = ("Bottom", "Middle", "Top")
+VARIANTS = ("Simple", "Extended")
+
+
 def canonical_track(x: Column) -> Column:
-    """A track name without the suffixes of split staves."""
-    for s in ("Bottom", "Middle", "Top"):
-        x = F.when(x.endswith(s), F.replace(x, F.lit(s), F.lit(""))).otherwise(x)
-    return x
+    """A track name without the suffixes of split staves, wherever a name that ends in one has it."""
+    return F.aggregate(F.array(*map(F.lit, STAVES)), x, lambda name, s: F.when(F.endswith(name, s), F.replace(name, s, F.lit(""))).otherwise(name))
 
 
 def voice_label(x: Column) -> Column:
-    return F.regexp_replace(x, "(?:Simple|Extended)$", "")
+    return F.regexp_replace(x, f"(?:{'|'.join(VARIANTS)})$", "")
 
 
 def base_track(x: Column) -> Column:
     """A track name without letter suffix, staff suffix and what follows a colon."""
-    x = F.regexp_replace(F.substring_index(x, ":", 1), "[A-G]$", "")
-    for s in ("Top", "Middle", "Bottom", "Extended"):
-        x = F.regexp_replace(x, f"{s}$", "")
-    return x
+    name = F.regexp_replace(F.substring_index(x, ":", 1), "[A-G]$", "")
+    return F.regexp_replace(name, "".join(f"(?:{s})?" for s in (VARIANTS[1], *STAVES)) + "$", "")
 
 
 # settings values

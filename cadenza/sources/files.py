@@ -15,25 +15,38 @@ def relative(file_path: Column, root: str) -> Column:
     return F.when(plain.startswith(top), F.substring(plain, F.lit(len(top) + 1), F.length(plain))).otherwise(plain)
 
 
+def store_of(path: str):
+    """(file system, folder) of a path: a plain path is local, else the scheme decides (file, hdfs, s3, ...)."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if re.match("^[a-zA-Z][a-zA-Z0-9+.-]*://", path) else (fs.LocalFileSystem(), path)
+
+
+def put_file(store, folder: str, name: str, parts) -> None:
+    """Write the byte strings ``parts`` as the file ``name`` below a folder; a task that runs twice replaces the file as a whole."""
+    import uuid
+
+    steps = [p for p in name.split("/") if p not in ("", ".", "..")]
+    top = "/".join([folder.rstrip("/"), *steps[:-1]])
+    store.create_dir(top, recursive=True)
+    part = f"{top}/.{uuid.uuid4().hex}"
+    with store.open_output_stream(part) as f:
+        for p in parts:
+            f.write(p)
+    store.move(part, f"{top}/{steps[-1]}")
+
+
 def write_files(df: DataFrame, path: str, suffix: str) -> None:
     """Write rows (song, content) as ``<song without its suffix><suffix>`` below ``path``, folders in a song's name included, from the executors.
 
-    Plain paths and ``file://`` go through Python; that folder must be one that
-    all executors share. The table (song, content) itself can be written by any of Spark's sinks.
+    A local folder must be one that all executors share.
     """
-    folder = path.removeprefix("file://")
 
     def put(rows):
         import os
-        import uuid
 
+        store, folder = store_of(path)
         for r in rows:
-            parts = [p for p in os.path.splitext(str(r.song))[0].split("/") if p not in ("", ".", "..")]
-            name = os.path.join(folder, *parts) + suffix
-            os.makedirs(os.path.dirname(name), exist_ok=True)
-            part = f"{name}.{uuid.uuid4().hex}"  # a task that runs twice replaces the file as a whole
-            with open(part, "wb") as f:
-                f.write(bytes(r.content))
-            os.replace(part, name)
+            put_file(store, folder, os.path.splitext(str(r.song))[0] + suffix, [bytes(r.content)])
 
     df.select("song", "content").foreachPartition(put)

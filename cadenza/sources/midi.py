@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from cadenza.schemas import EVENTS
 
-#: Message and meta types of the format.
+#: Message and meta types of the format, those with text, and the names of keys from seven flats to seven sharps.
 _CHANNEL = {0x80: ("Off", 2), 0x90: ("On", 2), 0xA0: ("PolyPress", 2), 0xB0: ("Par", 2), 0xC0: ("PrCh", 1), 0xD0: ("ChanPress", 1), 0xE0: ("PitchWhl", 2)}
 _META = {0: "SeqNum", 1: "Text", 2: "Copyright", 3: "TrkName", 4: "InstrName", 5: "Lyric", 6: "Marker", 7: "CuePt", 0x20: "ChanPrfx", 0x2F: "TrkEnd", 0x51: "Tempo", 0x54: "SMPTEOffset", 0x58: "TimeSig", 0x59: "KeySig", 0x7F: "SeqMeta"}
 _TEXTS = frozenset(range(1, 8))

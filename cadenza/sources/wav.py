@@ -5,9 +5,10 @@ from __future__ import annotations
 import struct
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .files import relative
+from .files import put_file, relative, store_of
 
 SCHEMA = "song string, voice string, chunk bigint, frame0 bigint, n_channels int, rate int, samples array<smallint>"
 
@@ -106,31 +107,27 @@ def _head(n: int, rate: int, size: int) -> bytes:
 
 def write_wav(pcm: DataFrame, path: str, rate: int = 44100) -> None:
     """One file per (song, voice), chunks in order, samples clamped; memory is one chunk."""
-    folder = path.removeprefix("file://")
-
-    def put(rows):
-        import os
-        import uuid
-        from itertools import groupby
 
+    def bodies(own, n):
         import numpy as np
 
+        first, size = own[0], 0
+        yield _head(n, rate, int(first.total) * 2)
+        for r in own[1]:
+            gap = r.frame0 * n * 2 - size  # silence before the chunk
+            body = np.clip(np.array(r.samples, np.int64), -32767, 32767).astype("<i2").tobytes()
+            size += gap + len(body)
+            yield b"\0" * gap
+            yield body
+
+    def put(rows):
+        from itertools import chain, groupby
+
+        store, folder = store_of(path)
         for (song, voice), own in groupby(rows, key=lambda r: (r.song, r.voice)):
-            name = os.path.join(folder, *(p for p in f"{song}-{voice}.wav".split("/") if p not in ("", ".", "..")))
-            os.makedirs(os.path.dirname(name), exist_ok=True)
-            part = f"{name}.{uuid.uuid4().hex}"
-            with open(part, "wb") as f:
-                f.write(b"\0" * 44)
-                size = 0
-                for r in own:
-                    n = r.n_channels
-                    gap = r.frame0 * n * 2 - size  # silence before the chunk
-                    f.write(b"\0" * gap)
-                    body = np.clip(np.array(r.samples, np.int64), -32767, 32767).astype("<i2").tobytes()
-                    f.write(body)
-                    size += gap + len(body)
-                f.seek(0)
-                f.write(_head(n, rate, size))
-            os.replace(part, name)
-
-    pcm.repartition("song", "voice").sortWithinPartitions("song", "voice", "frame0").select("song", "voice", "frame0", "n_channels", "samples").foreachPartition(put)
+            first = next(own)
+            put_file(store, folder, f"{song}-{voice}.wav", bodies((first, chain([first], own)), first.n_channels))
+
+    end = F.max(F.col("frame0") * F.col("n_channels") + F.size("samples")).over(W.partitionBy("song", "voice"))
+    rows = pcm.withColumn("total", end).sortWithinPartitions("song", "voice", "frame0")
+    rows.select("song", "voice", "frame0", "n_channels", "samples", "total").foreachPartition(put)
