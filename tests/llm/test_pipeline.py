@@ -12,7 +12,7 @@ from test_near_dedup import brute
 def test_against_brute_force(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     odd = spark.createDataFrame([(9001, None, "en", "src1", 0), (9002, "123 456", None, None, 7), (9003, "the of and in", None, None, 13)], docs.schema)
-    docs = docs.unionByName(odd)
+    docs = docs.unionByName(odd).unionByName(docs.filter("doc_id < 30"))  # rows that are there twice
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     rows = {r.doc_id: r for r in docs.collect()}
