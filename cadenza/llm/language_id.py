@@ -96,6 +96,7 @@ def predict(docs: DataFrame, model: BiGru | None, id_col: str = "doc_id", text_c
             for batch in sliced(whole, "text", SLICE):
                 langs, scores = _asked(model, batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+        whole = batch = None
         give_back()
 
     out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -114,6 +115,7 @@ def keep_known(docs: DataFrame, model: BiGru | None, text_col: str = "text", min
             for batch in sliced(whole, whole.schema.names[at], SLICE):
                 langs, scores = _asked(model, batch.column(at).to_pylist())
                 yield batch.filter(pa.array([x != "und" and s >= min_score for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+        whole = batch = None
         give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -101,7 +101,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
                     ],
                     names=["doc_id", "n", "key", "bands", "row_digest"][: 5 if row_digests else 4],
                 )
-        del first, windows
+        first = windows = whole = batch = sets = sig = banded = at = None
         give_back()
 
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *([row_digest(docs[text_col]).alias("row_digest")] if row_digests else [])).mapInArrow(run, out)
@@ -120,6 +120,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 ends = np.cumsum([0, *map(len, sets)])
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))], names=["key", "shingles"])
+        whole = batch = sets = flat = ends = None
         give_back()
 
     return docs.select("text").mapInArrow(run, "key binary, shingles array<long>")

@@ -35,10 +35,12 @@ from .common import claim_worker, give_back, sliced
 
 MARK = "▁"
 #: Bytes (estimated) of the two tables of remembered segments of a worker, and the longest segment that is remembered.
-CACHE = 96 << 20
+CACHE = 40 << 20
 CACHE_CHARS = 48
 #: Bytes of text that a task works on at a time.
-SLICE = 2 << 20
+SLICE = 512 << 10
+#: New segments that are merged and checked at a time.
+PART = 20_000
 #: Longest segment that is merged in step with others.
 STEP_CHARS = 24
 _NONE = np.int64(2**62)
@@ -225,17 +227,19 @@ class PieceModel:
         new = [s for s in segments if s not in seen]
         self._remember({s: older[s] for s in new if s in older})
         new = [s for s in new if s not in older]
-        found = self.merge_many(new)
-        if check:
-            self.check(new, found)
-        flat = [i for ids in found for i in ids]
-        names, raws = list(map(self.names.__getitem__, flat)), list(map(self.shown_bytes.__getitem__, flat))
-        own, at = {}, 0
-        for s, ids in zip(new, found, strict=True):
-            end = at + len(ids)
-            (own if len(s) <= CACHE_CHARS else long)[s] = ",".join(names[at:end]), b"".join(raws[at:end])
-            at = end
-        self._remember(own)
+        for k in range(0, len(new), PART):
+            part = new[k : k + PART]
+            found = self.merge_many(part)
+            if check:
+                self.check(part, found)
+            flat = [i for ids in found for i in ids]
+            names, raws = list(map(self.names.__getitem__, flat)), list(map(self.shown_bytes.__getitem__, flat))
+            own, at = {}, 0
+            for s, ids in zip(part, found, strict=True):
+                end = at + len(ids)
+                (own if len(s) <= CACHE_CHARS else long)[s] = ",".join(names[at:end]), b"".join(raws[at:end])
+                at = end
+            self._remember(own)
         return long
 
     def _remember(self, own: dict) -> None:
@@ -302,6 +306,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[f.name for f in out]
                 )
+        whole = batch = rows = cut = parts = got = None
         give_back()
 
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, out)
