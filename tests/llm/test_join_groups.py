@@ -1,6 +1,5 @@
 from pyspark.sql import functions as F
 
-from cadenza.llm import html_wrapper
 from cadenza.llm.common import join_groups, words
 
 
@@ -13,13 +12,6 @@ def test_hot_and_cold_groups(spark):
     assert got.filter("g != 'hot' and id % 300 != cast(g as int)").count() == 0
 
 
-def test_pages_without_broadcast(spark, monkeypatch):
-    df = spark.createDataFrame([(i, f"http://h{i % 7 if i > 150 else 0}.example/", f"<body><nav>m</nav><article><p>t{i}</p></article></body>") for i in range(300)], "page_id long, url string, html string")
-    want = sorted(map(tuple, html_wrapper.extract_main(df).collect()))
-    monkeypatch.setattr(html_wrapper, "BROADCAST_HOSTS", 0)
-    assert sorted(map(tuple, html_wrapper.extract_main(df).collect())) == want and want[5][2] == "t5"
-
-
 def test_words(spark):
     got = spark.createDataFrame([(None,), ("",), (" \t\n\x0b",), ("a  b\x0bc\xa0d",)], "text string").select(words("text").alias("n")).collect()
     assert [r.n for r in got] == [0, 0, 0, 3]
