@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fixity, html_wrapper, language_id, media, mixing, near_dedup, piece_codec, preference, pseudonyms
+from . import exact_dedup, fixity, html_wrapper, language_id, media, mixing, near_dedup, piece_codec, preference, pseudonyms, simhash
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_bigru_language_id": language_id.query,
         "op9_sentencepiece": piece_codec.query,
         "op10_circulant_minhash": near_dedup.query,
+        "op13_pigeonhole_simhash": simhash.query,
     }
 
 
