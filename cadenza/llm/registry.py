@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fixity, html_wrapper, language_id, media, mixing, near_dedup, piece_codec, preference, pseudonyms, simhash
+from . import centroids, exact_dedup, fixity, html_wrapper, language_id, manifest, media, mixing, near_dedup, piece_codec, preference, pseudonyms, simhash
 
 
 def queries():
@@ -17,6 +17,8 @@ def queries():
         "op8_bigru_language_id": language_id.query,
         "op9_sentencepiece": piece_codec.query,
         "op10_circulant_minhash": near_dedup.query,
+        "op11_heap_kmeans": centroids.query,
+        "op12_slot_pivot_manifest": manifest.query,
         "op13_pigeonhole_simhash": simhash.query,
     }
 
@@ -27,4 +29,6 @@ def oracle_sql():
         "op2_merkle_fixity": fixity.ORACLE,
         "op3_preference_format": preference.ORACLE,
         "op6_splitting_tree_mix": mixing.ORACLE,
+        "op11_heap_kmeans": centroids.ORACLE,
+        "op12_slot_pivot_manifest": manifest.ORACLE,
     }

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 def test_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = registry.queries()[name](spark, SF)
     res = con.execute(registry.oracle_sql()[name])
