@@ -107,7 +107,7 @@ def base_track(x: Column) -> Column:
 def infer_scalar(x: Column) -> Column:
     """Struct (kind, as_bool, as_long, as_double, as_text) by the spelling of a value."""
     yes, no = F.upper(x).isin("TRUE", "WAHR"), F.upper(x).isin("FALSE", "FALSCH")
-    whole, hexa, real = x.rlike(r"^[+-]?\d+$"), x.rlike("^0x[0-9A-Fa-f]+$"), x.rlike(r"^[+-]?\d+\.\d*$")
+    whole, hexa, real = x.rlike(r"^[+-]?\d+$"), x.rlike("^0[xX][0-9A-Fa-f]+$"), x.rlike(r"^[+-]?\d+\.\d*$")
     kind = iif(yes | no, F.lit("bool"), whole | hexa, F.lit("long"), real, F.lit("double"), F.lit("text"))
     return F.struct(
         F.when(x.isNotNull(), kind).alias("kind"), F.when(yes, True).when(no, False).alias("as_bool"),

@@ -1,4 +1,6 @@
 import json
+import random
+import re
 import struct
 
 import numpy as np
@@ -7,7 +9,7 @@ import pytest
 from cadenza.operators.notes import check_order
 from cadenza.sources import midi
 from cadenza.sources.midi import read_midi, write_midi
-from cadenza.sources.settings_files import file_lines, read_settings, settings_of
+from cadenza.sources.settings_files import include_closure, read_settings, settings_of
 from cadenza.sources.text_files import read_multi_table_tsv, read_relaxed_json, read_srt, write_srt
 from cadenza.sources.wav import _head, read_wav, write_wav
 
@@ -87,8 +89,6 @@ def test_settings(spark, tmp_path):
     roots = spark.createDataFrame([("a/x.txt",), ("b/x.txt",)], "file string")
     got = {(r.song, r.key): r.value_text for r in read_settings(spark, str(tmp_path / "deep"), roots).collect()}
     assert got == {(f"{d}/x.txt", k): v for d in "ab" for k, v in {"k": d, "m": f"more {d}", "t": "top", **{f"c{i}": str(i) for i in range(12)}}.items()}
-    with pytest.raises(ValueError, match="levels"):
-        settings_of(file_lines(spark, str(tmp_path / "deep")), roots, depth=5)
 
 
 def test_tables_json_srt(spark, tmp_path):
@@ -113,3 +113,142 @@ def test_tables_json_srt(spark, tmp_path):
     assert sorted(map(tuple, read_srt(spark, str(tmp_path / "d")).collect())) == sorted(map(tuple, cues.collect()))
     (tmp_path / "d/long.srt").write_text("1\n00:00:00,000 --> 00:00:01,000\n" + "\n".join(f"l{i}" for i in range(1500)) + "\n")
     assert len(read_srt(spark, str(tmp_path / "d")).filter("song = 'long'").first().text.split("\n")) == 1500
+
+
+class Plain:
+    """Settings of one root read line by line, by the rules of the format."""
+
+    def __init__(self, files, root):
+        self.files, self.seen, self.lines, self.text, self.value, self.out = files, set(), [], {}, {}, []
+        self.read(root)
+        logical, open_ = [], None
+        for n, line in enumerate(self.lines, 1):
+            s = line.strip()
+            if s.startswith("--"):
+                continue
+            if re.match(r"[A-Za-z_]\w*\s*=", s):
+                open_ = [n, s]
+                logical.append(open_)
+            elif not s:
+                open_ = None
+            elif open_:
+                open_[1] += " " + s
+            if open_ and open_[1].endswith("\\"):
+                open_[1] = open_[1][:-1].rstrip()
+        for n, s in logical:
+            key, _, raw = s.partition("=")
+            v = self.combine(self.expand(raw.strip()))
+            self.text[key.strip()] = v
+            self.out.append((key.strip(), n, v.replace('\\"', '"')))
+
+    def read(self, file):
+        self.seen.add(file)
+        for line in self.files[file].split("\n"):
+            m = re.match(r'\s*INCLUDE\s+"([^"]+)"', line)
+            self.lines.append("-- " + line if m else line)
+            if m and m[1] in self.files and m[1] not in self.seen:
+                self.read(m[1])
+
+    def shown(self, name):
+        if name not in self.text:
+            return name
+        v = self.text[name]
+        if v.upper() in ("TRUE", "WAHR", "FALSE", "FALSCH"):
+            return str(v.upper() in ("TRUE", "WAHR"))
+        if re.fullmatch(r"[+-]?\d+", v):
+            return repr(int(v))
+        if re.fullmatch(r"0[xX][0-9A-Fa-f]+", v):
+            return repr(int(v, 16))
+        return repr(float(v)) if re.fullmatch(r"[+-]?\d+\.\d*", v) else f'"{v}"'
+
+    def expand(self, s):
+        out, i = "", 0
+        while i < len(s):
+            if s[i] == '"':
+                j = i + 1
+                while j < len(s) and s[j] != '"':
+                    j += 2 if s[j] == "\\" else 1
+                out, i = out + s[i : j + 1], j + 1
+            elif m := re.match(r"[A-Za-z_]\w*", s[i:]):
+                out, i = out + self.shown(m[0]), i + len(m[0])
+            else:
+                out, i = out + s[i], i + 1
+        return out
+
+    def combine(self, s):
+        out, i = "", 0
+        while i < len(s):
+            if s[i] == '"':
+                j = i + 1
+                while j < len(s) and s[j] != '"':
+                    j += 2 if s[j] == "\\" else 1
+                out, i = out + s[i + 1 : j], j + 1
+            elif s[i].isspace():
+                i += 1
+            else:
+                m = re.match(r"\S*\s?", s[i:])
+                out, i = out + m[0], i + len(m[0])
+        return out
+
+
+def settings_rows(spark, files, roots):
+    lines = [(f, n, x) for f, t in files.items() for n, x in enumerate(t.split("\n"), 1)]
+    got = settings_of(spark.createDataFrame(lines, "file string, linenum int, line string"), spark.createDataFrame([(r,) for r in roots], "file string"))
+    return sorted((r.song, r.key, r.line, r.value_text) for r in got.collect())
+
+
+def test_settings_against_a_line_by_line_reader(spark):
+    """Names glued to texts and numbers, plain writing of numbers and flags, odd quotes, repeated and cyclic includes."""
+    r = random.Random(11)
+    keys = ["a", "b", "c", "num", "flag"]
+    pieces = ['"x, y"', '"5"', "5", "0x1F", "+07", "2.50", "-0", "WAHR", "a", "b", "c", "num", "flag", '"say \\"hi\\""', "two words", ",", "  ", '"open', "1a", "a.b", '""', "Falsch", '"é"']
+    files = {}
+    for f in range(14):
+        lines = []
+        for _ in range(r.randint(2, 12)):
+            kind = r.random()
+            if kind < 0.15:
+                lines.append(f'INCLUDE "f{r.randrange(14)}"')
+            elif kind < 0.25:
+                lines.append(r.choice(["", "-- c", "  stray = ", "  more text", '"a" \\', "\\"]))
+            else:
+                lines.append(f"{r.choice(keys)}{r.choice([' = ', '=', '  =   '])}" + "".join(r.choice(pieces) + r.choice([" ", "", "  "]) for _ in range(r.randint(0, 4))) + r.choice(["", " \\"]))
+        files[f"f{f}"] = "\n".join(lines)
+    want = sorted((f, *x) for f in files for x in Plain(files, f).out)
+    assert settings_rows(spark, files, sorted(files)) == want and len(want) > 200
+
+
+def test_long_chains(spark):
+    """Sixty includes in a row are few joins, and a text extended many times is few rounds."""
+    files = {f"c{i:02d}": f'k{i} = "{i}"\n' + (f'INCLUDE "c{i + 1:02d}"\n' if i < 60 else "") + f"end{i} = k{i}" for i in range(61)}
+    files["grow"] = 'v = "0"\n' + "\n".join(f'v = v ", {i}"' for i in range(1, 200)) + "\nlast = v"
+    lines = [(f, n, x) for f, t in files.items() for n, x in enumerate(t.split("\n"), 1)]
+    df = spark.createDataFrame(lines, "file string, linenum int, line string")
+    got = settings_of(df, spark.createDataFrame([("c00",), ("c55",), ("grow",)], "file string"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Join") <= 10
+    rows = {(r.song, r.key): (r.line, r.value_text) for r in got.collect()}
+    assert rows["c00", "k60"] == (60 * 2 + 1, "60") and rows["c00", "end0"][0] == 61 * 3 - 1 and rows["c55", "end57"][1] == "57" and len(rows) == 61 * 2 + 6 * 2 + 2
+    assert rows["grow", "last"][1] == ", ".join(map(str, range(200)))
+
+
+def test_include_ways(spark):
+    """The first way in reading order, over files that are included many times and over cycles."""
+    r = random.Random(5)
+    for cyclic in (False, True):
+        edges = sorted({(f"f{a:02d}", r.randrange(1, 9), f"f{b:02d}") for a, b in ((r.randrange(20), r.randrange(20)) for _ in range(45)) if cyclic or a < b})
+        edges = list({(f, n): (f, n, t) for f, n, t in edges}.values())
+        roots = [f"f{i:02d}" for i in range(20)]
+        got = include_closure(spark.createDataFrame(edges, "file string, linenum int, include string"), spark.createDataFrame([(x,) for x in roots], "file string"))
+        want = []
+        for root in roots:
+            seen = set()
+
+            def walk(f, at, root=root, seen=seen):
+                seen.add(f)
+                want.append((root, f, at))
+                for _, n, t in sorted(e for e in edges if e[0] == f):
+                    if t not in seen:
+                        walk(t, [*at, n])
+
+            walk(root, [])
+        assert sorted((x.song, x.file, list(x["at"])) for x in got.collect()) == sorted(want)
