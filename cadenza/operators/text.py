@@ -1,4 +1,8 @@
-"""Text tables: logical lines, sections, marker scans, several tables in one file."""
+"""Text tables: logical lines, sections, marker scans, several tables in one file.
+
+A file whose lines do not fit a task comes in ranges of lines (column ``part``), as ``cadenza.sources.ranges``
+reads it; what is open at the end of a range is carried into the next.
+"""
 
 from __future__ import annotations
 
@@ -6,30 +10,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .along import along
+
 
-def logical_lines(lines: DataFrame, start: str, comment: str = r"^\s*--", file: str = "doc_id") -> DataFrame:
+def logical_lines(lines: DataFrame, start: str, comment: str = r"^\s*--", file: str = "doc_id", part: str | None = None) -> DataFrame:
     """(file, linenum, text): a line that matches ``start`` opens a logical line, a blank one ends it.
 
     Comments go, a trailing backslash is removed, the parts are joined by one space; text
     before the first start is dropped.
     """
     keep = lines.filter(~F.col("line").rlike(comment)).withColumn("_blank", F.trim("line") == "").withColumn("_start", F.col("line").rlike(start))
-    w = W.partitionBy(file).orderBy("linenum").rowsBetween(W.unboundedPreceding, 0)
-    keep = keep.withColumn("_island", F.sum(F.when(F.col("_start") | F.col("_blank"), 1).otherwise(0)).over(w)).filter("not _blank")
+    keep = along(keep, [file], part, "linenum", _island=("sum", F.when(F.col("_start") | F.col("_blank"), 1).otherwise(0))).filter("not _blank")
     part = F.trim(F.regexp_replace("line", r"\\\s*$", ""))
     got = keep.groupBy(file, "_island").agg(F.min("linenum").alias("linenum"), F.max("_start").alias("_start"), F.array_sort(F.collect_list(F.struct("linenum", part.alias("p")))).alias("a"))
     return got.filter("_start").select(file, "linenum", F.array_join(F.transform("a", lambda x: x.p), " ").alias("text"))
 
 
-def section_fill(lines: DataFrame, marker: str, file: str = "doc_id") -> DataFrame:
+def section_fill(lines: DataFrame, marker: str, file: str = "doc_id", part: str | None = None) -> DataFrame:
     """Add ``section``, the last line that matched the marker, and ``is_heading`` for the line right after one."""
-    w = W.partitionBy(file).orderBy("linenum")
-    hit = F.col("line").rlike(marker)
-    got = lines.withColumn("_m", F.when(hit, F.col("line")))
-    return got.withColumn("section", F.last("_m", ignorenulls=True).over(w)).withColumn("is_heading", F.coalesce(F.lag("_m").over(w).isNotNull(), F.lit(False))).drop("_m")
+    mark = F.when(F.col("line").rlike(marker), F.col("line"))
+    got = along(lines.withColumn("_m", mark), [file], part, "linenum", section=("last", "_m"), is_heading=("lag", "_m"))
+    return got.withColumn("is_heading", F.col("is_heading").isNotNull()).drop("_m")
 
 
-def multi_tables(lines: DataFrame, marker: str = r"^TABLE (\w+)", comment: str = r"^\s*#", sep: str = "\t", file: str = "doc_id") -> DataFrame:
+def multi_tables(lines: DataFrame, marker: str = r"^TABLE (\w+)", comment: str = r"^\s*#", sep: str = "\t", file: str = "doc_id", part: str | None = None) -> DataFrame:
     """(file, table, linenum, fields, bad): rows of the tables in a text file.
 
     A marker line names a table, the next line is its heading. A line that ends in an
@@ -37,16 +41,18 @@ def multi_tables(lines: DataFrame, marker: str = r"^TABLE (\w+)", comment: str =
     are skipped; a row of another width than the heading keeps the common prefix and is flagged.
     """
     keep = lines.filter(~F.col("line").rlike(comment) & (F.trim("line") != ""))
-    w = W.partitionBy(file).orderBy("linenum")
     opens, neutral = F.col("line").rlike("\t\" *[^\t \"][^\t\"]*$"), ~F.col("line").rlike("[\t\"]")
-    state = F.when(opens, True).when(~neutral, False)
-    keep = keep.withColumn("_s", state).withColumn("_open", F.coalesce(F.last("_s", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(False)))
-    keep = keep.withColumn("_g", F.sum(F.when(F.coalesce(F.lag("_open").over(w), F.lit(False)), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    whole = keep.groupBy(file, "_g").agg(F.min("linenum").alias("linenum"), F.array_sort(F.collect_list(F.struct("linenum", "line"))).alias("a"))
-    whole = whole.select(file, "linenum", F.array_join(F.transform("a", lambda x: x.line), "\n").alias("line"))
+    keep = keep.withColumn("_s", F.when(opens, True).when(~neutral, False))
+    keep = along(keep, [file], part, "linenum", _inside=("last_before", "_s"))
+    keep = along(keep, [file], part, "linenum", _g=("sum", F.when(F.coalesce("_inside", F.lit(False)), 0).otherwise(1)))
+    first = [F.min(part).alias(part)] if part else []  # a joined line belongs to the range of its first
+    whole = keep.groupBy(file, "_g").agg(F.min("linenum").alias("linenum"), *first, F.array_sort(F.collect_list(F.struct("linenum", "line"))).alias("a"))
+    whole = whole.select(file, *([part] if part else []), "linenum", F.array_join(F.transform("a", lambda x: x.line), "\n").alias("line"))
     hit = F.regexp_extract("line", marker, 1)
-    named = whole.withColumn("_n", F.when(hit != "", hit)).withColumn("table", F.last("_n", ignorenulls=True).over(w)).withColumn("_head", F.when(F.lag("_n").over(w).isNotNull() & F.col("_n").isNull(), F.split("line", sep)))
-    named = named.withColumn("_names", F.last("_head", ignorenulls=True).over(w)).withColumn("_at", F.last(F.when(F.col("_n").isNotNull(), F.col("linenum")), ignorenulls=True).over(w))
+    whole = whole.withColumn("_n", F.when(hit != "", hit))
+    named = along(whole, [file], part, "linenum", table=("last", "_n"), _above=("lag", "_n"))
+    named = named.withColumn("_head", F.when(F.col("_above").isNotNull() & F.col("_n").isNull(), F.split("line", sep)))
+    named = along(named, [file], part, "linenum", _names=("last", "_head"))
     rows = named.filter(F.col("_n").isNull() & F.col("_head").isNull() & F.col("table").isNotNull()).withColumn("_v", F.transform(F.split("line", sep), lambda v: F.regexp_replace(v, r'(?s)^ *"(.*)" *$', "$1")))
     n = F.least(F.size("_names"), F.size("_v"))
     return rows.select(file, "table", "linenum", F.map_from_arrays(F.slice("_names", F.lit(1), n), F.slice("_v", F.lit(1), n)).alias("fields"), (F.size("_names") != F.size("_v")).alias("bad"))

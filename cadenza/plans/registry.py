@@ -35,3 +35,4 @@ def oracle_sql() -> dict[str, str]:
 
 from . import note_queries  # noqa: E402,F401
 from . import mix_queries, scalar_queries, source_queries, text_queries  # noqa: E402,F401
+from . import range_queries  # noqa: E402,F401

@@ -26,8 +26,9 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lines_of(files: DataFrame) -> DataFrame:
-    """(file, linenum, line) of files (file, value)."""
-    return files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("linenum", "line")).withColumn("linenum", F.col("linenum") + 1)
+    """(file, linenum, line) of files (file, value); what follows the last line end is a line only if it is not empty."""
+    text = F.regexp_replace("value", r"\r?\n\z", "")
+    return files.filter("value != ''").select("file", F.posexplode(F.split(text, r"\r?\n")).alias("linenum", "line")).withColumn("linenum", F.col("linenum") + 1)
 
 
 def file_lines(spark: SparkSession, path: str) -> DataFrame:
