@@ -107,11 +107,13 @@ def paths(levels: list[DataFrame], roots: list[DataFrame], above: DataFrame, fan
     down = topped[-1]
     for level, top in zip(reversed(levels), reversed(topped[:-1]), strict=True):
         rows = level.drop("total", "digest").join(down.select(*_GROUP, "at", "path", *more), [*_GROUP, "at"])
-        children = F.array(*(
-            F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("child"), F.lit(s).alias("slot"), F.struct(F.concat_ws("", *hashes[:s]).alias("before"), F.concat_ws("", *hashes[s + 1 :]).alias("after")).alias("siblings")))
-            for s, c in enumerate(slots)
-        ))
-        rows = rows.select(*_GROUP, "at", "path", *more, F.explode(children).alias("c")).filter("c is not null")
+        rows = rows.withColumn("slots", F.array(*slots)).withColumn("hashes", F.array(*hashes))
+        cut_out = lambda child, s: F.struct(
+            child.alias("child"), s.alias("slot"),
+            F.struct(F.array_join(F.slice("hashes", F.lit(1), s), "").alias("before"), F.array_join(F.slice("hashes", s + 2, F.lit(fanout)), "").alias("after")).alias("siblings"),
+        )
+        children = F.filter(F.transform("slots", cut_out), lambda c: c["child"].isNotNull())
+        rows = rows.select(*_GROUP, "at", "path", *more, F.explode(children).alias("c"))
         rows = rows.select(*_GROUP, (F.col("at") * fanout + F.col("c.slot")).alias("at"), "c.child.*", F.concat(F.array("c.siblings"), F.col("path")).alias("path"), *more)
         down = rows.unionByName(top.drop("total", "slot"))
     return down
