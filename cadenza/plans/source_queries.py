@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import scalars as L
 from cadenza.operators import grid as G
-from cadenza.sources import midi, settings_files, text_files, wav
+from cadenza.sources import data_sources, midi, settings_files, text_files, wav
+from cadenza.sources.shared import cut, new_folder, remove
 
 from .bindings import bound, duck
 from .mix_queries import _DENSE, chunks
-from .registry import query
+from .registry import oracle_sql, query
 
 
 @query("midi_files", duck("midi") + """, n as (select *, row_number() over w - 1 as n from midi window w as (partition by song, track_no order by midi_time, seq))
@@ -20,6 +21,11 @@ select song, track_no, n as seq, midi_time, kind, case when kind = 'Meta' then '
 union all select song, track_no, count(*), max(midi_time), 'Meta', 'TrkEnd', -1, -1, -1, '' from midi group by song, track_no""")
 def _midi(spark, sf):
     """Events as files of their songs, decoded again."""
+    events, _ = midi.decode_midi(midi.midi_files(_events(spark, sf)))
+    return _shown(events)
+
+
+def _events(spark, sf):
     e = bound(spark, sf, "midi")
     n = F.row_number().over(W.partitionBy("song", "track_no").orderBy("midi_time", "seq")) - 1
     own = e.select(
@@ -29,20 +35,50 @@ def _midi(spark, sf):
     ends = own.groupBy("song", "track_no").agg(F.count(F.lit(1)).alias("seq"), F.max("midi_time").alias("midi_time")).withColumns(
         {"kind": F.lit("Meta"), "meta": F.lit("TrkEnd"), "tpq": F.lit(96)} | {c: F.lit(None).cast(own.schema[c].dataType) for c in ("track", "channel", "p1", "p2", "text", "data")}
     )
-    events, _ = midi.decode_midi(midi.midi_files(own.unionByName(ends)))
+    return own.unionByName(ends)
+
+
+def _shown(events):
     none = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
     return events.select(F.col("song").cast("long").alias("song"), "track_no", "seq", "midi_time", "kind", F.coalesce("meta", F.lit("")).alias("meta"), none("channel"), none("p1"), none("p2"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+@query("midi_source", oracle_sql()["midi_files"])
+def _midi_source(spark, sf):
+    """Events written as files to the shared folder by the data source, and read from there."""
+    data_sources.register(spark)
+    folder = new_folder(spark, "midi")
+    midi.write_midi(_events(spark, sf), folder)
+    events = spark.read.format("midi").option("mode", "failfast").load(folder).withColumn("song", F.regexp_replace("song", r"\.mid$", ""))
+    out = cut(_shown(events))
+    remove(spark, folder)
+    return out
+
+
 @query("wav_files", _DENSE + """select song, voice, max(frame) + 1 as frames, sum(s)::bigint as total, sum(s * (frame * 2 + channel))::bigint as moment from (select *, greatest(least(sample, 32767), -32767) as s from dense) group by 1, 2""")
 def _wav(spark, sf):
     """Voices as WAV files, decoded into chunks of another size."""
     pcm, _ = wav.decode_wav(wav.wav_files(chunks(spark, sf), 8000), 1000)
+    return _moments(pcm)
+
+
+def _moments(pcm):
     add = lambda f: F.aggregate(F.transform("samples", f), F.lit(0).cast("long"), lambda a, x: a + x)
     one = pcm.select("song", "voice", (F.col("frame0") + F.size("samples") / 2).alias("end"), add(lambda s: s.cast("long")).alias("t"), add(lambda s, i: s.cast("long") * (i + F.col("frame0") * 2)).alias("m"))
     return one.groupBy(F.col("song").cast("long").alias("song"), "voice").agg(F.max("end").cast("long").alias("frames"), F.sum("t").alias("total"), F.sum("m").alias("moment"))
 
 
+@query("wav_source", oracle_sql()["wav_files"])
+def _wav_source(spark, sf):
+    """Voices written to the shared folder, a file by many tasks, and read from there by ranges of bytes."""
+    data_sources.register(spark)
+    folder = new_folder(spark, "wav")
+    wav.write_wav(chunks(spark, sf), folder, 8000)
+    out = cut(_moments(spark.read.format("wav").option("mode", "failfast").option("frames", 1000).option("taskBytes", 1 << 16).load(folder)))
+    remove(spark, folder)
+    return out
+
+
 @query("settings_files", """with b as (select 'n' || n_nationkey as key, n_name as value_text, row_number() over (order by n_nationkey) as i from nation), s as (select distinct c_nationkey as song from customer)
 select song, key, 1 + i as line, value_text from s, b
 union all select c_nationkey, 'key' || c_custkey % 5, (select count(*) from b) + 2 + row_number() over (partition by c_nationkey order by c_custkey), c_name || n_name || '!' from customer join nation on n_nationkey = c_custkey % 25""")

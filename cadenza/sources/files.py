@@ -1,10 +1,10 @@
-"""Names of files below a folder, and writing binary values as files."""
+"""Names of files below a folder, and the file systems of paths."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -19,34 +19,5 @@ def store_of(path: str):
     """(file system, folder) of a path: a plain path is local, else the scheme decides (file, hdfs, s3, ...)."""
     from pyarrow import fs
 
+    path = re.sub("^file:/+", "/", path)  # one slash or three
     return fs.FileSystem.from_uri(path) if re.match("^[a-zA-Z][a-zA-Z0-9+.-]*://", path) else (fs.LocalFileSystem(), path)
-
-
-def put_file(store, folder: str, name: str, parts) -> None:
-    """Write the byte strings ``parts`` as the file ``name`` below a folder; a task that runs twice replaces the file as a whole."""
-    import uuid
-
-    steps = [p for p in name.split("/") if p not in ("", ".", "..")]
-    top = "/".join([folder.rstrip("/"), *steps[:-1]])
-    store.create_dir(top, recursive=True)
-    part = f"{top}/.{uuid.uuid4().hex}"
-    with store.open_output_stream(part) as f:
-        for p in parts:
-            f.write(p)
-    store.move(part, f"{top}/{steps[-1]}")
-
-
-def write_files(df: DataFrame, path: str, suffix: str) -> None:
-    """Write rows (song, content) as ``<song without its suffix><suffix>`` below ``path``, folders in a song's name included, from the executors.
-
-    A local folder must be one that all executors share.
-    """
-
-    def put(rows):
-        import os
-
-        store, folder = store_of(path)
-        for r in rows:
-            put_file(store, folder, os.path.splitext(str(r.song))[0] + suffix, [bytes(r.content)])
-
-    df.select("song", "content").foreachPartition(put)

@@ -1,14 +1,14 @@
-"""PCM WAV files as chunk rows."""
+"""PCM WAV files as chunk rows: whole files as values, and by ranges through the data source ``wav``."""
 
 from __future__ import annotations
 
 import struct
 
+from pyarrow.fs import LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .files import put_file, relative, store_of
+from .files import relative, store_of
 
 SCHEMA = "song string, voice string, chunk bigint, frame0 bigint, n_channels int, rate int, samples array<smallint>"
 
@@ -19,41 +19,56 @@ def read_wav(spark: SparkSession, path: str, frames_per_chunk: int = 4096) -> tu
     return decode_wav(files.select(relative(F.col("path"), path).alias("file"), "content"), frames_per_chunk)
 
 
-def _parsed(data: bytes):
-    """(channels, rate, samples as 16 bits) of a file; raises ValueError if it is broken."""
-    import numpy as np
-
-    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+def read_head(f, total: int) -> tuple[int, int, int, int, int]:
+    """(channels, rate, bits, first byte of the samples, bytes of whole frames) of an open file of ``total`` bytes; raises ValueError if it is broken."""
+    f.seek(0)
+    top = f.read(12)
+    if top[:4] != b"RIFF" or top[8:12] != b"WAVE":
         raise ValueError("no WAVE header")
-    form = body = None
-    at = 12
-    while at + 8 <= len(data) and body is None:
-        tag, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
+    form, at = None, 12
+    while at + 8 <= total:
+        f.seek(at)
+        tag, size = struct.unpack("<4sI", f.read(8))
         if tag == b"fmt ":
-            if size < 16 or at + 24 > len(data):
+            if size < 16 or at + 24 > total:
                 raise ValueError("broken format chunk")
-            form = struct.unpack("<HHIIHH", data[at + 8 : at + 24])
+            form = struct.unpack("<HHIIHH", f.read(16))
         elif tag == b"data":
-            body = data[at + 8 : at + 8 + size]
-            if len(body) < size:
+            if at + 8 + size > total:
                 raise ValueError("truncated samples")
+            break
         at += 8 + size + size % 2
-    if form is None or body is None:
+    else:
+        raise ValueError("no format or no samples")
+    if form is None:
         raise ValueError("no format or no samples")
     n, rate, bits = form[1], form[2], form[5]
     if form[0] not in (1, 0xFFFE) or not n:
         raise ValueError("no PCM")
-    width = bits // 8
-    body = body[: len(body) // (width * n or 1) * width * n]
-    if bits == 8:  # unsigned
-        x = (np.frombuffer(body, np.uint8).astype(np.int16) - 128) << 8
-    elif bits == 16:
-        x = np.frombuffer(body, "<i2")
-    elif bits in (24, 32):  # the upper two bytes
-        x = np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(-1, width)[:, width - 2 :]).view("<i2").ravel()
-    else:
+    if bits not in (8, 16, 24, 32):
         raise ValueError(f"{bits} bits a sample")
-    return n, rate, x
+    frame = bits // 8 * n
+    return n, rate, bits, at + 8, size // frame * frame
+
+
+def to_16_bits(body: bytes, bits: int):
+    """Samples of whole frames as 16 bits."""
+    import numpy as np
+
+    if bits == 8:  # unsigned
+        return (np.frombuffer(body, np.uint8).astype(np.int16) - 128) << 8
+    if bits == 16:
+        return np.frombuffer(body, "<i2")
+    width = bits // 8  # the upper two bytes
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(-1, width)[:, width - 2 :]).view("<i2").ravel()
+
+
+def _parsed(data: bytes):
+    """(channels, rate, samples as 16 bits) of a file; raises ValueError if it is broken."""
+    import io
+
+    n, rate, bits, first, size = read_head(io.BytesIO(data), len(data))
+    return n, rate, to_16_bits(data[first : first + size], bits)
 
 
 def decode_wav(files: DataFrame, frames_per_chunk: int = 4096) -> tuple[DataFrame, DataFrame]:
@@ -95,39 +110,26 @@ def wav_files(pcm: DataFrame, rate: int = 44100) -> DataFrame:
             parts.append(b"\0" * (int(at) * n * 2 - size))  # silence before the chunk
             parts.append(np.clip(np.asarray(samples, np.int64), -32767, 32767).astype("<i2").tobytes())
             size += len(parts[-2]) + len(parts[-1])
-        return pd.DataFrame([(f"{key[0]}-{key[1]}.wav", _head(n, rate, size) + b"".join(parts))], columns=["file", "content"])
+        return pd.DataFrame([(f"{key[0]}-{key[1]}.wav", head(n, rate, size) + b"".join(parts))], columns=["file", "content"])
 
     rows = pcm.select(F.col("song").cast("string").alias("song"), "voice", "frame0", "n_channels", "samples")
     return rows.groupBy("song", "voice").applyInPandas(run, "file string, content binary")
 
 
-def _head(n: int, rate: int, size: int) -> bytes:
+def head(n: int, rate: int, size: int) -> bytes:
     return b"RIFF" + (36 + size).to_bytes(4, "little") + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, n, rate, rate * n * 2, n * 2, 16) + b"data" + size.to_bytes(4, "little")
 
 
-def write_wav(pcm: DataFrame, path: str, rate: int = 44100) -> None:
-    """One file per (song, voice), chunks in order, samples clamped; memory is one chunk."""
+def write_wav(pcm: DataFrame, path: str, rate: int = 44100, mode: str = "append") -> None:
+    """One file per (song, voice), samples clamped, by the data source of this package: many tasks write a file on a local (shared) folder.
 
-    def bodies(own, n):
-        import numpy as np
+    On another store the chunks of a file are brought into one task, in order; its memory is a batch of chunks.
+    """
+    from .data_sources import register
 
-        first, size = own[0], 0
-        yield _head(n, rate, int(first.total) * 2)
-        for r in own[1]:
-            gap = r.frame0 * n * 2 - size  # silence before the chunk
-            body = np.clip(np.array(r.samples, np.int64), -32767, 32767).astype("<i2").tobytes()
-            size += gap + len(body)
-            yield b"\0" * gap
-            yield body
-
-    def put(rows):
-        from itertools import chain, groupby
-
-        store, folder = store_of(path)
-        for (song, voice), own in groupby(rows, key=lambda r: (r.song, r.voice)):
-            first = next(own)
-            put_file(store, folder, f"{song}-{voice}.wav", bodies((first, chain([first], own)), first.n_channels))
-
-    end = F.max(F.col("frame0") * F.col("n_channels") + F.size("samples")).over(W.partitionBy("song", "voice"))
-    rows = pcm.withColumn("total", end).sortWithinPartitions("song", "voice", "frame0")
-    rows.select("song", "voice", "frame0", "n_channels", "samples", "total").foreachPartition(put)
+    register(pcm.sparkSession)
+    whole = pcm.groupBy("song", "voice").agg(F.max(F.col("frame0") * F.col("n_channels") + F.size("samples")).alias("total"), F.min("frame0").alias("_from"))
+    rows = pcm.join(whole, ["song", "voice"]).withColumn("first", F.col("frame0") == F.col("_from"))
+    if not isinstance(store_of(path)[0], LocalFileSystem):
+        rows = rows.repartition("song", "voice").sortWithinPartitions("song", "voice", "frame0")
+    rows.select(F.col("song").cast("string").alias("song"), "voice", "frame0", "n_channels", "samples", "total", "first").write.format("wav").option("rate", rate).mode(mode).save(path)

@@ -11,7 +11,7 @@ from cadenza.sources import midi
 from cadenza.sources.midi import read_midi, write_midi
 from cadenza.sources.settings_files import include_closure, read_settings, settings_of
 from cadenza.sources.text_files import read_multi_table_tsv, read_relaxed_json, read_srt, write_srt
-from cadenza.sources.wav import _head, read_wav, write_wav
+from cadenza.sources.wav import head, read_wav, write_wav
 
 
 def song():
@@ -56,7 +56,7 @@ def test_wav_round_trip(spark, tmp_path):
     (tmp_path / "w/bad-x.wav").write_bytes(b"RIFFxxxx")
     (tmp_path / "w/sub").mkdir()
     for bits, raw in ((8, bytes([0, 128, 255])), (24, b"\x00\x34\x12" * 2), (32, b"\x00\x00\xff\x7f")):
-        (tmp_path / f"w/sub/b{bits}-x.wav").write_bytes(_head(1, 8000, len(raw)).replace(struct.pack("<HH", 2, 16), struct.pack("<HH", bits // 8, bits)) + raw)
+        (tmp_path / f"w/sub/b{bits}-x.wav").write_bytes(head(1, 8000, len(raw)).replace(struct.pack("<HH", 2, 16), struct.pack("<HH", bits // 8, bits)) + raw)
     pcm, rejects = read_wav(spark, str(tmp_path / "w"), 1500)
     assert [tuple(r) for r in rejects.collect()] == [("bad-x.wav", "no WAVE header")]
     assert {r.song: list(r.samples) for r in pcm.filter("song != 's'").collect()} == {"sub/b8": [-32768, 0, 32512], "sub/b24": [0x1234, 0x1234], "sub/b32": [32767]}
