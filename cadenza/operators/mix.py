@@ -1,17 +1,20 @@
 """Sampled signals in chunks: gain, sum, peak, scaling, padding; groups of voices.
 
 A signal is a table (song, voice, chunk, frame0, n_channels, samples): arrays of
-interleaved 16-bit samples. All arithmetic is array functions within a chunk;
-only the sum over voices shuffles, whole arrays keyed by (song, chunk), and the peak is a
-partial aggregate of one number per song. No sample becomes a row.
+interleaved 16-bit samples. No sample becomes a row. Mixes are made in Arrow batches: a task applies
+gains and pans and adds what it has of a chunk before anything is shuffled, the shuffled parts of a chunk
+are added as a sorted stream, and the sums are evaluated once and kept: the peak is a partial
+aggregate over a number that was stored with them, and the scaled output is made from them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cadenza.functions import scalars as L
+from cadenza.sources.shared import cut
 
 CHUNK = 4096
 TOP = 32767
@@ -44,15 +47,130 @@ def length(pcm: DataFrame) -> DataFrame:
     return pcm.groupBy("song").agg(F.max(end).cast("long").alias("frames"), F.count_distinct("voice").alias("voices"))
 
 
-def _scaled(samples: Column, gain: Column) -> Column:
-    return F.transform(samples, lambda s: F.shiftright(s.cast("long") * gain, 10))
+#: Bytes of sums that a task holds before it passes them on.
+HELD = 64 << 20
+#: Rows of settings up to which they are broadcast: a row a voice of a song.
+BROADCAST_VOICES = 200_000
+_SUMS = "track string, chunk bigint, frame0 bigint, n_channels int, samples array<bigint>, top bigint"
 
 
-def _sum_chunks(chunks: DataFrame) -> DataFrame:
-    """Sum of ``samples`` over the rows of (song, chunk): the arrays of its voices are added place by place, shorter ones as if zeros followed."""
-    plus = lambda a, b: F.zip_with(a, b, lambda p, q: F.coalesce(p, F.lit(0).cast("long")) + F.coalesce(q, F.lit(0).cast("long")))
-    got = chunks.groupBy("song", "chunk", "frame0", "n_channels").agg(F.collect_list("samples").alias("a"))
-    return got.withColumn("samples", F.aggregate(F.slice("a", F.lit(2), F.size("a")), F.get("a", F.lit(0)), plus)).drop("a")
+def _few(df: DataFrame) -> DataFrame:
+    """A broadcast of a table that is small by count."""
+    return F.broadcast(df) if df.limit(BROADCAST_VOICES + 1).count() <= BROADCAST_VOICES else df
+
+
+def _lists(column):
+    """Arrays of a list column of samples, without copies."""
+    import numpy as np
+
+    values, ends = np.asarray(column.values.cast("int64")), np.asarray(column.offsets)
+    return [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def _add(total, x):
+    """The sum of two signals, the shorter one as if zeros followed; ``total`` may be changed."""
+    if len(total) < len(x):
+        total, x = x.copy(), total
+    total[: len(x)] += x
+    return total
+
+
+def _sums(rows: DataFrame) -> DataFrame:
+    """Sums by (song, track, chunk), with their greatest absolute sample ``top``, of rows (chunk, frame0, n_channels, samples, takes).
+
+    ``takes`` says where a chunk goes: (song, track, left, right, gain), factors over 1024; without ``left`` it keeps its channels, else it becomes stereo.
+    """
+    song = rows.schema["takes"].dataType.elementType["song"].dataType
+    schema = T.StructType([T.StructField("song", song), *T.StructType.fromDDL(_SUMS).fields])
+    limit = HELD
+
+    def batch_of(sums):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        keys = list(zip(*sums, strict=True))
+        ends = np.cumsum([0, *map(len, sums.values())])
+        top = [int(np.abs(x).max()) if len(x) else None for x in sums.values()]
+        flat = np.concatenate(list(sums.values()))
+        kinds = to_arrow_schema(schema)
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)).cast(kinds.field("samples").type)
+        return pa.RecordBatch.from_arrays([*(pa.array(k, kinds.types[i]) for i, k in enumerate(keys)), lists, pa.array(top, pa.int64())], schema=kinds)
+
+    def parts(batches):
+        import numpy as np
+
+        sums, held = {}, 0
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("chunk", "frame0", "n_channels", "takes")]
+            for x, chunk, frame0, n, takes in zip(_lists(batch.column("samples")), *cols, strict=True):
+                for t in takes:
+                    y = x
+                    if t["left"] is not None:
+                        y = np.repeat(x, 2) if n == 1 else x.copy()
+                        y[0::2] = (y[0::2] * t["left"]) >> 10
+                        y[1::2] = (y[1::2] * t["right"]) >> 10
+                    y = (y * t["gain"]) >> 10
+                    key = (t["song"], t["track"], chunk, frame0, n if t["left"] is None else 2)
+                    if key in sums:
+                        sums[key] = _add(sums[key], y)
+                    else:
+                        sums[key] = y
+                        held += y.nbytes
+                if held > limit:
+                    yield batch_of(sums)
+                    sums, held = {}, 0
+        if sums:
+            yield batch_of(sums)
+
+    def streams(batches):
+        """Rows that come sorted by chunk: of one chunk at a time."""
+        now, held, done = None, 0, {}
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("song", "track", "chunk", "frame0", "n_channels")]
+            for x, *key in zip(_lists(batch.column("samples")), *cols, strict=True):
+                key = tuple(key)
+                if key != now:
+                    if held > limit // 8:
+                        yield batch_of(done)
+                        done, held = {}, 0
+                    now, done[key] = key, x.copy()
+                    held += x.nbytes
+                else:
+                    done[key] = _add(done[key], x)
+        if done:
+            yield batch_of(done)
+
+    keys = ["song", "track", "chunk", "frame0", "n_channels"]
+    part = rows.select("chunk", "frame0", "n_channels", "samples", "takes").mapInArrow(parts, schema)
+    return part.repartition(*keys[:3]).sortWithinPartitions(*keys).mapInArrow(streams, schema)
+
+
+def _finished(sums: DataFrame, levels: DataFrame | None, amplification: float, low_peak: int) -> DataFrame:
+    """Sums (song, chunk, frame0, n_channels, samples, top) scaled and clipped; they are evaluated once."""
+    kept = cut(sums)
+    tops = kept.groupBy("song").agg(F.max("top").alias("peak"))
+    tops = tops if levels is None else tops.join(levels, "song", "left")
+    level = F.lit(float(amplification)) if levels is None else F.coalesce("amplification", F.lit(float(amplification)))
+    factor = F.when(F.col("peak") >= low_peak, F.lit(float(TOP)) * F.pow(F.lit(2.0), level / 6.0206) / F.col("peak")).otherwise(1.0)
+    tops = _few(cut(tops.select(F.col("song").alias("_of"), factor.alias("_factor"))))
+    rows = kept.join(tops, F.col("song").eqNullSafe(F.col("_of"))).drop("top", "_of")
+    out = rows.drop("_factor").schema
+
+    def scale(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = _lists(batch.column("samples"))
+            flat = np.concatenate([*lists, np.zeros(0, np.int64)])
+            factors = np.repeat(np.asarray(batch.column("_factor")), [len(x) for x in lists])
+            flat = np.clip(np.rint(flat * factors), -TOP, TOP).astype(np.int64)  # halves to even
+            ends = pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
+            own = pa.ListArray.from_arrays(ends, pa.array(flat)).cast(batch.schema.field("samples").type)
+            yield pa.RecordBatch.from_arrays([own if n == "samples" else batch.column(n) for n in out.names], names=out.names)
+
+    return rows.mapInArrow(scale, out)
 
 
 def mix(pcm: DataFrame, settings: DataFrame, amplification: float = 0.0, low_peak: int = 3276, levels: DataFrame | None = None) -> DataFrame:
@@ -62,15 +180,12 @@ def mix(pcm: DataFrame, settings: DataFrame, amplification: float = 0.0, low_pea
     peak becomes full scale times the amplification; a lower one is left alone.
     ``levels`` (song, amplification) has amplifications of single songs.
     """
-    # factors are columns of the small side of a join, so that they are computed once and not for every sample
     gain = L.fixed_point(L.db_to_gain(F.coalesce("volume", F.lit(0.0)))).cast("long")
-    got = pcm.join(settings.select("song", "voice", gain.alias("_gain")), ["song", "voice"], "left").withColumn("_gain", F.coalesce("_gain", F.lit(1024).cast("long")))
-    summed = _sum_chunks(got.withColumn("samples", _scaled(F.col("samples"), F.col("_gain"))))
-    tops = peak(summed) if levels is None else peak(summed).join(levels, "song", "left")
-    level = F.lit(float(amplification)) if levels is None else F.coalesce("amplification", F.lit(float(amplification)))
-    factor = F.when(F.col("peak") >= low_peak, F.lit(float(TOP)) * F.pow(F.lit(2.0), level / 6.0206) / F.col("peak")).otherwise(1.0)
-    top = summed.join(tops.select("song", factor.alias("_factor")), "song")
-    return top.withColumn("samples", F.transform("samples", lambda s: L.clip(F.bround(s * F.col("_factor")).cast("long"), -TOP, TOP))).drop("_factor")
+    own = _few(settings.select("song", "voice", gain.alias("_gain")))
+    none = F.lit(None)
+    take = F.struct(F.col("song"), none.cast("string").alias("track"), none.cast("long").alias("left"), none.cast("long").alias("right"), F.coalesce("_gain", F.lit(1024).cast("long")).alias("gain"))
+    rows = pcm.join(own, ["song", "voice"], "left").withColumn("takes", F.array(take))
+    return _finished(_sums(rows).drop("track"), levels, amplification, low_peak)
 
 
 def pan_stereo(pcm: DataFrame, pans: DataFrame) -> DataFrame:
@@ -93,6 +208,53 @@ def mix_variants(groups: DataFrame) -> DataFrame:
     return got.withColumn("members", F.filter("groups", lambda x, i: F.getbit("variant", i) == 1)).drop("groups")
 
 
+#: Groups of a song beyond which their variants are refused: there are 2^n of them.
+MAX_GROUPS = 20
+
+
+def variant_peaks(pcm: DataFrame, members: DataFrame) -> DataFrame:
+    """(song, variant, peak) of the mixes of all subsets of a song's groups; bit i of the variant is the i-th group in order.
+
+    ``members``: (group, voice); a voice may be in several groups, a group that no voice of a song is in is none of its. Voices are summed by group once. Within a chunk
+    the variants follow each other in Gray code, so that each is its neighbour with one group added or taken
+    away; a chunk gives out a number a variant, and the peak is their greatest.
+    """
+    found = pcm.select("song", "voice").distinct().join(_few(members.select("group", "voice").distinct()), "voice")
+    found = cut(found)
+    order = found.groupBy("song").agg(F.array_sort(F.collect_set("group")).alias("groups"))
+    order = cut(order)
+    if not order.filter(F.size("groups") > MAX_GROUPS).isEmpty():
+        raise ValueError(f"more than {MAX_GROUPS} groups in a song")
+    none = F.lit(None).cast("long")
+    take = F.struct(F.col("song"), F.col("group").alias("track"), none.alias("left"), none.alias("right"), F.lit(1024).cast("long").alias("gain"))
+    takes = found.groupBy("song", "voice").agg(F.collect_list(take).alias("takes"))
+    sums = _sums(pcm.join(_few(takes), ["song", "voice"]))
+    rows = sums.groupBy("song", "chunk").agg(F.collect_list(F.struct("track", "samples")).alias("own")).join(_few(order), "song")  # at most MAX_GROUPS arrays
+    schema = T.StructType([rows.schema["song"], T.StructField("variant", T.LongType()), T.StructField("top", T.LongType())])
+
+    def walk(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                song, own, names = (batch.column(c)[i].as_py() for c in ("song", "own", "groups"))
+                length = max(len(x["samples"]) for x in own)
+                group = np.zeros((len(names), length), np.int64)
+                for x in own:
+                    group[names.index(x["track"]), : len(x["samples"])] = x["samples"]
+                now, code = np.zeros(length, np.int64), 0
+                top = np.zeros(1 << len(names), np.int64)
+                for step in range(1, 1 << len(names)):
+                    bit = (step & -step).bit_length() - 1  # the bit in which a Gray code differs from the one before
+                    code ^= 1 << bit
+                    now = now + group[bit] if code >> bit & 1 else now - group[bit]
+                    top[code] = np.abs(now).max()
+                yield pa.RecordBatch.from_arrays([pa.array([song] * len(top), batch.schema.field("song").type), pa.array(np.arange(len(top))), pa.array(top)], names=["song", "variant", "top"])
+
+    return rows.mapInArrow(walk, schema).groupBy("song", "variant").agg(F.max("top").alias("peak"))
+
+
 def shift_padding(pcm: DataFrame, seconds: float, rate: int) -> DataFrame:
     """Prefix silence by moving the frame offsets; no sample moves."""
     n = round(rate * seconds)
@@ -156,18 +318,23 @@ def mixdown(pcm: DataFrame, audio_tracks: DataFrame, groups: DataFrame, voices:
 
     Audio tracks: (track, groups[, amplification]); voices: (song, voice, pan); ``settings``: (track, voice, volume,
     pan), where a missing row is 0 dB and a missing pan is the voice's. The result has a song per (song, track).
+    A chunk is read once for all tracks that it goes to.
     """
-    chosen = expand_groups(audio_tracks, groups, voices)
+    pairs = audio_tracks.select("track", F.explode("groups").alias("group")).join(groups.select("group", "voice").distinct(), "group").select("track", "voice").distinct()
     if settings is None:
-        chosen = chosen.withColumns({"volume": F.lit(0.0), "pan": F.lit(None).cast("double")})
+        pairs = pairs.withColumns({"volume": F.lit(0.0), "pan": F.lit(None).cast("double")})
     else:
-        chosen = chosen.join(settings.select("track", "voice", "volume", "pan"), ["track", "voice"], "left")
-    own = voices.select("song", "voice", F.col("pan").alias("_pan"))
-    chosen = chosen.join(own, ["song", "voice"]).withColumn("pan", F.coalesce("pan", "_pan", F.lit(0.0))).drop("_pan")
+        pairs = pairs.join(settings.select("track", "voice", "volume", "pan"), ["track", "voice"], "left")
+    pairs = _few(cut(pairs.withColumnRenamed("pan", "_pan")))
+    chosen = voices.select("song", "voice", "pan").join(pairs, "voice")
+    b = L.balance(F.coalesce("_pan", "pan", F.lit(0.0)))
+    factor = lambda c: L.fixed_point(c).cast("long")
     name = F.concat_ws("/", F.col("song").cast("string"), "track")
-    got = pcm.join(chosen, ["song", "voice"]).withColumn("song", name)
-    chosen = chosen.select(name.alias("song"), "track", "voice", "volume", "pan")
+    take = F.struct(name.alias("song"), F.col("track"), factor(b.ll).alias("left"), factor(b.rr).alias("right"), factor(L.db_to_gain(F.coalesce("volume", F.lit(0.0)))).alias("gain"))
+    takes = _few(cut(chosen.groupBy("song", "voice").agg(F.collect_list(take).alias("takes"))))
+    sums = _sums(pcm.join(takes, ["song", "voice"]))
     levels = None
     if "amplification" in audio_tracks.columns:
-        levels = chosen.select("song", "track").distinct().join(audio_tracks.select("track", "amplification"), "track").select("song", "amplification")
-    return mix(pan_stereo(got.drop("volume", "pan", "track"), chosen), chosen, levels=levels)
+        songs = takes.select(F.explode("takes").alias("t")).select("t.song", "t.track").distinct()
+        levels = songs.join(_few(audio_tracks.select("track", "amplification")), "track").select("song", "amplification")
+    return _finished(sums.drop("track"), levels, 0.0, 3276)

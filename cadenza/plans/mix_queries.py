@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadenza.operators import mix as M
+from cadenza.sources.shared import cut
 
 from .bindings import bound, duck
 from .registry import query
@@ -21,7 +22,10 @@ def chunks(spark, sf):
 
 
 def volumes(spark, sf):
-    v = bound(spark, sf, "samples").select("song", "voice").distinct()
+    return _panned(bound(spark, sf, "samples").select("song", "voice").distinct())
+
+
+def _panned(v):
     return v.withColumn("volume", F.expr("case voice when 'AF' then -3.0D when 'NO' then 2.5D else 0.0D end")).withColumn("pan", F.expr("case voice when 'AF' then -0.25D when 'RF' then 0.5D end"))
 
 
@@ -118,6 +122,19 @@ tops as (select song, max(abs(s)) as peak from summed group by 1),
 mixed as (select song, chunk, frame, channel, greatest(least(round_even(s * case when peak >= 3276 then 32767.0::double * pow(2.0, amp::double / 6.0206) / peak else 1.0::double end, 0)::bigint, 32767), -32767) as s from summed join tops using (song))
 """ + _DIGEST)
 def _mixdown(spark, sf):
-    pairs = tracks(spark, sf).select("track", F.explode("groups").alias("group")).join(groups(spark, sf), "group").select("track", "voice").distinct().filter("voice != 'NO'")
+    """The voices' samples and the two small tables of tracks and groups are evaluated once."""
+    pcm, t, g = cut(chunks(spark, sf)), cut(tracks(spark, sf)), cut(groups(spark, sf))
+    pairs = t.select("track", F.explode("groups").alias("group")).join(g, "group").select("track", "voice").distinct().filter("voice != 'NO'")
     settings = pairs.select("track", "voice", ((F.length("track") % 5).cast("double") - 2).alias("volume"), F.when((F.length("track") + F.length("voice")) % 2 == 0, 0.25).alias("pan"))
-    return _digest(M.mixdown(chunks(spark, sf), tracks(spark, sf), groups(spark, sf), volumes(spark, sf), settings))
+    return _digest(M.mixdown(pcm, t, g, _panned(pcm.select("song", "voice").distinct()), settings))
+
+
+@query("variant_peaks", duck("samples") + """, gsum as (select song, g, frame, channel, sum(sample) as s from (select *, unnest([substr(voice, 1, 1), substr(voice, 2, 1)]) as g from samples) group by 1, 2, 3, 4),
+idx as (select song, g, row_number() over (partition by song order by g) - 1 as i, count(*) over (partition by song) as n from (select distinct song, g from gsum)),
+v as (select song, unnest(range(1 << n)) as variant from (select distinct song, n from idx)),
+t as (select song, variant, frame, channel, abs(sum(s)) as t from v join idx using (song) join gsum using (song, g) where (variant >> i) & 1 = 1 group by 1, 2, 3, 4)
+select song, variant, coalesce(max(t), 0)::bigint as peak from v left join t using (song, variant) group by 1, 2""")
+def _peaks(spark, sf):
+    """The peaks of all mixes of a song's voices by the two letters of their names."""
+    members = bound(spark, sf, "samples").select("voice").distinct().select(F.explode(F.array(F.substring("voice", 1, 1), F.substring("voice", 2, 1))).alias("group"), "voice")
+    return M.variant_peaks(chunks(spark, sf), members)
