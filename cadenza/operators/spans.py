@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .along import along
+
 
 def span_log(lines: DataFrame, line: str = "line") -> DataFrame:
     """Parse ``>>f (HHMMSS.mmm) [thread] text`` lines: add mark, func, ms, thread, depth_delta; other lines go."""
@@ -16,22 +17,23 @@ def span_log(lines: DataFrame, line: str = "line") -> DataFrame:
     return got.withColumns({"mark": g(1), "func": g(2), "ms": ms, "thread": g(7), "text": g(8), "depth_delta": F.when(g(1) == ">>", 1).when(g(1) == "<<", -1).otherwise(0)})
 
 
-def pair_spans(log: DataFrame) -> DataFrame:
+def pair_spans(log: DataFrame, part: str | None = None) -> DataFrame:
     """(thread, seq, end_seq, depth, elapsed, has_children) of rows (thread, seq, ts, begin).
 
     Begins and ends nest; an end without an open begin is dropped; a begin without an end closes at the end of
-    the thread's log.
+    the thread's log. ``part`` names consecutive ranges of a thread's log: depths and partners are then found within ranges from what the
+    ranges before are worth (their balance, their lowest point, their first event at a depth), so that
+    the log of one thread is many tasks.
     """
-    w = W.partitionBy("thread").orderBy("seq")
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    step = F.when(F.col("begin"), 1).otherwise(-1)
-    run = log.withColumn("_s", F.sum(step).over(upto))
+    run = along(log.withColumn("_step", F.when(F.col("begin"), 1).otherwise(-1)), ["thread"], part, "seq", _s=("sum", "_step"))
+    run = along(run, ["thread"], part, "seq", _min=("min", "_s"), _min_before=("min_before", "_s"))
     # the deepest fall below zero so far counts the ends without a begin
-    run = run.withColumn("_low", F.least(F.min("_s").over(upto), F.lit(0)))
-    run = run.withColumn("_lost", ~F.col("begin") & (F.col("_low") < F.coalesce(F.lag("_low").over(w), F.lit(0)))).filter("not _lost")
+    low, low_before = F.least("_min", F.lit(0)), F.least(F.coalesce("_min_before", F.lit(0)), F.lit(0))
+    run = run.withColumn("_low", low).filter(F.col("begin") | (low >= low_before))
     run = run.withColumn("depth", F.col("_s") - F.col("_low") + F.when(F.col("begin"), 0).otherwise(1))
-    pair = W.partitionBy("thread", "depth").orderBy("seq")
-    run = run.withColumn("end_seq", F.lead("seq").over(pair)).withColumn("_end", F.lead("ts").over(pair)).withColumn("_next", F.lead("begin").over(w))
-    last = F.max("ts").over(W.partitionBy("thread"))
-    run = run.withColumn("_last", last).filter("begin")
-    return run.select("thread", "seq", "end_seq", F.col("depth").cast("int").alias("depth"), (F.coalesce("_end", "_last") - F.col("ts")).alias("elapsed"), F.coalesce("_next", F.lit(False)).alias("has_children"))
+    run = along(run, ["thread", "depth"], part, "seq", _partner=("lead", F.struct("seq", "ts")))
+    run = along(run, ["thread"], part, "seq", _next=("lead", "begin"))
+    last = run.groupBy("thread").agg(F.max("ts").alias("_last"))
+    run = run.filter("begin").join(last, "thread")
+    end = F.coalesce("_partner.ts", "_last") - F.col("ts")
+    return run.select("thread", "seq", F.col("_partner.seq").alias("end_seq"), F.col("depth").cast("int").alias("depth"), end.alias("elapsed"), F.coalesce("_next", F.lit(False)).alias("has_children"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cadenza.operators import spans as P
 from cadenza.operators import text as X
 from cadenza.sources.ranges import range_lines
 from cadenza.sources.shared import cut, new_folder, remove
@@ -37,6 +38,13 @@ def _tables(spark, sf):
     return X.multi_tables(t, part="part").select("doc_id", "table", "linenum", *(F.coalesce(F.try_element_at("fields", F.lit(k)), F.lit("")).alias(k) for k in "abc"), "bad")
 
 
+@query("pair_spans_by_range", _SQL["pair_spans"])
+def _spans(spark, sf):
+    """Turns of a conversation begin and end spans; four turns are a range."""
+    log = text_queries.turn_log(spark, sf).withColumn("part", F.expr("seq div 4"))
+    return P.pair_spans(log, "part").withColumn("end_seq", F.coalesce("end_seq", F.lit(-1)))
+
+
 @query("range_lines", duck("lines") + """, n as (select doc_id // 100 as g, line, row_number() over (partition by doc_id // 100 order by doc_id, linenum) as n from lines)
 select g, count(*) as lines, sum(length(line))::bigint as chars, sum(n * length(line))::bigint as weight from n group by g""")
 def _files(spark, sf):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.operators import chains as C
@@ -237,6 +238,12 @@ def _log(spark, sf):
     return P.span_log(bound(spark, sf, "conversations").withColumn("line", line)).select("conv_id", "turn", "mark", "func", "ms", "thread", "depth_delta")
 
 
+def turn_log(spark, sf):
+    c = bound(spark, sf, "conversations")
+    ts = F.sum(F.length("text")).over(W.partitionBy("conv_id").orderBy("turn"))
+    return c.select(F.col("conv_id").alias("thread"), F.col("turn").alias("seq"), ts.alias("ts"), (F.col("role") != "assistant").alias("begin"))
+
+
 @query("pair_spans", """with c as (select conv_id as thread, turn as seq, role <> 'assistant' as b, sum(length(text)) over (partition by conv_id order by turn)::bigint as ts from conversations),
 r as (select *, sum(case when b then 1 else -1 end) over (partition by thread order by seq) as s from c), l as (select *, least(min(s) over (partition by thread order by seq rows between unbounded preceding and current row), 0) as low from r),
 k as (select *, not b and low < coalesce(lag(low) over (partition by thread order by seq), 0) as lost from l), d as (select *, s - low + case when b then 0 else 1 end as depth from k where not lost),
@@ -244,9 +251,5 @@ p as (select *, lead(seq) over w as end_seq, lead(ts) over w as end_, coalesce(l
 select thread, seq, coalesce(end_seq, -1) as end_seq, depth::int as depth, coalesce(end_, last_) - ts as elapsed, has_children from p where b""")
 def _spans(spark, sf):
     """Turns of a conversation begin and end spans; tests/test_forms.py holds the form against a stack."""
-    from pyspark.sql import Window as W
-
-    c = bound(spark, sf, "conversations")
-    ts = F.sum(F.length("text")).over(W.partitionBy("conv_id").orderBy("turn"))
-    got = P.pair_spans(c.select(F.col("conv_id").alias("thread"), F.col("turn").alias("seq"), ts.alias("ts"), (F.col("role") != "assistant").alias("begin")))
+    got = P.pair_spans(turn_log(spark, sf))
     return got.withColumn("end_seq", F.coalesce("end_seq", F.lit(-1)))

@@ -110,7 +110,9 @@ def test_pair_spans(spark):
                 want[t, j][2] = ts - want[t, j][2]
         for j in stack:
             want[t, j][2] = ts - want[t, j][2]
-    got = P.pair_spans(spark.createDataFrame(rows, "thread int, seq int, ts int, begin boolean")).collect()
+    log = spark.createDataFrame(rows, "thread int, seq int, ts int, begin boolean")
+    got = P.pair_spans(log).collect()
+    assert sorted(map(tuple, P.pair_spans(log.withColumn("part", F.expr("seq div 3")), "part").collect())) == sorted(map(tuple, got))
     assert {(x.thread, x.seq): (x.end_seq, x.depth, x.elapsed) for x in got} == {k: tuple(v[:3]) for k, v in want.items()}
     assert all(x.has_children == want[x.thread, x.seq][3] for x in got if x.end_seq != x.seq + 1 or x.has_children is False)
 
@@ -213,3 +215,22 @@ def test_mix_streams_many_voices_of_one_chunk(spark, monkeypatch):
     pcm = spark.createDataFrame(rows, "song string, voice string, chunk long, frame0 long, n_channels int, samples array<long>").repartition(6)
     got = M.mix(pcm, spark.createDataFrame([], "song string, voice string, volume double"), low_peak=10**9)
     assert sorted((x.song, list(x.samples)) for x in got.collect()) == [(s, [780, -780, 80, 26, 13]) for s in ("x", "y")]
+
+
+def test_one_thread_in_many_ranges(spark):
+    """A log of one thread, cut into eight ranges, deep and with ends that have no begin, against a stack."""
+    r = random.Random(21)
+    rows, stack, want, ts = [], [], {}, 0
+    for i in range(800):
+        ts += r.randint(0, 5)
+        begin = r.random() < (0.7 if i % 200 < 100 else 0.25)
+        rows.append((0, i, ts, begin, i // 100))
+        if begin:
+            stack.append(i)
+            want[i] = (None, len(stack), ts)
+        elif stack:
+            j = stack.pop()
+            want[j] = (i, want[j][1], ts - want[j][2])
+    want = {i: w if w[0] is not None else (None, w[1], ts - w[2]) for i, w in want.items()}
+    got = P.pair_spans(spark.createDataFrame(rows, "thread int, seq int, ts int, begin boolean, part int"), "part").collect()
+    assert {x.seq: (x.end_seq, x.depth, x.elapsed) for x in got} == want
