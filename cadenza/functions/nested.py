@@ -1,86 +1,107 @@
 """Nested list and map literals as VARIANT columns.
 
-Recursion is what column functions lack, so a literal is turned into JSON by an Arrow
-function, value by value, and parsed by Spark.
+A literal is folded over its characters by a higher-order function whose state holds the open
+brackets, innermost last, each with the JSON texts of its items so far. A closed bracket
+becomes one item of the one around it, so there is no recursion and no Python worker, and the
+depth of a literal is only the length of an array.
 """
 
 from __future__ import annotations
 
-import json
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-_TOKEN = re.compile(r"""\s*(?:([\[\]{}:,()])|"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)'|([^\[\]{}:,()'"]+))""")
-
-
-def _scalar(text: str):
-    low = text.lower()
-    if low in ("true", "wahr", "false", "falsch"):
-        return low in ("true", "wahr")
-    if re.fullmatch(r"[+-]?\d+", text):
-        return int(text)
-    if re.fullmatch(r"[+-]?\d+\.\d*", text):
-        return float(text)
-    return text
-
-
-def literal(text: str):
-    """Value of a literal; a bare list needs no brackets. Raises ValueError if it isn't closed."""
-    tokens = [(m[1], next((re.sub(r"\\(.)", r"\1", q) for q in (m[2], m[3]) if q is not None), None), (m[4] or "").strip()) for m in _TOKEN.finditer(text)]
-    at = 0
-
-    def value(closer: str | None):
-        nonlocal at
-        items: list = []
-        mapping: dict | None = {} if closer == "}" else None
-        key = None
-        while at < len(tokens):
-            mark, quoted, bare = tokens[at]
-            at += 1
-            if mark and mark == closer:
-                return items if mapping is None else mapping
-            if mark in ("[", "(", "{"):
-                got = value({"[": "]", "(": ")", "{": "}"}[mark])
-            elif mark == ",":
-                key = None
-                continue
-            elif mark == ":":
-                if mapping is not None and items:
-                    key = str(items.pop())
-                continue
-            elif mark:
-                raise ValueError(f"unexpected {mark}")
-            elif quoted is None and not bare:
-                continue
-            else:
-                got = quoted if quoted is not None else _scalar(bare)
-            if mapping is not None and key is not None:
-                mapping[key], key = got, None
-            else:
-                items.append(got)
-        if closer:
-            raise ValueError(f"no {closer}")
-        return items
-
-    got = value(None)
-    return got[0] if len(got) == 1 and isinstance(got[0], list | dict) else got
-
-
-@F.pandas_udf(T.StringType())
-def _to_json(text: pd.Series) -> pd.Series:
-    def one(t):
-        try:
-            return None if t is None else json.dumps(literal(t), ensure_ascii=False)
-        except ValueError:
-            return None
-
-    return text.map(one, na_action="ignore")
-
-
-def parse_nested(text: Column) -> Column:
-    """VARIANT of a nested literal; null for a broken one."""
-    return F.try_parse_json(_to_json(text))
+
+_EMPTY = "cast(array() as array<struct<k:string,v:string>>)"
+
+
+def _quoted(x: Column) -> Column:
+    """A text as JSON."""
+    json = F.to_json(F.array(x))
+    return F.substring(json, F.lit(2), F.length(json) - 2)
+
+
+def _scalar(x: Column) -> Column:
+    """A bare element as JSON: a flag, a number in its plain form, or a text."""
+    digits = F.regexp_replace(x, r"^[+-]?0*(?=\d)", "")
+    sign = F.when(x.startswith("-"), "-").otherwise("")
+    whole, real = x.rlike(r"^[+-]?\d+\z"), x.rlike(r"^[+-]?\d+\.\d*\z")
+    plain = F.regexp_replace(F.regexp_replace(digits, r"(\.\d*?)0+\z", "$1"), r"\.\z", ".0")
+    flag = F.lower(x)
+    return F.when(flag.isin("true", "wahr"), "true").when(flag.isin("false", "falsch"), "false").when(whole, F.concat(sign, digits)).when(real, F.concat(sign, plain)).otherwise(_quoted(x))
+
+
+def _frame(close: Column, key: Column, phase: Column, items: Column) -> Column:
+    return F.struct(close.alias("close"), key.alias("key"), phase.alias("phase"), items.alias("items"))
+
+
+def _put(top: Column, json: Column, raw: Column) -> Column:
+    """A frame with one more item; in a map's key phase the element is the key instead."""
+    key = top["phase"] == "k"
+    item = F.array(F.struct(top["key"].alias("k"), json.alias("v")))
+    return _frame(top["close"], F.when(key, raw).otherwise(top["key"]), top["phase"], F.when(key, top["items"]).otherwise(F.concat(top["items"], item)))
+
+
+def _closed(top: Column) -> Column:
+    """The JSON of a frame; of equal keys the last counts."""
+    items = top["items"]
+    lasting = F.filter(items, lambda e, i: ~F.exists(F.slice(items, i + 2, F.size(items)), lambda o: o.k == e.k))
+    pairs = F.transform(lasting, lambda e: F.concat(_quoted(e.k), F.lit(":"), e.v))
+    values = F.transform(items, lambda e: e.v)
+    return F.when(top["close"] == "}", F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise(F.concat(F.lit("["), F.array_join(values, ","), F.lit("]")))
+
+
+def _let(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` evaluated once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def to_json_text(text: Column, sep: str = ",") -> Column:
+    """The JSON of a literal; null if a bracket or quote is not closed, or a bracket is a key.
+
+    Text outside of brackets is a list. Before an element spaces and separators are passed over; a bare element ends at a space, and what
+    follows it up to the separator is ignored; a quote may hold anything but itself; in a map a colon leads from key to value.
+    """
+    trimmed = F.trim(text)
+    whole = F.when(trimmed.rlike(r"^[\[{]"), trimmed).otherwise(F.concat(F.lit("["), trimmed, F.lit("]")))
+    chars = F.regexp_extract_all(whole, F.lit("(?s)."), F.lit(0))
+    opened = lambda ch: _frame(
+        F.when(ch == "{", "}").when(ch == "[", "]").otherwise(")"), F.lit(None).cast("string"), F.when(ch == "{", "k").otherwise("l"), F.expr(_EMPTY)
+    )
+    state = lambda stack, mode, el, quote, done: F.struct(stack.alias("stack"), mode.alias("mode"), el.alias("el"), quote.alias("quote"), done.alias("done"))
+
+    def step(s: Column, ch: Column) -> Column:
+        old = F.element_at(s["stack"], -1)
+        in_map = old["close"] == "}"
+        ends = ch.isin(" ", sep) | (ch == old["close"]) | (in_map & (ch == ":"))
+        quit_ = (s["mode"] == "S") & (ch == s["quote"])
+        commit = ((s["mode"] == "E") & ends) | quit_
+        json = F.when(s["mode"] == "S", _quoted(s["el"])).otherwise(_scalar(s["el"]))
+        mode = F.when(commit, "A").otherwise(s["mode"])
+        below = F.slice(s["stack"], F.lit(1), F.size(s["stack"]) - 1)
+
+        def act(top: Column) -> Column:
+            before, after = mode == "B", mode == "A"
+            closes = (before | after) & (ch == top["close"])
+            opens = before & ~closes & ch.isin("[", "{", "(")
+            quotes = before & ch.isin('"', "'")
+            phase = F.when(top["phase"] == "l", "l").when(after & (ch == sep), "k").when(after & (ch == ":"), "v").otherwise(top["phase"])
+            turned = _frame(top["close"], top["key"], phase, top["items"])
+            parent = F.element_at(below, -1)
+            inner = F.concat(F.slice(below, F.lit(1), F.size(below) - 1), F.array(_put(parent, _closed(top), F.lit(None).cast("string"))))
+            last = F.size(s["stack"]) == 1
+            stack = F.when(closes & last, s["stack"]).when(closes, inner).when(opens, F.concat(s["stack"], F.array(opened(ch)))).when(commit | (phase != top["phase"]), F.concat(below, F.array(turned))).otherwise(s["stack"])
+            # a bracket in the place of a key has no meaning
+            bad = (opens & (top["phase"] == "k"))
+            move = F.when(bad, "X").when(closes, "A").when(opens, "B").when(after & ((ch == sep) | (in_map & (ch == ":"))), "B").when(quotes, "S").when(before & ch.isin(" ", sep), "B").when(before, "E").otherwise(mode)
+            el = F.when(quotes, "").when(before, ch).when(mode.isin("E", "S"), F.concat(s["el"], ch)).otherwise(s["el"])
+            return state(stack, move, el, F.when(quotes, ch).otherwise(s["quote"]), F.when(closes & last, _closed(top)))
+
+        return F.when(s["done"].isNotNull() | (s["mode"] == "X"), s).otherwise(_let(F.when(commit, _put(old, json, s["el"])).otherwise(old), act))
+
+    first = state(F.array(opened(F.get(chars, F.lit(0)))), F.lit("B"), F.lit(""), F.lit(""), F.lit(None).cast("string"))
+    return F.aggregate(F.slice(chars, F.lit(2), F.size(chars)), first, step, lambda s: s["done"])
+
+
+def parse_nested(text: Column, sep: str = ",") -> Column:
+    """VARIANT of a nested literal; null for a broken one and for one that is nested deeper than a VARIANT can be."""
+    return F.try_parse_json(to_json_text(text, sep))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadenza.functions import scalars as L
+from cadenza.functions.nested import parse_nested
 
 from .bindings import bound, duck
 from .registry import query
@@ -73,6 +74,21 @@ def _map(spark, sf):
     return bound(spark, sf, "part").withColumn("m", m).select("p_partkey", F.size("m").alias("n"), F.try_element_at("m", F.lit("name")).alias("name"), F.try_element_at("m", F.lit("size")).alias("size"))
 
 
+@query("parse_nested", """select p_partkey, p_name as name, p_size::int as size, p_brand as brand, (p_partkey % 100)::int as number, p_partkey % 2 = 0 as flag, case when p_partkey % 7 = 0 then 1 else 3 end::int as n, p_partkey % 11 = 0 as broken from part where p_partkey % 11 <> 0
+union all select p_partkey, '', -1, '', -1, false, -1, true from part where p_partkey % 11 = 0""")
+def _nested(spark, sf):
+    """A literal of every part with maps and lists in each other, repeated keys and stray separators, every eleventh not closed."""
+    text = F.concat(
+        F.lit("{ name : 'none', name: '"), "p_name", F.lit("' , of: ["), F.expr("case when p_partkey % 7 = 0 then '' else ',, one two,' end"), F.lit(' {size:'), c("p_size").cast("string"), F.lit(', "brand x" : ('), F.lit("'"), "p_brand", F.lit("', 2) }"),
+        F.expr("case when p_partkey % 7 = 0 then '' else ', x:y' end"), F.lit("], number: +0"), (c("p_partkey") % 100).cast("string"), F.lit(", flag : "), F.expr("case when p_partkey % 2 = 0 then 'WAHR' else 'false' end"), F.expr("case when p_partkey % 11 = 0 then '' else '}' end"),
+    )
+    v = bound(spark, sf, "part").select("p_partkey", parse_nested(text).alias("v"))
+    at = lambda p, kind, none: F.coalesce(F.try_variant_get("v", p, kind), F.lit(none))
+    inner = lambda p, kind, none: F.when(F.col("p_partkey") % 7 == 0, at(f"$.of[0]{p}", kind, none)).otherwise(at(f"$.of[1]{p}", kind, none))
+    n = F.when(F.try_variant_get("v", "$.of[2]", "string").isNotNull(), 3).when(F.try_variant_get("v", "$.of[0]", "variant").isNotNull(), 1).otherwise(-1)
+    return v.select("p_partkey", at("$.name", "string", "").alias("name"), inner(".size", "int", -1).alias("size"), inner("['brand x'][0]", "string", "").alias("brand"), at("$.number", "int", -1).alias("number"), at("$.flag", "boolean", False).alias("flag"), n.alias("n"), F.col("v").isNull().alias("broken"))
+
+
 @query("parse_tempo", """select o_orderkey, (60 + o_orderkey % 120)::double as tempo, case when o_orderkey % 2 = 0 then round_even((2 + o_orderkey % 7) * 4 / 8.0, 5)::double else 4.0::double end as quarters from orders""")
 def _tempo(spark, sf):
     t = F.expr("concat(60 + o_orderkey % 120, case when o_orderkey % 2 = 0 then concat('|', 2 + o_orderkey % 7, '/8') else '' end)")

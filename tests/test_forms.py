@@ -1,6 +1,8 @@
 """Closed forms against loops, on random inputs; plans; texts with several tables; traces."""
 
+import json
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -144,6 +146,79 @@ def test_nested_literals(spark):
     assert got == ['{"a":1,"b":["x","y, z",{"c":true}],"d e":-2.5}', "[1,[2,3]]", '["plain"]', None, None]
 
 
+def plain_literal(text):
+    """The value of a literal, read with recursion; ValueError if it is not closed."""
+    text = text.strip(" ")
+    text = text if text[:1] in ("[", "{") else f"[{text}]"
+
+    def scalar(x):
+        if x.lower() in ("true", "wahr", "false", "falsch"):
+            return x.lower() in ("true", "wahr")
+        return int(x) if re.fullmatch(r"[+-]?\d+", x) else float(x) if re.fullmatch(r"[+-]?\d+\.\d*", x) else x
+
+    def bracket(i):
+        close = {"[": "]", "{": "}", "(": ")"}[text[i]]
+        in_map, items, table, key, want_key, before = close == "}", [], {}, None, True, True
+        i += 1
+        while True:
+            if i >= len(text):
+                raise ValueError
+            ch = text[i]
+            if ch == close:
+                return i + 1, table if in_map else items
+            if not before:
+                if ch == ",":
+                    before = want_key = True
+                elif ch == ":" and in_map:
+                    before, want_key = True, False
+                i += 1
+                continue
+            if ch in " ,":
+                i += 1
+                continue
+            if ch in "\"'":
+                j = text.index(ch, i + 1)
+                raw = value = text[i + 1 : j]
+                i = j + 1
+            elif ch in "[{(":
+                if in_map and want_key:
+                    raise ValueError
+                i, value = bracket(i)
+            else:
+                j = i + 1
+                while j < len(text) and text[j] not in (" ", ",", close, *([":"] if in_map else [])):
+                    j += 1
+                raw, value = text[i:j], scalar(text[i:j])
+                i = j
+            before = False
+            if not in_map:
+                items.append(value)
+            elif want_key:
+                key = raw
+            else:
+                table[key] = value
+
+    return bracket(0)[1]
+
+
+def test_nested_literals_against_recursion(spark):
+    r = random.Random(17)
+    parts = ["[", "]", "{", "}", "(", ")", ",", ":", " ", "'", '"', "a", "b: ", "007", "-2.50", "true", "é\U0001f600", "x y", "\\", "\n", "{k: [1, ", "]}", "k"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(1500)] + ["[" * 700 + "{a: 1}" + "]" * 700]
+    want = []
+    for t in texts:
+        try:
+            want.append(json.dumps(plain_literal(t), sort_keys=True))
+        except ValueError:
+            want.append(None)
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {x.i: x.v for x in df.select("i", F.to_json(parse_nested(F.col("t"))).alias("v")).collect()}
+    assert [got[i] and json.dumps(json.loads(got[i]), sort_keys=True) for i in range(len(texts))] == want
+    assert sum(w is not None for w in want) > 300
+    deep = spark.createDataFrame([("[" * 5000 + "]" * 5000,), ("[" * 5000,)], "t string")
+    assert [x[0] for x in deep.select(parse_nested(F.col("t")).isNull()).collect()] == [True, True]
+
+
 def test_multi_tables_by_lines(spark):
     from cadenza.operators.text import multi_tables
 
