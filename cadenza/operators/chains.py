@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.functions import scalars as L
+from cadenza.sources.shared import cut
 
+from .graph import levels
 from .settings import resolve_style
 
 
@@ -55,8 +57,25 @@ def check_chains(fragments: DataFrame, key: str = "voice") -> DataFrame:
     return local.unionByName(lost)
 
 
+def fragment_levels(fragments: DataFrame, key: str = "voice") -> DataFrame:
+    """Add ``level``: the step at which a fragment can run, 0 first; null on a cycle or behind one.
+
+    A fragment follows the one before it in its chain and all that make the sources it names.
+    """
+    node = F.struct("chain", "fragment")
+    named = fragments.select(key, node.alias("node"), "sources", "targets")
+    made = named.select(key, F.col("node").alias("a"), F.explode("targets").alias("_name"))
+    used = named.select(key, F.col("node").alias("b"), F.explode("sources").alias("_name"))
+    before = F.struct("chain", (F.col("fragment") - 1).alias("fragment"))
+    edges = made.join(used, [key, "_name"]).select(key, "a", "b").unionByName(fragments.filter("fragment > 0").select(key, before.alias("a"), node.alias("b")))
+    got = levels(named, edges, [key]).select(key, F.col("node.chain").alias("chain"), F.col("node.fragment").alias("fragment"), "level")
+    return fragments.join(got, [key, "chain", "fragment"])
+
+
 def chain_plan(voices: DataFrame, effects: DataFrame) -> DataFrame:
-    """(voice, chain, fragment, tokens, sources, targets, position, problems): which steps feed which, per voice."""
-    frag = split_chain(resolve_style(voices, effects).select("voice", "effects"))
-    bad = check_chains(frag).groupBy("voice", "chain", "fragment").agg(F.array_sort(F.collect_set("problem")).alias("problems"))
-    return chain_position(frag, ["voice", "chain"], "fragment").join(bad, ["voice", "chain", "fragment"], "left").withColumn("problems", F.coalesce("problems", F.array().cast("array<string>")))
+    """(voice, chain, fragment, tokens, sources, targets, position, level, problems): which steps feed which, per voice, and in which order they can run."""
+    frag = cut(split_chain(resolve_style(voices, effects).select("voice", "effects")))
+    levelled = fragment_levels(frag)
+    ring = levelled.filter("level is null").select("voice", "chain", "fragment", F.lit("cycle").alias("problem"))
+    bad = check_chains(frag).unionByName(ring).groupBy("voice", "chain", "fragment").agg(F.array_sort(F.collect_set("problem")).alias("problems"))
+    return chain_position(levelled, ["voice", "chain"], "fragment").join(bad, ["voice", "chain", "fragment"], "left").withColumn("problems", F.coalesce("problems", F.array().cast("array<string>")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -158,5 +158,20 @@ def measure_durations(measures: DataFrame, tempos: DataFrame, count_in: int = 0,
 
 
 def in_order(df: DataFrame, keys: list, order: list) -> DataFrame:
-    """Rows in ascending order of keys and order, for output: ranges of keys become partitions, each sorted within."""
-    return df.repartitionByRange(*keys).sortWithinPartitions(*keys, *order)
+    """Rows in ascending order of keys and order, for output: sampled ranges of both become partitions, each sorted within, so a hot key is many of them."""
+    return df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+
+
+def write_in_order(df: DataFrame, path: str, keys: list, order: list) -> None:
+    """Parquet files whose rows ascend within a file and from file to file."""
+    in_order(df, keys, order).write.parquet(path)
+
+
+def read_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of written files with ``place``, from 1, in the order in which they were written: by number of the file and place within it."""
+    nth = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("long")
+    rows = spark.read.parquet(path).select("*", nth.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_file").rowsBetween(W.unboundedPreceding, -1))  # a row a file
+    sizes = sizes.select("_file", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.join(sizes, "_file").withColumn("place", F.col("_before") + F.col("_row") + 1).drop("_file", "_row", "_before", "_n")

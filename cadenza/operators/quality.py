@@ -44,6 +44,48 @@ def validate(df: DataFrame, rules: Sequence[Rule], key: str) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.explode(F.filter(checks, lambda v: v.isNotNull())).alias("v")).select("key", "v.*")
 
 
+#: Rules up to which their table is broadcast.
+BROADCAST_RULES = 50_000
+
+
+def validate_by(df: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+    """(key, column, message, value): the violations of a table of rules (column, kind, message, arg, members), of any length.
+
+    The columns that have rules become rows (key, column, value), which meet the rules of their column, and the kind of a
+    rule decides how ``arg`` (a pattern or flag) or ``members`` is taken. Rules of columns that ``df`` lacks do not apply; null values violate
+    ``present`` only; an unknown kind is an error.
+    """
+    own = rules.filter(F.col("column").isin([c for c in df.columns if c != key] + [key]))
+    names = [r[0] for r in own.select("column").distinct().collect()]  # no more than df has columns
+    if not names:
+        return df.select(F.col(key).alias("key"), *(F.lit("").alias(c) for c in ("column", "message", "value"))).limit(0)
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in names)))
+    rows = df.select(F.col(key).alias("key"), pairs.alias("p")).select("key", "p.*")
+    table = own.select("column", "kind", "message", "arg", "members")
+    table = F.broadcast(table) if table.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else table
+    text, arg = F.col("value"), F.col("arg")
+    number = ~text.rlike(r"^-?\d+(?:\.\d*)?$") | F.when(arg == ">0", text.try_cast("double") <= 0).when(arg == ">=0", text.try_cast("double") < 0).otherwise(False)
+    kinds = {
+        "present": text.isNull(), "bool_text": ~F.lower(text).isin("true", "false", "wahr", "falsch"), "integer": ~text.rlike(r"^[+-]?\d+$"),
+        "natural": ~text.rlike(r"^\d+$") | (text.try_cast("decimal(38,0)") < F.when(arg == "positive", 1).otherwise(0)), "integer_text": ~text.rlike(r"^-?\d+$"),
+        "number_text": number, "string": F.char_length(text) == 0, "list": ~text.rlike(r"(?s)^\[.*\]$|^[^{\[]*$"), "map": ~text.rlike(r"(?s)^\{.*\}$"),
+        "regex": ~F.regexp_like(text, arg), "member": ~F.array_contains("members", text),
+    }
+    bad = F.raise_error(F.concat(F.lit("unknown kind of rule: "), F.coalesce("kind", F.lit("null")))).cast("boolean")
+    for kind, broken in kinds.items():
+        bad = F.when(F.col("kind") == kind, F.coalesce(broken, F.lit(False))).otherwise(bad)
+    return rows.join(table, "column").filter(bad).select("key", "column", "message", "value")
+
+
+def complete_by(df: DataFrame, kinds: DataFrame, key: str) -> DataFrame:
+    """Violations of a table of declared attributes (column, kind): absent, or not of their kind (text, integer, number, flag)."""
+    rule = F.create_map(*(F.lit(x) for kv in {"integer": "integer", "number": "number_text", "flag": "bool_text", "text": "string"}.items() for x in kv))
+    none = [F.lit(None).cast("string").alias("arg"), F.lit(None).cast("array<string>").alias("members")]
+    own = kinds.select("column", F.try_element_at(rule, F.col("kind")).alias("kind"), F.concat(F.lit("no "), F.col("kind")).alias("message"), *none)
+    there = kinds.select("column", F.lit("present").alias("kind"), F.lit("absent").alias("message"), *none)
+    return validate_by(df, there.unionByName(own), key)
+
+
 def complete(df: DataFrame, kinds: dict[str, str], key: str) -> DataFrame:
     """Violations of declared attributes: absent, or not of their kind (text, integer, number, flag)."""
     rule = {"integer": "integer", "number": "number_text", "flag": "bool_text", "text": "string"}

@@ -120,8 +120,11 @@ def _srt(spark, sf):
     return text_files.srt_cues(settings_files.lines_of(files)).withColumn("song", F.col("song").cast("long"))
 
 
-@query("ordered_output", duck("changes") + "select song, from_measure, tempo, (row_number() over (partition by song order by from_measure))::int as place from changes")
+@query("ordered_output", duck("changes") + "select song, from_measure, tempo, row_number() over (order by song, from_measure) as place from changes")
 def _ordered(spark, sf):
-    """Tempo entries in ascending order; the place is counted along that order."""
-    got = G.in_order(bound(spark, sf, "changes"), ["song"], ["from_measure"])
-    return got.withColumn("place", F.row_number().over(W.partitionBy("song").orderBy("from_measure")))
+    """Tempo entries written in ascending order; the place is read back from the files."""
+    folder = new_folder(spark, "ordered")
+    G.write_in_order(bound(spark, sf, "changes"), folder, ["song"], ["from_measure"])
+    out = cut(G.read_in_order(spark, folder))
+    remove(spark, folder)
+    return out

@@ -185,13 +185,13 @@ def _position(spark, sf):
 
 
 @query("chain_plan", """with c as (select distinct c_mktsegment as s from customer)
-select s as voice, 0 as chain, 0 as fragment, 'eq ' || length(s) as tokens, 'FIRST' as position, '' as problems from c union all select s, 0, 1, 'gain', 'LAST', '' from c
-union all select s, 1, 0, 'mix reverb 25', 'SINGLE', '' from c""")
+select s as voice, 0 as chain, 0 as fragment, 'eq ' || length(s) as tokens, 'FIRST' as position, 0 as level, '' as problems from c union all select s, 0, 1, 'gain', 'LAST', 1, '' from c
+union all select s, 1, 0, 'mix reverb 25', 'SINGLE', 2, '' from c""")
 def _plan(spark, sf):
     v = bound(spark, sf, "customer").select(F.col("c_mktsegment").alias("voice"), F.lit("hard").alias("variant"), F.lit(0.25).alias("reverb")).distinct()
     e = v.select(F.concat(F.lit("soundStyle"), F.upper(F.substring("voice", 1, 1)), F.lower(F.substring("voice", 2, 99)), F.lit("Hard")).alias("style"), F.concat(F.lit("eq "), F.length("voice").cast("string"), F.lit(" tee gain ->m;m-> mix")).alias("effects"))
     j = lambda c: F.array_join(c, " ").alias(c)
-    return C.chain_plan(v, e).select("voice", "chain", "fragment", j("tokens"), "position", j("problems"))
+    return C.chain_plan(v, e).select("voice", "chain", "fragment", j("tokens"), "position", "level", j("problems"))
 
 
 # quality
@@ -208,6 +208,23 @@ def _validate(spark, sf):
     return Q.validate(bound(spark, sf, "customer"), _RULES, "c_custkey").select("key", "column", "message")
 
 
+_BY = [("c_name", "regex", "not ", None), ("c_acctbal", "number_text", ">0 ", ">0"), ("c_mktsegment", "member", "in ", None), ("c_nationkey", "natural", "zero ", "positive"), ("c_custkey", "present", "there ", None)]
+
+
+@query("validate_by_table", """with r as (select n_nationkey % 5 as k, n_nationkey % 10 as d, n_name, substr(n_name, 1, 1) as first from nation)
+select c_custkey as key, 'c_name' as "column", 'not ' || n_name as message from customer, r where k = 0 and c_name like '%' || d union all select c_custkey, 'c_acctbal', '>0 ' || n_name from customer, r where k = 1 and c_acctbal <= 0
+union all select c_custkey, 'c_mktsegment', 'in ' || n_name from customer, r where k = 2 and c_mktsegment not in ('BUILDING', n_name, case when d % 2 = 0 then 'MACHINERY' else '' end)
+union all select c_custkey, 'c_nationkey', 'zero ' || n_name from customer, r where k = 3 and c_nationkey < 1""")
+def _validate_table(spark, sf):
+    """Customers against a rule of every nation."""
+    n, k = bound(spark, sf, "nation"), F.col("n_nationkey") % 5
+    pick = lambda i: F.element_at(F.array(*(F.lit(b[i]) for b in _BY)), (k + 1).cast("int"))
+    arg = F.when(k == 0, F.concat(F.lit("[^"), (F.col("n_nationkey") % 10).cast("string"), F.lit("]$"))).otherwise(pick(3))
+    members = F.when(k == 2, F.array(F.lit("BUILDING"), F.col("n_name"), F.when(F.col("n_nationkey") % 10 % 2 == 0, "MACHINERY").otherwise("")))
+    rules = n.select(pick(0).alias("column"), pick(1).alias("kind"), F.concat(pick(2), F.col("n_name")).alias("message"), arg.alias("arg"), members.alias("members"))
+    return Q.validate_by(bound(spark, sf, "customer"), rules, "c_custkey").select("key", "column", "message")
+
+
 @query("complete", """select o_orderkey as key, 's' as "column", 'absent' as message from orders where o_orderstatus = 'P' union all select o_orderkey, 'p', 'no integer' from orders""")
 def _complete(spark, sf):
     o = bound(spark, sf, "orders").selectExpr("o_orderkey", "case when o_orderstatus <> 'P' then o_orderstatus end as s", "o_orderpriority as p", "o_custkey as k")

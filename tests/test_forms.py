@@ -309,3 +309,80 @@ def test_one_thread_in_many_ranges(spark):
     want = {i: w if w[0] is not None else (None, w[1], ts - w[2]) for i, w in want.items()}
     got = P.pair_spans(spark.createDataFrame(rows, "thread int, seq int, ts int, begin boolean, part int"), "part").collect()
     assert {x.seq: (x.end_seq, x.depth, x.elapsed) for x in got} == want
+
+
+def test_levels_and_cycles(spark):
+    """Levels of random graphs against a search; nodes on cycles and behind them have none."""
+    from functools import cache
+
+    from cadenza.operators.graph import levels
+
+    r = random.Random(31)
+    nodes, edges, want = [], [], {}
+    for g in range(30):
+        n = r.randint(1, 9)
+        own = {(r.randrange(n), r.randrange(n)) for _ in range(r.randint(0, 10))}
+        own = own if g % 3 == 0 else {(min(e), max(e)) for e in own if e[0] != e[1]}
+        nodes += [(g, i) for i in range(n)]
+        edges += [(g, a, b) for a, b in own]
+        reach = {(a, b) for a, b in own}
+        while len(more := reach | {(a, d) for a, b in reach for c, d in reach if b == c}) > len(reach):
+            reach = more
+        lost = {b for a, b in reach if (a, a) in reach} | {a for a, b in reach if a == b}
+
+        @cache
+        def level(b, own=tuple(own)):
+            return max((1 + level(a) for a, c in own if c == b), default=0)
+
+        want |= {(g, i): None if i in lost else level(i) for i in range(n)}
+    nodes += [(99, i) for i in range(60)]
+    edges += [(99, i, i + 1) for i in range(59)]
+    want |= {(99, i): i for i in range(60)}
+    got = levels(spark.createDataFrame(nodes, "g int, node int"), spark.createDataFrame(edges, "g int, a int, b int"), ["g"])
+    assert {(x.g, x.node): x.level for x in got.collect()} == want
+
+
+def test_chains_that_feed_each_other(spark):
+    from cadenza.operators.chains import chain_plan
+
+    voices = spark.createDataFrame([("a", "v", 0.0), ("b", "v", 0.0)], "voice string, variant string, reverb double")
+    effects = spark.createDataFrame([("soundStyleAV", "y-> one ->x; x-> two tee three ->y; four"), ("soundStyleBV", "one ->x; two ->y; x-> y-> mix tee gain")], "style string, effects string")
+    got = {(x.voice, x.chain, x.fragment): (x.level, list(x.problems)) for x in chain_plan(voices, effects).collect()}
+    assert {k: v[0] for k, v in got.items()} == {("a", 0, 0): None, ("a", 1, 0): None, ("a", 1, 1): None, ("a", 2, 0): 0, ("b", 0, 0): 0, ("b", 1, 0): 0, ("b", 2, 0): 1, ("b", 2, 1): 2}
+    assert all(("cycle" in p) == (lv is None) for lv, p in got.values()) and got["a", 0, 0][1] == ["cycle", "unknown source"]
+
+
+def test_order_read_back(spark, tmp_path):
+    """A hot key is cut by its inner key into several files, and an order that is not kept is seen."""
+    df = spark.range(5000).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 7)) as song", "(id * 7919) % 5000 as n").repartition(6)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        G.write_in_order(df, str(tmp_path / "o"), ["song"], ["n"])
+        df.write.parquet(str(tmp_path / "any"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    want = {(r.song, r.n): i for i, r in enumerate(sorted(df.collect(), key=lambda r: (r.song, r.n)), 1)}
+    assert {(r.song, r.n): r.place for r in G.read_in_order(spark, str(tmp_path / "o")).collect()} == want
+    got = G.read_in_order(spark, str(tmp_path / "any")).collect()
+    assert sorted(r.place for r in got) == list(range(1, 5001)) and {(r.song, r.n): r.place for r in got} != want
+    own = spark.read.parquet(str(tmp_path / "o")).filter("song = 'hot'").select("_metadata.file_name").distinct()
+    assert own.count() > 1
+
+
+def test_rules_from_a_table(spark):
+    import pytest
+
+    from cadenza.operators import quality as Q
+
+    df = spark.createDataFrame([(1, "x", "5", "[a]"), (2, None, "-5.5", "{b}"), (3, "", "abc", None)], "id int, t string, n string, l string")
+    rules = [Q.Rule("t", "present", "p"), Q.Rule("t", "string", "s"), Q.Rule("n", "integer", "i"), Q.Rule("n", "natural", "nat", "positive"), Q.Rule("n", "number_text", "num", ">=0"), Q.Rule("n", "bool_text", "b"), Q.Rule("l", "list", "l"), Q.Rule("l", "map", "m"), Q.Rule("t", "regex", "r", "^x"), Q.Rule("n", "member", "in", ("5", "abc")), Q.Rule("id", "integer_text", "id")]
+    table = spark.createDataFrame([(r.column, r.kind, r.message, r.arg if isinstance(r.arg, str) else None, list(r.arg) if isinstance(r.arg, tuple) else None) for r in rules] + [("gone", "present", "x", None, None)], "column string, kind string, message string, arg string, members array<string>")
+    show = lambda d: sorted(map(str, d.collect()))
+    want = show(Q.validate(df, rules, "id"))
+    assert show(Q.validate_by(df, table, "id")) == want and len(want) > 10
+    kinds = {"t": "text", "n": "number", "l": "flag"}
+    assert show(Q.complete_by(df, spark.createDataFrame(list(kinds.items()), "column string, kind string"), "id")) == show(Q.complete(df, kinds, "id"))
+    assert Q.validate_by(df, table.limit(0), "id").count() == 0
+    with pytest.raises(Exception, match="unknown kind"):
+        Q.validate_by(df, table.withColumn("kind", F.lit("odd")), "id").collect()
