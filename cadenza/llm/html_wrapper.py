@@ -61,8 +61,9 @@ _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
 _RAW = frozenset("script style textarea title iframe noscript xmp".split())
-_DROP = frozenset("nav footer aside form template button select dialog menu svg math head".split())
-_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
+_DROP = frozenset("nav footer aside template button select dialog menu svg math head".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
+_CONTROLS = frozenset("input select button".split())
 _NOISE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal newsletter subscribe subscription sidebar sidenav menu nav navbar"
     " side navigation breadcrumb breadcrumbs footer adsense adsbygoogle adbox alert commentlist comment comments reply replies respond disqus related share sharing social pagination pager toolbar search login signup widget".split()
@@ -80,6 +81,9 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _MARKS = re.compile(r"""(?<![\w-])(class|id|role)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>"']++))""", re.I)
+#: Characters of text, in all and for each control, up to which a form is one and not a page around its text.
+FORM_TEXT, CONTROL_TEXT = 200, 60
+
 _END = {name: re.compile(f"</{name}(?=[\\s/>])", re.I) for name in _RAW}
 _WORDS = re.compile(r"[a-z]+")
 
@@ -173,10 +177,20 @@ def kind_of(name: str, marks: tuple) -> str:
 class Block:
     """A block element without noise: its signature and kind, and texts and blocks in page order."""
 
-    __slots__ = ("sign", "kind", "items")
+    __slots__ = ("sign", "kind", "items", "controls")
 
     def __init__(self, sign: str, kind: str = ""):
-        self.sign, self.kind, self.items = sign, kind, []
+        self.sign, self.kind, self.items, self.controls = sign, kind, [], 0
+
+
+def is_form(b: Block) -> bool:
+    """Whether a form element is one and not a page around its text: no container of main text in it, and little text for its controls."""
+    chars = 0
+    for x in walk(b):
+        if x.kind:
+            return False
+        chars += sum(len(t) for t in x.items if isinstance(t, str))
+    return chars <= max(FORM_TEXT, CONTROL_TEXT * b.controls)
 
 
 _SIGNS: dict = {}
@@ -196,6 +210,7 @@ def parse(page: str) -> Block:
     root = Block("")
     stack = [("", root, False)]  # (name, block or None inside noise, noise starts here)
     open_, off, inside = Counter(), 0, 0
+    forms: list[Block] = []  # form elements that are open and not within noise
     text: list[str] = []
 
     def flush() -> None:
@@ -211,8 +226,14 @@ def parse(page: str) -> Block:
         open_[name] -= 1
         off -= starts
         inside -= bool(block is not None and block.kind)
+        if forms and forms[-1] is block:
+            forms.pop()
+            if is_form(block):
+                stack[-1][1].items.remove(block)
 
     for kind, name, marks, s in tokens(page):
+        if forms and name in _CONTROLS and kind != "c":
+            forms[-1].controls += 1
         if kind == "t":
             if not off:
                 text.append(s)
@@ -274,11 +295,15 @@ def parse(page: str) -> Block:
             block = Block(_sign(name, marks), kind_of(name, marks))
             stack[-1][1].items.append(block)
             inside += bool(block.kind)
+            if name == "form":
+                forms.append(block)
         stack.append((name, block, starts))
         open_[name] += 1
         off += starts
     if not off:
         flush()
+    while len(stack) > 1:
+        pop()
     return root
 
 

@@ -181,3 +181,18 @@ def test_many_streams_of_a_path(spark):
     pages += [(300 + i, f"http://m.example/t{i}", f"<body><section id=q{chr(97 + i)}>top</section><main><p>{'text ' * 400}</p></main></body>") for i in range(24)]
     got = {x.page_id: x.text for x in extract_main(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert all(got[200 + i] == "\n\n".join(["x"] * 120) and got[300 + i] == ("text " * 400).strip() for i in range(24))
+
+
+def test_pages_within_a_form(spark):
+    """A form around a page is no form; one that asks for input goes, also within an article."""
+    text = "main text " * 30
+    rows = [
+        (0, "http://f.example/0", "<body><form id=f><main><p>main text 0</p></main></form></body>"),
+        (1, "http://g.example/1", f"<body><form action=/><nav>m</nav><div><p>{text}</p><p>end</p></div><input type=hidden></form></body>"),
+        (2, "http://h.example/2", "<body><article><p>one</p><form><label>mail</label><input><button>go</button><p>We never share it.</p></form><p>two</p></article></body>"),
+        (3, "http://i.example/3", f"<body><form><p>{text}</p>"),
+        (4, "http://j.example/4", "<body><div><form><p>find</p><input></form></div><p>rest"),
+        (5, "http://k.example/5", "<body><article><form><select></select></form>kept</article>"),
+    ]
+    got = {r.page_id: r.text for r in extract_main(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "main text 0", 1: text.strip() + "\n\nend", 2: "one\n\ntwo", 3: text.strip(), 4: "rest", 5: "kept"}
