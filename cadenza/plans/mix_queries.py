@@ -56,10 +56,10 @@ def _mix(spark, sf):
     return _digest(M.mix(chunks(spark, sf), volumes(spark, sf)))
 
 
-@query("mix_variants", """with g as (select n_regionkey as key, list(n_name order by n_name) as groups from nation group by 1)
+@query("mix_variants", """with g as (select o_custkey // 100 as key, list(distinct o_orderpriority order by o_orderpriority) as groups from orders group by 1)
 select key, v as variant, array_to_string(list_filter(groups, lambda x, i: (v >> (i - 1)) & 1 = 1), ',') as members from g, lateral (select unnest(range(0, 1 << len(groups)))::bigint as v)""")
 def _variants(spark, sf):
-    g = bound(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("key")).agg(F.array_sort(F.collect_list("n_name")).alias("groups"))
+    g = bound(spark, sf, "orders").groupBy(F.expr("o_custkey div 100").alias("key")).agg(F.array_sort(F.collect_set("o_orderpriority")).alias("groups"))
     return M.mix_variants(g).select("key", "variant", F.array_join("members", ",").alias("members"))
 
 

@@ -139,11 +139,13 @@ def _noise(spark, sf):
     return bound(spark, sf, "orders").select("o_orderkey", L.noise(F.lit("s"), c("o_orderkey").cast("string")).alias("u")).withColumn("r", L.variation(c("u")))
 
 
-@query("zip_lists", """select r_regionkey, i::int as pos, n_name as voice, 'd' as clef, (r_regionkey + 1)::varchar as level from (select n_regionkey as r_regionkey, n_name, row_number() over (partition by n_regionkey order by n_name) - 1 as i from nation)""")
+@query("zip_lists", """select o_custkey, i::int as pos, voice, 'd' as clef, (o_custkey % 9)::varchar as level from (select o_custkey, o_orderpriority || o_orderkey as voice, row_number() over (partition by o_custkey order by o_orderkey) - 1 as i from orders)""")
 def _zip(spark, sf):
-    v = bound(spark, sf, "nation").groupBy(c("n_regionkey").alias("r_regionkey")).agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("v"))
-    z = L.zip_lists(F.size(F.split("v", ",")), {"voice": c("v"), "clef": F.lit(""), "level": (c("r_regionkey") + 1).cast("string")}, {"voice": "", "clef": "d", "level": "0"})
-    return v.select("r_regionkey", F.posexplode(z).alias("pos", "z")).select("r_regionkey", "pos", "z.*")
+    """The orders of every customer as a list of voices, beside a list that is empty and one of a single item."""
+    own = F.array_sort(F.collect_list(F.struct("o_orderkey", F.concat("o_orderpriority", c("o_orderkey").cast("string")).alias("v"))))
+    v = bound(spark, sf, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(own, lambda x: x.v), ",").alias("v"))
+    z = L.zip_lists(F.size(F.split("v", ",")), {"voice": c("v"), "clef": F.lit(""), "level": (c("o_custkey") % 9).cast("string")}, {"voice": "", "clef": "d", "level": "0"})
+    return v.select("o_custkey", F.posexplode(z).alias("pos", "z")).select("o_custkey", "pos", "z.*")
 
 
 @query("map_functions", """select p_partkey, p_brand as b, p_type as t, 1 as n1, 2 as n2 from part""")
