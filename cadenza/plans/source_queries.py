@@ -120,6 +120,20 @@ def _srt(spark, sf):
     return text_files.srt_cues(settings_files.lines_of(files)).withColumn("song", F.col("song").cast("long"))
 
 
+@query("srt_source", """select o_custkey // 100 as song, (row_number() over w)::int as n, (row_number() over w) * 5000 + o_orderkey % 1000 as start_ms, (row_number() over w) * 5000 + o_orderkey % 1000 + 4000 as end_ms, o_orderpriority || chr(10) || 'of ' || o_orderkey as text
+from orders window w as (partition by o_custkey // 100 order by o_orderkey)""")
+def _srt_source(spark, sf):
+    """Cues of a hundred customers' orders written as a file of their song to the shared folder, and read from there."""
+    n = F.row_number().over(W.partitionBy("song").orderBy("o_orderkey"))
+    o = bound(spark, sf, "orders").withColumn("song", F.expr("o_custkey div 100")).withColumn("n", n).withColumn("start_ms", F.col("n") * 5000 + F.col("o_orderkey") % 1000)
+    cues = o.select("song", "n", "start_ms", (F.col("start_ms") + 4000).alias("end_ms"), F.concat(F.col("o_orderpriority"), F.lit("\nof "), F.col("o_orderkey").cast("string")).alias("text"))
+    folder = new_folder(spark, "srt")
+    text_files.write_srt(cues, folder)
+    out = cut(text_files.read_srt(spark, folder).withColumn("song", F.regexp_extract("song", r"song=(\d+)/", 1).cast("long")))
+    remove(spark, folder)
+    return out
+
+
 @query("ordered_output", duck("changes") + "select song, from_measure, tempo, row_number() over (order by song, from_measure) as place from changes")
 def _ordered(spark, sf):
     """Tempo entries written in ascending order; the place is read back from the files."""
