@@ -48,7 +48,6 @@ def test_ties_repeats_and_odd_vectors(spark):
     rows += [(None, [1.0, 1.0]), (None, [0.0, 2.0]), (500, None), (501, []), (502, [1.0]), (503, [1.0, None]), (504, [float("nan"), 1.0]), (505, [float("-inf"), 1.0]), (506, [1.0, 2.0, 3.0])]
     rows += [(600, [-0.0005, -1e-30])] * 3
     check(spark, rows, 8, 10, 2)
-    check(spark, rows, 3, 1, 2, scale=1)
     check(spark, rows, 5, 0, 2)
     check(spark, rows, 1, 4, 2)
 
