@@ -221,14 +221,14 @@ def test_settings_against_a_line_by_line_reader(spark):
 def test_long_chains(spark):
     """Sixty includes in a row are few joins, and a text extended many times is few rounds."""
     files = {f"c{i:02d}": f'k{i} = "{i}"\n' + (f'INCLUDE "c{i + 1:02d}"\n' if i < 60 else "") + f"end{i} = k{i}" for i in range(61)}
-    files["grow"] = 'v = "0"\n' + "\n".join(f'v = v ", {i}"' for i in range(1, 200)) + "\nlast = v"
+    files["grow"] = 'v = "no 0"\n' + "\n".join(f'v = v ", {i}"' for i in range(1, 200)) + "\nlast = v"
     lines = [(f, n, x) for f, t in files.items() for n, x in enumerate(t.split("\n"), 1)]
     df = spark.createDataFrame(lines, "file string, linenum int, line string")
     got = settings_of(df, spark.createDataFrame([("c00",), ("c55",), ("grow",)], "file string"))
     assert got._jdf.queryExecution().executedPlan().toString().count("Join") <= 10
     rows = {(r.song, r.key): (r.line, r.value_text) for r in got.collect()}
     assert rows["c00", "k60"] == (60 * 2 + 1, "60") and rows["c00", "end0"][0] == 61 * 3 - 1 and rows["c55", "end57"][1] == "57" and len(rows) == 61 * 2 + 6 * 2 + 2
-    assert rows["grow", "last"][1] == ", ".join(map(str, range(200)))
+    assert rows["grow", "last"][1] == "no " + ", ".join(map(str, range(200)))
 
 
 def test_include_ways(spark):
