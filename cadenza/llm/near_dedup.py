@@ -29,13 +29,14 @@ each get a row; other columns are ignored; an empty table gives an empty table.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim_worker, cut, give_back, keep_rows, row_digest, sliced
+from .common import claim_worker, cut, give_back, keep_rows, remove, row_digest, shared_folder, sliced
 from .components import components
 from .shingles import mix, shingle_sets, text_bytes
 
@@ -141,8 +142,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(signed.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     member = classes.select("key", "n", F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    live = cut(member.join(shared, "bucket"))
-    links = _links(docs, id_col, text_col, classes, live, width, percent)
+    # a row for every band of every class is the largest table here; as Parquet it is far smaller than as a checkpoint, and it goes when the links stand
+    spark = docs.sparkSession
+    folder = f"{shared_folder(spark)}/buckets-{uuid.uuid4().hex}"
+    member.join(shared, "bucket").write.parquet(folder)
+    links = _links(docs, id_col, text_col, classes, spark.read.parquet(folder), width, percent)
+    remove(spark, folder)
     comp = components(links)
     named = classes.select("key", "rep").join(comp, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
     least = named.join(comp.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("rep").alias("least"))
@@ -184,17 +189,20 @@ def _links(docs, id_col, text_col, classes, live, width, percent) -> DataFrame:
     # a bucket of m classes is dealt over m / PART tasks: each has a part of one side and all of the other
     held = placed.join(reach, "key")
     parts = held.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    side = cut(held.join(parts, "bucket")).join(met, "key").join(sets, "key")
+    # sets travel as 32-bit hashes; what hashing merges is added to the intersection, so no link is lost, and what passes is compared in full
+    small = sets.select("key", F.array_distinct(F.transform("shingles", lambda s: F.hash(s))).alias("hashes"))
+    side = cut(held.join(parts, "bucket")).join(met, "key").join(small, "key")
     own = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    left, right = (side.select(F.col("bucket"), p.alias("part"), *(F.col(c).alias(c + x) for c in ("key", "n", "comp", "most", "met", "shingles"))) for x, p in (("a", own), ("b", every)))
-    both = F.size(F.array_intersect("shinglesa", "shinglesb")).cast("long")
+    left, right = (side.select(F.col("bucket"), p.alias("part"), *(F.col(c).alias(c + x) for c in ("key", "n", "comp", "most", "met", "hashes"))) for x, p in (("a", own), ("b", every)))
+    both = F.size(F.array_intersect("hashesa", "hashesb")).cast("long") + F.col("na") - F.size("hashesa")
     rest = left.join(right, ["bucket", "part"]).filter(
         (F.col("keya") < F.col("keyb")) & (F.col("compa") != F.col("compb")) & near(F.col("na"), F.col("nb")) & (F.col("nb") <= F.col("mosta")) & (F.col("na") <= F.col("mostb"))
         & (F.array_min(F.array_intersect("meta", "metb")) == F.col("bucket"))  # a pair is looked at in the first bucket that it shares
-        & (100 * both >= percent * (F.col("na") + F.col("nb") - both))  # only links leave the join
+        & (100 * both >= percent * (F.col("na") + F.col("nb") - both))  # only links, and what hashing cannot tell from them, leave the join
     )
-    return cut(links.unionByName(rest.select(F.col("keya").alias("a"), F.col("keyb").alias("b"))))
+    rest = _verified(cut(rest.select(F.col("keya").alias("a"), F.col("keyb").alias("b"))), sets, percent)
+    return cut(links.unionByName(rest))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
