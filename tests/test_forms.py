@@ -386,3 +386,14 @@ def test_rules_from_a_table(spark):
     assert Q.validate_by(df, table.limit(0), "id").count() == 0
     with pytest.raises(Exception, match="unknown kind"):
         Q.validate_by(df, table.withColumn("kind", F.lit("odd")), "id").collect()
+
+
+def test_long_literals_in_time(spark):
+    """A quoted text of a megabyte and 20,000 items are read in one pass; a fold over characters copies the text read so far at each of them."""
+    import time
+
+    long = "{a: '" + "x, [y] " * 150_000 + "', b: [" + ", ".join(f"'n{i}'" for i in range(20_000)) + "]}"
+    df = spark.createDataFrame([(long,)] * 4, "t string").select(parse_nested(F.col("t")).alias("v"))
+    start = time.time()
+    got = df.select(F.length(F.try_variant_get("v", "$.a", "string")), F.try_variant_get("v", "$.b[19999]", "string")).collect()
+    assert [tuple(r) for r in got] == [(1_050_000, "n19999")] * 4 and time.time() - start < 60
