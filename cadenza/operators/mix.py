@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza.functions import scalars as L
-from cadenza.sources.shared import cut
+from cadenza.sources.shared import cut, give_back
 
 CHUNK = 4096
 TOP = 32767
@@ -47,8 +47,9 @@ def length(pcm: DataFrame) -> DataFrame:
     return pcm.groupBy("song").agg(F.max(end).cast("long").alias("frames"), F.count_distinct("voice").alias("voices"))
 
 
-#: Bytes of sums that a task holds before it passes them on.
-HELD = 64 << 20
+#: Bytes of sums that a task holds before it passes them on, and bytes of samples that it takes from an Arrow batch at a time.
+HELD = 16 << 20
+PIECE = 4 << 20
 #: Rows of settings up to which they are broadcast: a row a voice of a song.
 BROADCAST_VOICES = 200_000
 _SUMS = "track string, chunk bigint, frame0 bigint, n_channels int, samples array<bigint>, top bigint"
@@ -63,10 +64,26 @@ def _lists(column):
     """Arrays of a list column of samples, without copies."""
     import numpy as np
 
-    values, ends = np.asarray(column.values.cast("int64")), np.asarray(column.offsets)
+    ends = np.asarray(column.offsets)
+    values, ends = np.asarray(column.values.slice(ends[0], ends[-1] - ends[0]).cast("int64")), ends - ends[0]
     return [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
+def _pieces(batches):
+    """Slices of Arrow batches, of about ``PIECE`` bytes of samples each; a batch is let go before the next one is read."""
+    import numpy as np
+
+    for batch in batches:
+        ends = np.asarray(batch.column("samples").offsets).astype(np.int64) * 8
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + PIECE, side="right")) - 1)
+            yield batch.slice(start, stop - start)
+            start = stop
+        del batch, ends
+        give_back()
+
+
 def _add(total, x):
     """The sum of two signals, the shorter one as if zeros followed; ``total`` may be changed."""
     if len(total) < len(x):
@@ -101,7 +118,7 @@ def _sums(rows: DataFrame) -> DataFrame:
         import numpy as np
 
         sums, held = {}, 0
-        for batch in batches:
+        for batch in _pieces(batches):
             cols = [batch.column(c).to_pylist() for c in ("chunk", "frame0", "n_channels", "takes")]
             for x, chunk, frame0, n, takes in zip(_lists(batch.column("samples")), *cols, strict=True):
                 for t in takes:
@@ -118,26 +135,30 @@ def _sums(rows: DataFrame) -> DataFrame:
                         sums[key] = y
                         held += y.nbytes
                 if held > limit:
-                    yield batch_of(sums)
-                    sums, held = {}, 0
+                    out, sums, held = batch_of(sums), {}, 0
+                    yield out
+                    del out
+            del batch, x
         if sums:
             yield batch_of(sums)
 
     def streams(batches):
         """Rows that come sorted by chunk: of one chunk at a time."""
         now, held, done = None, 0, {}
-        for batch in batches:
+        for batch in _pieces(batches):
             cols = [batch.column(c).to_pylist() for c in ("song", "track", "chunk", "frame0", "n_channels")]
             for x, *key in zip(_lists(batch.column("samples")), *cols, strict=True):
                 key = tuple(key)
                 if key != now:
-                    if held > limit // 8:
-                        yield batch_of(done)
-                        done, held = {}, 0
+                    if held > limit // 4:
+                        out, done, held = batch_of(done), {}, 0
+                        yield out
+                        del out
                     now, done[key] = key, x.copy()
                     held += x.nbytes
                 else:
                     done[key] = _add(done[key], x)
+            del batch, x
         if done:
             yield batch_of(done)
 
@@ -161,13 +182,14 @@ def _finished(sums: DataFrame, levels: DataFrame | None, amplification: float, l
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _pieces(batches):
             lists = _lists(batch.column("samples"))
             flat = np.concatenate([*lists, np.zeros(0, np.int64)])
             factors = np.repeat(np.asarray(batch.column("_factor")), [len(x) for x in lists])
             flat = np.clip(np.rint(flat * factors), -TOP, TOP).astype(np.int64)  # halves to even
             ends = pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
             own = pa.ListArray.from_arrays(ends, pa.array(flat)).cast(batch.schema.field("samples").type)
+            del lists, factors, flat
             yield pa.RecordBatch.from_arrays([own if n == "samples" else batch.column(n) for n in out.names], names=out.names)
 
     return rows.mapInArrow(scale, out)

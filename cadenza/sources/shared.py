@@ -36,3 +36,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def give_back() -> None:
+    """Return the freed memory of a Python worker, which Spark keeps for later stages, to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass

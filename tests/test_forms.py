@@ -397,3 +397,18 @@ def test_long_literals_in_time(spark):
     start = time.time()
     got = df.select(F.length(F.try_variant_get("v", "$.a", "string")), F.try_variant_get("v", "$.b[19999]", "string")).collect()
     assert [tuple(r) for r in got] == [(1_050_000, "n19999")] * 4 and time.time() - start < 60
+
+
+def test_samples_are_taken_in_pieces():
+    """A batch of any size is worked on by slices of a bounded size; scaling once made five copies of a whole batch."""
+    import pyarrow as pa
+
+    from cadenza.operators import mix as M
+
+    size = [4096] * 300 + [0, 3 * M.PIECE // 8, 5]
+    batch = pa.RecordBatch.from_pydict({"samples": pa.array([[i] * n for i, n in enumerate(size)], pa.list_(pa.int32()))})
+    for own, want in ((batch, size), (batch.slice(7, 290), size[7:297]), (batch.slice(0, 0), [])):
+        got = [M._lists(p.column("samples")) for p in M._pieces([own])]
+        assert [len(x) for p in got for x in p] == want
+        assert all(len(p) == 1 or sum(x.nbytes for x in p) <= M.PIECE for p in got)
+    assert len(list(M._pieces([batch]))) > 2 and M._lists(batch.slice(9, 1).column("samples"))[0].tolist() == [9] * 4096
