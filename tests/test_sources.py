@@ -48,6 +48,18 @@ def test_midi_round_trip(spark, tmp_path):
     assert (tmp_path / "out/a.mid").read_bytes() == data
 
 
+def test_decoding_passes_rows_on(spark, monkeypatch):
+    """Events of the many files of a batch are given out in bounded parts, whole and in order."""
+    rows = song()
+    data = midi.encode(rows)
+    files = spark.createDataFrame([(f"s{i:02}", data[:-3] if i % 7 == 3 else data) for i in range(20)], "song string, content binary").coalesce(1)
+    monkeypatch.setattr(midi, "HELD_ROWS", 3)
+    events, rejects = midi.decode_midi(files)
+    got = [(r.song, r.track_no, r.seq, r.midi_time, r.kind) for r in events.collect()]
+    assert got == [(f"s{i:02}", r["track_no"], r["seq"], r["midi_time"], r["kind"]) for i in range(20) if i % 7 != 3 for r in rows]
+    assert sorted(r.song for r in rejects.collect()) == ["s03", "s10", "s17"]
+
+
 def test_wav_round_trip(spark, tmp_path):
     x = np.arange(-5000, 5000, dtype=np.int64) * 7
     rows = [("s", "v", i, i * 1000, 2, 8000, x[i * 2000 : (i + 1) * 2000].tolist()) for i in range(5)]
