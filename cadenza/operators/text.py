@@ -58,28 +58,34 @@ def multi_tables(lines: DataFrame, marker: str = r"^TABLE (\w+)", comment: str =
     return rows.select(file, "table", "linenum", F.map_from_arrays(F.slice("_names", F.lit(1), n), F.slice("_v", F.lit(1), n)).alias("fields"), (F.size("_names") != F.size("_v")).alias("bad"))
 
 
-def scan_sections(lines: DataFrame, page_re: str, color_re: str, font_re: str, digit_re: str, glyph_re: str, tail: int = 8, file: str = "doc_id") -> DataFrame:
+def scan_sections(lines: DataFrame, page_re: str, color_re: str, font_re: str, digit_re: str, glyph_re: str, tail: int = 8, file: str = "doc_id", tasks: int | None = None) -> DataFrame:
     """(file, page, first_measure) by a marker scan.
 
     Inside a page a colour line, then a font line, open a number whose digits follow one
     per line, least significant first; the line after the digits must match ``glyph_re``. A
     number counts only if it exceeds every earlier accepted one. A page's value is its
     least number, the first page's is 1, and an extra last page has the greatest plus ``tail``.
+    ``tasks``: how many tasks share the files, where the number of a shuffle's partitions does not follow the input.
     """
     w = W.partitionBy(file).orderBy("linenum")
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    got = lines.withColumn("_p", F.regexp_extract("line", page_re, 1)).withColumn("page", F.last(F.when(F.col("_p") != "", F.col("_p").try_cast("int")), ignorenulls=True).over(upto)).filter("page is not null")
-    font = F.col("line").rlike(font_re) & F.coalesce(F.lag("line").over(w).rlike(color_re), F.lit(False))
+    upto, before = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, -1)
+    # what a line is goes to the file's task, not the line; one order serves all windows
     digit = F.regexp_extract("line", digit_re, 1)
-    got = got.withColumn("_font", font).withColumn("_d", F.when(~F.col("_font") & (digit != ""), digit.try_cast("long")))
-    got = got.withColumn("_run", F.sum(F.when(F.col("_d").isNull(), 1).otherwise(0)).over(upto)).withColumn("_run", F.when(F.col("_d").isNull(), F.col("_run") - 1).otherwise(F.col("_run")))
-    prev_font = F.coalesce(F.lag("_font").over(w), F.lit(False))
-    got = got.withColumn("_opened", F.col("_d").isNotNull() & prev_font)
-    order = W.partitionBy(file, "_run").orderBy("linenum")
-    got = got.withColumn("_k", F.sum(F.when(F.col("_d").isNotNull(), 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    at = F.regexp_extract("line", page_re, 1)
+    own = lines.select(
+        file, "linenum", F.when(at != "", at.try_cast("int")).alias("_at"), F.col("line").rlike(color_re).alias("_color"), F.col("line").rlike(font_re).alias("_font"),
+        F.when(digit != "", digit.try_cast("long")).alias("_d"), F.col("line").rlike(glyph_re).alias("_glyph"),
+    )
+    own = own.repartition(tasks, file) if tasks else own
+    got = own.select(file, "linenum", F.last("_at", ignorenulls=True).over(upto).alias("page"), "_color", "_font", "_d", "_glyph").filter("page is not null")
+    got = got.withColumns({"_font": F.col("_font") & F.coalesce(F.lag("_color").over(w), F.lit(False)), "_n": F.row_number().over(w)})
+    got = got.withColumn("_d", F.when(~F.col("_font"), F.col("_d"))).withColumn("_opened", F.col("_d").isNotNull() & F.coalesce(F.lag("_font").over(w), F.lit(False)))
+    # a run is digits and the line behind them; its number is the place of the last other line before
+    got = got.withColumn("_run", F.coalesce(F.last(F.when(F.col("_d").isNull(), F.col("_n")), ignorenulls=True).over(before), F.lit(0))).withColumn("_k", F.col("_n") - F.col("_run"))
+    got = got.filter("_d is not null or _k > 1")
     runs = got.groupBy(file, "_run").agg(
         F.sum(F.when(F.col("_d").isNotNull(), F.col("_d") * F.pow(F.lit(10.0), F.col("_k") - 1).cast("long"))).alias("number"), F.max("_opened").alias("_opened"),
-        F.max(F.col("_d").isNull() & F.col("line").rlike(glyph_re)).alias("_closed"), F.min("linenum").alias("linenum"), F.min("page").alias("page"),
+        F.max(F.col("_d").isNull() & F.col("_glyph")).alias("_closed"), F.min("linenum").alias("linenum"), F.min("page").alias("page"),
     ).filter("_opened and _closed and number is not null")
     w2 = W.partitionBy(file).orderBy("linenum")
     # a number that does not exceed an earlier one cannot raise the running maximum, so the maximum over all earlier numbers is that over the accepted ones

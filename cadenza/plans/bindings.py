@@ -71,6 +71,11 @@ def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **{t: read(t) for t in tables})
 
 
+def tasks_for(table: DataFrame, rows: int) -> int:
+    """How many tasks take about ``rows`` rows of a driver's table each; its rows are counted by the files' footers."""
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // rows))
+
+
 def duck(*names: str) -> str:
     """The bindings as common table expressions, for the start of an oracle."""
     return "with " + ", ".join(f"{n} as ({_DUCK[n]})" for n in names)

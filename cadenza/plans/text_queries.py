@@ -11,7 +11,7 @@ from cadenza.operators import settings as S
 from cadenza.operators import spans as P
 from cadenza.operators import text as X
 
-from .bindings import bound, duck
+from .bindings import bound, duck, tasks_for
 from .registry import query
 
 # text
@@ -63,7 +63,8 @@ def _scan(spark, sf):
     digits = F.transform(F.filter(F.split(F.reverse(F.length("line").cast("string")), ""), lambda x: x != ""), lambda x: F.concat(F.lit("("), x, F.lit(") digit")))
     rows = F.concat(F.array(F.concat(F.lit("%%Page: "), F.col("linenum").cast("string")), F.lit("0.5 setcolor"), F.lit("font selectfont")), digits, F.array(F.lit("print_glyphs")))
     lines = d.select("doc_id", F.posexplode(rows).alias("i", "l"), "linenum").select("doc_id", (F.col("linenum") * 100 + F.col("i")).alias("linenum"), F.col("l").alias("line"))
-    return X.scan_sections(lines, r"^%%Page: (\d+)", "setcolor", "selectfont", r"^\((\d)\)", "print_glyphs")
+    tasks = tasks_for(bound(spark, sf, "documents"), 2000)
+    return X.scan_sections(lines, r"^%%Page: (\d+)", "setcolor", "selectfont", r"^\((\d)\)", "print_glyphs", tasks=tasks)
 
 
 @query("defined_names", duck("lines") + r""", e as (select doc_id, case when linenum % 3 = 0 then ' ' || split_part(line, ' ', 1) || ' = ' || linenum else line end as line from lines)

@@ -264,3 +264,20 @@ def test_include_ways(spark):
 
             walk(root, [])
         assert sorted((x.song, x.file, list(x["at"])) for x in got.collect()) == sorted(want)
+
+
+def test_scan_carries_no_lines(spark):
+    """Windows over a file keep marks instead of lines, by one order, and any number of tasks gives the same rows."""
+    import re
+
+    from cadenza.operators import text as X
+
+    page = lambda n, digits: [f"%%Page: {n}", "0 setcolor", "f selectfont", *(f"({d})" for d in digits), "glyphs", "(9)", "x"]
+    rows = [(f, i, t) for f in range(9) for i, t in enumerate(["f selectfont", "(4)", *page(1, "21"), *page(2, "43"), *page(3, "5")])]
+    df = spark.createDataFrame(rows, "doc_id int, linenum int, line string")
+    scan = lambda **k: X.scan_sections(df, r"^%%Page: (\d+)", "setcolor", "selectfont", r"^\((\d)\)", "glyphs", **k)
+    want = sorted((f, p, m) for f in range(9) for p, m in ((1, 1), (2, 34), (3, 42)))
+    assert sorted(map(tuple, scan().collect())) == sorted(map(tuple, scan(tasks=7).collect())) == want
+    plan = scan(tasks=7)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Window \[[^\n]*\bline#", plan) and not re.search(r"Project \[[^\n]*, line#\d+[^\n]*\n[^\n]*Window", plan)
+    assert re.search(r"RepartitionByExpression \[doc_id#\d+\], 7", plan)
