@@ -82,6 +82,7 @@ def humanize(
     unit = F.bround(F.bround(F.lit(tpq / 8.0)) * pick("timing", "double"))
     shift = F.bround(unit * (rt * factor(1))).cast("long")
     velocity = L.clip((F.col("velocity") * (emphasis + rv * factor(0) * slack)).cast("long"), 0, 127)
+    got = got.withColumn("_on", N._is_on())  # by the velocity as it was: a soft note that is varied to 0 starts all the same
     got = got.withColumns({"_time": F.when(F.col("_hit"), F.col("midi_time") + shift).otherwise(F.col("midi_time")), "velocity": F.when(F.col("_hit"), velocity).otherwise(F.col("velocity").cast("long"))})
 
     # an end moves only if the next start of its pitch, shifted already, is not after it
@@ -89,8 +90,8 @@ def humanize(
 
     w = W.partitionBy("song", "track", "pitch").orderBy("seq")
     nxt = F.lead("_time").over(w)
-    ends = ~N._is_on() & F.col("partner_seq").isNotNull() & F.lag("_hit").over(w)
-    follows = F.lead(N._is_on()).over(w)
+    ends = ~F.col("_on") & F.col("partner_seq").isNotNull() & F.lag("_hit").over(w)
+    follows = F.lead("_on").over(w)
     got = got.withColumn("_end", F.when(F.coalesce(ends & follows & (nxt <= F.col("midi_time")), F.lit(False)), nxt - 1).otherwise(F.col("_time")))
     return got.select(*(F.col("_end").alias("midi_time") if c == "midi_time" else F.col(c) for c in events.columns))
 

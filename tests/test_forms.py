@@ -412,3 +412,14 @@ def test_samples_are_taken_in_pieces():
         assert [len(x) for p in got for x in p] == want
         assert all(len(p) == 1 or sum(x.nbytes for x in p) <= M.PIECE for p in got)
     assert len(list(M._pieces([batch]))) > 2 and M._lists(batch.slice(9, 1).column("samples"))[0].tolist() == [9] * 4096
+
+
+def test_a_note_varied_to_silence_still_starts(spark):
+    """An end that the next start of its pitch passes moves before it, also if that note's velocity becomes 0."""
+    rows = [("s", "drums", 1, 0, "On", 36, 100), ("s", "drums", 2, 300, "Off", 36, 0), ("s", "drums", 3, 40, "On", 36, 1), ("s", "drums", 4, 200, "Off", 36, 0)]
+    notes = spark.createDataFrame(rows, "song string, track string, seq long, midi_time long, kind string, pitch int, velocity long")
+    none = spark.createDataFrame([], "song string, time long, num long, den long")
+    grid = G.measure_grid(none, notes.groupBy("song").agg(F.max("midi_time").alias("last_time")), 96, 0)
+    got = {r.seq: r for r in H.humanize(notes, grid).collect()}
+    assert got[3].velocity == 0 and 40 <= got[3].midi_time <= 43
+    assert got[2].midi_time == got[3].midi_time - 1 and got[4].midi_time == 200
