@@ -11,17 +11,19 @@ from pyspark.sql import functions as F
 from cadenza.functions import scalars as L
 
 
-def fill_forward(points: DataFrame, changes: DataFrame, keys: Sequence[str], at: str, since: str, value: str, default=None, out: str | None = None) -> DataFrame:
+def fill_forward(points: DataFrame, changes: DataFrame, keys: Sequence[str], at: str, since: str, value: str, default=None, out: str | None = None, tasks: int | None = None) -> DataFrame:
     """Give every point the value of the last change at or before it (``default`` before the first).
 
     Both sides are sorted once by (keys, time), changes first, and the last
     value is carried on; there is no theta join, and the exchange is the one that
-    later windows over the same keys use.
+    later windows over the same keys use. ``tasks``: how many tasks share the keys,
+    where the number of a shuffle's partitions does not follow the input.
     """
     out = out or value
     left = points.withColumn("_point", F.lit(1))
     right = changes.select(*keys, F.col(since).cast(points.schema[at].dataType).alias(at), F.struct(F.col(value).alias("v")).alias("_change"), F.lit(0).alias("_point"))
     both = left.unionByName(right, allowMissingColumns=True)
+    both = both.repartition(tasks, *keys) if tasks else both
     order = W.partitionBy(*keys).orderBy(at, "_point").rowsBetween(W.unboundedPreceding, W.currentRow)
     got = F.last("_change", ignorenulls=True).over(order)
     filled = both.withColumn("_got", got).filter("_point = 1")
@@ -57,10 +59,10 @@ def measure_grid(signatures: DataFrame, lasts: DataFrame, tpq: int = 96, count_i
     return row.select("song", (F.col("s.m0") + F.col("k")).alias("measure"), start.alias("t_start"), F.when(~(F.col("tail") & (F.col("k") == F.col("n") - 1)), start + F.col("s.ticks")).alias("t_end"))
 
 
-def locate_measure(events: DataFrame, grid: DataFrame, at: str = "midi_time") -> DataFrame:
+def locate_measure(events: DataFrame, grid: DataFrame, at: str = "midi_time", tasks: int | None = None) -> DataFrame:
     """Add measure and t_start of the grid's measure with t_start <= time < t_end."""
     starts = grid.withColumn("_m", F.struct("measure", "t_start", "t_end"))
-    out = fill_forward(events, starts, ["song"], at, "t_start", "_m", None, "_m")
+    out = fill_forward(events, starts, ["song"], at, "t_start", "_m", None, "_m", tasks)
     return out.withColumns({"measure": F.col("_m.measure"), "t_start": F.col("_m.t_start"), "t_end": F.col("_m.t_end")}).drop("_m")
 
 
@@ -135,14 +137,14 @@ def delta_time(events: DataFrame) -> DataFrame:
     return out.withColumn("bad", F.col("delta") < 0)
 
 
-def style_in_force(points: DataFrame, changes: DataFrame, default: str = "default") -> DataFrame:
+def style_in_force(points: DataFrame, changes: DataFrame, default: str = "default", tasks: int | None = None) -> DataFrame:
     """Add ``style`` to (song, measure) from (song, from_measure, style).
 
     Entries from measure 1 on are carried to later measures; measures up to 1 have a style only by an
     entry of their own.
     """
     own = changes.filter("from_measure <= 1").select("song", F.col("from_measure").cast(points.schema["measure"].dataType).alias("measure"), F.col("style").alias("_own"))
-    got = fill_forward(points.join(own, ["song", "measure"], "left"), changes.filter("from_measure >= 1"), ["song"], "measure", "from_measure", "style", default)
+    got = fill_forward(points.join(own, ["song", "measure"], "left"), changes.filter("from_measure >= 1"), ["song"], "measure", "from_measure", "style", default, tasks=tasks)
     return got.withColumn("style", F.when(F.col("measure") <= 1, F.coalesce("_own", F.lit(default))).otherwise(F.col("style"))).drop("_own")
 
 

@@ -43,7 +43,7 @@ def _at_place(style: dict, place, key: str, kind: str):
 
 def humanize(
     events: DataFrame, grid: DataFrame, style_map: DataFrame | None = None, styles: dict | None = None, factors: dict | None = None,
-    humanized=None, tpq: int = 96, seed: str = "0",
+    humanized=None, tpq: int = 96, seed: str = "0", tasks: int | None = None,
 ) -> DataFrame:
     """Note rows (song, track, seq, midi_time, kind, pitch, velocity, ...) with varied time and velocity.
 
@@ -52,17 +52,19 @@ def humanize(
     (velocity, timing) by canonical track. Timing depends on song, canonical track and
     time only, so tracks of one instrument move together; measures below 1 and tracks
     outside ``humanized`` stay as they are. A note's end stays too, unless the next note of
-    its pitch starts before it. All wide steps share the keys (song, track).
+    its pitch starts before it. All wide steps share the key (song); three orders, by time, by
+    measure and by pitch, serve all windows. ``tasks``: how many tasks share the songs, where
+    the number of a shuffle's partitions does not follow the input.
     """
     styles = styles or {"default": DEFAULT_STYLE}
-    got = G.locate_measure(N.pair_notes(events), grid)
+    got = G.locate_measure(events, grid, tasks=tasks)
     if style_map is None:
         got = got.withColumn("style", F.lit("default"))
     else:
-        got = G.style_in_force(got, style_map)
+        got = G.style_in_force(got, style_map, tasks=tasks)
     canonical = L.canonical_track(F.col("track"))
     got = got.withColumn("_name", canonical)
-    got = N.mark_varying(got)
+    got = N.pair_notes(N.mark_varying(got))  # pairs last, in the order that the ends need
 
     note = (F.col("kind") == "On") & (F.col("velocity") > 0) & (F.col("measure") >= 1)
     if humanized is not None:
@@ -96,16 +98,20 @@ def humanize(
     return got.select(*(F.col("_end").alias("midi_time") if c == "midi_time" else F.col(c) for c in events.columns))
 
 
-def standardize(events: DataFrame, instruments: DataFrame, grid: DataFrame, settings: DataFrame, stamp: str, humanized=(), **options) -> DataFrame:
-    """Name tracks, replace bad ones, humanize notes, set channels, expand program changes and annotate, in this order."""
+def standardize(events: DataFrame, instruments: DataFrame, grid: DataFrame, settings: DataFrame, stamp: str, humanized=(), tasks: int | None = None, **options) -> DataFrame:
+    """Name tracks, replace bad ones, humanize notes, set channels, expand program changes and annotate, in this order.
+
+    ``tasks``: how many tasks share the tracks and the songs, where the number of a shuffle's partitions does not follow the input.
+    """
+    dealt = lambda df: df.repartition(tasks, "song", "track_no") if tasks else df
     names = N.name_tracks(instruments).select("song", "track_no", F.col("track").alias("_name"))
-    got = events.join(names, ["song", "track_no"], "left").withColumn("track", F.coalesce("_name", "track")).drop("_name")
+    got = dealt(events).join(names, ["song", "track_no"], "left").withColumn("track", F.coalesce("_name", "track")).drop("_name")
     got = N.replace_bad_tracks(got)
     notes = got.filter("kind in ('On', 'Off')").withColumns({"pitch": F.col("p1"), "velocity": F.col("p2").cast("long")})
-    notes = humanize(notes, grid, humanized=list(humanized), **options) if humanized else notes
+    notes = humanize(notes, grid, humanized=list(humanized), tasks=tasks, **options) if humanized else notes
     notes = notes.withColumn("p2", F.col("velocity").cast("int")).drop("pitch", "velocity")
     got = got.filter("kind not in ('On', 'Off')").unionByName(notes)
-    got = N.expand_program_change(N.rechannel(got, settings), settings).withColumnRenamed("part", "_part")
+    got = N.expand_program_change(dealt(N.rechannel(got, settings)), settings).withColumnRenamed("part", "_part")
     listed = [r for r in humanized]
     got = N.annotate_tracks(got, listed or ["-"], listed or ["-"], stamp)
     order = got.withColumn("seq", F.col("seq") * 100 + F.col("_part") * 10 + F.col("part")).drop("_part", "part")

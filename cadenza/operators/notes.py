@@ -53,16 +53,18 @@ def varying_measures(peaks: DataFrame) -> DataFrame:
 def mark_varying(notes: DataFrame) -> DataFrame:
     """Add ``varying`` of a row's measure to rows (song, track, measure, midi_time, kind, velocity): as ``varying_measures``, without a join.
 
-    One row of each time stands for its peak; windows over (song, track, measure) need no other layout than (song).
+    The last row of each time, in the order of On rows by velocity, stands for its peak. One order serves all windows,
+    and they need no other layout than (song).
     """
     measure = W.partitionBy("song", "track", "measure")
-    time = W.partitionBy("song", "track", "measure", "midi_time")
-    on = F.col("kind") == "On"
-    out = notes.withColumn("_p", F.max(F.when(on, F.col("velocity"))).over(time)).withColumn("_r", F.row_number().over(time.orderBy(F.coalesce(on, F.lit(False)).desc())))
-    out = out.withColumn("_p", F.when((F.col("_r") == 1) & on, F.col("_p")))
-    before = lambda c: F.last(c, ignorenulls=True).over(measure.orderBy("midi_time", F.desc("_r")).rowsBetween(W.unboundedPreceding, -1))
+    order = measure.orderBy("midi_time", "_o", "velocity")
+    after = F.lead(F.struct("midi_time")).over(order)
+    out = notes.withColumn("_o", F.coalesce(F.col("kind") == "On", F.lit(False)))  # a column of its own, so that the windows' orders are seen to be one
+    out = out.withColumn("_p", F.when(F.col("_o") & (after.isNull() | ~after.midi_time.eqNullSafe(F.col("midi_time"))), F.col("velocity")))
+    before = lambda c: F.last(c, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
     out = out.withColumn("_d", F.when(F.col("_p").isNotNull(), F.col("_p") - before("_p"))).withColumn("_e", before("_d"))
-    return out.withColumn("varying", F.coalesce(F.max(F.signum("_d") * F.signum("_e") < 0).over(measure), F.lit(False))).drop("_p", "_r", "_d", "_e")
+    every = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return out.withColumn("varying", F.coalesce(F.max(F.signum("_d") * F.signum("_e") < 0).over(every), F.lit(False))).drop("_o", "_p", "_d", "_e")
 
 
 def order_events(events: DataFrame) -> DataFrame:
@@ -74,11 +76,15 @@ def order_events(events: DataFrame) -> DataFrame:
     return events.withColumn("seq", F.row_number().over(w).cast("long"))
 
 
+def _track_end(like: DataFrame) -> dict:
+    """The columns of a track end at time 0, in the columns of ``like``."""
+    fixed = {"seq": F.lit(0).cast("long"), "midi_time": F.lit(0).cast("long"), "kind": F.lit("Meta"), "meta": F.lit("TrkEnd")}
+    return {c: F.col(c) if c in ("song", "track_no", "track") else fixed.get(c, F.lit(None).cast(t)) for c, t in like.dtypes}
+
+
 def _empty_tracks(tracks: DataFrame, like: DataFrame) -> DataFrame:
     """One track end at time 0 for each (song, track_no, track), in the columns of ``like``."""
-    fixed = {"seq": F.lit(0).cast("long"), "midi_time": F.lit(0).cast("long"), "kind": F.lit("Meta"), "meta": F.lit("TrkEnd")}
-    row = tracks.select("song", "track_no", "track").distinct()
-    return row.select(*((F.col(c) if c in ("song", "track_no", "track") else fixed.get(c, F.lit(None).cast(t))).alias(c) for c, t in like.dtypes))
+    return tracks.select("song", "track_no", "track").distinct().select(*(v.alias(c) for c, v in _track_end(like).items()))
 
 
 def keep_tracks(events: DataFrame, prefix: str) -> DataFrame:
@@ -123,12 +129,18 @@ def expand_program_change(events: DataFrame, settings: DataFrame, large_banks: b
 
 
 def replace_bad_tracks(events: DataFrame, least: int = 5) -> DataFrame:
-    """Tracks named ``new:`` or of fewer than ``least`` lines (begin and end included) become empty."""
-    n = F.count(F.lit(1)).over(W.partitionBy("song", "track_no")) + 1
-    bad = F.coalesce(F.col("track").contains("new:"), F.lit(False)) | (F.col("_n") < least)
-    marked = events.withColumn("_n", n).withColumn("_bad", bad)
-    good = marked.filter("not _bad").drop("_n", "_bad")
-    return good.unionByName(_empty_tracks(marked.filter("_bad"), good))
+    """Tracks named ``new:`` or of fewer than ``least`` lines (begin and end included) become empty.
+
+    The first row of each name of a bad track becomes its end, so the events are read and sorted once.
+    """
+    w = W.partitionBy("song", "track_no").orderBy("track")
+    n = F.count(F.lit(1)).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) + 1
+    before = F.lag(F.struct("track")).over(w)
+    first = before.isNull() | ~before.track.eqNullSafe(F.col("track"))
+    marked = events.withColumns({"_n": n, "_first": first})
+    marked = marked.withColumn("_bad", F.coalesce(F.col("track").contains("new:"), F.lit(False)) | (F.col("_n") < least))
+    kept = marked.filter("not _bad or _first")
+    return kept.select(*(F.when(F.col("_bad"), v).otherwise(F.col(c)).alias(c) for c, v in _track_end(events).items()))
 
 
 def name_tracks(tracks: DataFrame, instruments: dict[str, str] | None = None) -> DataFrame:

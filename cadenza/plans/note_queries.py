@@ -10,9 +10,12 @@ from cadenza.operators import humanize as H
 from cadenza.operators import notes as N
 from cadenza.operators.mix import shift_cues
 
-from .bindings import TPQ, bound, duck
+from .bindings import TPQ, bound, duck, tasks_for
 from .registry import query
 
+#: Events of a task that has whole songs.
+EVENTS = 250_000
+
 _SIG_SPARK = "select cast(o_custkey div 100 as bigint) as song, o_orderkey % 60 * 192 as time, max(2 + o_orderkey % 5) as num, max(case when o_orderkey % 3 = 0 then 8 else 4 end) as den from {orders} group by 1, 2"
 _SIG = "select cast(o_custkey // 100 as bigint) as song, o_orderkey % 60 * 192 as time, max(2 + o_orderkey % 5)::bigint as num, max(case when o_orderkey % 3 = 0 then 8 else 4 end)::bigint as den from orders group by 1, 2"
 
@@ -152,7 +155,7 @@ select song, track, seq, kind, pitch, v_ as velocity,
   case when not is_on and partner_seq is not null and lag(is_on) over w and lead(is_on) over w and lead(time_) over w <= midi_time then lead(time_) over w - 1 else time_ end as midi_time
 from n window w as (partition by song, track, pitch order by seq)""")
 def _humanize(spark, sf):
-    return H.humanize(bound(spark, sf, "notes"), plain_grid(spark, sf)).select("song", "track", "seq", "midi_time", "kind", "pitch", "velocity")
+    return H.humanize(bound(spark, sf, "notes"), plain_grid(spark, sf), tasks=tasks_for(bound(spark, sf, "events"), EVENTS)).select("song", "track", "seq", "midi_time", "kind", "pitch", "velocity")
 
 
 _RANK = "case kind when 'Meta' then 1 when 'PrCh' then 2 when 'Par' then 3 when 'Off' then 7 when 'On' then 8 else 3 end"
@@ -294,7 +297,7 @@ def _standardize(spark, sf):
     """The whole rewrite of a corpus."""
     e = bound(spark, sf, "midi").withColumns({"text": F.lit(None).cast("string")})
     instruments = e.select("song", "track_no", F.when(F.col("track_no") % 2 == 0, F.col("track")).otherwise("").alias("track"), F.lit("reed organ").alias("instrument")).distinct()
-    got = H.standardize(e, instruments, plain_grid(spark, sf), track_settings(spark, sf), "T", humanized=("drums", "bass"))
+    got = H.standardize(e, instruments, plain_grid(spark, sf), track_settings(spark, sf), "T", humanized=("drums", "bass"), tasks=tasks_for(bound(spark, sf, "events"), EVENTS))
     none = {c: F.coalesce(c, F.lit(-1)) for c in ("channel", "p1", "p2")}
     return got.withColumns({"meta": F.coalesce("meta", F.lit(""))} | none).select("song", "track_no", "track", "midi_time", "kind", "meta", "channel", "p1", "p2", "seq")
 

@@ -423,3 +423,36 @@ def test_a_note_varied_to_silence_still_starts(spark):
     got = {r.seq: r for r in H.humanize(notes, grid).collect()}
     assert got[3].velocity == 0 and 40 <= got[3].midi_time <= 43
     assert got[2].midi_time == got[3].midi_time - 1 and got[4].midi_time == 200
+
+
+def test_bad_tracks_are_replaced_in_one_pass(spark):
+    """A second read for the ends alone had few bytes and many rows, so a few tasks sorted them all."""
+    rows = [("s", 1, t, q) for q, t in enumerate(["a", "a", "new:1", None, "new:1", "a"])] + [("s", 2, t, q) for q, t in enumerate([None, "b", "b"])] + [(None, 3, "c", q) for q in range(4)]
+    events = spark.createDataFrame(rows, "song string, track_no int, track string, seq int").withColumns({"midi_time": F.col("seq") * 10, "kind": F.lit("On"), "meta": F.lit(None).cast("string"), "p1": F.lit(1)})
+    got = N.replace_bad_tracks(events)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and len(re.findall(r"\bSort \[", plan)) == 1
+    end = lambda *k: (*k, 0, 0, "Meta", "TrkEnd", None)
+    kept = [(s, n, t, q, q * 10, "On", None, 1) for s, n, t, q in rows if n != 2 and t != "new:1"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([*kept, end("s", 1, "new:1"), end("s", 2, None), end("s", 2, "b")], key=str)
+
+
+def test_humanize_sorts_three_times_in_as_many_tasks_as_asked(spark):
+    rows = [(i % 7, "drums", i, i * 5, "On" if i % 2 == 0 else "Off", 36 + i % 3, 1 + i % 90) for i in range(400)]
+    notes = spark.createDataFrame(rows, "song long, track string, seq long, midi_time long, kind string, pitch int, velocity long")
+    grid = spark.createDataFrame([(s, m, 384 * m, 384 * (m + 1)) for s in range(7) for m in range(7)], "song long, measure long, t_start long, t_end long")
+    got = H.humanize(notes, grid, tasks=9)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bSort \[", plan)) == 3 and plan.count("Exchange ") == 1
+    assert got.rdd.getNumPartitions() == 9 and sorted(got.collect()) == sorted(H.humanize(notes, grid).collect())
+
+
+def test_varying_by_one_order(spark):
+    """Against ``varying_measures``, with times of several events, soft and missing velocities."""
+    draw = random.Random(5)
+    rows = [("s", "t", i, draw.randrange(3), draw.choice([None, *range(8)]), draw.choice(["On", "Off", "On", None]), draw.choice([None, *range(4)])) for i in range(300)] + [("s", "u", i, 1, i, "On", 5 + i % 2) for i in range(3)]
+    notes = spark.createDataFrame(rows, "song string, track string, seq long, measure int, midi_time long, kind string, velocity int")
+    want = {(r.track, r.measure): r.varying for r in N.varying_measures(notes.filter("kind = 'On'").groupBy("song", "track", "measure", "midi_time").agg(F.max("velocity").alias("peak"))).collect()}
+    got = N.mark_varying(notes)
+    assert got.count() == len(rows) and len(re.findall(r"\bSort \[", got._jdf.queryExecution().executedPlan().toString())) == 1
+    assert {(r.track, r.measure): r.varying for r in got.select("track", "measure", "varying").distinct().collect()} == want and len(want) == 4
