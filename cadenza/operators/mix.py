@@ -20,13 +20,15 @@ CHUNK = 4096
 TOP = 32767
 
 
-def to_chunks(frames: DataFrame, n_channels: int = 1, size: int = CHUNK) -> DataFrame:
+def to_chunks(frames: DataFrame, n_channels: int = 1, size: int = CHUNK, tasks: int | None = None) -> DataFrame:
     """Chunks of rows (song, voice, frame, channel, sample); places without a row are 0.
 
     One shuffle by chunk brings the rows together; the gaps between them are filled within the array.
+    ``tasks``: how many tasks share the chunks, where the number of a shuffle's partitions does not follow the input.
     """
     at = (F.col("frame") % size * n_channels + F.col("channel")).cast("int")
-    own = frames.select("song", "voice", F.floor(F.col("frame") / size).alias("chunk"), at.alias("k"), F.col("sample").cast("long").alias("s")).repartition("song", "voice", "chunk")
+    own = frames.select("song", "voice", F.floor(F.col("frame") / size).alias("chunk"), at.alias("k"), F.col("sample").cast("long").alias("s"))
+    own = own.repartition(*([tasks] if tasks else []), "song", "voice", "chunk")
     summed = own.groupBy("song", "voice", "chunk", "k").agg(F.sum("s").alias("s"))
     got = summed.groupBy("song", "voice", "chunk").agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("a"))
     zeros = lambda n: F.array_repeat(F.lit(0).cast("long"), n.cast("int"))
@@ -92,7 +94,7 @@ def _add(total, x):
     return total
 
 
-def _sums(rows: DataFrame) -> DataFrame:
+def _sums(rows: DataFrame, tasks: int | None = None) -> DataFrame:
     """Sums by (song, track, chunk), with their greatest absolute sample ``top``, of rows (chunk, frame0, n_channels, samples, takes).
 
     ``takes`` says where a chunk goes: (song, track, left, right, gain), factors over 1024; without ``left`` it keeps its channels, else it becomes stereo.
@@ -164,7 +166,7 @@ def _sums(rows: DataFrame) -> DataFrame:
 
     keys = ["song", "track", "chunk", "frame0", "n_channels"]
     part = rows.select("chunk", "frame0", "n_channels", "samples", "takes").mapInArrow(parts, schema)
-    return part.repartition(*keys[:3]).sortWithinPartitions(*keys).mapInArrow(streams, schema)
+    return part.repartition(*([tasks] if tasks else []), *keys[:3]).sortWithinPartitions(*keys).mapInArrow(streams, schema)
 
 
 def _finished(sums: DataFrame, levels: DataFrame | None, amplification: float, low_peak: int) -> DataFrame:
@@ -195,19 +197,19 @@ def _finished(sums: DataFrame, levels: DataFrame | None, amplification: float, l
     return rows.mapInArrow(scale, out)
 
 
-def mix(pcm: DataFrame, settings: DataFrame, amplification: float = 0.0, low_peak: int = 3276, levels: DataFrame | None = None) -> DataFrame:
+def mix(pcm: DataFrame, settings: DataFrame, amplification: float = 0.0, low_peak: int = 3276, levels: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """(song, chunk, frame0, n_channels, samples): voices with their gain (song, voice, volume in dB), summed, scaled and clipped.
 
     Gains are fixed point over 1024. A sum that reaches ``low_peak`` is scaled so that its
     peak becomes full scale times the amplification; a lower one is left alone.
-    ``levels`` (song, amplification) has amplifications of single songs.
+    ``levels`` (song, amplification) has amplifications of single songs; ``tasks``: how many tasks share the sums.
     """
     gain = L.fixed_point(L.db_to_gain(F.coalesce("volume", F.lit(0.0)))).cast("long")
     own = _few(settings.select("song", "voice", gain.alias("_gain")))
     none = F.lit(None)
     take = F.struct(F.col("song"), none.cast("string").alias("track"), none.cast("long").alias("left"), none.cast("long").alias("right"), F.coalesce("_gain", F.lit(1024).cast("long")).alias("gain"))
     rows = pcm.join(own, ["song", "voice"], "left").withColumn("takes", F.array(take))
-    return _finished(_sums(rows).drop("track"), levels, amplification, low_peak)
+    return _finished(_sums(rows, tasks).drop("track"), levels, amplification, low_peak)
 
 
 def pan_stereo(pcm: DataFrame, pans: DataFrame) -> DataFrame:
@@ -234,7 +236,7 @@ def mix_variants(groups: DataFrame) -> DataFrame:
 MAX_GROUPS = 20
 
 
-def variant_peaks(pcm: DataFrame, members: DataFrame) -> DataFrame:
+def variant_peaks(pcm: DataFrame, members: DataFrame, tasks: int | None = None) -> DataFrame:
     """(song, variant, peak) of the mixes of all subsets of a song's groups; bit i of the variant is the i-th group in order.
 
     ``members``: (group, voice); a voice may be in several groups, a group that no voice of a song is in is none of its. Voices are summed by group once. Within a chunk
@@ -250,7 +252,7 @@ def variant_peaks(pcm: DataFrame, members: DataFrame) -> DataFrame:
     none = F.lit(None).cast("long")
     take = F.struct(F.col("song"), F.col("group").alias("track"), none.alias("left"), none.alias("right"), F.lit(1024).cast("long").alias("gain"))
     takes = found.groupBy("song", "voice").agg(F.collect_list(take).alias("takes"))
-    sums = _sums(pcm.join(_few(takes), ["song", "voice"]))
+    sums = _sums(pcm.join(_few(takes), ["song", "voice"]), tasks)
     rows = sums.groupBy("song", "chunk").agg(F.collect_list(F.struct("track", "samples")).alias("own")).join(_few(order), "song")  # at most MAX_GROUPS arrays
     schema = T.StructType([rows.schema["song"], T.StructField("variant", T.LongType()), T.StructField("top", T.LongType())])
 
@@ -335,12 +337,12 @@ def add_parallel_track(mix: DataFrame, extra: DataFrame) -> DataFrame:
     return mix.unionByName(extra.withColumn("pan", F.lit(0.0)))
 
 
-def mixdown(pcm: DataFrame, audio_tracks: DataFrame, groups: DataFrame, voices: DataFrame, settings: DataFrame | None = None) -> DataFrame:
+def mixdown(pcm: DataFrame, audio_tracks: DataFrame, groups: DataFrame, voices: DataFrame, settings: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """Mixes of all audio tracks: groups expanded, settings and pans filled and applied, voices summed.
 
     Audio tracks: (track, groups[, amplification]); voices: (song, voice, pan); ``settings``: (track, voice, volume,
     pan), where a missing row is 0 dB and a missing pan is the voice's. The result has a song per (song, track).
-    A chunk is read once for all tracks that it goes to.
+    A chunk is read once for all tracks that it goes to. ``tasks``: how many tasks share the sums.
     """
     pairs = audio_tracks.select("track", F.explode("groups").alias("group")).join(groups.select("group", "voice").distinct(), "group").select("track", "voice").distinct()
     if settings is None:
@@ -354,7 +356,7 @@ def mixdown(pcm: DataFrame, audio_tracks: DataFrame, groups: DataFrame, voices:
     name = F.concat_ws("/", F.col("song").cast("string"), "track")
     take = F.struct(name.alias("song"), F.col("track"), factor(b.ll).alias("left"), factor(b.rr).alias("right"), factor(L.db_to_gain(F.coalesce("volume", F.lit(0.0)))).alias("gain"))
     takes = _few(cut(chosen.groupBy("song", "voice").agg(F.collect_list(take).alias("takes"))))
-    sums = _sums(pcm.join(takes, ["song", "voice"]))
+    sums = _sums(pcm.join(takes, ["song", "voice"]), tasks)
     levels = None
     if "amplification" in audio_tracks.columns:
         songs = takes.select(F.explode("takes").alias("t")).select("t.song", "t.track").distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cadenza.operators import mix as M
 from cadenza.sources.shared import cut
 
-from .bindings import bound, duck
+from .bindings import bound, duck, tasks_for
 from .registry import query
 
 _DENSE = duck("samples") + """, places as (select song, voice, frame // 4096 as chunk, max(frame % 4096) as top from samples group by 1, 2, 3),
@@ -17,8 +17,16 @@ dense as (select w.*, coalesce(s.sample, 0) as sample from wide w left join samp
 _VOLUME = "case voice when 'AF' then -3.0::double when 'NO' then 2.5::double else 0.0::double end"
 
 
+#: Rows of lineitem whose chunks a task has: some 500 chunks of 64 kB, half of an Arrow batch.
+ROWS = 1_000_000
+
+
+def tasks(spark, sf):
+    return tasks_for(bound(spark, sf, "lineitem"), ROWS)
+
+
 def chunks(spark, sf):
-    return M.to_chunks(bound(spark, sf, "samples"), 2)
+    return M.to_chunks(bound(spark, sf, "samples"), 2, tasks=tasks(spark, sf))
 
 
 def volumes(spark, sf):
@@ -53,7 +61,7 @@ def _digest(mixed):
 
 @query("mix", _DENSE + _MIXED.replace("GAIN", f"round_even(pow(10.0, {_VOLUME} / 20) * 1024, 0)::bigint") + _DIGEST)
 def _mix(spark, sf):
-    return _digest(M.mix(chunks(spark, sf), volumes(spark, sf)))
+    return _digest(M.mix(chunks(spark, sf), volumes(spark, sf), tasks=tasks(spark, sf)))
 
 
 @query("mix_variants", """with g as (select o_custkey // 100 as key, list(distinct o_orderpriority order by o_orderpriority) as groups from orders group by 1)
@@ -126,7 +134,7 @@ def _mixdown(spark, sf):
     pcm, t, g = cut(chunks(spark, sf)), cut(tracks(spark, sf)), cut(groups(spark, sf))
     pairs = t.select("track", F.explode("groups").alias("group")).join(g, "group").select("track", "voice").distinct().filter("voice != 'NO'")
     settings = pairs.select("track", "voice", ((F.length("track") % 5).cast("double") - 2).alias("volume"), F.when((F.length("track") + F.length("voice")) % 2 == 0, 0.25).alias("pan"))
-    return _digest(M.mixdown(pcm, t, g, _panned(pcm.select("song", "voice").distinct()), settings))
+    return _digest(M.mixdown(pcm, t, g, _panned(pcm.select("song", "voice").distinct()), settings, tasks(spark, sf)))
 
 
 @query("variant_peaks", duck("samples") + """, gsum as (select song, g, frame, channel, sum(sample) as s from (select *, unnest([substr(voice, 1, 1), substr(voice, 2, 1)]) as g from samples) group by 1, 2, 3, 4),
@@ -137,4 +145,4 @@ select song, variant, coalesce(max(t), 0)::bigint as peak from v left join t usi
 def _peaks(spark, sf):
     """The peaks of all mixes of a song's voices by the two letters of their names."""
     members = bound(spark, sf, "samples").select("voice").distinct().select(F.explode(F.array(F.substring("voice", 1, 1), F.substring("voice", 2, 1))).alias("group"), "voice")
-    return M.variant_peaks(chunks(spark, sf), members)
+    return M.variant_peaks(chunks(spark, sf), members, tasks(spark, sf))

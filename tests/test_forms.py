@@ -456,3 +456,18 @@ def test_varying_by_one_order(spark):
     got = N.mark_varying(notes)
     assert got.count() == len(rows) and len(re.findall(r"\bSort \[", got._jdf.queryExecution().executedPlan().toString())) == 1
     assert {(r.track, r.measure): r.varying for r in got.select("track", "measure", "varying").distinct().collect()} == want and len(want) == 4
+
+
+def test_tasks_of_a_mix_follow_the_samples(spark, monkeypatch):
+    """With a fixed number of partitions a worker's batches grew with the input, up to the largest that Spark sends."""
+    from cadenza.operators import mix as M
+    from cadenza.plans import mix_queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    plain = M.mix(Q.chunks(spark, sf), Q.volumes(spark, sf))
+    monkeypatch.setattr(Q, "ROWS", 500)
+    n = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 500)
+    pcm = Q.chunks(spark, sf)
+    got = M.mix(pcm, Q.volumes(spark, sf), tasks=n)
+    assert n > 10 and pcm.rdd.getNumPartitions() == n and got.rdd.getNumPartitions() == n
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
